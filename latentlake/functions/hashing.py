@@ -6,13 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def draw_key(*parts: Column | str | int) -> Column:
-    """md5 of the joined parts: a fixed pseudo-random order per (seed, phase, row key)."""
-    cols = [F.lit(str(p)) if isinstance(p, (int, float)) else (F.col(p) if isinstance(p, str) else p) for p in parts]
-    return F.md5(F.concat_ws("|", *[c.cast("string") for c in cols]))
+def draw_key(seed: int, phase: Column | str, *keys: Column | str) -> Column:
+    """md5 of seed, phase and row keys: a fixed pseudo-random order (``phase`` text is a literal)."""
+    head = [F.lit(str(seed)), F.lit(phase) if isinstance(phase, str) else phase]
+    cols = [F.col(k) if isinstance(k, str) else k for k in keys]
+    return F.md5(F.concat_ws("|", *[c.cast("string") for c in head + cols]))
 
 
-def draw_int(modulus: Column, *parts: Column | str | int) -> Column:
+def draw_int(modulus: Column, seed: int, phase: Column | str, *keys: Column | str) -> Column:
     """Hash-derived integer in ``[0, modulus)``."""
-    head = F.conv(F.substring(draw_key(*parts), 1, 8), 16, 10).cast("bigint")
+    head = F.conv(F.substring(draw_key(seed, phase, *keys), 1, 8), 16, 10).cast("bigint")
     return F.pmod(head, modulus.cast("bigint"))

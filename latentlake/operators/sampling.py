@@ -29,7 +29,7 @@ def cap_tiles(tiles: DataFrame, n: int, seed: int, phase: str) -> DataFrame:
 
 def cap_slides(slides: DataFrame, per_project: int | None, seed: int, project: str = "project") -> DataFrame:
     """At most ``per_project`` slides per project, with a shuffled output position key."""
-    keyed = slides.withColumn("_key", draw_key(seed, project, "slide_key"))
+    keyed = slides.withColumn("_key", draw_key(seed, F.col(project), "slide_key"))
     if per_project is not None and per_project >= 0:
         order = Window.partitionBy(project).orderBy("_key", "slide_key")
         keyed = keyed.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= per_project).drop("_rn")
