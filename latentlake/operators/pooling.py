@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from latentlake.runtime import attach_small, settle
+
 #: Width in pixels of the coordinate blocks used to find neighbours.
 _BLOCK = 4096
 
@@ -34,8 +36,9 @@ def grid_steps(tiles: DataFrame) -> DataFrame:
     return _axis_steps(tiles, "coord_x").join(_axis_steps(tiles, "coord_y"), "slide_key")
 
 
-def _placed(tiles: DataFrame, steps: DataFrame) -> DataFrame:
-    placed = tiles.join(steps.where(F.col("step_x").isNotNull() & F.col("step_y").isNotNull()), "slide_key")
+def _on_grid(tiles: DataFrame, grid: DataFrame) -> DataFrame:
+    """Tiles with their grid cell; ``off_grid`` marks coordinates between cells."""
+    placed = tiles.join(grid, "slide_key")
     rel_x = F.col("coord_x").cast("bigint") - F.col("x0")
     rel_y = F.col("coord_y").cast("bigint") - F.col("y0")
     return placed.select(
@@ -46,36 +49,50 @@ def _placed(tiles: DataFrame, steps: DataFrame) -> DataFrame:
     )
 
 
-def geometry_rejects(tiles: DataFrame) -> DataFrame:
-    """Slides whose coordinates form no regular grid, one reason each."""
+def slide_grid(tiles: DataFrame) -> DataFrame:
+    """One row per slide: grid steps, origin and the reason it is unusable, if any.
+
+    Reads only keys and coordinates.
+    """
     xy = ("coord_x", "coord_y")
     keys = tiles.select("slide_key", *xy)
     broken = F.lit(False)
     for c in xy:
         if tiles.schema[c].dataType.typeName() in ("float", "double", "decimal"):
             broken = broken | (F.col(c) != F.round(c)) | F.isnan(c)
-    fractional = keys.where(broken).select("slide_key", F.lit(1).alias("rule")).distinct()
-    usable = keys.join(fractional, "slide_key", "left_anti")
-    placed = _placed(usable, grid_steps(usable))
+    fractional = keys.groupBy("slide_key").agg(F.max(broken).alias("fractional"))
+    steps = grid_steps(keys)
+    placed = _on_grid(keys, steps.where("step_x is not null and step_y is not null"))
     # first per cell, so that a slide full of copies is combined before it is shuffled on
     cells = placed.groupBy("slide_key", "qx", "qy").agg(F.count("*").alias("n"), F.max("off_grid").alias("off"))
     worst = cells.groupBy("slide_key").agg(F.max("off").alias("off"), F.max("n").alias("n"))
-    spaced = worst.where("off").select("slide_key", F.lit(2).alias("rule"))
-    copied = worst.where("not off and n > 1").select("slide_key", F.lit(3).alias("rule"))
-    reasons = F.array(*[F.lit(r) for r in ("non_integer_coords", "inconsistent_spacing", "duplicate_cell")])
-    return fractional.unionByName(spaced).unionByName(copied).select(
-        "slide_key", F.element_at(reasons, F.col("rule")).alias("reason")
+    reason = (
+        F.when(F.col("fractional"), "non_integer_coords")
+        .when(F.col("off"), "inconsistent_spacing")
+        .when(F.col("n") > 1, "duplicate_cell")
     )
+    return (
+        fractional.join(steps, "slide_key")
+        .join(worst, "slide_key", "left")
+        .select("slide_key", "step_x", "step_y", "x0", "y0", reason.alias("reason"))
+    )
+
+
+def geometry_rejects(tiles: DataFrame) -> DataFrame:
+    """Slides whose coordinates form no regular grid, one reason each."""
+    return slide_grid(tiles).where("reason is not null").select("slide_key", "reason")
 
 
 def pool_groups(tiles: DataFrame, require_complete: bool = True, value: str = "tile_index") -> DataFrame:
     """2x2 groups with members in order top-left, top-right, bottom-left, bottom-right.
 
     Blocks are anchored at the slide minimum and never overlap. Partial blocks
-    need their top-left tile and repeat their last member up to four.
+    need their top-left tile and repeat their last member up to four. The grid
+    table (one row per slide) is written once and broadcast if its size allows,
+    so the feature vectors are shuffled only by block.
     """
-    valid = tiles.join(geometry_rejects(tiles), "slide_key", "left_anti")
-    placed = _placed(valid, grid_steps(valid))
+    usable = slide_grid(tiles).where("reason is null and step_x is not null and step_y is not null")
+    placed = _on_grid(tiles, attach_small(settle(usable.drop("reason"))))
     corner = (F.col("qx") % 2 + 2 * (F.col("qy") % 2)).alias("corner")
     grouped = placed.groupBy(
         "slide_key", F.floor(F.col("qx") / 2).alias("gx"), F.floor(F.col("qy") / 2).alias("gy")
