@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from latentlake.functions import ids
 
@@ -93,8 +94,11 @@ def resolve_slides(rows: DataFrame, mapping: DataFrame, listing: DataFrame, root
 
 
 def path_candidates(paths: DataFrame, roots: list[str], legacy_bases: list[str], preferred: str = "") -> DataFrame:
-    """Every place a feature file may live now, best first: ``(path, ordinal, candidate)``."""
-    cohort = ids.cohort_from_path("path")
+    """Every place a feature file may live now, best first: ``(path, ordinal, candidate)``.
+
+    A path that names no cohort stands for any cohort folder, written ``*``.
+    """
+    cohort = F.coalesce(ids.cohort_from_path("path"), F.lit("*"))
     names, encoders = ids.candidate_names("path"), ids.candidate_encoders("path", preferred)
     canonical = F.flatten(
         F.transform(
@@ -130,7 +134,7 @@ def path_candidates(paths: DataFrame, roots: list[str], legacy_bases: list[str],
     none = F.array().cast("array<string>")
     places = F.concat(
         F.array("path"),
-        F.when(cohort.isNotNull(), canonical).otherwise(none),
+        canonical,
         F.when(F.array_contains(segments, "extracted_features") & project.isNotNull(), legacy).otherwise(none),
     )
     return paths.select("path", F.posexplode(F.array_distinct(places)).alias("ordinal", "candidate"))
@@ -148,22 +152,31 @@ def remap_paths(
     wanted = paths.select("path").distinct()
     candidates = path_candidates(wanted, roots, list(legacy_bases), preferred)
     files = listing.select(F.col("path").alias("candidate")).distinct()
-    direct = candidates.join(files, "candidate").groupBy("path").agg(F.min_by("candidate", "ordinal").alias("exact"))
+    spelled = candidates.where(~F.col("candidate").contains("/*/"))
+    direct = spelled.join(files, "candidate").groupBy("path").agg(F.min_by("candidate", "ordinal").alias("exact"))
 
     lost = candidates.join(direct.select("path"), "path", "left_anti").where("ordinal > 0")
     stems = lost.select(
         "path", "ordinal", ids.path_parent("candidate").alias("dir"), ids.path_stem("candidate").alias("stem")
     )
+    # folders are searched in order of their first candidate, names in order inside a folder
+    place = Window.partitionBy("path", "dir")
+    stems = stems.withColumn("place", F.min("ordinal").over(place))
     lengths = stems.agg(F.collect_set(F.length("stem")).alias("l")).scalar()
+    folder = ids.path_parent("candidate")
+    any_cohort = F.regexp_replace(folder, f"/{ids.DEFAULT_PROJECT}/[^/]+/h5$", f"/{ids.DEFAULT_PROJECT}/*/h5")
     named = files.where(ids.path_suffix("candidate") == ".h5").select(
-        "candidate", ids.path_parent("candidate").alias("dir"), ids.path_stem("candidate").alias("name")
+        "candidate",
+        ids.path_stem("candidate").alias("name"),
+        folder.alias("folder"),
+        F.explode(F.array_distinct(F.array(folder, any_cohort))).alias("dir"),
     )
-    prefixes = named.select("candidate", "dir", "name", F.explode(lengths).alias("n")).where(F.length("name") >= F.col("n"))
-    prefixes = prefixes.groupBy("dir", F.substring("name", F.lit(1), F.col("n")).alias("stem")).agg(
-        F.min("candidate").alias("candidate")
+    prefixes = named.select("*", F.explode(lengths).alias("n")).where(F.length("name") >= F.col("n"))
+    prefixes = prefixes.groupBy("dir", "folder", F.substring("name", F.lit(1), F.col("n")).alias("stem")).agg(
+        F.min(F.struct((F.length("name") > F.col("n")).alias("longer"), F.col("candidate"))).alias("best")
     )
     globbed = stems.join(prefixes, ["dir", "stem"]).groupBy("path").agg(
-        F.min_by("candidate", F.struct("ordinal", "candidate")).alias("by_prefix")
+        F.min_by("best.candidate", F.struct("place", "folder", "ordinal", "best")).alias("by_prefix")
     )
     out = wanted.join(direct, "path", "left").join(globbed, "path", "left")
     how = F.when(F.col("exact") == F.col("path"), "exact").when(F.col("exact").isNotNull(), "candidate")
