@@ -203,7 +203,7 @@ WITH g AS (SELECT *, abs(activation - median(activation) OVER (PARTITION BY late
 SELECT *, 'max_activation' AS representative_method, activation AS method_score,
   row_number() OVER (PARTITION BY latent_strategy, latent_idx ORDER BY activation DESC, source_rank, slide_key) AS method_rank FROM g
 UNION ALL SELECT *, 'median_activation', -gap,
-  row_number() OVER (PARTITION BY latent_strategy, latent_idx ORDER BY gap, activation DESC, source_rank) FROM g
+  row_number() OVER (PARTITION BY latent_strategy, latent_idx ORDER BY round(gap, 9), activation DESC, source_rank) FROM g
 UNION ALL SELECT *, 'diverse_support', activation,
   row_number() OVER (PARTITION BY latent_strategy, latent_idx ORDER BY nth > 1, activation DESC, source_rank, slide_key) FROM g
 UNION ALL SELECT *, 'slide_spread', slide_support_count * 1e6 + slide_max_activation * 1e3 + slide_mean_activation,

@@ -95,7 +95,7 @@ def scaled(df: DataFrame, scaler, n_train: int) -> DataFrame:
 
 
 def fit_probe(
-    train: DataFrame, c: float = 1.0, penalty: str = "l2", max_iter: int = 5000, min_slides: int = 10
+    train: DataFrame, c: float = 1.0, penalty: str = "l2", max_iter: int = 5000, tol: float = 1e-6, min_slides: int = 10
 ) -> tuple[object, LogisticRegressionModel, int]:
     """(scaler, model, n_train): class-balanced logistic regression on standardised phi (M1, M2).
 
@@ -119,7 +119,7 @@ def fit_probe(
         elasticNetParam=1.0 if penalty == "l1" else 0.0,
         standardization=False,
         maxIter=max_iter,
-        tol=1e-9,
+        tol=tol,
     ).fit(ready)
     return scaler, model, n
 

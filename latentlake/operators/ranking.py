@@ -91,7 +91,8 @@ def rank_support(support: DataFrame, methods: tuple[str, ...] = schemas.REPRESEN
         F.when(spread, -peak),
         F.when(spread, -avg),
         F.when(spread, F.col("slide_key")),
-        F.when(median, F.col("_gap")),
+        # an even support has two rows at equal distance; rounding keeps that a tie
+        F.when(median, F.round("_gap", 9)),
         F.when(method == "diverse_support", F.col("_later")),
         act.desc(),
         "source_rank",
