@@ -8,6 +8,7 @@ from latentlake.catalog import fixtures as fx
 from latentlake.catalog.base import query
 from latentlake.catalog.fixtures import VIEWS
 from latentlake.operators import analytics, encode, stats
+from latentlake.runtime import settle
 
 VIEWS["slide_latent"] = (
     "acts slides selected sparse_counts",
@@ -31,13 +32,13 @@ def partials(spark, sf):
 
 def slide_latent(spark, sf):
     counts = stats.count_tiles(fx.sparse_keys(spark, sf))
-    return analytics.slide_latent_stats(partials(spark, sf), fx.slides(spark, sf), counts, fx.selected(spark, sf))
+    return settle(analytics.slide_latent_stats(partials(spark, sf), fx.slides(spark, sf), counts, fx.selected(spark, sf)))
 
 
 def firing(spark, sf):
     """Slides in which a latent exceeds 1.2: thins the lake enough for prevalences below one."""
     strong = stats.slide_partials(fx.acts(spark, sf).where("z > 1.2"))
-    return analytics.firing_slides(strong, fx.slides(spark, sf))
+    return settle(analytics.firing_slides(strong, fx.slides(spark, sf)))
 
 
 _SL = "slide_max_activation slide_mean_positive_activation"
@@ -198,7 +199,7 @@ GROUP BY 1, 2, 3, 4""",
 def strong_slide_latent(spark, sf):
     strong = stats.slide_partials(fx.acts(spark, sf).where("z > 2.6"))
     counts = stats.count_tiles(fx.sparse_keys(spark, sf))
-    return analytics.slide_latent_stats(strong, fx.slides(spark, sf), counts, fx.selected(spark, sf))
+    return settle(analytics.slide_latent_stats(strong, fx.slides(spark, sf), counts, fx.selected(spark, sf)))
 
 
 @query("g11_case_scores", needs="strong_case", d="case_score", sql="SELECT * FROM strong_case")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latentlake.operators.encode import LatentModel
+from latentlake.runtime import settle
 
 LATENTS = 40
 SPARSE_LATENTS = 64
@@ -19,8 +20,15 @@ D_IN = 64
 VIEWS: dict[str, tuple[str, str]] = {}
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; its schema is read from the file once."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 # --- dense tiles and weights from `embeddings` -------------------------------------------
@@ -288,14 +296,14 @@ def selected(spark: SparkSession, sf: str, n: int = 8) -> DataFrame:
 
     from latentlake.operators.selection import select_latents
 
-    stats = sparse_stats(spark, sf)
+    stats = settle(sparse_stats(spark, sf))
     parts = [
         select_latents(stats, s, n).select(
             F.lit(s).alias("latent_strategy"), "latent_idx", "sel_pos", F.lit("selected").alias("latent_group")
         )
         for s in ("top_activation", "top_variance", "top_sparsity")
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return settle(reduce(DataFrame.unionByName, parts))
 
 
 # --- names, registry and labels from `documents` and `labels` --------------------------------

@@ -9,6 +9,7 @@ from latentlake.catalog import mining as mining_catalog
 from latentlake.catalog.base import query
 from latentlake.catalog.fixtures import VIEWS
 from latentlake.operators import materialize, ranking, registry, resolve
+from latentlake.runtime import settle
 
 VIEWS["reg"] = (
     "slide_list feature_list",
@@ -225,7 +226,7 @@ SELECT w.path, coalesce(ex.hit, gl.hit, w.path) AS resolved,
 FROM w LEFT JOIN ex ON ex.path = w.path LEFT JOIN gl ON gl.path = w.path""",
 )
 def j11(spark, sf):
-    d = fx.doc_names(spark, sf)
+    d = settle(fx.doc_names(spark, sf))
     files = [
         d.where("doc_id % 12 = 0").select("path"),
         d.where("doc_id % 5 = 1").selectExpr("concat('/lake/wsi_features/seal/TCGA/', cohort, '/h5/', barcode, '.h5') as path"),
@@ -240,7 +241,7 @@ def j11(spark, sf):
     stored = files[0]
     for part in files[1:]:
         stored = stored.unionByName(part)
-    return resolve.remap_paths(d, stored.distinct(), ["/lake"], ["/store"])
+    return resolve.remap_paths(d, settle(stored.distinct()), ["/lake"], ("/store",))
 
 
 # --- materialisation --------------------------------------------------------------------------
@@ -249,7 +250,7 @@ def j11(spark, sf):
 def _bundle_rows(spark, sf):
     """Representative and support rows whose slides are the dense fixture's tiles."""
     base = mining_catalog.support(spark, sf).withColumn("tile_index", F.expr("tile_index % 24"))
-    ranked = ranking.rank_support(base)
+    ranked = settle(ranking.rank_support(base))
     order = ["latent_strategy", "latent_idx", "representative_method", "method_rank"]
     return materialize.bundle_rows(ranking.representatives(ranked), ranked, order)
 
@@ -307,7 +308,7 @@ def _materialized(spark, sf):
             "local_slide_path": F.expr("if(cast(substr(slide_key, 2) as bigint) % 5 = 0, '', concat('/s/', slide_key))"),
         }
     )
-    return materialize.materialize(rows.drop("have"), tiles)
+    return materialize.materialize(settle(rows.drop("have")), tiles)
 
 
 @query(

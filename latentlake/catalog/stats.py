@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from latentlake.catalog import fixtures as fx
 from latentlake.catalog.base import query
 from latentlake.operators import encode, filters, pooling, registry, sampling, selection, stats
-from latentlake.runtime import scratch_path
+from latentlake.runtime import scratch_path, settle
 from latentlake.streaming import incremental
 
 
@@ -69,7 +69,7 @@ FROM s CROSS JOIN range(64) r LEFT JOIN acts a ON a.slide_key = s.slide_key AND
 GROUP BY 1""",
 )
 def g17(spark, sf):
-    sampled = sampling.uniform_sample(fx.sparse_keys(spark, sf), 5000, 1337, ["slide_key", "tile_index"])
+    sampled = settle(sampling.uniform_sample(fx.sparse_keys(spark, sf), 5000, 1337, ["slide_key", "tile_index"]))
     hits = fx.acts(spark, sf).join(sampled, ["slide_key", "tile_index"], "left_semi")
     return stats.percentile_clamp(hits, sampled, 99.5, fx.SPARSE_LATENTS)
 
@@ -82,7 +82,7 @@ def g17(spark, sf):
 )
 def g17_encoded(spark, sf):
     tiles = fx.tiles(spark, sf)
-    sampled = sampling.uniform_sample(tiles, 50_000, 1337, ["slide_key", "tile_index"])
+    sampled = settle(sampling.uniform_sample(tiles, 50_000, 1337, ["slide_key", "tile_index"]))
     hits = encode.encode_hits(sampled, fx.model(spark, sf))
     return stats.percentile_clamp(hits, sampled.select("slide_key", "tile_index"), 95.0, fx.LATENTS)
 

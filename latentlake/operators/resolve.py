@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from latentlake.functions import ids
+from latentlake.runtime import settle
 
 _ENCODER_COLUMN = {"uni2": "uni_path", "seal": "seal_path", "gigapath": "gigapath_path", "virchow2": "virchow2_path"}
 
@@ -94,54 +96,42 @@ def resolve_slides(rows: DataFrame, mapping: DataFrame, listing: DataFrame, root
 
 
 def path_candidates(paths: DataFrame, roots: list[str], legacy_bases: list[str], preferred: str = "") -> DataFrame:
-    """Every place a feature file may live now, best first: ``(path, ordinal, candidate)``.
+    """Every place a feature file may live now (J11): ``(path, place, turn, candidate)``.
 
-    A path that names no cohort stands for any cohort folder, written ``*``.
+    ``place`` orders the folders, ``turn`` the names inside one. A path that names
+    no cohort stands for any cohort folder, written ``*``.
     """
-    cohort = F.coalesce(ids.cohort_from_path("path"), F.lit("*"))
-    names, encoders = ids.candidate_names("path"), ids.candidate_encoders("path", preferred)
-    canonical = F.flatten(
-        F.transform(
-            F.array(*[F.lit(r.rstrip("/")) for r in roots]),
-            lambda root: F.flatten(
-                F.transform(
-                    encoders,
-                    lambda enc: F.transform(
-                        names,
-                        lambda n: F.concat(
-                            root, F.lit("/wsi_features/"), enc, F.lit(f"/{ids.DEFAULT_PROJECT}/"), cohort, F.lit("/h5/"), n
-                        ),
-                    ),
-                )
-            ),
-        )
-    )
-    segments = F.split("path", "/")
-    project = F.get(F.filter(segments, lambda p: p.startswith("TCGA-")), F.lit(0))
-    # Sub-folders of the older layout, in search order.
-    legacy_dirs = ["features_uni2/", "features/", ""]
-    legacy = F.flatten(
-        F.transform(
-            F.array(*[F.lit(b.rstrip("/") + "/") for b in legacy_bases]).cast("array<string>"),
-            lambda base: F.flatten(
-                F.transform(
-                    F.array(*[F.lit(d) for d in legacy_dirs]),
-                    lambda d: F.transform(names, lambda n: F.concat(base, project, F.lit("/"), d, n)),
-                )
-            ),
-        )
-    )
-    none = F.array().cast("array<string>")
-    places = F.concat(
-        F.array("path"),
-        canonical,
-        F.when(F.array_contains(segments, "extracted_features") & project.isNotNull(), legacy).otherwise(none),
-    )
-    return paths.select("path", F.posexplode(F.array_distinct(places)).alias("ordinal", "candidate"))
+    project = F.get(F.filter(F.split("path", "/"), lambda p: p.startswith("TCGA-")), F.lit(0))
+    moved = F.array_contains(F.split("path", "/"), "extracted_features")
+    facts = paths.select(
+        "path",
+        F.coalesce(ids.cohort_from_path("path"), F.lit("*")).alias("cohort"),
+        F.when(moved, project).alias("project"),
+        ids.candidate_encoders("path", preferred).alias("encoders"),
+        ids.candidate_names("path").alias("names"),
+    )
+    named = facts.select("*", F.posexplode("names").alias("turn", "name"))
+    depth = F.lit(len(ids.ENCODERS))
+    lake = named.select("*", F.posexplode(F.array(*[F.lit(r.rstrip("/")) for r in roots])).alias("r", "root"))
+    lake = lake.select("*", F.posexplode("encoders").alias("e", "encoder"))
+    folder = F.concat("root", F.lit("/wsi_features/"), "encoder", F.lit(f"/{ids.DEFAULT_PROJECT}/"), "cohort", F.lit("/h5/"))
+    parts = [
+        paths.select("path", F.lit(0).alias("place"), F.lit(0).alias("turn"), F.col("path").alias("candidate")),
+        lake.select("path", (1 + F.col("r") * depth + F.col("e")).alias("place"), "turn", F.concat(folder, "name").alias("candidate")),
+    ]
+    if legacy_bases:
+        # Sub-folders of the older layout, in search order.
+        legacy_dirs = ["features_uni2/", "features/", ""]
+        places = F.array(*[F.lit(f"{b.rstrip('/')}/\t{d}") for b in legacy_bases for d in legacy_dirs])
+        old = named.where("project is not null").select("*", F.posexplode(places).alias("b", "base"))
+        spot = F.concat(F.substring_index("base", "\t", 1), "project", F.lit("/"), F.substring_index("base", "\t", -1), "name")
+        after = 1 + len(roots) * len(ids.ENCODERS)
+        parts.append(old.select("path", (F.lit(after) + F.col("b")).alias("place"), "turn", spot.alias("candidate")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def remap_paths(
-    paths: DataFrame, listing: DataFrame, roots: list[str], legacy_bases: list[str] = (), preferred: str = ""
+    paths: DataFrame, listing: DataFrame, roots: list[str], legacy_bases: tuple[str, ...] = (), preferred: str = ""
 ) -> DataFrame:
     """Current location of each path: first existing candidate, else first file named ``<stem>*``.
 
@@ -150,18 +140,20 @@ def remap_paths(
     rows is compared that does not share folder and prefix.
     """
     wanted = paths.select("path").distinct()
-    candidates = path_candidates(wanted, roots, list(legacy_bases), preferred)
     files = listing.select(F.col("path").alias("candidate")).distinct()
-    spelled = candidates.where(~F.col("candidate").contains("/*/"))
-    direct = spelled.join(files, "candidate").groupBy("path").agg(F.min_by("candidate", "ordinal").alias("exact"))
+    candidates = path_candidates(wanted, roots, list(legacy_bases), preferred)
+    direct = (
+        candidates.where(~F.col("candidate").contains("/*/"))
+        .join(files, "candidate")
+        .groupBy("path")
+        .agg(F.min_by("candidate", F.struct("place", "turn")).alias("exact"))
+    )
+    direct = settle(direct)
 
-    lost = candidates.join(direct.select("path"), "path", "left_anti").where("ordinal > 0")
-    stems = lost.select(
-        "path", "ordinal", ids.path_parent("candidate").alias("dir"), ids.path_stem("candidate").alias("stem")
+    lost = wanted.join(direct.select("path"), "path", "left_anti")
+    stems = path_candidates(lost, roots, list(legacy_bases), preferred).where("place > 0").select(
+        "path", "place", "turn", ids.path_parent("candidate").alias("dir"), ids.path_stem("candidate").alias("stem")
     )
-    # folders are searched in order of their first candidate, names in order inside a folder
-    place = Window.partitionBy("path", "dir")
-    stems = stems.withColumn("place", F.min("ordinal").over(place))
     lengths = stems.agg(F.collect_set(F.length("stem")).alias("l")).scalar()
     folder = ids.path_parent("candidate")
     any_cohort = F.regexp_replace(folder, f"/{ids.DEFAULT_PROJECT}/[^/]+/h5$", f"/{ids.DEFAULT_PROJECT}/*/h5")
@@ -176,7 +168,7 @@ def remap_paths(
         F.min(F.struct((F.length("name") > F.col("n")).alias("longer"), F.col("candidate"))).alias("best")
     )
     globbed = stems.join(prefixes, ["dir", "stem"]).groupBy("path").agg(
-        F.min_by("best.candidate", F.struct("place", "folder", "ordinal", "best")).alias("by_prefix")
+        F.min_by("best.candidate", F.struct("place", "folder", "turn", "best")).alias("by_prefix")
     )
     out = wanted.join(direct, "path", "left").join(globbed, "path", "left")
     how = F.when(F.col("exact") == F.col("path"), "exact").when(F.col("exact").isNotNull(), "candidate")

@@ -52,9 +52,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage and cut its lineage, so lost executors never recompute it."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared scratch area and read it back.
+
+    Lost executors never recompute it, and later joins plan with its true size.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def attach_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
