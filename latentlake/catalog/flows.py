@@ -163,9 +163,9 @@ def p5(spark, sf):
     listing = known.where("sn % 3 <> 0").select(F.col("feature_path").alias("path")).unionByName(
         known.where("sn % 4 <> 0").select(F.col("wsi_path").alias("path"))
     )
-    order = ["latent_strategy", "latent_idx", "representative_method", "method_rank"]
+    group = ["latent_strategy", "latent_idx", "representative_method"]
     out = workflows.materialize_bundle(
-        bundle["representative_latents"], bundle["representative_support_tiles"], order, tiles, mapping, features, listing, "/lake"
+        bundle["representative_latents"], bundle["representative_support_tiles"], group, tiles, mapping, features, listing, "/lake"
     )
     return out["materialize_summary"]
 

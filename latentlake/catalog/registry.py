@@ -251,7 +251,7 @@ def _bundle_rows(spark, sf):
     """Representative and support rows whose slides are the dense fixture's tiles."""
     base = mining_catalog.support(spark, sf).withColumn("tile_index", F.expr("tile_index % 24"))
     ranked = settle(ranking.rank_support(base))
-    order = ["latent_strategy", "latent_idx", "representative_method", "method_rank"]
+    order = ["latent_strategy", "latent_idx", "representative_method"]
     return materialize.bundle_rows(ranking.representatives(ranked), ranked, order)
 
 

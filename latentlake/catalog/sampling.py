@@ -43,7 +43,7 @@ def _hash(modulus: str, *parts: str) -> str:
     "d3_slice_sample",
     needs="sparse_tiles",
     sql=f"""WITH {_POS}, s AS (SELECT *, {_hash('n - 40 + 1', "'5'", "'slice'", 'slide_key')} AS start FROM p WHERE n >= 40)
-SELECT slide_key, tile_index, pos AS draw FROM s WHERE pos BETWEEN start AND start + 39""",
+SELECT slide_key, tile_index, tile_index AS draw FROM s WHERE pos BETWEEN start AND start + 39""",
 )
 def d3(spark, sf):
     return sampling.sample_slice(fx.sparse_keys(spark, sf), 40, 5)
@@ -54,7 +54,7 @@ def d3(spark, sf):
     needs="sparse_tiles",
     sql=f"""WITH {_POS}, c AS (SELECT p.*, range AS chunk, 10 + CASE WHEN range < 2 THEN 1 ELSE 0 END AS size FROM p CROSS JOIN range(4)),
 s AS (SELECT *, {_hash('n - size + 1', "'5'", "'multislice'", 'slide_key', 'chunk')} AS start FROM c WHERE n >= size)
-SELECT slide_key, tile_index, chunk, pos AS draw FROM s WHERE pos BETWEEN start AND start + size - 1""",
+SELECT slide_key, tile_index, chunk, tile_index AS draw FROM s WHERE pos BETWEEN start AND start + size - 1""",
 )
 def d4(spark, sf):
     return sampling.sample_multislice(fx.sparse_keys(spark, sf), 42, 4, 5)
@@ -65,7 +65,7 @@ def d4(spark, sf):
     needs="sparse_tiles",
     sql=f"""WITH {_POS}, r AS (SELECT *, row_number() OVER (PARTITION BY slide_key
   ORDER BY md5(concat_ws('|', '5', 'indexed', slide_key, tile_index)), tile_index) AS rn FROM p WHERE n >= 64)
-SELECT slide_key, tile_index, pos AS draw FROM r WHERE rn <= 64""",
+SELECT slide_key, tile_index, tile_index AS draw FROM r WHERE rn <= 64""",
 )
 def d5(spark, sf):
     return sampling.sample_indexed(fx.sparse_keys(spark, sf), 64, 5)

@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from latentlake import schemas
 from latentlake.functions import ids
 from latentlake.operators.sampling import tile_position
 
 
-def bundle_rows(reps: DataFrame, support: DataFrame, order: list[Column | str]) -> DataFrame:
+def bundle_rows(reps: DataFrame, support: DataFrame, group: list[str], rank: str = "method_rank") -> DataFrame:
     """Representatives first, then support, with a dense zero-based ``row_pos`` (K2).
 
-    Bundles hold topn rows per latent and method, independent of the tile count.
+    Positions come from group sizes first, then from the rank inside a group, so
+    no task sorts the whole bundle.
     """
-    from pyspark.sql.window import Window
-
     both = reps.withColumn("_part", F.lit(0)).unionByName(support.withColumn("_part", F.lit(1)))
-    window = Window.orderBy("_part", *order)
-    return both.withColumn("row_pos", F.row_number().over(window).cast("bigint") - 1).drop("_part")
+    keys = ["_part", *group]
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = both.groupBy(*keys).agg(F.count("*").alias("_n"))
+    offsets = sizes.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*keys).orderBy(rank)
+    placed = both.withColumn("_in", F.row_number().over(inside) - 1).join(offsets, keys)
+    return placed.withColumn("row_pos", (F.col("_off") + F.col("_in")).cast("bigint")).drop("_part", "_in", "_off")
 
 
 def vector_rows(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Deterministic samples: an md5 key per (seed, phase, row) replaces random draws."""
+"""Deterministic samples: an md5 key per (seed, phase, row) replaces random draws.
+
+Samples are planned on the key columns alone and then applied to the full rows as
+filters; ``tile_index`` is unique within a slide (health() reports where it is not).
+"""
 
 from __future__ import annotations
 
@@ -7,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from latentlake.functions.hashing import draw_int, draw_key
-from latentlake.runtime import attach_small
+from latentlake.runtime import attach_small, settle
 
+KEYS = ("slide_key", "tile_index")
 #: Rows per block when positions are counted inside one slide.
 POSITION_BLOCK = 4096
 _HEX_PREFIX = 4
@@ -17,14 +22,25 @@ _HEX_PREFIX = 4
 def cap_tiles(tiles: DataFrame, n: int, seed: int, phase: str) -> DataFrame:
     """At most ``n`` tiles per slide; ``n <= 0`` keeps all.
 
-    ``row_number() <= n`` is limited below the shuffle, so a giant slide sends at
-    most n rows per task.
+    A first pass over the key columns finds each slide's n-th smallest key
+    (``row_number() <= n`` is limited below the shuffle, so a giant slide sends
+    n narrow rows per task); the second pass is a filter against that table of
+    one row per slide. Feature vectors are never shuffled.
     """
     if n <= 0:
         return tiles
+    return _below_cut(tiles, settle(_cuts(tiles.select(*KEYS), n, seed, phase)), seed, phase)
+
+
+def _cuts(keys: DataFrame, n: int, seed: int, phase: str) -> DataFrame:
     order = Window.partitionBy("slide_key").orderBy("_key", "tile_index")
-    keyed = tiles.withColumn("_key", draw_key(seed, phase, "slide_key", "tile_index"))
-    return keyed.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).drop("_key", "_rn")
+    keyed = keys.withColumn("_key", draw_key(seed, phase, *KEYS)).withColumn("_rn", F.row_number().over(order))
+    return keyed.where(F.col("_rn") <= n).groupBy("slide_key").agg(F.max(F.struct("_key", "tile_index")).alias("_cut"))
+
+
+def _below_cut(tiles: DataFrame, cuts: DataFrame, seed: int, phase: str) -> DataFrame:
+    mine = F.struct(draw_key(seed, phase, *KEYS).alias("_key"), F.col("tile_index"))
+    return tiles.join(attach_small(cuts), "slide_key").where(mine <= F.col("_cut")).select(*tiles.columns)
 
 
 def cap_slides(slides: DataFrame, per_project: int | None, seed: int, project: str = "project") -> DataFrame:
@@ -56,55 +72,65 @@ def tile_position(tiles: DataFrame, key: str = "slide_key", order: str = "tile_i
     return joined.withColumn(name, (F.col("_off") + F.col("_in")).cast("bigint")).drop("_blk", "_in", "_off")
 
 
-def _with_counts(tiles: DataFrame) -> DataFrame:
-    counts = tiles.groupBy("slide_key").agg(F.count("*").alias("_n"))
-    return tiles.join(attach_small(counts), "slide_key")
-
+def _counts(tiles: DataFrame) -> DataFrame:
+    return settle(tiles.groupBy("slide_key").agg(F.count("*").cast("bigint").alias("_n")))
 
-def _short_slide(keyed: DataFrame, k: Column, seed: int, replace: bool) -> DataFrame:
-    """Slides with fewer than k tiles: all tiles, or k hash draws with replacement."""
-    if not replace:
-        return keyed.withColumn("draw", F.col("pos"))
-    draws = keyed.select("slide_key", "_n", k.alias("_k"), *_chunk(keyed)).distinct()
-    picks = draws.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1)))
-    picks = picks.withColumn("pos", draw_int(F.col("_n"), seed, "replace", "slide_key", "draw", *_chunk(keyed)))
-    return keyed.join(picks.drop("_n", "_k"), ["slide_key", "pos", *_chunk(keyed)])
 
+def _short_slides(tiles: DataFrame, wanted: DataFrame, seed: int, replace: bool) -> DataFrame:
+    """Slides with fewer tiles than asked: all their tiles, or hash draws with replacement.
 
-def _chunk(df: DataFrame) -> list[str]:
-    return ["chunk"] if "chunk" in df.columns else []
+    ``wanted`` is (slide_key, _n, _k[, chunk]) of the short slides only.
+    """
+    extra = [c for c in ("chunk",) if c in wanted.columns]
+    keys = tiles.select(*KEYS).join(attach_small(wanted.select("slide_key").distinct()), "slide_key", "left_semi")
+    if replace:
+        draws = wanted.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1)))
+        pick = draw_int(F.col("_n"), seed, "replace", "slide_key", "draw", *extra)
+        picks = draws.withColumn("pos", pick).join(tile_position(keys), ["slide_key", "pos"])
+    else:
+        picks = keys.join(wanted, "slide_key").withColumn("draw", F.col("tile_index"))
+    return tiles.join(picks.select(*KEYS, *extra, "draw"), list(KEYS))
 
 
 def sample_indexed(tiles: DataFrame, k: int, seed: int, replace: bool = True) -> DataFrame:
-    """k tiles per slide without replacement; short slides draw with replacement."""
-    keyed = _with_counts(tile_position(tiles))
-    full = cap_tiles(keyed.where(F.col("_n") >= k), k, seed, "indexed").withColumn("draw", F.col("pos"))
-    short = _short_slide(keyed.where(F.col("_n") < k), F.lit(k).cast("bigint"), seed, replace)
-    return full.unionByName(short).drop("_n", "pos")
+    """k tiles per slide without replacement; short slides draw with replacement.
+
+    ``draw`` tells repeated draws of one tile apart.
+    """
+    counts = _counts(tiles)
+    long = tiles.select(*KEYS).join(attach_small(counts.where(F.col("_n") >= k)), "slide_key", "left_semi")
+    full = _below_cut(tiles, settle(_cuts(long, k, seed, "indexed")), seed, "indexed")
+    wanted = counts.where(F.col("_n") < k).withColumn("_k", F.lit(k).cast("bigint"))
+    short = _short_slides(tiles, wanted, seed, replace)
+    return full.withColumn("draw", F.col("tile_index")).unionByName(short)
 
 
 def sample_slice(tiles: DataFrame, k: int, seed: int, replace: bool = True) -> DataFrame:
     """k consecutive tiles from a hash-derived start; short slides as in sample_indexed (D3)."""
-    keyed = _with_counts(tile_position(tiles))
-    start = draw_int(F.col("_n") - k + 1, seed, "slice", "slide_key")
-    full = keyed.where(F.col("_n") >= k).where(F.col("pos").between(start, start + k - 1))
-    short = _short_slide(keyed.where(F.col("_n") < k), F.lit(k).cast("bigint"), seed, replace)
-    return full.withColumn("draw", F.col("pos")).unionByName(short).drop("_n", "pos")
+    return _slices(tiles, _counts(tiles).withColumn("_k", F.lit(k).cast("bigint")), seed, "slice", replace)
 
 
 def sample_multislice(tiles: DataFrame, k: int, chunks: int, seed: int, replace: bool = True) -> DataFrame:
     """k tiles per slide split over ``chunks`` slices; the first ``k % chunks`` get one more."""
     chunks = max(1, chunks)
     size = F.lit(k // chunks) + F.when(F.col("chunk") < k % chunks, 1).otherwise(0)
-    keyed = _with_counts(tile_position(tiles))
-    keyed = keyed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("_size", size)
-    keyed = keyed.where(F.col("_size") > 0)
-    start = draw_int(F.col("_n") - F.col("_size") + 1, seed, "multislice", "slide_key", "chunk")
-    full = keyed.where(F.col("_n") >= F.col("_size"))
-    full = full.where(F.col("pos").between(start, start + F.col("_size") - 1)).withColumn("draw", F.col("pos"))
-    short = keyed.where(F.col("_n") < F.col("_size"))
-    short = _short_slide(short, F.col("_size").cast("bigint"), seed, replace)
-    return full.unionByName(short).drop("_n", "pos", "_size")
+    wanted = _counts(tiles).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    wanted = wanted.withColumn("_k", size.cast("bigint")).where(F.col("_k") > 0)
+    return _slices(tiles, wanted, seed, "multislice", replace)
+
+
+def _slices(tiles: DataFrame, wanted: DataFrame, seed: int, phase: str, replace: bool) -> DataFrame:
+    """Contiguous runs as tile_index ranges, one row per slide and chunk, filtered by a small join."""
+    extra = [c for c in ("chunk",) if c in wanted.columns]
+    start = draw_int(F.col("_n") - F.col("_k") + 1, seed, phase, "slide_key", *extra)
+    long = wanted.where(F.col("_n") >= F.col("_k")).withColumn("_start", start)
+    placed = tile_position(tiles.select(*KEYS)).join(attach_small(long), "slide_key")
+    inside = placed.where(F.col("pos").between(F.col("_start"), F.col("_start") + F.col("_k") - 1))
+    ranges = settle(inside.groupBy("slide_key", *extra).agg(F.min("tile_index").alias("_lo"), F.max("tile_index").alias("_hi")))
+    full = tiles.join(attach_small(ranges), "slide_key").where(F.col("tile_index").between(F.col("_lo"), F.col("_hi")))
+    full = full.drop("_lo", "_hi").withColumn("draw", F.col("tile_index"))
+    short = _short_slides(tiles, wanted.where(F.col("_n") < F.col("_k")), seed, replace)
+    return full.unionByName(short)
 
 
 def uniform_sample(df: DataFrame, k: int, seed: int, key: list[str]) -> DataFrame:
@@ -123,6 +149,7 @@ def uniform_sample(df: DataFrame, k: int, seed: int, key: list[str]) -> DataFram
     edge = upto.where(F.col("_cum") - F.col("_c") < k).agg(
         F.max("_p").alias("p"), F.max(F.struct("_p", F.lit(k) - (F.col("_cum") - F.col("_c")))).alias("s")
     )
+    edge = settle(edge)
     last = edge.select("p").scalar()
     spare = edge.select(F.col("s.col2")).scalar()
     inside = keyed.where(prefix < last)

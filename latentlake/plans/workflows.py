@@ -66,7 +66,7 @@ def prepare_tiles(tiles: DataFrame, slides: DataFrame, cfg: MineConfig, phase: s
     elif "split" in slides.columns:
         tiles = tiles.join(attach_small(slides.select("slide_key").distinct()), "slide_key", "left_semi")
     if cfg.magnification == "10x_pool2x2":
-        tiles = pooling.pool2x2(tiles, cfg.require_complete)
+        tiles = settle(pooling.pool2x2(tiles, cfg.require_complete))
     return sampling.cap_tiles(tiles.select("slide_key", "tile_index", "coord_x", "coord_y", "features"), cfg.tiles_per_slide, seed, phase)
 
 
@@ -230,11 +230,11 @@ def viewer_tables(
 
 
 def materialize_bundle(
-    reps: DataFrame, support: DataFrame, order: list[str], tiles: DataFrame, mapping: DataFrame, features: DataFrame,
+    reps: DataFrame, support: DataFrame, group: list[str], tiles: DataFrame, mapping: DataFrame, features: DataFrame,
     listing: DataFrame, root: str,
 ) -> Tables:
     """Bundle rows resolved against the lake, vectors attached, counters (P5)."""
-    rows = materialize.bundle_rows(reps, support, order)
+    rows = materialize.bundle_rows(reps, support, group)
     rows = resolve.resolve_features(rows, mapping, features, listing, root)
     rows = settle(resolve.resolve_slides(rows, mapping, listing, root))
     final, vectors = materialize.materialize(rows, tiles)

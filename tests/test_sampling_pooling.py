@@ -19,8 +19,10 @@ def test_caps_are_exact_and_repeatable(spark):
 
 def test_capped_hot_slide_is_limited_below_the_shuffle(spark):
     hot = spark.range(5000).selectExpr("if(id % 3 = 0, 'HOT', concat('S', id)) as slide_key", "id as tile_index")
+    cuts = sampling._cuts(hot, 10, 1, "x")
+    assert "WindowGroupLimit" in cuts._jdf.queryExecution().executedPlan().toString()
     out = sampling.cap_tiles(hot, 10, 1, "x")
-    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.where("slide_key = 'HOT'").count() == 10
 
 
