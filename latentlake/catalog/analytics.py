@@ -169,12 +169,12 @@ VIEWS["case_labels"] = (
     "",
     """
 SELECT 'K' || n_nationkey AS case_id, CASE WHEN n_nationkey % 7 = 0 THEN '' ELSE 'L' || (n_nationkey % 3) END AS subtype,
-  'R' || n_regionkey AS region FROM nation WHERE n_nationkey % 5 <> 4""",
+  'R' || n_regionkey AS region FROM nation WHERE n_regionkey <> 4""",
 )
 
 
 def case_labels(spark, sf):
-    rows = spark.read.parquet(f"{sf}/nation.parquet").where("n_nationkey % 5 <> 4").select(
+    rows = spark.read.parquet(f"{sf}/nation.parquet").where("n_regionkey <> 4").select(
         "n_nationkey", "n_regionkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn")
     )
     return rows.selectExpr(

@@ -311,7 +311,7 @@ def selected(spark: SparkSession, sf: str, n: int = 8) -> DataFrame:
 VIEWS["doc_names"] = (
     "",
     """
-SELECT doc_id, case_barcode, cohort, encoder, quality, toxic, barcode,
+SELECT doc_id, source, case_barcode, cohort, encoder, quality, toxic, barcode,
   CASE doc_id % 6
     WHEN 0 THEN '/lake/wsi_features/' || encoder || '/TCGA/' || cohort || '/h5/' || barcode || '.h5'
     WHEN 1 THEN '/old/TCGA-' || cohort || '/features_' || encoder || '/' || lower(barcode) || '.a' || doc_id || '.h5'
@@ -347,42 +347,43 @@ def doc_names(spark: SparkSession, sf: str) -> DataFrame:
       when 3 then concat('loose/', source, '_', doc_id, '.v2.SVS')
       when 4 then concat('/x/tcga-', lower(cohort), '/', case_barcode, '.svs')
       else concat(barcode, '.tif') end as path"""
-    return base.selectExpr("doc_id", "case_barcode", "cohort", "encoder", "quality", "toxic", "barcode", path)
+    return base.selectExpr("doc_id", "source", "case_barcode", "cohort", "encoder", "quality", "toxic", "barcode", path)
 
 
-# Slide list: every document but each eleventh, some listed twice. Feature index: every label row.
+# Slide list: the documents of all sources but one, some listed twice. Feature index: every label row,
+# some under a second encoder or in a second version.
 VIEWS["slide_list"] = (
     "doc_names",
     """
-SELECT doc_id * 2 + copy AS ord, barcode AS slide_id, barcode || '.svs' AS slide_filename,
+SELECT doc_id * 2 + copy AS ord, source, barcode AS slide_id, barcode || '.svs' AS slide_filename,
   case_barcode AS case_id, 'TCGA' AS dataset, cohort,
-  CASE WHEN doc_id % 5 = 2 THEN '' ELSE '/lake/wsi_slides/TCGA/' || cohort || '/slides/' || barcode
+  CASE WHEN source = 'src8' THEN '' ELSE '/lake/wsi_slides/TCGA/' || cohort || '/slides/' || barcode
     || CASE WHEN copy = 1 THEN '_b' ELSE '' END || '.SVS' END AS wsi_path
 FROM doc_names CROSS JOIN (SELECT 0 AS copy UNION ALL SELECT 1)
-WHERE doc_id % 11 <> 0 AND (copy = 0 OR doc_id % 50 = 1)""",
+WHERE source <> 'src3' AND (copy = 0 OR (cohort = 'FR' AND quality = 0))""",
 )
 VIEWS["feature_list"] = (
     "doc_names",
     """
-SELECT ord, slide_id, cohort, encoder, '/lake/wsi_features/' || encoder || '/TCGA/' || cohort || '/h5/' || slide_id || sfx || '.h5' AS path
+SELECT ord, source, slide_id, cohort, encoder, '/lake/wsi_features/' || encoder || '/TCGA/' || cohort || '/h5/' || slide_id || sfx || '.h5' AS path
 FROM (
-  SELECT doc_id * 4 AS ord, barcode AS slide_id, cohort, encoder, '' AS sfx
+  SELECT doc_id * 4 AS ord, source, barcode AS slide_id, cohort, encoder, '' AS sfx
   FROM doc_names WHERE quality >= 0
-  UNION ALL SELECT doc_id * 4 + 1, barcode, cohort,
-    CASE WHEN encoder = 'uni2' THEN 'seal' ELSE 'uni2' END, '' FROM doc_names WHERE quality >= 0 AND doc_id % 3 = 0
-  UNION ALL SELECT doc_id * 4 + 2, barcode, cohort, encoder, '.v2' FROM doc_names
-    WHERE quality >= 0 AND doc_id % 7 = 0)""",
+  UNION ALL SELECT doc_id * 4 + 1, source, barcode, cohort,
+    CASE WHEN encoder = 'uni2' THEN 'seal' ELSE 'uni2' END, '' FROM doc_names WHERE quality >= 0 AND cohort = 'DE'
+  UNION ALL SELECT doc_id * 4 + 2, source, barcode, cohort, encoder, '.v2' FROM doc_names
+    WHERE quality >= 0 AND source = 'src5')""",
 )
 
 
 def slide_list(spark: SparkSession, sf: str) -> DataFrame:
-    copies = F.explode(F.expr("if(doc_id % 50 = 1, array(0, 1), array(0))")).alias("copy")
-    return doc_names(spark, sf).where("doc_id % 11 <> 0").select("*", copies).selectExpr(
-        "doc_id * 2 + copy as ord",
+    copies = F.explode(F.expr("if(cohort = 'FR' and quality = 0, array(0, 1), array(0))")).alias("copy")
+    return doc_names(spark, sf).where("source <> 'src3'").select("*", copies).selectExpr(
+        "doc_id * 2 + copy as ord", "source",
         "barcode as slide_id",
         "concat(barcode, '.svs') as slide_filename",
         "case_barcode as case_id", "'TCGA' as dataset", "cohort",
-        "if(doc_id % 5 = 2, '', concat('/lake/wsi_slides/TCGA/', cohort, '/slides/', barcode, "
+        "if(source = 'src8', '', concat('/lake/wsi_slides/TCGA/', cohort, '/slides/', barcode, "
         "if(copy = 1, '_b', ''), '.SVS')) as wsi_path",
     )
 
@@ -391,11 +392,11 @@ def feature_list(spark: SparkSession, sf: str) -> DataFrame:
     copies = F.explode(
         F.expr(
             "filter(array(struct(0 as k, encoder as e, '' as sfx), "
-            "if(doc_id % 3 = 0, struct(1 as k, if(encoder = 'uni2', 'seal', 'uni2') as e, '' as sfx), null), "
-            "if(doc_id % 7 = 0, struct(2 as k, encoder as e, '.v2' as sfx), null)), x -> x is not null)"
+            "if(cohort = 'DE', struct(1 as k, if(encoder = 'uni2', 'seal', 'uni2') as e, '' as sfx), null), "
+            "if(source = 'src5', struct(2 as k, encoder as e, '.v2' as sfx), null)), x -> x is not null)"
         )
     ).alias("c")
     return doc_names(spark, sf).where("quality >= 0").select("*", copies).selectExpr(
-        "doc_id * 4 + c.k as ord", "barcode as slide_id", "cohort", "c.e as encoder",
+        "doc_id * 4 + c.k as ord", "source", "barcode as slide_id", "cohort", "c.e as encoder",
         "concat('/lake/wsi_features/', c.e, '/TCGA/', cohort, '/h5/', barcode, c.sfx, '.h5') as path",
     )

@@ -143,25 +143,24 @@ def p4(spark, sf):
 @query(
     "p5_materialize_summary",
     needs="flow_ranked",
-    sql="""WITH r AS (SELECT slide_key, tile_index, CAST(substr(slide_key, 2) AS BIGINT) AS sn FROM flow_ranked
-  UNION ALL SELECT slide_key, tile_index, CAST(substr(slide_key, 2) AS BIGINT) FROM flow_ranked WHERE method_rank = 1)
-SELECT count(*) AS rows_total, count_if(sn % 3 <> 0) AS rows_with_feature_vector, count_if(sn % 3 = 0) AS rows_missing_feature,
-  count_if(sn % 4 = 0) AS rows_missing_slide, 0 AS rows_feature_error,
-  count(DISTINCT CASE WHEN sn % 3 <> 0 THEN slide_key || '/' || tile_index END) AS unique_feature_vectors FROM r""",
+    sql="""WITH r AS (SELECT slide_key, tile_index, cohort FROM flow_ranked
+  UNION ALL SELECT slide_key, tile_index, cohort FROM flow_ranked WHERE method_rank = 1)
+SELECT count(*) AS rows_total, count_if(cohort <> 'C4') AS rows_with_feature_vector, count_if(cohort = 'C4') AS rows_missing_feature,
+  count_if(cohort IN ('C0', 'C4')) AS rows_missing_slide, 0 AS rows_feature_error,
+  count(DISTINCT CASE WHEN cohort <> 'C4' THEN slide_key || '/' || tile_index END) AS unique_feature_vectors FROM r""",
 )
 def p5(spark, sf):
-    """Feature files of each third slide and slide files of each fourth are missing from the lake."""
+    """One cohort has no feature files in the lake, two have no slide files."""
     tiles, slides, _, _ = _inputs(spark, sf)
     bundle = _bundle(spark, sf)
-    number = F.expr("cast(substr(slide_key, 2) as bigint)")
-    known = slides.withColumn("sn", number).withColumn("wsi_path", F.expr("concat('/lake/wsi_slides/', slide_key, '.svs')"))
+    known = slides.withColumn("wsi_path", F.expr("concat('/lake/wsi_slides/', slide_key, '.svs')"))
     mapping = known.select(
         F.col("slide_key").alias("slide_id"), F.lit("TCGA").alias("dataset"), "cohort", F.lit("").alias("slide_filename"),
         "wsi_path", F.lit("").alias("uni_path"), F.lit("").alias("seal_path"),
     )
     features = known.select(F.col("slide_key").alias("slide_id"), F.lit("seal").alias("encoder"), "feature_path", F.lit(0).alias("ord"))
-    listing = known.where("sn % 3 <> 0").select(F.col("feature_path").alias("path")).unionByName(
-        known.where("sn % 4 <> 0").select(F.col("wsi_path").alias("path"))
+    listing = known.where("cohort <> 'C4'").select(F.col("feature_path").alias("path")).unionByName(
+        known.where("cohort not in ('C0', 'C4')").select(F.col("wsi_path").alias("path"))
     )
     group = ["latent_strategy", "latent_idx", "representative_method"]
     out = workflows.materialize_bundle(

@@ -113,21 +113,21 @@ def j7_features(spark, sf):
 
 # --- resolution -------------------------------------------------------------------------------
 
-# Files that exist: most slides, feature files but each fifth, some under another name.
+# Files that exist: slides and features of most sources, some slides under another name.
 VIEWS["listing"] = (
     "slide_list feature_list",
     """
-SELECT wsi_path AS path FROM slide_list WHERE wsi_path <> '' AND ord % 3 <> 0
-UNION SELECT '/lake/wsi_slides/TCGA/' || cohort || '/slides/' || slide_filename FROM slide_list WHERE ord % 4 = 0
-UNION SELECT '/lake/wsi_slides/TCGA/' || cohort || '/slides/' || slide_id || '.x.ndpi' FROM slide_list WHERE ord % 10 = 6
-UNION SELECT path FROM feature_list WHERE ord % 5 <> 0""",
+SELECT wsi_path AS path FROM slide_list WHERE wsi_path <> '' AND source NOT IN ('src1', 'src2')
+UNION SELECT '/lake/wsi_slides/TCGA/' || cohort || '/slides/' || slide_filename FROM slide_list WHERE source IN ('src1', 'src8')
+UNION SELECT '/lake/wsi_slides/TCGA/' || cohort || '/slides/' || slide_id || '.x.ndpi' FROM slide_list WHERE source = 'src2'
+UNION SELECT path FROM feature_list WHERE source <> 'src4'""",
 )
 VIEWS["requests"] = (
     "doc_names",
     """
 SELECT doc_id, barcode AS slide_key, encoder, case_barcode AS case_id,
-  CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'wsi_features/' || encoder || '/TCGA/' || cohort || '/h5/' || barcode
-    || CASE WHEN doc_id % 4 = 1 THEN '_gone' ELSE '' END || '.h5' END AS feature_relpath FROM doc_names""",
+  CASE WHEN cohort = 'ES' THEN '' ELSE 'wsi_features/' || encoder || '/TCGA/' || cohort || '/h5/' || barcode
+    || CASE WHEN cohort = 'FR' THEN '_gone' ELSE '' END || '.h5' END AS feature_relpath FROM doc_names""",
 )
 
 
@@ -135,10 +135,10 @@ def listing(spark, sf):
     s = fx.slide_list(spark, sf)
     folder = "concat('/lake/wsi_slides/TCGA/', cohort, '/slides/', "
     parts = [
-        s.where("wsi_path <> '' and ord % 3 <> 0").selectExpr("wsi_path as path"),
-        s.where("ord % 4 = 0").selectExpr(f"{folder} slide_filename) as path"),
-        s.where("ord % 10 = 6").selectExpr(f"{folder} slide_id, '.x.ndpi') as path"),
-        fx.feature_list(spark, sf).where("ord % 5 <> 0").select("path"),
+        s.where("wsi_path <> '' and source not in ('src1', 'src2')").selectExpr("wsi_path as path"),
+        s.where("source in ('src1', 'src8')").selectExpr(f"{folder} slide_filename) as path"),
+        s.where("source = 'src2'").selectExpr(f"{folder} slide_id, '.x.ndpi') as path"),
+        fx.feature_list(spark, sf).where("source <> 'src4'").select("path"),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -149,8 +149,8 @@ def listing(spark, sf):
 def requests(spark, sf):
     return fx.doc_names(spark, sf).selectExpr(
         "doc_id", "barcode as slide_key", "encoder", "case_barcode as case_id",
-        "if(doc_id % 4 = 0, '', concat('wsi_features/', encoder, '/TCGA/', cohort, '/h5/', barcode, "
-        "if(doc_id % 4 = 1, '_gone', ''), '.h5')) as feature_relpath",
+        "if(cohort = 'ES', '', concat('wsi_features/', encoder, '/TCGA/', cohort, '/h5/', barcode, "
+        "if(cohort = 'FR', '_gone', ''), '.h5')) as feature_relpath",
     )
 
 
@@ -197,12 +197,12 @@ def j10(spark, sf):
     "j11_remap_paths",
     needs="doc_names",
     sql="""WITH l AS (
-  SELECT path AS f FROM doc_names WHERE doc_id % 12 = 0
-  UNION SELECT '/lake/wsi_features/seal/TCGA/' || cohort || '/h5/' || barcode || '.h5' FROM doc_names WHERE doc_id % 5 = 1
-  UNION SELECT '/lake/wsi_features/uni2/TCGA/' || cohort || '/h5/' || barcode || '.h5' FROM doc_names WHERE doc_id % 7 = 2
-  UNION SELECT '/store/TCGA-' || cohort || '/features/' || barcode || '.h5' FROM doc_names WHERE doc_id % 9 = 2
-  UNION SELECT '/lake/wsi_features/gigapath/TCGA/' || cohort || '/h5/' || barcode || '_v3.h5' FROM doc_names WHERE doc_id % 13 = 1
-  UNION SELECT '/lake/wsi_features/virchow2/TCGA/Z' || (doc_id % 3) || '/h5/' || regexp_extract(path, 'loose/(.*)[.]SVS$', 1) || '_x.h5' FROM doc_names WHERE doc_id % 24 = 9),
+  SELECT path AS f FROM doc_names WHERE source IN ('src0', 'src6')
+  UNION SELECT '/lake/wsi_features/seal/TCGA/' || cohort || '/h5/' || barcode || '.h5' FROM doc_names WHERE cohort = 'DE'
+  UNION SELECT '/lake/wsi_features/uni2/TCGA/' || cohort || '/h5/' || barcode || '.h5' FROM doc_names WHERE source = 'src9'
+  UNION SELECT '/store/TCGA-' || cohort || '/features/' || barcode || '.h5' FROM doc_names WHERE source IN ('src10', 'src11')
+  UNION SELECT '/lake/wsi_features/gigapath/TCGA/' || cohort || '/h5/' || barcode || '_v3.h5' FROM doc_names WHERE source IN ('src12', 'src13')
+  UNION SELECT '/lake/wsi_features/virchow2/TCGA/Z' || (doc_id % 3) || '/h5/' || regexp_extract(path, 'loose/(.*)[.]SVS$', 1) || '_x.h5' FROM doc_names WHERE path LIKE 'loose/%' AND source IN ('src15', 'src16')),
 n AS (SELECT doc_id, path, cohort, barcode, encoder, doc_id % 6 AS form, CASE doc_id % 6 WHEN 0 THEN [barcode]
     WHEN 1 THEN [lower(barcode) || '.a' || doc_id, lower(barcode)] WHEN 2 THEN [barcode || '_001', barcode]
     WHEN 3 THEN [regexp_extract(path, 'loose/(.*)[.]SVS$', 1)] WHEN 4 THEN [case_barcode] ELSE [barcode] END AS names0 FROM doc_names),
@@ -228,15 +228,15 @@ FROM w LEFT JOIN ex ON ex.path = w.path LEFT JOIN gl ON gl.path = w.path""",
 def j11(spark, sf):
     d = settle(fx.doc_names(spark, sf))
     files = [
-        d.where("doc_id % 12 = 0").select("path"),
-        d.where("doc_id % 5 = 1").selectExpr("concat('/lake/wsi_features/seal/TCGA/', cohort, '/h5/', barcode, '.h5') as path"),
-        d.where("doc_id % 7 = 2").selectExpr("concat('/lake/wsi_features/uni2/TCGA/', cohort, '/h5/', barcode, '.h5') as path"),
-        d.where("doc_id % 9 = 2").selectExpr("concat('/store/TCGA-', cohort, '/features/', barcode, '.h5') as path"),
-        d.where("doc_id % 13 = 1").selectExpr("concat('/lake/wsi_features/gigapath/TCGA/', cohort, '/h5/', barcode, '_v3.h5') as path"),
+        d.where("source in ('src0', 'src6')").select("path"),
+        d.where("cohort = 'DE'").selectExpr("concat('/lake/wsi_features/seal/TCGA/', cohort, '/h5/', barcode, '.h5') as path"),
+        d.where("source = 'src9'").selectExpr("concat('/lake/wsi_features/uni2/TCGA/', cohort, '/h5/', barcode, '.h5') as path"),
+        d.where("source in ('src10', 'src11')").selectExpr("concat('/store/TCGA-', cohort, '/features/', barcode, '.h5') as path"),
+        d.where("source in ('src12', 'src13')").selectExpr("concat('/lake/wsi_features/gigapath/TCGA/', cohort, '/h5/', barcode, '_v3.h5') as path"),
     ]
     loose = "regexp_extract(path, 'loose/(.*)[.]SVS$', 1)"
     files.append(
-        d.where("doc_id % 24 = 9").selectExpr(f"concat('/lake/wsi_features/virchow2/TCGA/Z', doc_id % 3, '/h5/', {loose}, '_x.h5') as path")
+        d.where("path like 'loose/%' and source in ('src15', 'src16')").selectExpr(f"concat('/lake/wsi_features/virchow2/TCGA/Z', doc_id % 3, '/h5/', {loose}, '_x.h5') as path")
     )
     stored = files[0]
     for part in files[1:]:
