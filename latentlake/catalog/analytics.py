@@ -52,8 +52,8 @@ def g3(spark, sf):
 @query(
     "g3_slide_latent_stats_encoded",
     needs="pre",
-    d="z_max z_sum pos_sum",
-    sql="""SELECT slide_key, latent_idx, max(a) AS z_max, sum(a) AS z_sum, sum(a) AS pos_sum, count(*) AS pos_n, count(*) AS nz_n
+    d="z_max z_sum z_sum_sq pos_sum",
+    sql="""SELECT slide_key, latent_idx, max(a) AS z_max, sum(a) AS z_sum, sum(a * a) AS z_sum_sq, sum(a) AS pos_sum, count(*) AS pos_n, count(*) AS nz_n
 FROM pre WHERE a > 0 GROUP BY 1, 2""",
 )
 def g3_encoded(spark, sf):
@@ -105,14 +105,16 @@ FROM range(48) r LEFT JOIN dense_stats ON dense_stats.latent_idx = r.range LEFT
 LEFT JOIN pv ON pv.latent_idx = r.range LEFT JOIN pos ON pos.latent_idx = r.range LEFT JOIN parents ON parents.latent_idx = r.range""",
 )
 def g5(spark, sf):
-    """One fused pass for the slide partials, one for the statistics; eight of 48 latents never fire."""
+    """One encode pass serves slides and statistics; eight of 48 latents never fire."""
     tiles, model = fx.tiles(spark, sf), fx.model(spark, sf)
-    st = stats.finalize_stats(encode.encode_stats(tiles, model))
+    partials = settle(encode.encode_slide_stats(tiles, model))
+    n_tiles = tiles.agg(F.count("*").alias("n")).scalar()
+    st = stats.finalize_stats(stats.stats_from_slides(partials, n_tiles, 48))
     parents = encode.parent_assignment(encode.coefficients(fx.level2(spark, sf)))
     by_parent = parents.where("parent in (1, 4)").select("latent_idx", F.explode(F.expr("array('top', 'by_parent')")).alias("latent_strategy"))
     low = parents.where("latent_idx < 10 and parent not in (1, 4)").select("latent_idx", F.lit("top").alias("latent_strategy"))
     chosen = by_parent.unionByName(low)
-    return analytics.latent_metrics(encode.encode_slide_stats(tiles, model), st, fx.dense_slides(spark, sf), chosen, 48)
+    return analytics.latent_metrics(partials, st, fx.dense_slides(spark, sf), chosen, 48)
 
 
 @query(

@@ -357,6 +357,16 @@ _MARGIN = """WITH m AS (SELECT p.slide_key, p.tile_index, p.latent_idx,
     sql=f"{_MARGIN} SELECT slide_key, tile_index, margin AS concept_score FROM m ORDER BY round(margin, 9) DESC, slide_key, tile_index LIMIT 40",
 )
 def h16(spark, sf):
+    return encode.encode_concept(fx.tiles(spark, sf), fx.model(spark, sf), 11, 40)
+
+
+@query(
+    "h16_concept_tiles_table",
+    needs="pre",
+    d="concept_score",
+    sql=f"{_MARGIN} SELECT slide_key, tile_index, margin AS concept_score FROM m ORDER BY round(margin, 9) DESC, slide_key, tile_index LIMIT 40",
+)
+def h16_table(spark, sf):
     tiles = fx.tiles(spark, sf)
     hits = encode.encode_hits(tiles, fx.model(spark, sf))
     return mining.concept_tiles(hits, 11, 40, fx.LATENTS, tiles=tiles)
@@ -369,8 +379,7 @@ def h16(spark, sf):
     sql=f"{_MARGIN} SELECT slide_key, tile_index, z AS concept_score FROM m ORDER BY round(z, 9) DESC, slide_key, tile_index LIMIT 40",
 )
 def h16_value(spark, sf):
-    hits = encode.encode_hits(fx.tiles(spark, sf), fx.model(spark, sf))
-    return mining.concept_tiles(hits, 11, 40, fx.LATENTS, use_margin=False)
+    return encode.encode_concept(fx.tiles(spark, sf), fx.model(spark, sf), 11, 40, use_margin=False)
 
 
 @query(

@@ -116,30 +116,39 @@ def g23_topk(spark, sf):
     return stats.slide_summary(partials, stats.count_tiles(tiles), axis)
 
 
-@query(
-    "g24_activation_monitor",
-    needs="pre",
-    d="frac_nonzero mean_nonzero_per_sample z_mean z_std top1_top2_margin",
-    sql="""WITH z AS (SELECT slide_key, tile_index, greatest(a, 0) AS z FROM pre),
+_G24 = """WITH z AS (SELECT slide_key, tile_index, greatest(a, 0) AS z FROM pre),
 t AS (SELECT slide_key, tile_index, count_if(z > 0) AS nz, list(z ORDER BY z DESC) AS l FROM z GROUP BY 1, 2)
 SELECT (SELECT avg(CASE WHEN z > 0 THEN 1.0 ELSE 0.0 END) FROM z) AS frac_nonzero, avg(nz) AS mean_nonzero_per_sample,
-  (SELECT avg(z) FROM z) AS z_mean, (SELECT stddev_pop(z) FROM z) AS z_std, avg(l[1] - l[2]) AS top1_top2_margin FROM t""",
-)
+  (SELECT avg(z) FROM z) AS z_mean, (SELECT stddev_pop(z) FROM z) AS z_std, avg(l[1] - l[2]) AS top1_top2_margin FROM t"""
+_G24_D = "frac_nonzero mean_nonzero_per_sample z_mean z_std top1_top2_margin"
+
+
+@query("g24_activation_monitor", needs="pre", d=_G24_D, sql=_G24)
 def g24(spark, sf):
+    return encode.encode_monitor(fx.tiles(spark, sf), fx.model(spark, sf))
+
+
+@query("g24_activation_monitor_table", needs="pre", d=_G24_D, sql=_G24)
+def g24_table(spark, sf):
     tiles = fx.tiles(spark, sf)
     hits = encode.encode_hits(tiles, fx.model(spark, sf))
     return stats.activation_monitor(hits, _count(tiles), fx.LATENTS)
 
 
-@query(
-    "g25_dead_units",
-    needs="pre",
-    d="dead_frac mean_abs_act_per_latent max_abs_act_per_latent",
-    sql="""WITH l AS (SELECT latent_idx, max(greatest(a, 0)) AS top, avg(greatest(a, 0)) AS m FROM pre GROUP BY 1)
+_G25 = """WITH l AS (SELECT latent_idx, max(greatest(a, 0)) AS top, avg(greatest(a, 0)) AS m FROM pre GROUP BY 1)
 SELECT 1.0 - avg(CASE WHEN top > 0.15 THEN 1.0 ELSE 0.0 END) AS dead_frac, avg(m) AS mean_abs_act_per_latent,
-  max(m) AS max_abs_act_per_latent FROM l""",
-)
+  max(m) AS max_abs_act_per_latent FROM l"""
+_G25_D = "dead_frac mean_abs_act_per_latent max_abs_act_per_latent"
+
+
+@query("g25_dead_units", needs="pre", d=_G25_D, sql=_G25)
 def g25(spark, sf):
+    partials = encode.encode_stats(fx.tiles(spark, sf), fx.model(spark, sf))
+    return stats.dead_units_from_stats(partials, fx.LATENTS, eps=0.15)
+
+
+@query("g25_dead_units_table", needs="pre", d=_G25_D, sql=_G25)
+def g25_table(spark, sf):
     tiles = fx.tiles(spark, sf)
     hits = encode.encode_hits(tiles, fx.model(spark, sf))
     return stats.dead_units(hits, _count(tiles), fx.LATENTS, eps=0.15)

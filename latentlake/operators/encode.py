@@ -243,13 +243,17 @@ def _needs_split(model: LatentModel) -> bool:
 
 # --- (b) per-(slide, latent) partial aggregates -----------------------------------------
 
-_SLIDE = "slide_key string, latent_idx bigint, z_max double, z_sum double, pos_sum double, pos_n bigint, nz_n bigint"
+_SLIDE = (
+    "slide_key string, latent_idx bigint, z_max double, z_sum double, z_sum_sq double, pos_sum double, "
+    "pos_n bigint, nz_n bigint"
+)
 _SLIDE_ARROW = pa.schema(
     [
         ("slide_key", pa.string()),
         ("latent_idx", pa.int64()),
         ("z_max", pa.float64()),
         ("z_sum", pa.float64()),
+        ("z_sum_sq", pa.float64()),
         ("pos_sum", pa.float64()),
         ("pos_n", pa.int64()),
         ("nz_n", pa.int64()),
@@ -263,10 +267,10 @@ def _slide_kernel(handle, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     current, state = None, None
 
     def flush():
-        live = np.flatnonzero(state[4])
+        live = np.flatnonzero(state[5])
         return _batch(
-            _SLIDE_ARROW, [current] * len(live), block.ids[live], *(a[live] for a in state[:3]),
-            state[3][live].astype(np.int64), state[4][live].astype(np.int64),
+            _SLIDE_ARROW, [current] * len(live), block.ids[live], *(a[live] for a in state[:4]),
+            state[4][live].astype(np.int64), state[5][live].astype(np.int64),
         )
 
     for part, x in _chunks(batches, block):
@@ -279,12 +283,13 @@ def _slide_kernel(handle, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
                 if state is not None:
                     yield flush()
                 current = slides[lo]
-                state = [np.full(z.shape[1], -np.inf)] + [np.zeros(z.shape[1]) for _ in range(4)]
+                state = [np.full(z.shape[1], -np.inf)] + [np.zeros(z.shape[1]) for _ in range(5)]
             np.maximum(state[0], run.max(axis=0), out=state[0])
-            state[1] += run.sum(axis=0)
-            state[2] += np.where(pos, run, 0.0).sum(axis=0)
-            state[3] += pos.sum(axis=0)
-            state[4] += (run != 0).sum(axis=0)
+            state[1] += run.sum(axis=0, dtype=np.float64)
+            state[2] += np.einsum("ij,ij->j", run, run, dtype=np.float64)
+            state[3] += np.where(pos, run, 0.0).sum(axis=0, dtype=np.float64)
+            state[4] += pos.sum(axis=0)
+            state[5] += (run != 0).sum(axis=0)
     if state is not None:
         yield flush()
 
@@ -306,6 +311,7 @@ def encode_slide_stats(tiles: DataFrame, model: LatentModel, latents: DataFrame
         .agg(
             F.max("z_max").alias("z_max"),
             F.sum("z_sum").alias("z_sum"),
+            F.sum("z_sum_sq").alias("z_sum_sq"),
             F.sum("pos_sum").alias("pos_sum"),
             F.sum("pos_n").alias("pos_n"),
             F.sum("nz_n").alias("nz_n"),
@@ -345,7 +351,7 @@ def _best(frame: pd.DataFrame, n: int) -> pd.DataFrame:
     return frame.groupby("latent_idx", sort=False).head(n)
 
 
-def _top_kernel(handle, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _top_kernel(n: int, handle, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Running best n per latent; rows below a latent's n-th best never leave the task."""
     block: _Block = handle.value
     width = len(block.ids)
@@ -376,12 +382,7 @@ def encode_top(tiles: DataFrame, model: LatentModel, n: int, latents: DataFrame
         if latents is not None:
             hits = hits.join(latents.select("latent_idx").distinct(), "latent_idx", "left_semi")
         return rank_top(hits, n)
-    sc_kernel = partial(_swap_top, n)
-    return rank_top(_over_blocks(tiles, model, latents, sc_kernel, _TOP, PLACED), n)
-
-
-def _swap_top(n: int, handle, batches):
-    return _top_kernel(handle, n, batches)
+    return rank_top(_over_blocks(tiles, model, latents, partial(_top_kernel, n), _TOP, PLACED), n)
 
 
 def rank_top(acts: DataFrame, n: int) -> DataFrame:
@@ -495,6 +496,74 @@ def encode_sql(tiles: DataFrame, encoder: DataFrame, max_latents: int = 4096) ->
     )
 
 
+# --- (e) monitors and single concepts ------------------------------------------------------
+
+_MONITOR = "n_tiles bigint, nz double, z_sum double, z_sum_sq double, gap double"
+_MONITOR_ARROW = pa.schema(
+    [("n_tiles", pa.int64())] + [(c, pa.float64()) for c in ("nz", "z_sum", "z_sum_sq", "gap")]
+)
+
+
+def _monitor_kernel(handle, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    block: _Block = handle.value
+    n, sums = 0, np.zeros(4)
+    for _, x in _chunks(batches, block):
+        z, _ = block.hits(x)
+        n += len(z)
+        gap = 0.0
+        if z.shape[1] > 1:
+            best = np.partition(z, z.shape[1] - 2, axis=1)[:, -2:]
+            gap = (best[:, 1] - best[:, 0]).sum(dtype=np.float64)
+        sums += [np.count_nonzero(z), z.sum(dtype=np.float64), np.vdot(z, z), gap]
+    if n:
+        yield _batch(_MONITOR_ARROW, [n], *([v] for v in sums))
+
+
+def encode_monitor(tiles: DataFrame, model: LatentModel) -> DataFrame:
+    """Activation monitor from one row per task (G24, fused); nothing per tile is shuffled."""
+    from latentlake.operators.stats import activation_monitor, monitor_ratios
+
+    latent_dim, _ = model.shape()
+    if model.kind == "batch_topk" or _needs_split(model):
+        # the two largest latents of a tile may lie in different blocks
+        return activation_monitor(encode_hits(tiles, model), tiles.agg(F.count("*").alias("n")).scalar(), latent_dim)
+    parts = _over_blocks(tiles, model, None, _monitor_kernel, _MONITOR, ())
+    return monitor_ratios(parts, latent_dim)
+
+
+_CONCEPT = "slide_key string, tile_index bigint, concept_score double"
+
+
+def _concept_kernel(latent: int, k: int, use_margin: bool, handle, batches: Iterator[pa.RecordBatch]):
+    block: _Block = handle.value
+    at = int(np.searchsorted(block.ids, latent))
+    best = None
+    for part, x in _chunks(batches, block):
+        z, _ = block.hits(x)
+        score = z[:, at].astype(np.float64)
+        if use_margin and z.shape[1] > 1:
+            score = score - np.delete(z, at, axis=1).max(axis=1)
+        frame = part.select(list(KEYS)).to_pandas()
+        frame["concept_score"] = score
+        if best is not None:
+            frame = pd.concat([best, frame])
+        best = frame.sort_values(["concept_score", *KEYS], ascending=[False, True, True]).head(k)
+    if best is not None:
+        yield pa.RecordBatch.from_pandas(best, preserve_index=False)
+
+
+def encode_concept(tiles: DataFrame, model: LatentModel, latent: int, k: int, use_margin: bool = True) -> DataFrame:
+    """Best k tiles of one latent, zeros included (H16, fused); a task emits at most k rows."""
+    latent_dim, _ = model.shape()
+    if model.kind == "batch_topk" or _needs_split(model):
+        from latentlake.operators.mining import concept_tiles
+
+        return concept_tiles(encode_hits(tiles, model), latent, k, latent_dim, use_margin, tiles)
+    kernel = partial(_concept_kernel, latent, k, use_margin)
+    scored = _over_blocks(tiles, model, None, kernel, _CONCEPT, KEYS)
+    return scored.orderBy(F.col("concept_score").desc(), *KEYS).limit(k)
+
+
 # --- decode -----------------------------------------------------------------------------
 
 

@@ -32,6 +32,7 @@ def slide_partials(hits: DataFrame) -> DataFrame:
     return hits.groupBy("slide_key", "latent_idx").agg(
         F.max("z").alias("z_max"),
         F.sum("z").alias("z_sum"),
+        F.sum(z * z).alias("z_sum_sq"),
         F.coalesce(F.sum(F.when(z > 0, z)), F.lit(0.0)).alias("pos_sum"),
         F.count_if(z > 0).alias("pos_n"),
         F.count_if(z != 0).alias("nz_n"),
@@ -57,6 +58,23 @@ def latent_stats(hits: DataFrame, n_tiles: Column, latent_dim: int, kind: str =
     )
 
 
+def stats_from_slides(partials: DataFrame, n_tiles: Column, latent_dim: int) -> DataFrame:
+    """Dense latent statistics from per-slide partials, without a second encode pass."""
+    per = partials.groupBy("latent_idx").agg(
+        F.max("z_max").alias("z_max"),
+        F.sum("z_sum").alias("z_sum"),
+        F.sum("z_sum_sq").alias("z_sum_sq"),
+        F.sum("pos_n").alias("nnz"),
+    )
+    dims = partials.sparkSession.range(latent_dim).select(F.col("id").alias("latent_idx"))
+    return dims.join(per, "latent_idx", "left").select(
+        "latent_idx",
+        n_tiles.alias("n_tiles"),
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("z_max", "z_sum", "z_sum_sq")],
+        F.coalesce("nnz", F.lit(0)).alias("nnz"),
+    )
+
+
 def finalize_stats(partials: DataFrame) -> DataFrame:
     """Add mean, population variance (floored at 0) and sparsity."""
     n = F.greatest(F.col("n_tiles"), F.lit(1))
@@ -96,15 +114,24 @@ def activation_monitor(hits: DataFrame, n_tiles: Column, latent_dim: int) -> Dat
     missing = F.least(F.lit(2), F.lit(latent_dim) - F.col("rows")).cast("int")
     best = F.sort_array(F.concat("top", F.array_repeat(F.lit(0.0), missing)), asc=False)
     gap = F.get(best, F.lit(0)) - F.get(best, F.lit(1)) if latent_dim >= 2 else F.lit(0.0)
-    cells = n_tiles * F.lit(float(latent_dim))
-    return per_tile.agg(
-        F.sum("nz").alias("nz"), F.sum("s").alias("s"), F.sum("sq").alias("sq"), F.sum(gap).alias("gap")
-    ).select(
+    parts = per_tile.agg(
+        F.sum("nz").alias("nz"), F.sum("s").alias("z_sum"), F.sum("sq").alias("z_sum_sq"), F.sum(gap).alias("gap")
+    )
+    return monitor_ratios(parts.withColumn("n_tiles", n_tiles), latent_dim)
+
+
+def monitor_ratios(parts: DataFrame, latent_dim: int) -> DataFrame:
+    """Monitor figures from summed partials ``(n_tiles, nz, z_sum, z_sum_sq, gap)``."""
+    total = parts.agg(*[F.sum(c).alias(c) for c in ("n_tiles", "nz", "z_sum", "z_sum_sq", "gap")])
+    n = F.col("n_tiles")
+    cells = n * F.lit(float(latent_dim))
+    mean = F.col("z_sum") / cells
+    return total.select(
         (F.col("nz") / cells).alias("frac_nonzero"),
-        (F.col("nz") / n_tiles).alias("mean_nonzero_per_sample"),
-        (F.col("s") / cells).alias("z_mean"),
-        F.sqrt(F.greatest(F.col("sq") / cells - F.pow(F.col("s") / cells, 2), F.lit(0.0))).alias("z_std"),
-        (F.col("gap") / n_tiles).alias("top1_top2_margin"),
+        (F.col("nz") / n).alias("mean_nonzero_per_sample"),
+        mean.alias("z_mean"),
+        F.sqrt(F.greatest(F.col("z_sum_sq") / cells - mean * mean, F.lit(0.0))).alias("z_std"),
+        (F.col("gap") / n).alias("top1_top2_margin"),
     )
 
 
@@ -121,6 +148,16 @@ def dead_units(hits: DataFrame, n_tiles: Column, latent_dim: int, eps: float = 0
     )
 
 
+def dead_units_from_stats(partials: DataFrame, latent_dim: int, eps: float = 0.0) -> DataFrame:
+    """dead_units() of a dense model from its latent partials: activations equal their magnitude."""
+    mean = F.col("z_sum") / F.greatest("n_tiles", F.lit(1))
+    return partials.agg(
+        (1.0 - F.coalesce(F.count_if(F.col("z_max") > eps), F.lit(0)) / latent_dim).alias("dead_frac"),
+        (F.coalesce(F.sum(mean), F.lit(0.0)) / latent_dim).alias("mean_abs_act_per_latent"),
+        F.coalesce(F.max(mean), F.lit(0.0)).alias("max_abs_act_per_latent"),
+    )
+
+
 def reconstruction_error(recon: DataFrame, latent_dim: int) -> DataFrame:
     """Element-mean squared error and mean |z| over a reconstruct() table."""
     gap = F.zip_with("features", "x_hat", lambda x, y: F.pow(x.cast("double") - y, 2))

@@ -56,18 +56,20 @@ class MineConfig:
     seed: int = 1337
 
 
-def prepare_tiles(tiles: DataFrame, slides: DataFrame, cfg: MineConfig, phase: str, seed: int | None = None) -> DataFrame:
-    """Slides capped per cohort, tiles pooled if asked and capped per slide."""
-    seed = cfg.seed if seed is None else seed
+_PASS2 = 17  # seed distance between the two passes
+
+
+def view_tiles(tiles: DataFrame, slides: DataFrame, cfg: MineConfig) -> DataFrame:
+    """Tiles of the slides (capped per cohort), pooled if asked."""
     if cfg.slides_per_project is not None:
         named = slides.select("slide_key", F.col("cohort").alias("project"))
-        kept = sampling.cap_slides(named, cfg.slides_per_project, seed).select("slide_key")
+        kept = sampling.cap_slides(named, cfg.slides_per_project, cfg.seed).select("slide_key")
         tiles = tiles.join(attach_small(kept), "slide_key", "left_semi")
     elif "split" in slides.columns:
         tiles = tiles.join(attach_small(slides.select("slide_key").distinct()), "slide_key", "left_semi")
     if cfg.magnification == "10x_pool2x2":
         tiles = settle(pooling.pool2x2(tiles, cfg.require_complete))
-    return sampling.cap_tiles(tiles.select("slide_key", "tile_index", "coord_x", "coord_y", "features"), cfg.tiles_per_slide, seed, phase)
+    return tiles.select("slide_key", "tile_index", "coord_x", "coord_y", "features")
 
 
 def _select_all(st: DataFrame, cfg: MineConfig, parents: DataFrame | None) -> DataFrame:
@@ -94,10 +96,11 @@ def latent_statistics(tiles: DataFrame, model: LatentModel) -> DataFrame:
 
 def mine(tiles: DataFrame, slides: DataFrame, model: LatentModel, cfg: MineConfig, parents: DataFrame | None = None) -> Tables:
     """Statistics, selection, diverse top tiles and hierarchy over one slide set."""
-    st = latent_statistics(prepare_tiles(tiles, slides, cfg, "pass1"), model)
+    view = view_tiles(tiles, slides, cfg)
+    st = latent_statistics(sampling.cap_tiles(view, cfg.tiles_per_slide, cfg.seed, "pass1"), model)
     selected = settle(_select_all(st, cfg, parents))
     candidates = mining.overfetch(cfg.topn, cfg.buffer_factor if cfg.per_slide > 0 or cfg.min_px > 0 else 1.0)
-    source = prepare_tiles(tiles, slides, cfg, "pass2", cfg.seed + 17)
+    source = sampling.cap_tiles(view, cfg.tiles_per_slide, cfg.seed + _PASS2, "pass2")
     top = settle(encode.encode_top(source, model, candidates, selection.selected_union(selected)))
     out = {
         "stats": st,
@@ -118,11 +121,12 @@ def representatives_bundle(
 
     All strategies share one encode pass over the union of their latents.
     """
-    st = latent_statistics(prepare_tiles(tiles, slides.where(F.col("split") == selection_split), cfg, "pass1"), model)
+    chosen = view_tiles(tiles, slides.where(F.col("split") == selection_split), cfg)
+    st = latent_statistics(sampling.cap_tiles(chosen, cfg.tiles_per_slide, cfg.seed, "pass1"), model)
     selected = settle(_select_all(st, cfg, parents))
     exported = slides.where(F.col("split") == export_split)
     candidates = mining.overfetch(cfg.topn, cfg.buffer_factor if cfg.per_slide > 0 or cfg.min_px > 0 else 1.0)
-    source = prepare_tiles(tiles, exported, cfg, "pass2", cfg.seed + 17)
+    source = sampling.cap_tiles(view_tiles(tiles, exported, cfg), cfg.tiles_per_slide, cfg.seed + _PASS2, "pass2")
     top = encode.encode_top(source, model, candidates, selection.selected_union(selected))
     top = mining.diversify(top, cfg.topn, cfg.per_slide, cfg.min_px)
     rows = top.join(attach_small(selected.select("latent_strategy", "latent_idx", "latent_group")), "latent_idx")
@@ -166,15 +170,17 @@ def analytics_tables(
     """All analytics tables of one split from a single per-(slide, latent) pass.
 
     Every model kind is read with plain ReLU here. The partials also give the
-    global statistics, so tiles are encoded once more only for the squares.
+    global statistics, so the tiles are encoded exactly once.
     """
     from latentlake.operators.latent_map import latent_map
 
     dense = model.as_dense()
     used = tiles.join(attach_small(slides.select("slide_key").distinct()), "slide_key", "left_semi")
     partials = settle(encode.encode_slide_stats(used, dense))
-    st = settle(stats.finalize_stats(encode.encode_stats(used, dense)))
-    slide_stats = settle(analytics.slide_latent_stats(partials, slides, stats.count_tiles(used), selected))
+    counts = settle(stats.count_tiles(used))
+    total = counts.agg(F.coalesce(F.sum("total_tiles"), F.lit(0)).alias("n")).scalar()
+    st = settle(stats.finalize_stats(stats.stats_from_slides(partials, total, latent_dim)))
+    slide_stats = settle(analytics.slide_latent_stats(partials, slides, counts, selected))
     firing = analytics.firing_slides(partials, slides)
     metrics = analytics.latent_metrics(partials, st, slides, selected, latent_dim)
     out = {
