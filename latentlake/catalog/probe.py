@@ -139,8 +139,11 @@ c AS (SELECT split, count(*) AS n, count_if(y = 1 AND p >= 0.5) AS tp, count_if(
   count_if(y = 0 AND p >= 0.5) AS fp, count_if(y = 1 AND p < 0.5) AS fn FROM p GROUP BY 1),
 a AS (SELECT x.split, avg(CASE WHEN x.p > z.p THEN 1.0 WHEN x.p = z.p THEN 0.5 ELSE 0.0 END) AS auc
   FROM p x JOIN p z ON x.split = z.split AND x.y = 1 AND z.y = 0 GROUP BY 1)
-SELECT split, n, auc, (tp + tn) / n AS acc, (tp / (tp + fn) + tn / (tn + fp)) / 2 AS balanced_acc, 2 * tp / (2 * tp + fp + fn) AS f1,
-  tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, tn / (tn + fp) AS specificity, tn, fp, fn, tp FROM c JOIN a USING (split)""",
+SELECT split, n, coalesce(auc, 'nan') AS auc, (tp + tn) / n AS acc,
+  CASE WHEN tp + fn = 0 THEN tn / (tn + fp) WHEN tn + fp = 0 THEN tp / (tp + fn) ELSE (tp / (tp + fn) + tn / (tn + fp)) / 2 END AS balanced_acc,
+  CASE WHEN tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS precision,
+  CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS recall, CASE WHEN tn + fp = 0 THEN 'nan' ELSE tn / (tn + fp) END AS specificity,
+  tn, fp, fn, tp FROM c LEFT JOIN a USING (split)""",
 )
 def m3(spark, sf):
     preds = fx.doc_names(spark, sf).where("quality >= 0").selectExpr(

@@ -452,19 +452,29 @@ def _batch_topk(tiles: DataFrame, model: LatentModel) -> DataFrame:
     """Groups are single chunks of ``chunk_tiles`` tiles, so no group grows with the data."""
     if _needs_split(model):
         raise ValueError("batch_topk needs the whole encoder in one block; raise block_bytes")
-    from latentlake.operators.sampling import tile_position
-
     (block,) = _blocks(model, None)
     handle = tiles.sparkSession.sparkContext.broadcast(block)
-    chunked = tile_position(tiles).withColumn("chunk", F.floor(F.col("pos") / model.chunk_tiles))
     k = model.k
     return (
-        chunked.select("chunk", *PLACED, "features")
+        _chunked(tiles, model.chunk_tiles)
+        .select("chunk", *PLACED, "features")
         .groupBy("slide_key", "chunk")
         .applyInArrow(lambda table: _batch_topk_kernel(handle, k, table), _TOP)
     )
 
 
+def _chunked(tiles: DataFrame, chunk_tiles: int) -> DataFrame:
+    """Tiles with their chunk number. Unsampled slides number their tiles 0..n-1 already, which
+    a pass over the keys confirms; only sampled ones need positions, and a second shuffle."""
+    from latentlake.operators.sampling import tile_position
+
+    t = F.col("tile_index")
+    shape = tiles.groupBy("slide_key").agg(F.count("*").alias("n"), F.min(t).alias("lo"), F.max(t).alias("hi"))
+    if shape.where("lo <> 0 or hi <> n - 1").isEmpty():
+        return tiles.withColumn("chunk", F.floor(t / chunk_tiles))
+    return tile_position(tiles).withColumn("chunk", F.floor(F.col("pos") / chunk_tiles))
+
+
 def topk(acts: DataFrame, k: int, mode: str = "value", nonneg: bool = False) -> DataFrame:
     """k best latents per tile from a long table (V5); ties go to the lower latent."""
     if nonneg:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from latentlake.functions import ids
 from latentlake.operators.filters import binary_label
+from latentlake.runtime import settle
 
 
 def label_keys(labels: DataFrame, ordinal: str = "ord") -> DataFrame:
@@ -32,7 +33,7 @@ def label_keys(labels: DataFrame, ordinal: str = "ord") -> DataFrame:
 
 def match_labels(slides: DataFrame, labels: DataFrame, ordinal: str = "ord") -> DataFrame:
     """Label and match reason per slide: raw stem, core, slide barcode, then case."""
-    lookup = label_keys(labels, ordinal)
+    lookup = settle(label_keys(labels, ordinal))
     out = slides.withColumn("n", ids.name_ids("path"))
     for kind, field, name in (
         ("raw", "raw", "y_raw"),

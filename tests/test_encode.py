@@ -97,3 +97,12 @@ def test_batch_topk_refuses_a_split_model(spark, sf):
 def test_expression_encode_is_bounded(spark, sf):
     with pytest.raises(ValueError):
         encode.encode_sql(fx.tiles(spark, sf), fx.encoder(spark, sf), max_latents=10)
+
+
+def test_batch_topk_positions_do_not_need_dense_indexes(spark):
+    """Chunks follow the order of tiles, so a gap in tile_index changes nothing."""
+    model = identity_model(spark, kind="batch_topk", k=1, chunk_tiles=2)
+    dense = tiles(spark, TOY[:4])
+    gaps = dense.withColumn("tile_index", F.col("tile_index") * 10 + 3)
+    rows = lambda t: encode.encode_hits(t, model).select("latent_idx", "z", "coord_x").collect()
+    assert sorted(rows(dense)) == sorted(rows(gaps))
