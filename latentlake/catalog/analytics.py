@@ -31,13 +31,18 @@ def partials(spark, sf):
 
 
 def slide_latent(spark, sf):
-    counts = stats.count_tiles(fx.sparse_keys(spark, sf))
-    return settle(analytics.slide_latent_stats(partials(spark, sf), fx.slides(spark, sf), counts, fx.selected(spark, sf)))
+    acts = fx.stored_acts(spark, sf)
+    return _slide_latent(spark, sf, acts, acts, fx.selected(spark, sf, acts))
 
 
-def firing(spark, sf):
+def _slide_latent(spark, sf, acts, hits, chosen):
+    counts = stats.count_tiles(acts.select("slide_key", "tile_index").distinct())
+    return settle(analytics.slide_latent_stats(stats.slide_partials(hits), fx.slides(spark, sf), counts, chosen))
+
+
+def firing(spark, sf, acts=None):
     """Slides in which a latent exceeds 1.2: thins the lake enough for prevalences below one."""
-    strong = stats.slide_partials(fx.acts(spark, sf).where("z > 1.2"))
+    strong = stats.slide_partials((fx.acts(spark, sf) if acts is None else acts).where("z > 1.2"))
     return settle(analytics.firing_slides(strong, fx.slides(spark, sf)))
 
 
@@ -163,7 +168,8 @@ SELECT latent_strategy, latent_idx, latent_group, cohort, slides_in_cohort, slid
   CASE WHEN prevalence_global > 0 THEN slides_with_activation / slides_in_cohort / prevalence_global ELSE 0 END AS enrichment_ratio FROM g""",
 )
 def g9(spark, sf):
-    return analytics.cohort_enrichment(firing(spark, sf), fx.slides(spark, sf), fx.selected(spark, sf))
+    acts = fx.stored_acts(spark, sf)
+    return analytics.cohort_enrichment(firing(spark, sf, acts), fx.slides(spark, sf), fx.selected(spark, sf, acts))
 
 
 # Case labels from `nation`; a second row per case overwrites the first, some values are blank.
@@ -199,14 +205,15 @@ GROUP BY 1, 2, 3, 4""",
 
 
 def strong_slide_latent(spark, sf):
-    strong = stats.slide_partials(fx.acts(spark, sf).where("z > 2.6"))
-    counts = stats.count_tiles(fx.sparse_keys(spark, sf))
-    return settle(analytics.slide_latent_stats(strong, fx.slides(spark, sf), counts, fx.selected(spark, sf)))
+    """Slide rows and selection when only activations above 2.6 count."""
+    acts = fx.stored_acts(spark, sf)
+    chosen = fx.selected(spark, sf, acts)
+    return _slide_latent(spark, sf, acts, acts.where("z > 2.6"), chosen), chosen
 
 
 @query("g11_case_scores", needs="strong_case", d="case_score", sql="SELECT * FROM strong_case")
 def g11(spark, sf):
-    return analytics.case_scores(strong_slide_latent(spark, sf))
+    return analytics.case_scores(strong_slide_latent(spark, sf)[0])
 
 
 @query(
@@ -228,7 +235,8 @@ SELECT *, cases_with_activation / cases_in_label AS prevalence_in_label,
 )
 def g10(spark, sf):
     long = analytics.case_labels(case_labels(spark, sf), ["subtype", "region"], "ord")
-    return analytics.label_enrichment(strong_slide_latent(spark, sf), fx.slides(spark, sf), long, fx.selected(spark, sf))
+    slide_stats, chosen = strong_slide_latent(spark, sf)
+    return analytics.label_enrichment(slide_stats, fx.slides(spark, sf), long, chosen)
 
 
 _HIST = """WITH g AS (SELECT latent_strategy, latent_idx, latent_group, max(slide_max_activation) AS m, count(*) AS n_slides,

@@ -282,21 +282,28 @@ WHERE sel_pos <= 8""",
 )
 
 
-def sparse_stats(spark: SparkSession, sf: str) -> DataFrame:
+def stored_acts(spark: SparkSession, sf: str) -> DataFrame:
+    """The activation table written once, for queries that read it several times."""
+    return settle(acts(spark, sf))
+
+
+def sparse_stats(spark: SparkSession, sf: str, stored: DataFrame | None = None) -> DataFrame:
     from latentlake.operators.stats import finalize_stats, latent_stats
 
-    n = sparse_keys(spark, sf).agg(F.count("*").alias("n")).scalar()
-    stats = finalize_stats(latent_stats(acts(spark, sf), n, SPARSE_LATENTS))
+    keys = sparse_keys(spark, sf) if stored is None else stored.select("slide_key", "tile_index").distinct()
+    hits = acts(spark, sf) if stored is None else stored
+    n = keys.agg(F.count("*").alias("n")).scalar()
+    stats = finalize_stats(latent_stats(hits, n, SPARSE_LATENTS))
     # fixed precision keeps the order of near-equal statistics the same in every engine
     return stats.withColumns({c: F.round(c, 9) for c in ("variance", "sparsity")})
 
 
-def selected(spark: SparkSession, sf: str, n: int = 8) -> DataFrame:
+def selected(spark: SparkSession, sf: str, stored: DataFrame | None = None, n: int = 8) -> DataFrame:
     from functools import reduce
 
     from latentlake.operators.selection import select_latents
 
-    stats = settle(sparse_stats(spark, sf))
+    stats = settle(sparse_stats(spark, sf, stored))
     parts = [
         select_latents(stats, s, n).select(
             F.lit(s).alias("latent_strategy"), "latent_idx", "sel_pos", F.lit("selected").alias("latent_group")

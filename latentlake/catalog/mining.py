@@ -86,7 +86,8 @@ _IN_SELECTED = "latent_idx IN (SELECT latent_idx FROM selected)"
 
 @query("h4_top_tiles", needs="acts selected", d="z", sql=_top_sql("acts", 50, _IN_SELECTED))
 def h4(spark, sf):
-    return mining.top_tiles(fx.acts(spark, sf), fx.selected(spark, sf), 50).select(*_TOP)
+    acts = fx.stored_acts(spark, sf)
+    return mining.top_tiles(acts, fx.selected(spark, sf, acts), 50).select(*_TOP)
 
 
 @query("h4_top_tiles_encoded", needs="dense", d="z", sql=_top_sql("dense", 10))
@@ -115,7 +116,8 @@ def h4_topk(spark, sf):
 SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY latent_idx, slide_key ORDER BY source_rank) <= 2""",
 )
 def h6(spark, sf):
-    top = mining.top_tiles(fx.acts(spark, sf), fx.selected(spark, sf), 300)
+    acts = fx.stored_acts(spark, sf)
+    top = mining.top_tiles(acts, fx.selected(spark, sf, acts), 300)
     return mining.cap_per_slide(top, 2).select(*_TOP)
 
 
@@ -135,7 +137,8 @@ SELECT * FROM (SELECT latent_idx, row_number() OVER (PARTITION BY latent_idx ORD
 
 @query("h7_diversify", needs="acts selected", d="z", sql=_diverse_sql("acts", _IN_SELECTED, 400, 2, 6000, 100))
 def h7(spark, sf):
-    top = mining.top_tiles(fx.acts(spark, sf), fx.selected(spark, sf), mining.overfetch(100, 4.0))
+    acts = fx.stored_acts(spark, sf)
+    top = mining.top_tiles(acts, fx.selected(spark, sf, acts), mining.overfetch(100, 4.0))
     return mining.diversify(top, 100, per_slide=2, min_px=6000).select(*_TOP)
 
 
@@ -159,8 +162,9 @@ RUN = {"run_name": "run1", "stage": "relu", "dataset": "TCGA", "encoder": "uni2"
 
 def support(spark, sf):
     """Support rows of three strategies; the union of their latents is mined once."""
-    chosen = fx.selected(spark, sf)
-    top = mining.top_tiles(fx.acts(spark, sf), chosen, 50)
+    acts = fx.stored_acts(spark, sf)
+    chosen = fx.selected(spark, sf, acts)
+    top = mining.top_tiles(acts, chosen, 50)
     rows = top.join(F.broadcast(chosen.select("latent_strategy", "latent_idx", "latent_group")), "latent_idx")
     return ranking.slide_support_stats(ranking.support_rows(rows, fx.slides(spark, sf), RUN, root="/lake"))
 
