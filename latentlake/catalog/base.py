@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latentlake.catalog.fixtures import VIEWS
+from latentlake.runtime import ship
 
 Builder = Callable[[SparkSession, str], DataFrame]
 _MODULES = ("scans", "scalars", "sampling", "stats", "mining", "analytics", "protos", "registry", "probe", "flows")
@@ -53,6 +54,7 @@ def query(name: str, sql: str | None = None, needs: str = "", d: str = "", digit
 
     def wrap(build: Builder) -> Builder:
         def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship(spark)
             df = build(spark, sf)
             return df.withColumns({c: F.round(F.col(c).cast("double"), digits) + F.lit(0.0) for c in doubles})
 
