@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latentlake.runtime import scratch_path, settle
+from latentlake.runtime import scratch_path, settle, ship
 
-__all__ = ["ORACLES", "QUERIES", "WORD", "fresh", "parts_for", "query", "read", "scratch_path", "settle", "typed", "word_count"]
+__all__ = ["ORACLES", "QUERIES", "WORD", "fresh", "parts_for", "query", "read", "scratch_path", "settle", "ship", "typed", "word_count"]
 
 #: A word, in Java's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,7 +23,11 @@ def query(name: str, sql: str | None = None):
     """Register ``f(spark, sf_dir)`` under ``name``, with DuckDB SQL for the same rows if there is any."""
 
     def wrap(f):
-        QUERIES[name] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return f

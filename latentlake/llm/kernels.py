@@ -121,17 +121,16 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def windows_min(values: np.ndarray, w: int) -> np.ndarray:
-    """Position of the minimum in each window of ``w`` values, rightmost among equals."""
+    """The minimum of each window of ``w`` values; fewer values are one window."""
     n = len(values)
     if n <= w:
-        return np.array([n - 1 - int(np.argmin(values[::-1]))]) if n else np.zeros(0, np.int64)
+        return values.min(keepdims=True) if n else values
     pad = -n % w
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     block = np.concatenate([values, np.full(pad, top, U64)]).reshape(-1, w)
     ahead = np.minimum.accumulate(block, axis=1).ravel()
     back = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(back[: n - w + 1], ahead[w - 1 : n])
-    return least
+    return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
 def rolling(raw: np.ndarray, k: int) -> np.ndarray:

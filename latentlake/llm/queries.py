@@ -1,6 +1,6 @@
 """All queries of the subpackage, registered by importing its operators."""
 
 from .common import ORACLES, QUERIES
-from . import mixing  # noqa: F401
+from . import jaccard, mixing, warc, winnowing  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
