@@ -1,6 +1,6 @@
 """All queries of the subpackage, registered by importing its operators."""
 
+from . import decontam, jaccard, licences, mixing, quality, suffixes, surrogates, tokens, warc, winnowing  # noqa: F401
 from .common import ORACLES, QUERIES
-from . import jaccard, mixing, warc, winnowing  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
