@@ -2,10 +2,11 @@
 
 1. Word frequencies are summed into a fixed table of 65,536 counters. A shingle's place in the global order is the sum of its words' log
    frequencies, then its hash: shingles with rare words come first, and a passage that many documents share comes last.
-2. Each document keeps its set size, a 128-bit fingerprint of its set, a 1,024-bit token bitmap and its prefix: the first
-   ``n - ceil(t * n) + 1`` shingles in that order. Sets that link share a prefix shingle. Equal sets form one class from here on.
-3. Classes that share a prefix shingle are first compared with one pivot per shingle (the class with the least unshared prefix), which joins
-   large groups of near copies with as many comparisons as they have members.
+2. Each document keeps its set size, a 128-bit fingerprint of its set, a token bitmap of four to eight bits an item and its prefix: the first
+   ``n - ceil(t * n) + 1`` shingles in that order. Sets that link share a prefix shingle. Equal sets form one class from here on, and of
+   prefix shingles that the same classes have one is kept.
+3. Classes that share a prefix shingle are first compared with the class whose prefix is shared most and with neighbours in a few random
+   orders. That joins large groups of near copies with a few comparisons per member.
 4. Shingles whose classes still lie in several components get a signature tree: nodes hold OR-combined bitmaps, size ranges and component
    ranges. A dual traversal drops node pairs of one component, of incompatible sizes or with too small a possible overlap. Surviving
    pairs are checked exactly, so no link between different components is missed. A shingle with more than ``CELL`` classes is cut into
@@ -20,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, parts_for, query, read, settle, typed
@@ -29,14 +30,21 @@ from .kernels import LOWER, U64, chunks, mix, shingles, text_bytes, word_bounds,
 
 #: Counters of the word-frequency table: 512 KB, whatever the input.
 COUNTERS = 1 << 16
+#: Bits of a tree node; documents have bitmaps of at least as many.
 BITS = 1024
+WIDEST = 1 << 19
 #: Classes of one shingle that one task compares; more are cut into chunks.
 CELL = 4096
 FAN = 8
+#: Random orders in which neighbours are compared before the trees.
+ORDERS = 4
+#: Classes of a shingle that one task puts in such an order.
+RING = 10_000
 #: Node pairs that a traversal holds at once.
 SLAB = 200_000
 #: Ids up to which a list of documents is broadcast (about 16 MB); beyond, the join shuffles.
 FEW_IDS = 500_000
+FEW_TOKENS = 2_000_000
 
 
 def word_levels(docs: DataFrame) -> np.ndarray:
@@ -86,6 +94,18 @@ def fingerprint(s: np.ndarray) -> bytes:
     return mix(both).tobytes()
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """One bit per item by its low bits; the width is a power of two of at least four bits an item, so wider ones fold onto narrower."""
+    width = min(max(BITS, 1 << (4 * max(len(s), 1) - 1).bit_length()), WIDEST)
+    flags = np.zeros(width, bool)
+    flags[(s & U64(width - 1)).astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8), axis=0)
+
+
 def _profile(levels: np.ndarray, k: int, num: int, den: int):
     def work(batches):
         for b in chunks(batches, "text"):
@@ -95,9 +115,7 @@ def _profile(levels: np.ndarray, k: int, num: int, den: int):
                 n.append(len(s))
                 prints.append(fingerprint(s))
                 prefix.append(s[: len(s) - -(-num * len(s) // den) + 1].astype(np.int64) if len(s) else np.zeros(0, np.int64))
-                flags = np.zeros(BITS, bool)
-                flags[(s & U64(BITS - 1)).astype(np.int64)] = True
-                bits.append(np.packbits(flags).tobytes())
+                bits.append(bitmap(s))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]), pa.int32()), pa.array(np.concatenate([*prefix, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), lists, pa.array(bits, pa.binary())],
@@ -118,15 +136,22 @@ def _sets(levels: np.ndarray, k: int):
     return work
 
 
-def _bit_rows(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, BITS // 8)
-
-
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+def _popcount(bits: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
 
 
-def _popcount(bits: np.ndarray) -> np.ndarray:
-    return _ONES[bits].sum(axis=1, dtype=np.int64)
+def can_link(a: list[bytes], b: list[bytes], n_a: np.ndarray, n_b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether the bitmaps of pairs, folded to the narrower of the two, allow a link."""
+    width = np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
+    ok = np.zeros(len(a), bool)
+    for w in np.unique(width):
+        rows = np.flatnonzero(width == w)
+        for i in range(0, len(rows), max(1, (8 << 20) // int(w))):
+            at = rows[i : i + max(1, (8 << 20) // int(w))]
+            x, y = (np.stack([folded(side[j], int(w)) for j in at]) for side in (a, b))
+            most = possible(x, y, n_a[at] - _popcount(x), n_b[at] - _popcount(y), n_a[at], n_b[at])
+            ok[at] = (num + den) * most >= num * (n_a[at] + n_b[at])
+    return ok
 
 
 def possible(bits_x, bits_y, spare_x, spare_y, max_x, max_y):
@@ -196,15 +221,21 @@ def _traverse(num: int, den: int):
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["cell", "n"], kind="stable")
         fp, names = pd.factorize(pdf["fp"])
-        comp = pd.factorize(pdf["comp"])[0]
-        tree = SignatureTree(pd.factorize(pdf["cell"])[0], pdf["n"].to_numpy(np.int64), comp, _bit_rows(pdf["bits"]))
-        seen = np.zeros(0, np.int64)
+        comp, size = pd.factorize(pdf["comp"])[0], pdf["n"].to_numpy(np.int64)
+        bits = pdf["bits"].tolist()
+        row = np.zeros(len(names), np.int64)
+        row[fp] = np.arange(len(fp))
+        tree = SignatureTree(pd.factorize(pdf["cell"])[0], size, comp, np.stack([folded(x, BITS // 8) for x in bits]))
+        tried, kept, n = np.zeros(0, np.int64), [], len(names)
         for x, y in tree.pairs(num, den):
             a, b = fp[x], fp[y]
             apart = (comp[x] != comp[y]) & (a != b)
-            seen = np.union1d(seen, np.minimum(a, b)[apart] * len(names) + np.maximum(a, b)[apart])
-        names = np.asarray(names, object)
-        return pd.DataFrame({"u": names[seen // max(len(names), 1)], "v": names[seen % max(len(names), 1)]})
+            new = np.setdiff1d(np.minimum(a, b)[apart] * n + np.maximum(a, b)[apart], tried)
+            tried = np.union1d(tried, new)
+            u, v = row[new // n], row[new % n]
+            kept.append(new[can_link([bits[i] for i in u], [bits[i] for i in v], size[u], size[v], num, den)])
+        kept, names = np.concatenate([np.zeros(0, np.int64), *kept]), np.asarray(names, object)
+        return pd.DataFrame({"u": names[kept // max(n, 1)], "v": names[kept % max(n, 1)]})
 
     return work
 
@@ -222,23 +253,37 @@ class _Join:
         self.levels = word_levels(self.docs)
         self.rows = settle(self.docs.mapInArrow(_profile(self.levels, k, num, den), "doc_id long, n long, fp binary, prefix array<long>, bits binary"))
         full = self.rows.where(F.col("n") > 0)
-        self.classes = settle(
-            full.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+        self.classes = settle(full.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
+        # one row per class: the others are the few whose doc_id is not the least of their class
+        other = settle(
+            full.select("doc_id", "fp").join(self.classes.where("copies > 1").select("fp", F.col("doc_id").alias("least")), "fp")
+            .where(~F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("other"), F.col("fp").alias("of"))
         )
-        tokens = self.classes.select("fp", "n", F.explode("prefix").alias("token"))
-        shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
-        cand = tokens.join(shared, "token")
-        #: (token, fp, n) of prefix shingles that at least two classes have
-        self.cand = settle(cand.select("token", "fp", "n"))
-        own = self.cand.groupBy("fp").agg((F.count(F.lit(1)) / F.first(F.col("n"))).alias("score"))
-        self.scored = settle(self.classes.join(own, "fp").select("fp", "n", "bits", F.col("score"), "doc_id"))
-        self.sets = None
+        few = other.count()
+        self.wide = full.join(_few(other, few), F.col("doc_id").eqNullSafe(F.col("other")) & (F.col("fp") == F.col("of")), "left_anti")
+        if full.count() - few > self.classes.count():
+            self.wide = settle(self.wide.dropDuplicates(["fp"]))
+        tokens = self.wide.select("fp", F.explode("prefix").alias("token"))
+        members = [F.count(F.lit(1)).alias("m"), *(F.bit_xor(F.xxhash64("fp", F.lit(i))).alias(f"x{i}") for i in (0, 1))]
+        shared = settle(tokens.groupBy("token").agg(*members).where("m > 1").groupBy("m", "x0", "x1").agg(F.min("token").alias("token")).select("token", "m"))
+        n = shared.count()
+        #: (token, m, fp) of prefix shingles that at least two classes have, one for each set of classes
+        self.cand = settle(tokens.join(F.broadcast(shared) if n <= FEW_TOKENS else shared, "token").select("token", "m", "fp"))
+        own = self.cand.groupBy("fp").agg(F.count(F.lit(1)).alias("score"))
+        own = settle(own)
+        self.scored = settle(self.wide.select("fp", "n", "bits", "doc_id").join(_few(own, own.count()), "fp").select("fp", "n", "bits", "doc_id", (F.col("score") / F.col("n")).alias("score")))
 
     def pivots(self) -> DataFrame:
-        """Pairs of a class and the pivot of one of its shingles: the class whose prefix is shared most."""
-        rows = self.cand.join(self.scored.select("fp", "score"), "fp")
-        best = rows.groupBy("token").agg(F.max(F.struct("score", "fp", "n")).alias("pivot"))
-        pairs = rows.select("token", F.col("fp").alias("u"), F.col("n").alias("n_u")).join(best.select("token", "pivot.fp", F.col("pivot.n").alias("n_v")).withColumnRenamed("fp", "v"), "token")
+        """Pairs to try first: of each shingle's classes the most shared one with the others, and neighbours in random orders."""
+        side = self.scored.select("fp", "n", "score")
+        rows = settle(self.cand.join(_few(side, side.count()), "fp"))
+        best = rows.groupBy("token").agg(F.max(F.struct("score", "fp", "n")).alias("p")).select("token", F.col("p.fp").alias("v"), F.col("p.n").alias("n_v"))
+        pairs = rows.select("token", F.col("fp").alias("u"), F.col("n").alias("n_u")).join(best, "token").select("u", "n_u", "v", "n_v")
+        for i in range(ORDERS):
+            place = F.xxhash64("fp", F.lit(100 + i))
+            ring = Window.partitionBy("token", F.pmod(place, F.ceil(F.col("m") / RING))).orderBy(F.xxhash64("fp", F.lit(200 + i)))
+            following = rows.select(F.col("fp").alias("u"), F.col("n").alias("n_u"), F.lead("fp").over(ring).alias("v"), F.lead("n").over(ring).alias("n_v"))
+            pairs = pairs.union(following.where(F.col("v").isNotNull()))
         fits = (F.least("n_u", "n_v") * self.den >= self.num * F.greatest("n_u", "n_v")) & (F.col("u") != F.col("v"))
         return pairs.where(fits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
@@ -249,12 +294,9 @@ class _Join:
 
         def work(batches):
             for b in batches:
-                if not b.num_rows:
-                    continue
                 n_u, n_v = (b.column(c).to_numpy() for c in ("n_u", "n_v"))
-                x, y = (_bit_rows(b.column(c).to_pylist()) for c in ("b_u", "b_v"))
-                most = possible(x, y, n_u - _popcount(x), n_v - _popcount(y), n_u, n_v)
-                yield b.filter(pa.array((num + den) * most >= num * (n_u + n_v))).select(["u", "v"])
+                x, y = (b.column(c).to_pylist() for c in ("b_u", "b_v"))
+                yield b.filter(pa.array(can_link(x, y, n_u, n_v, num, den), pa.bool_())).select(["u", "v"])
 
         return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(work, "u binary, v binary")
 
@@ -275,19 +317,17 @@ class _Join:
 
     def across(self, comp: DataFrame) -> DataFrame:
         """Candidate pairs of different components, from the signature trees."""
-        rows = self.cand.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", F.coalesce("component", "fp").alias("comp"))
-        mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where(F.col("lo") != F.col("hi"))
-        rows = settle(rows.join(mixed.select("token", "m"), "token"))
+        rows = self.cand.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("token", "m", "fp", F.coalesce("component", "fp").alias("comp"))
+        mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("token")
+        rows = settle(rows.join(mixed, "token").join(self.scored.select("fp", "n", "bits"), "fp"))
         cut = F.ceil(F.col("m") / CELL).cast("int")
         own = F.pmod(F.xxhash64("fp"), cut).cast("int")
         rows = rows.withColumn("cut", cut).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
         cell = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))
-        total = rows.count()
-        parts = parts_for(self.docs.sparkSession, total, 40_000)
-        rows = rows.select("fp", "n", "comp", cell.alias("cell")).join(self.scored.select("fp", "bits"), "fp")
-        return rows.withColumn("part", F.pmod("cell", F.lit(parts))).groupBy("part").applyInPandas(
-            _traverse(self.num, self.den), "u binary, v binary"
-        ).distinct()
+        total = rows.agg(F.sum(F.length("bits") + 100)).first()[0] or 0
+        parts = parts_for(self.docs.sparkSession, total, 12 << 20)
+        rows = rows.select("fp", "n", "comp", cell.alias("cell"), "bits")
+        return rows.withColumn("part", F.pmod("cell", F.lit(parts))).groupBy("part").applyInPandas(_traverse(self.num, self.den), "u binary, v binary").distinct()
 
 
 def shingle_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
