@@ -263,7 +263,7 @@ def _solve(length: int):
             i = j
         if held:
             flush(held)
-        return pd.DataFrame({"pid": [x[0] for x in out], "a": [x[1] for x in out], "b": [x[2] for x in out]})
+        return pd.DataFrame({c: pd.Series([x[i] for x in out], dtype=object) for i, c in enumerate(("pid", "a", "b"))})
 
     return work
 
