@@ -6,8 +6,8 @@
    ``n - ceil(t * n) + 1`` shingles in that order. Sets that link share a prefix shingle. Equal sets form one class from here on, and of
    prefix shingles that the same classes have one is kept.
 3. Classes that share a prefix shingle are first compared with the class whose prefix is shared most and with neighbours in a few random
-   orders. That joins large groups of near copies with a few comparisons per member.
-4. Shingles whose classes still lie in several components get a signature tree: nodes hold OR-combined bitmaps, size ranges and component
+   orders, again for those that are not in one component then. That joins large groups of near copies with a few comparisons per member.
+4. Shingles are split into cells of compatible sizes. Cells whose classes still lie in several components get a signature tree: nodes hold OR-combined bitmaps, size ranges and component
    ranges. A dual traversal drops node pairs of one component, of incompatible sizes or with too small a possible overlap. Surviving
    pairs are checked exactly, so no link between different components is missed. A shingle with more than ``CELL`` classes is cut into
    chunks whose pairs meet in tasks of their own.
@@ -38,6 +38,8 @@ CELL = 4096
 FAN = 8
 #: Random orders in which neighbours are compared before the trees.
 ORDERS = 4
+#: Rounds of such orders among classes that are still apart, and their orders.
+ROUNDS, MORE_ORDERS = 2, 10
 #: Classes of a shingle that one task puts in such an order.
 RING = 10_000
 #: Node pairs that a traversal holds at once.
@@ -279,14 +281,33 @@ class _Join:
         rows = settle(self.cand.join(_few(side, side.count()), "fp"))
         best = rows.groupBy("token").agg(F.max(F.struct("score", "fp", "n")).alias("p")).select("token", F.col("p.fp").alias("v"), F.col("p.n").alias("n_v"))
         pairs = rows.select("token", F.col("fp").alias("u"), F.col("n").alias("n_u")).join(best, "token").select("u", "n_u", "v", "n_v")
-        for i in range(ORDERS):
-            place = F.xxhash64("fp", F.lit(100 + i))
-            ring = Window.partitionBy("token", F.pmod(place, F.ceil(F.col("m") / RING))).orderBy(F.xxhash64("fp", F.lit(200 + i)))
-            following = rows.select(F.col("fp").alias("u"), F.col("n").alias("n_u"), F.lead("fp").over(ring).alias("v"), F.lead("n").over(ring).alias("n_v"))
-            pairs = pairs.union(following.where(F.col("v").isNotNull()))
+        return self.near(pairs.union(self.neighbours(rows, ["token"], 0, ORDERS)))
+
+    def near(self, pairs: DataFrame) -> DataFrame:
         fits = (F.least("n_u", "n_v") * self.den >= self.num * F.greatest("n_u", "n_v")) & (F.col("u") != F.col("v"))
         return pairs.where(fits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
+    def neighbours(self, rows: DataFrame, group: list[str], first: int, orders: int) -> DataFrame:
+        """(u, n_u, v, n_v): neighbours of each group of ``rows`` (fp, n, m, ...) in random orders; large groups are cut at random first."""
+        out = None
+        for i in range(first, first + orders):
+            place = F.pmod(F.xxhash64("fp", F.lit(100 + i)), F.ceil(F.col("m") / RING))
+            ring = Window.partitionBy(*group, place).orderBy(F.xxhash64("fp", F.lit(200 + i)))
+            apart = F.lead("comp").over(ring) != F.col("comp") if "comp" in rows.columns else F.lit(True)
+            part = rows.select(F.col("fp").alias("u"), F.col("n").alias("n_u"), F.lead("fp").over(ring).alias("v"), F.lead("n").over(ring).alias("n_v"), apart.alias("apart"))
+            part = part.where(F.col("v").isNotNull() & F.col("apart")).drop("apart")
+            out = part if out is None else out.union(part)
+        return out
+
+    def cells(self, comp: DataFrame) -> DataFrame:
+        """(token, m, fp, n, comp, size_class) of the cells whose classes lie in several components. Linked sizes are in one class or neighbours."""
+        side = self.scored.select("fp", "n")
+        rows = self.cand.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("component", "fp")).join(_few(side, side.count()), "fp")
+        own = F.floor(F.log(F.col("n").cast("double")) / float(np.log(self.den / self.num)) - 1e-6).cast("int")
+        rows = rows.select("token", "m", "fp", "n", "comp", F.explode(F.array(own, own + 1)).alias("size_class"))
+        mixed = rows.groupBy("token", "size_class").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("token", "size_class")
+        return settle(rows.join(mixed, ["token", "size_class"]))
+
     def bounded(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose bitmaps allow a link."""
         side = lambda c: self.scored.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"b_{c}"))
@@ -317,13 +338,11 @@ class _Join:
 
     def across(self, comp: DataFrame) -> DataFrame:
         """Candidate pairs of different components, from the signature trees."""
-        rows = self.cand.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("token", "m", "fp", F.coalesce("component", "fp").alias("comp"))
-        mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("token")
-        rows = settle(rows.join(mixed, "token").join(self.scored.select("fp", "n", "bits"), "fp"))
+        rows = settle(self.cells(comp).join(self.scored.select("fp", "bits"), "fp"))
         cut = F.ceil(F.col("m") / CELL).cast("int")
         own = F.pmod(F.xxhash64("fp"), cut).cast("int")
         rows = rows.withColumn("cut", cut).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-        cell = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))
+        cell = F.xxhash64("token", "size_class", F.least("own", "other"), F.greatest("own", "other"))
         total = rows.agg(F.sum(F.length("bits") + 100)).first()[0] or 0
         parts = parts_for(self.docs.sparkSession, total, 12 << 20)
         rows = rows.select("fp", "n", "comp", cell.alias("cell"), "bits")
@@ -333,9 +352,12 @@ class _Join:
 def shingle_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text): sets link when ``den`` x overlap >= ``num`` x union."""
     j = _Join(docs, k, num, den)
-    first = j.linked(j.bounded(j.pivots()))
-    rest = j.linked(j.across(components(first)))
-    comp = components(first.union(rest))
+    links = j.linked(j.bounded(j.pivots()))
+    for i in range(ROUNDS):
+        tried = j.neighbours(j.cells(components(links)), ["token", "size_class"], 1000 * (i + 1), MORE_ORDERS)
+        links = links.union(j.linked(j.bounded(j.near(tried))))
+    links = links.union(j.linked(j.across(components(links))))
+    comp = components(links)
     of = j.classes.select("fp", "doc_id", "copies").join(comp.withColumnRenamed("node", "fp"), "fp", "left")
     of = settle(of.withColumn("component", F.coalesce("component", "fp")))
     least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("members")).where(F.col("members") > 1)
