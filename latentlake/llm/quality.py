@@ -2,9 +2,9 @@
 
 1. Overlapping heuristic labellers vote on each document: good, bad or no vote. Annotations, where there are any, are one more labeller.
 2. Expectation-maximisation over the counts of all vote patterns (of all documents) estimates the class share and, for each labeller, how it
-   votes on good and on bad documents. The posterior of its pattern is a document's label.
-3. The posteriors of a bounded sample (``SAMPLE`` documents, lowest hashes first) train a linear scorer on hashed words and hashed buckets of the
-   labellers' measurements: shards run an epoch each, their weights are averaged, and so on for some rounds.
+   votes on good and on bad documents when it votes. The posterior of its pattern is a document's label; without a vote it has none.
+3. The posteriors of a bounded sample (``SAMPLE`` documents, annotated ones first, then lowest hashes) train a linear scorer on hashed words and
+   hashed buckets of the labellers' measurements: shards run an epoch each, their weights are averaged, and so on for some rounds.
 4. The scorer decides on every document. There are two heads of this kind: quality and toxicity. A document stays if it is of good quality
    and not toxic.
 
@@ -25,9 +25,9 @@ from .common import fresh, query, read, settle, typed
 from .kernels import LOWER, U64, chunks, mix, shingles, text_bytes, word_bounds, word_hashes
 
 #: Documents that train the scorer, at most; everything else is computed over all.
-SAMPLE = 20_000
+SAMPLE = 30_000
 BUCKETS = 1 << 20
-SHARDS, ROUNDS = 8, 5
+SHARDS, ROUNDS = 8, 8
 #: Documents of the sample that must have a word before it gets a weight.
 LEAST_DOCUMENTS = 5
 FEW_IDS = 500_000
@@ -111,15 +111,19 @@ class Measured:
         self.measures["sentences"][self.count < 30] = np.nan
         self.measures["top_word"][self.count < 30] = np.nan
 
+    def insults(self) -> np.ndarray:
+        """Different insults in each document."""
+        found = np.isin(self.pairs & U64((1 << 44) - 1), insult_values())
+        return np.bincount((self.pairs[found] >> U64(44)).astype(np.int64), minlength=len(self.count))
+
     def votes(self) -> np.ndarray:
         """Documents x labellers: 0 bad, 1 none, 2 good; the last two vote on toxicity: 0 toxic, 1 none, 2 not."""
         out = []
         for name, bad, good in VOTERS:
             x = self.measures[name]
             out.append(np.where(np.isnan(x), 1, np.where(bad(np.nan_to_num(x)), 0, np.where(good(np.nan_to_num(x)), 2, 1))))
-        insults = np.isin((self.pairs & U64((1 << 44) - 1)), insult_values())
-        kinds = np.bincount((self.pairs[insults] >> U64(44)).astype(np.int64), minlength=len(self.count))
-        out.append(np.where(self.count == 0, 1, np.where(kinds > 0, 0, 2)))
+        kinds = self.insults()
+        out.append(np.where(kinds > 0, 0, 1))
         out.append(np.where(kinds > 1, 0, 1))
         return np.stack(out, axis=1).astype(np.int8)
 
@@ -127,9 +131,9 @@ class Measured:
         """(document, bucket) of each present feature, in document order."""
         doc = [(self.pairs >> U64(44)).astype(np.int64)]
         bucket = [(self.pairs & U64(BUCKETS - 1)).astype(np.int64)]
-        for i, name in enumerate(MEASURES):
-            x = self.measures[name]
-            code = np.where(np.isnan(x), 15, np.digitize(np.nan_to_num(x), EDGES[name]))
+        coded = [np.where(np.isnan(self.measures[k]), 15, np.digitize(np.nan_to_num(self.measures[k]), EDGES[k])) for k in MEASURES]
+        for i, code in enumerate([*coded, np.minimum(self.insults(), 3)]):
+            x = code
             doc.append(np.arange(len(x)))
             bucket.append((mix(code.astype(U64) + U64(1000 * (i + 1))) & U64(BUCKETS - 1)).astype(np.int64))
         doc, bucket = np.concatenate(doc), np.concatenate(bucket)
@@ -159,26 +163,28 @@ def vote_table(docs: DataFrame) -> DataFrame:
 
 
 def label_model(patterns: np.ndarray, counts: np.ndarray, steps: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
-    """(share of good, per class and labeller the chances of the three votes, posterior of good per pattern) by expectation-maximisation.
+    """(share of good, per labeller its chance to vote good on bad and on good documents when it votes, posterior of good per pattern).
 
-    ``patterns``: distinct vote patterns (0 bad, 1 none, 2 good). Starts from the majority; the classes are named by the starting labels.
+    Expectation-maximisation over distinct vote patterns (0 bad, 1 none, 2 good), from the majority of the votes; patterns without a vote do not
+    count and have no posterior. A labeller is taken to be right more often than not.
     """
-    onehot = np.eye(3)[patterns]  # pattern x labeller x vote
-    lean = (patterns == 2).sum(axis=1) - (patterns == 0).sum(axis=1)
-    post = np.where(lean > 0, 0.9, np.where(lean < 0, 0.1, 0.5)).astype(float)
-    share, chance = 0.5, np.full((2, patterns.shape[1], 3), 1 / 3)
+    good, bad = (patterns == 2).astype(float), (patterns == 0).astype(float)
+    voted = (good + bad).sum(axis=1) > 0
+    weight = counts * voted
+    post = np.clip(0.5 + 0.4 * np.sign((good - bad).sum(axis=1)), 0.1, 0.9)
+    share, says_good = 0.5, np.full((2, patterns.shape[1]), 0.5)
     for _ in range(steps):
-        weight = np.stack([(1 - post) * counts, post * counts])
-        share = float((weight[1].sum() + 1) / (counts.sum() + 2))
-        chance = np.einsum("cp,plv->clv", weight, onehot) + 0.5
-        chance /= chance.sum(axis=2, keepdims=True)
-        like = np.einsum("plv,clv->cp", onehot, np.log(chance)) + np.log([[1 - share], [share]])
-        new = 1 / (1 + np.exp(np.clip(like[0] - like[1], -50, 50)))
+        each = np.stack([(1 - post) * weight, post * weight])
+        share = float((each[1].sum() + 1) / (weight.sum() + 2))
+        says_good = (each @ good + [[0.1], [0.9]]) / (each @ (good + bad) + 1)
+        says_good = np.clip(says_good, [[0.001], [0.5]], [[0.5], [0.999]])
+        odds = good @ np.log(says_good[1] / says_good[0]) + bad @ np.log((1 - says_good[1]) / (1 - says_good[0])) + np.log(share / (1 - share))
+        new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         if np.abs(new - post).max() < 1e-9:
             post = new
             break
         post = new
-    return share, chance, post
+    return share, says_good, np.where(voted, post, np.nan)
 
 
 def _posteriors(votes: DataFrame, head: str) -> dict[str, float]:
@@ -187,7 +193,8 @@ def _posteriors(votes: DataFrame, head: str) -> dict[str, float]:
     if not len(found):
         return {}
     patterns = np.array([[int(c) for c in p] for p in found[f"p_{head}"]])
-    return dict(zip(found[f"p_{head}"], label_model(patterns, found["count"].to_numpy(float))[2].tolist(), strict=True))
+    post = label_model(patterns, found["count"].to_numpy(float))[2]
+    return {p: x for p, x in zip(found[f"p_{head}"], post.tolist(), strict=True) if x == x}
 
 
 def _sample_features(docs: DataFrame) -> DataFrame:
@@ -211,11 +218,11 @@ def _epoch(weights: np.ndarray, bias: np.ndarray, rate: float, decay: float, mas
         for items, y0, y1 in zip(pdf["items"], pdf["y_quality"], pdf["y_toxic"], strict=True):
             x = items[mask[items]]
             z = w[:, x].sum(axis=1) + b
-            g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - (y0, y1)
+            g = np.nan_to_num(1 / (1 + np.exp(-np.clip(z, -30, 30))) - (y0, y1))  # no label, no step
             step = g[:, None] + decay * w[:, x]
             seen[:, x] += step * step
             w[:, x] -= rate * step / np.sqrt(seen[:, x] + 1.0)
-            b -= 0.05 * g
+            b -= 0.3 * rate * g
         at = np.flatnonzero((w != weights).any(axis=0)).astype(np.int32)
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "at": [at.tobytes()], "w": [w[:, at].astype(np.float32).tobytes()], "b": [b.astype(np.float64).tobytes()]})
 
@@ -241,7 +248,7 @@ def train(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     mask = seen >= LEAST_DOCUMENTS
     weights, bias = np.zeros((2, BUCKETS), np.float32), np.zeros(2)
     for i in range(ROUNDS):
-        parts = rows.groupBy("shard").applyInPandas(_epoch(weights, bias, 0.3 / (1 + i), 1e-4, mask), "shard int, at binary, w binary, b binary").collect()
+        parts = rows.groupBy("shard").applyInPandas(_epoch(weights, bias, 0.4 / (1 + i), 1e-4, mask), "shard int, at binary, w binary, b binary").collect()
         if not parts:
             break
         change, db, touched = np.zeros(weights.shape), np.zeros(2), np.zeros(BUCKETS)
@@ -271,11 +278,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame | None = None, sample: int
             F.concat(F.substring("votes", n + 1, 2), F.when(F.col("toxic") > 0, "0").when(F.col("toxic") <= 0, "2").otherwise("1")).alias("p_toxic"),
         )
     )
-    picked = votes.orderBy(F.xxhash64(F.lit(3), F.col("doc_id")), "doc_id").limit(sample)
+    annotated = F.substring("p_quality", n + 1, 1).isin("0", "2") | F.substring("p_toxic", 3, 1).isin("0", "2")
+    picked = votes.orderBy(annotated.desc(), F.xxhash64(F.lit(3), F.col("doc_id")), "doc_id").limit(sample)
     for head in HEADS:
         table = _posteriors(votes, head)
         pairs = [F.lit(x) for p in table.items() for x in p]
-        value = F.create_map(*pairs)[F.col(f"p_{head}")] if pairs else F.lit(0.5)
+        value = F.try_element_at(F.create_map(*pairs), F.col(f"p_{head}")) if pairs else F.lit(None).cast("double")
         picked = picked.withColumn(f"y_{head}", value if head == "quality" else 1 - value)
     chosen = settle(picked.groupBy(F.col("doc_id").alias("chosen")).agg(F.avg("y_quality").alias("y_quality"), F.avg("y_toxic").alias("y_toxic")))
     texts = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).select("doc_id", "text", "y_quality", "y_toxic")  # SAMPLE rows at most
