@@ -41,8 +41,9 @@ def _slide_latent(spark, sf, acts, hits, chosen):
 
 
 def firing(spark, sf, acts=None):
-    """Slides in which a latent exceeds 1.2: thins the lake enough for prevalences below one."""
-    strong = stats.slide_partials((fx.acts(spark, sf) if acts is None else acts).where("z > 1.2"))
+    """Activations less 1.2, so that prevalences lie below one; every row goes in and the operators' own rule (positive) decides."""
+    shifted = (fx.acts(spark, sf) if acts is None else acts).withColumn("z", F.col("z") - 1.2)
+    strong = stats.slide_partials(shifted)
     return settle(analytics.firing_slides(strong, fx.slides(spark, sf)))
 
 
@@ -176,19 +177,19 @@ def g9(spark, sf):
 VIEWS["case_labels"] = (
     "",
     """
-SELECT 'K' || n_nationkey AS case_id, CASE WHEN n_nationkey % 7 = 0 THEN '' ELSE 'L' || (n_nationkey % 3) END AS subtype,
-  'R' || n_regionkey AS region FROM nation WHERE n_regionkey <> 4""",
+SELECT 'K' || n_nationkey AS case_id, CASE WHEN n_nationkey % 7 = 0 OR n_regionkey = 4 THEN '' ELSE 'L' || (n_nationkey % 3) END AS subtype,
+  CASE WHEN n_regionkey = 4 THEN '' ELSE 'R' || n_regionkey END AS region FROM nation""",
 )
 
 
 def case_labels(spark, sf):
-    rows = spark.read.parquet(f"{sf}/nation.parquet").where("n_regionkey <> 4").select(
+    rows = spark.read.parquet(f"{sf}/nation.parquet").select(
         "n_nationkey", "n_regionkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn")
     )
     return rows.selectExpr(
         "concat('k', n_nationkey) as case_id",
-        "case when turn = 0 then 'old' when n_nationkey % 7 = 0 then '' else concat('L', n_nationkey % 3) end as subtype",
-        "if(turn = 0, 'old', concat('R', n_regionkey)) as region",
+        "case when turn = 0 then 'old' when n_nationkey % 7 = 0 or n_regionkey = 4 then '' else concat('L', n_nationkey % 3) end as subtype",
+        "case when turn = 0 then 'old' when n_regionkey = 4 then '' else concat('R', n_regionkey) end as region",
         "n_nationkey * 2 + turn as ord",
     )
 
@@ -197,18 +198,18 @@ VIEWS["strong_case"] = (
     "acts slides selected",
     """
 SELECT s.latent_strategy, s.latent_idx, s.latent_group, d.case_id,
-  coalesce(max(a.z), 0) AS case_score, CASE WHEN coalesce(max(a.z), 0) > 0 THEN 1 ELSE 0 END AS fires
+  greatest(coalesce(max(a.z - 2.6), 0), 0) AS case_score, CASE WHEN max(a.z) > 2.6 THEN 1 ELSE 0 END AS fires
 FROM slides d CROSS JOIN selected s
-LEFT JOIN (SELECT * FROM acts WHERE z > 2.6) a ON a.slide_key = d.slide_key AND a.latent_idx = s.latent_idx
+LEFT JOIN acts a ON a.slide_key = d.slide_key AND a.latent_idx = s.latent_idx
 GROUP BY 1, 2, 3, 4""",
 )
 
 
 def strong_slide_latent(spark, sf):
-    """Slide rows and selection when only activations above 2.6 count."""
+    """Slide rows and selection over activations less 2.6; every row goes in."""
     acts = fx.stored_acts(spark, sf)
     chosen = fx.selected(spark, sf, acts)
-    return _slide_latent(spark, sf, acts, acts.where("z > 2.6"), chosen), chosen
+    return _slide_latent(spark, sf, acts, acts.withColumn("z", F.col("z") - 2.6), chosen), chosen
 
 
 @query("g11_case_scores", needs="strong_case", d="case_score", sql="SELECT * FROM strong_case")

@@ -369,6 +369,7 @@ SELECT doc_id * 2 + copy AS ord, source, barcode AS slide_id, barcode || '.svs'
 FROM doc_names CROSS JOIN (SELECT 0 AS copy UNION ALL SELECT 1)
 WHERE source <> 'src3' AND (copy = 0 OR (cohort = 'FR' AND quality = 0))""",
 )
+VIEWS["full_slide_list"] = ("doc_names", VIEWS["slide_list"][1].replace("source <> 'src3' AND ", ""))
 VIEWS["feature_list"] = (
     "doc_names",
     """
@@ -384,8 +385,13 @@ FROM (
 
 
 def slide_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Without one source, whose slides the registry then reports as missing."""
+    return full_slide_list(spark, sf).where("source <> 'src3'")
+
+
+def full_slide_list(spark: SparkSession, sf: str) -> DataFrame:
     copies = F.explode(F.expr("if(cohort = 'FR' and quality = 0, array(0, 1), array(0))")).alias("copy")
-    return doc_names(spark, sf).where("source <> 'src3'").select("*", copies).selectExpr(
+    return doc_names(spark, sf).select("*", copies).selectExpr(
         "doc_id * 2 + copy as ord", "source",
         "barcode as slide_id",
         "concat(barcode, '.svs') as slide_filename",

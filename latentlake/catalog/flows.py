@@ -14,6 +14,7 @@ from latentlake.catalog.fixtures import VIEWS
 from latentlake.catalog.mining import RUN
 from latentlake.catalog.mining import _diverse_sql
 from latentlake.catalog.probe import dense_probe_inputs
+from latentlake.catalog.stats import _damaged
 from latentlake.operators import encode
 from latentlake.plans import workflows
 
@@ -74,6 +75,33 @@ def p1_selected(spark, sf):
     return workflows.mine(tiles, slides, model, CFG, parents)["selected"].select("latent_strategy", "sel_pos", "latent_idx", "latent_group")
 
 
+_GOOD = "CAST(substr(slide_key, 2) AS BIGINT) % 8 NOT IN (1, 3, 5)"
+VIEWS["sel_good"] = ("pre parents", _selected_view(_GOOD))
+VIEWS["top_good"] = (
+    "dense sel_good",
+    _diverse_sql("dense", f"{_GOOD} AND latent_idx IN (SELECT latent_idx FROM sel_good)", 40, 2, 300, 10),
+)
+
+
+@query("p1_mine_damaged", needs="top_good", d="z", sql="SELECT * FROM top_good")
+def p1_damaged(spark, sf):
+    """Slides with null, short or non-finite vectors are left out; the rest is mined."""
+    _, slides, model, parents = _inputs(spark, sf)
+    return workflows.mine(_damaged(spark, sf, copies=False), slides, model, CFG, parents)["top_tiles"].select(*_TOP)
+
+
+@query(
+    "p1_reject_counts",
+    needs="tiles",
+    sql="""SELECT CASE CAST(substr(slide_key, 2) AS BIGINT) % 8 WHEN 1 THEN 'null_features' WHEN 3 THEN 'bad_feature_shape' ELSE 'non_finite_value' END AS reason,
+  count(DISTINCT slide_key) AS slides FROM tiles WHERE CAST(substr(slide_key, 2) AS BIGINT) % 8 IN (1, 3, 5) GROUP BY 1""",
+)
+def p1_rejects(spark, sf):
+    _, slides, model, _ = _inputs(spark, sf)
+    rejected = workflows.view_tiles(_damaged(spark, sf, copies=False), slides, CFG, model.shape()[1])[1]
+    return rejected.groupBy("reason").agg(F.count("*").alias("slides"))
+
+
 VIEWS["flow_support"] = (
     "top_export sel_train parents dense_slides",
     """

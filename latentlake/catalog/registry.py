@@ -47,12 +47,12 @@ def j3(spark, sf):
 
 @query(
     "j4_ambiguous_slides",
-    needs="slide_list",
+    needs="full_slide_list",
     sql="""SELECT slide_id, count(*) AS candidate_count, coalesce(string_agg(nullif(wsi_path, ''), '|' ORDER BY ord), '') AS candidate_paths
-FROM slide_list GROUP BY 1 HAVING count(*) > 1""",
+FROM full_slide_list GROUP BY 1 HAVING count(*) > 1""",
 )
 def j4(spark, sf):
-    return registry.registry(*_tables(spark, sf))[3]
+    return registry.registry(registry.load_slides(fx.full_slide_list(spark, sf)), registry.load_features(fx.feature_list(spark, sf)))[3]
 
 
 @query(
@@ -91,13 +91,13 @@ def j6(spark, sf):
 
 @query(
     "j7_load_slides",
-    needs="slide_list",
+    needs="full_slide_list",
     sql="""SELECT slide_id, slide_filename, slide_id[1:12] AS case_id, 'PROJ' AS dataset, cohort, wsi_path,
-  CASE WHEN wsi_path = '' THEN '' ELSE '.svs' END AS wsi_ext FROM slide_list""",
+  CASE WHEN wsi_path = '' THEN '' ELSE '.svs' END AS wsi_ext FROM full_slide_list""",
 )
 def j7_slides(spark, sf):
     """Rows without case and dataset columns get defaults; half the ids come from the file name."""
-    raw = fx.slide_list(spark, sf).drop("case_id", "dataset").withColumn("slide_id", F.expr("if(ord % 4 = 0, '', lower(slide_id))"))
+    raw = fx.full_slide_list(spark, sf).drop("case_id", "dataset").withColumn("slide_id", F.expr("if(ord % 4 = 0, '', lower(slide_id))"))
     return registry.load_slides(raw, "proj").drop("ord")
 
 

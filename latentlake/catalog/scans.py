@@ -128,34 +128,34 @@ _SLIDE_LIST_COLUMNS = ["slide_id", "slide_filename", "case_id", "dataset", "coho
 
 @query(
     "a7_csv_scan",
-    needs="slide_list",
-    sql="SELECT slide_id, slide_filename, case_id, dataset, cohort, wsi_path, '' AS note FROM slide_list",
+    needs="full_slide_list",
+    sql="SELECT slide_id, slide_filename, case_id, dataset, cohort, wsi_path, '' AS note FROM full_slide_list",
 )
 def a7(spark, sf):
     path = scratch_path(spark, "csv")
-    fx.slide_list(spark, sf).select(*_SLIDE_LIST_COLUMNS).write.option("header", True).csv(path)
+    fx.full_slide_list(spark, sf).select(*_SLIDE_LIST_COLUMNS).write.option("header", True).csv(path)
     return readers.read_csv_table(spark, path, [*_SLIDE_LIST_COLUMNS, "note"])
 
 
 @query(
     "a8_csv_sink",
-    needs="slide_list",
-    sql="SELECT wsi_path, slide_id, '' AS wsi_ext, cohort FROM slide_list",
+    needs="full_slide_list",
+    sql="SELECT wsi_path, slide_id, '' AS wsi_ext, cohort FROM full_slide_list",
 )
 def a8(spark, sf):
     path, columns = scratch_path(spark, "csv"), ["wsi_path", "slide_id", "wsi_ext", "cohort"]
-    writers.write_csv(fx.slide_list(spark, sf), path, columns)
+    writers.write_csv(fx.full_slide_list(spark, sf), path, columns)
     return readers.read_csv_table(spark, path, columns)
 
 
 @query(
     "a9_json_sink",
-    needs="slide_list",
-    sql="SELECT count(*) AS slides, count(DISTINCT slide_id) AS ids, max(slide_id) AS last_id FROM slide_list",
+    needs="full_slide_list",
+    sql="SELECT count(*) AS slides, count(DISTINCT slide_id) AS ids, max(slide_id) AS last_id FROM full_slide_list",
 )
 def a9(spark, sf):
     path = scratch_path(spark, "doc")
-    summary = fx.slide_list(spark, sf).agg(
+    summary = fx.full_slide_list(spark, sf).agg(
         F.count("*").alias("slides"), F.count_distinct("slide_id").alias("ids"), F.max("slide_id").alias("last_id")
     )
     writers.write_json_doc(summary, path)
@@ -290,9 +290,9 @@ def c4(spark, sf):
     return out.select("slide_key", "tile_index", "latent_idx", "z")
 
 
-@query("c5_debug_limit", needs="slide_list", sql="SELECT slide_id, ord FROM slide_list ORDER BY ord LIMIT 25")
+@query("c5_debug_limit", needs="full_slide_list", sql="SELECT slide_id, ord FROM full_slide_list ORDER BY ord LIMIT 25")
 def c5(spark, sf):
-    return filters.head(fx.slide_list(spark, sf), 25, "ord").select("slide_id", "ord")
+    return filters.head(fx.full_slide_list(spark, sf), 25, "ord").select("slide_id", "ord")
 
 
 @query("c6_first_n", needs="acts", d="z", sql=_TOP5.replace("<= 5", "<= 3"))

@@ -16,6 +16,10 @@ def _count(df):
 
 
 _G1 = "latent_idx, n_tiles, z_max, z_sum, z_sum_sq, nnz"
+_G1_TOPK = """WITH h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slide_key, tile_index ORDER BY abs(a) DESC, latent_idx) AS rn
+  FROM pre) WHERE rn <= 3)
+SELECT u.latent_idx, n AS n_tiles, max(a) AS z_max, coalesce(sum(a), 0) AS z_sum, coalesce(sum(a * a), 0) AS z_sum_sq, count(a) AS nnz
+FROM (SELECT DISTINCT latent_idx FROM pre) u CROSS JOIN dense_n LEFT JOIN h ON h.latent_idx = u.latent_idx GROUP BY u.latent_idx, n"""
 
 
 @query("g1_latent_stats", needs="dense_stats", d="z_max z_sum z_sum_sq", sql=f"SELECT {_G1} FROM dense_stats")
@@ -32,14 +36,16 @@ def g1_blocked(spark, sf):
     "g1_latent_stats_topk",
     needs="pre dense_n",
     d="z_max z_sum z_sum_sq",
-    sql="""WITH h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slide_key, tile_index ORDER BY abs(a) DESC, latent_idx) AS rn
-  FROM pre) WHERE rn <= 3)
-SELECT latent_idx, n AS n_tiles, max(a) AS z_max, sum(a) AS z_sum, sum(a * a) AS z_sum_sq, count(*) AS nnz
-FROM h CROSS JOIN dense_n GROUP BY latent_idx, n""",
+    sql=_G1_TOPK,
 )
 def g1_topk(spark, sf):
-    out = encode.encode_stats(fx.tiles(spark, sf), fx.model(spark, sf, kind="topk", k=3, mode="magnitude"))
-    return out.where("nnz > 0")
+    return encode.encode_stats(fx.tiles(spark, sf), fx.model(spark, sf, kind="topk", k=3, mode="magnitude"))
+
+
+@query("g1_latent_stats_topk_blocked", d="z_max z_sum z_sum_sq", needs="pre dense_n", sql=_G1_TOPK)
+def g1_topk_blocked(spark, sf):
+    """The same when the encoder comes in blocks of ten latents: the same rows, never-hit latents included."""
+    return encode.encode_stats(fx.tiles(spark, sf), fx.model(spark, sf, kind="topk", k=3, mode="magnitude", block_bytes=64 * 8 * 10))
 
 
 @query("g1_latent_stats_table", needs="sparse_stats", d="z_max z_sum z_sum_sq", sql=f"SELECT {_G1} FROM sparse_stats")
@@ -204,15 +210,15 @@ def g29(spark, sf):
     return out.select("parent", "child_count", F.concat_ws("|", "selected_children").alias("selected_children"))
 
 
-def _damaged(spark, sf):
-    """Tiles with some null, short, non-finite and duplicated rows."""
+def _damaged(spark, sf, copies=True):
+    """Tiles with some null, short, non-finite and, with ``copies``, duplicated rows."""
     tiles = fx.tiles(spark, sf).withColumn("sn", F.expr("cast(substr(slide_key, 2) as bigint)"))
     features = F.expr(
         "case when sn % 8 = 1 and tile_index = 4 then null when sn % 8 = 3 and tile_index = 5 then slice(features, 1, 10) "
         "when sn % 8 = 5 and tile_index = 6 then transform(features, x -> float('NaN')) else features end"
     )
     tiles = tiles.withColumn("features", features)
-    return tiles.withColumn("tile_index", F.expr("if(sn % 8 = 6 and tile_index = 9, 8, tile_index)"))
+    return tiles if not copies else tiles.withColumn("tile_index", F.expr("if(sn % 8 = 6 and tile_index = 9, 8, tile_index)"))
 
 
 _HEALTH = """WITH s AS (SELECT DISTINCT encoder, cohort, slide_key, CAST(substr(slide_key, 2) AS BIGINT) % 8 AS r FROM tiles),

@@ -8,6 +8,7 @@ task, which then emits only partial aggregates, top candidates or hits.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import partial, reduce
@@ -24,6 +25,8 @@ from latentlake.runtime import MODEL_BLOCK_BYTES
 
 #: Bytes of one activation chunk inside a task.
 CHUNK_BYTES = 32 << 20
+#: Bytes of open slides in the per-slide kernel.
+OPEN_BYTES = 64 << 20
 KEYS = ("slide_key", "tile_index")
 PLACED = ("slide_key", "tile_index", "coord_x", "coord_y")
 
@@ -219,10 +222,7 @@ def encode_stats(tiles: DataFrame, model: LatentModel) -> DataFrame:
     whatever the number of tiles.
     """
     if model.kind == "topk" and _needs_split(model) or model.kind == "batch_topk":
-        hits = encode_hits(tiles, model)
-        from latentlake.operators.stats import latent_partials
-
-        return latent_partials(hits, tiles.agg(F.count("*").alias("n")).scalar())
+        return _stats_of_hits(tiles, model)
     return (
         _over_blocks(tiles, model, None, _stats_kernel, _STATS, ())
         .groupBy("latent_idx")
@@ -236,6 +236,18 @@ def encode_stats(tiles: DataFrame, model: LatentModel) -> DataFrame:
     )
 
 
+def _stats_of_hits(tiles: DataFrame, model: LatentModel) -> DataFrame:
+    """The same rows from hits: latents that no tile hits keep a row with a null maximum, as in the fused pass."""
+    from latentlake.operators.stats import latent_partials
+
+    n_tiles = tiles.agg(F.count("*").alias("n")).scalar()
+    seen = latent_partials(encode_hits(tiles, model), n_tiles).drop("n_tiles")
+    every = model.encoder.select("latent_idx").withColumn("n_tiles", n_tiles).where("n_tiles > 0")
+    return every.join(seen, "latent_idx", "left").select(
+        "latent_idx", "n_tiles", "z_max", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("z_sum", "z_sum_sq")), F.coalesce("nnz", F.lit(0)).alias("nnz")
+    )
+
+
 def _needs_split(model: LatentModel) -> bool:
     latent_dim, d_in = model.shape()
     return latent_dim * d_in * np.dtype(model.dtype).itemsize > model.block_bytes
@@ -262,11 +274,16 @@ _SLIDE_ARROW = pa.schema(
 
 
 def _slide_kernel(handle, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Accumulates runs of one slide; a new run flushes the previous one."""
+    """Accumulates slides in any row order.
+
+    Tiles of a chunk are grouped by slide; up to OPEN_BYTES of slides stay open, and the one that was touched longest ago
+    is emitted when another needs room. So a task emits about slides x firing latents rows however its tiles are ordered.
+    """
     block: _Block = handle.value
-    current, state = None, None
+    most = max(1, OPEN_BYTES // (6 * 8 * max(1, len(block.ids))))
+    held: OrderedDict[str, list[np.ndarray]] = OrderedDict()
 
-    def flush():
+    def flush(current, state):
         live = np.flatnonzero(state[5])
         return _batch(
             _SLIDE_ARROW, [current] * len(live), block.ids[live], *(a[live] for a in state[:4]),
@@ -275,23 +292,27 @@ def _slide_kernel(handle, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
     for part, x in _chunks(batches, block):
         z, _ = block.hits(x)
-        slides = np.asarray(part.column("slide_key").to_pylist(), dtype=object)
-        edges = np.flatnonzero(slides[1:] != slides[:-1]) + 1
-        for lo, hi in zip(np.r_[0, edges], np.r_[edges, len(slides)]):
+        codes, names = pd.factorize(np.asarray(part.column("slide_key").to_pylist(), dtype=object), use_na_sentinel=False)
+        order = np.argsort(codes, kind="stable")
+        z, codes = z[order], codes[order]
+        edges = np.flatnonzero(codes[1:] != codes[:-1]) + 1
+        for lo, hi in zip(np.r_[0, edges], np.r_[edges, len(codes)]):
             run, pos = z[lo:hi], z[lo:hi] > 0
-            if state is None or slides[lo] != current:
-                if state is not None:
-                    yield flush()
-                current = slides[lo]
+            current = names[codes[lo]]
+            state = held.pop(current, None)
+            if state is None:
+                if len(held) >= most:
+                    yield flush(*held.popitem(last=False))
                 state = [np.full(z.shape[1], -np.inf)] + [np.zeros(z.shape[1]) for _ in range(5)]
+            held[current] = state
             np.maximum(state[0], run.max(axis=0), out=state[0])
             state[1] += run.sum(axis=0, dtype=np.float64)
             state[2] += np.einsum("ij,ij->j", run, run, dtype=np.float64)
             state[3] += np.where(pos, run, 0.0).sum(axis=0, dtype=np.float64)
             state[4] += pos.sum(axis=0)
             state[5] += (run != 0).sum(axis=0)
-    if state is not None:
-        yield flush()
+    for item in held.items():
+        yield flush(*item)
 
 
 def encode_slide_stats(tiles: DataFrame, model: LatentModel, latents: DataFrame | None = None) -> DataFrame:
@@ -464,14 +485,9 @@ def _batch_topk(tiles: DataFrame, model: LatentModel) -> DataFrame:
 
 
 def _chunked(tiles: DataFrame, chunk_tiles: int) -> DataFrame:
-    """Tiles with their chunk number. Unsampled slides number their tiles 0..n-1 already, which
-    a pass over the keys confirms; only sampled ones need positions, and a second shuffle."""
+    """Tiles with the number of their chunk of ``chunk_tiles`` positions in the slide."""
     from latentlake.operators.sampling import tile_position
 
-    t = F.col("tile_index")
-    shape = tiles.groupBy("slide_key").agg(F.count("*").alias("n"), F.min(t).alias("lo"), F.max(t).alias("hi"))
-    if shape.where("lo <> 0 or hi <> n - 1").isEmpty():
-        return tiles.withColumn("chunk", F.floor(t / chunk_tiles))
     return tile_position(tiles).withColumn("chunk", F.floor(F.col("pos") / chunk_tiles))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latentlake.runtime import attach_small
+from latentlake.runtime import attach_small, settle
 
 
 def require_features(slides: DataFrame, features: DataFrame, key: str = "slide_key") -> DataFrame:
@@ -46,6 +46,22 @@ def binary_label(label: Column | str, positive: str = "HPV+", negative: str = "H
     return F.when(value == positive.upper(), 1).when(value == negative.upper(), 0)
 
 
+def isolate_slides(tiles: DataFrame, d_in: int) -> tuple[DataFrame, DataFrame]:
+    """(tiles of sound slides, rejected slides with a reason) for slides with a vector that cannot be encoded or a tile without a place."""
+    vec = F.col("features")
+    bad_value = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    verdict = tiles.groupBy("slide_key").agg(
+        F.max(vec.isNull()).alias("none"), F.max(vec.isNotNull() & (F.size(vec) != d_in)).alias("width"),
+        F.max(F.coalesce(bad_value, F.lit(False))).alias("value"), F.max(F.col("coord_x").isNull() | F.col("coord_y").isNull()).alias("place"),
+    )
+    reason = (
+        F.when(F.col("none"), "null_features").when(F.col("width"), "bad_feature_shape")
+        .when(F.col("value"), "non_finite_value").when(F.col("place"), "bad_geometry")
+    )
+    rejected = settle(verdict.select("slide_key", reason.alias("reason")).where("reason is not null"))
+    return tiles.join(attach_small(rejected.select("slide_key")), "slide_key", "left_anti"), rejected
+
+
 def rejects(df: DataFrame, rules: list[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
     """Split into kept and rejected rows; the first rule that holds names the reason."""
     reason = F.coalesce(*[F.when(cond, F.lit(name)) for name, cond in rules])

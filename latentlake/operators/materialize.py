@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from latentlake import schemas
 from latentlake.functions import ids
 from latentlake.operators.sampling import tile_position
+from latentlake.runtime import attach_small, settle
 
 
 def bundle_rows(reps: DataFrame, support: DataFrame, group: list[str], rank: str = "method_rank") -> DataFrame:
@@ -42,10 +43,12 @@ def materialize(rows: DataFrame, tiles: DataFrame) -> tuple[DataFrame, DataFrame
     ``tiles`` is read only for the tiles named.
     """
     keys = ["local_feature_path", "slide_key", "tile_index"]
-    wanted = rows.where("local_feature_path <> ''").select(*keys).distinct()
+    wanted = attach_small(settle(rows.where("local_feature_path <> ''").select(*keys).distinct()))
     named = tiles.select("slide_key", "tile_index", "features")
-    vectors = wanted.join(named, ["slide_key", "tile_index"])
-    found = rows.join(vectors.select(*keys, F.lit(True).alias("_has")), keys, "left")
+    vectors = named.join(wanted, ["slide_key", "tile_index"])
+    # the keys that have a vector, found once; vectors themselves are read where they are kept
+    matched = settle(tiles.select("slide_key", "tile_index").join(wanted, ["slide_key", "tile_index"]).select(*keys, F.lit(True).alias("_has")))
+    found = rows.join(matched, keys, "left")
     numbered = vector_rows(found.where("_has"), keys)
     out = found.join(numbered.drop("first_pos"), keys, "left")
 
@@ -64,7 +67,7 @@ def materialize(rows: DataFrame, tiles: DataFrame) -> tuple[DataFrame, DataFrame
     )
     facts = ["feature_relpath", "case_id", "encoder", "coord_x", "coord_y"]
     first = rows.select("row_pos", *[c for c in facts if c in rows.columns])
-    table = numbered.join(first, F.col("first_pos") == F.col("row_pos")).join(vectors, keys)
+    table = vectors.join(attach_small(settle(numbered.join(first, F.col("first_pos") == F.col("row_pos")))), keys)
     wanted_columns = [c for c in schemas.FEATURE_INDEX_COLUMNS if c in table.columns]
     return final, table.select(*wanted_columns, "features")
 

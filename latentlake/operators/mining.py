@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,7 +26,7 @@ def top_tiles(acts: DataFrame, selected: DataFrame | None, n: int, positive: boo
 
 def overfetch(topn: int, factor: float) -> int:
     """Candidates to mine before the diversity rules cut them back."""
-    return max(topn, int(topn * factor + 0.9999)) if factor > 1.0 else topn
+    return topn if factor <= 1.0 else math.ceil(topn * factor)
 
 
 def cap_per_slide(top: DataFrame, per_slide: int, keys: tuple[str, ...] = ("latent_idx",)) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from latentlake.operators.encode import LatentModel, encode_hits
 from latentlake.operators.filters import first_n
+from latentlake.runtime import attach_small, settle
 
 _KEYS = ["slide_key", "tile_index"]
 
@@ -19,14 +20,16 @@ def top_tile_codes(top: DataFrame, tiles: DataFrame, model: LatentModel, top_n:
     when several latents share it.
     """
     wanted = first_n(top, top_n).select("latent_idx", *_KEYS, F.col("z").alias("score"))
-    named = tiles.join(wanted.select(*_KEYS).distinct(), _KEYS, "left_semi")
+    # keys only are settled and attached, so vectors stay where they are
+    named = tiles.join(attach_small(settle(wanted.select(*_KEYS).distinct())), _KEYS, "left_semi")
     codes = encode_hits(named, model).select(*_KEYS, F.col("latent_idx").alias("dim"), "z")
     return wanted.join(codes, _KEYS)
 
 
 def _found(top: DataFrame, tiles: DataFrame, top_n: int) -> DataFrame:
     rows = first_n(top, top_n).select("latent_idx", *_KEYS, F.col("z").alias("score"))
-    return rows.join(tiles.select(*_KEYS), _KEYS)
+    here = tiles.select(*_KEYS).join(attach_small(settle(rows.select(*_KEYS).distinct())), _KEYS, "left_semi")
+    return rows.join(here, _KEYS)
 
 
 def prototype_dims(codes: DataFrame, found: DataFrame) -> DataFrame:
@@ -53,6 +56,7 @@ def prototype_dims(codes: DataFrame, found: DataFrame) -> DataFrame:
 def prototypes(top: DataFrame, tiles: DataFrame, model: LatentModel, top_n: int = 0) -> DataFrame:
     """``(latent_idx, prototype_mean, prototype_median)`` as dense arrays of the code width."""
     latent_dim, _ = model.shape()
+    top = settle(top)
     dims = prototype_dims(top_tile_codes(top, tiles, model, top_n), _found(top, tiles, top_n))
     pairs = lambda c: F.map_from_entries(F.collect_list(F.struct("dim", c)))
     packed = dims.groupBy("latent_idx").agg(pairs("proto_mean").alias("a"), pairs("proto_median").alias("b"))
@@ -67,7 +71,8 @@ def prototypes(top: DataFrame, tiles: DataFrame, model: LatentModel, top_n: int
 
 def prototype_stats(top: DataFrame, tiles: DataFrame, model: LatentModel, top_n: int = 0) -> DataFrame:
     """Self-activation spread, raw-score mean, prototype norms and slide counts."""
-    codes, found = top_tile_codes(top, tiles, model, top_n), _found(top, tiles, top_n)
+    top = settle(top)
+    codes, found = settle(top_tile_codes(top, tiles, model, top_n)), _found(top, tiles, top_n)
     own = codes.where(F.col("dim") == F.col("latent_idx")).select("latent_idx", *_KEYS, "z")
     self_z = F.coalesce("z", F.lit(0.0))
     rows = found.join(own, ["latent_idx", *_KEYS], "left")
@@ -100,8 +105,9 @@ def top_abs_dims(dims: DataFrame, value: str = "proto_mean", k: int = 16) -> Dat
 
 def prototype_skips(selected: DataFrame, top: DataFrame, tiles: DataFrame, d_in: int) -> DataFrame:
     """Selected latents that yield no prototype, with the reason."""
-    rows = top.select("latent_idx", *_KEYS)
-    seen = rows.join(tiles.select(*_KEYS, F.size("features").alias("d")), _KEYS, "left")
+    rows = settle(top.select("latent_idx", *_KEYS))
+    widths = tiles.join(attach_small(settle(rows.select(*_KEYS).distinct())), _KEYS, "left_semi").select(*_KEYS, F.size("features").alias("d"))
+    seen = rows.join(widths, _KEYS, "left")
     per = seen.groupBy("latent_idx").agg(
         F.count("slide_key").alias("valid"), F.count("d").alias("loaded"), F.count_if(F.col("d") != d_in).alias("bad")
     )

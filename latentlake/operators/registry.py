@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from latentlake import schemas
 from latentlake.functions import ids
+from latentlake.runtime import settle
 
 
 def _or_default(df: DataFrame, name: str, default: Column) -> Column:
@@ -182,7 +183,7 @@ def health(tiles: DataFrame, dims: dict[str, int] | int) -> tuple[DataFrame, Dat
         .when(F.col("copies") > 1, "duplicate_tile_index")
         .otherwise("")
     )
-    rows = per_slide.select(
+    rows = settle(per_slide.select(
         "encoder",
         "cohort",
         "slide_key",
@@ -190,15 +191,20 @@ def health(tiles: DataFrame, dims: dict[str, int] | int) -> tuple[DataFrame, Dat
         error.alias("error"),
         "num_tiles",
         "feature_dim",
-    )
+    ))
     return rows, rows.groupBy("encoder").agg(
         F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "error").alias("error")
     )
 
 
-def validate(slide_lists: DataFrame, tiles: DataFrame, dims: dict[str, int] | int, encoders=ids.ENCODERS) -> DataFrame:
-    """Issues ``(severity, kind, subject)``: unreadable features, absent encoders, cohorts without a list (K6)."""
-    rows, _ = health(tiles, dims)
+def validate(
+    slide_lists: DataFrame, tiles: DataFrame, dims: dict[str, int] | int, encoders=ids.ENCODERS, rows: DataFrame | None = None
+) -> DataFrame:
+    """Issues ``(severity, kind, subject)``: unreadable features, absent encoders, cohorts without a list (K6).
+
+    Pass the rows of health() when they are at hand; tiles are then read for their keys alone.
+    """
+    rows = health(tiles, dims)[0] if rows is None else rows
     unreadable = rows.where("status = 'error'").select(
         F.lit("error").alias("severity"), F.lit("unreadable_features").alias("kind"), F.col("slide_key").alias("subject")
     )
@@ -224,14 +230,3 @@ def validate(slide_lists: DataFrame, tiles: DataFrame, dims: dict[str, int] | in
 def dedupe_paths(slides: DataFrame, project: str = "project") -> DataFrame:
     """Distinct (project, path) pairs (K5)."""
     return slides.select(project, "path").distinct()
-
-
-def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
-    """Add ``ord`` for last-row-wins rules when the input has its own order columns."""
-    return df.withColumn("ord", F.struct(*order)) if len(order) > 1 else df.withColumn("ord", F.col(order[0]))
-
-
-def last_per_key(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
-    """Whole last row per key by ``ordinal``."""
-    order = Window.partitionBy(*keys).orderBy(F.col(ordinal).desc())
-    return df.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")

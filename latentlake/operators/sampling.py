@@ -89,7 +89,7 @@ def _short_slides(tiles: DataFrame, wanted: DataFrame, seed: int, replace: bool)
         picks = draws.withColumn("pos", pick).join(tile_position(keys), ["slide_key", "pos"])
     else:
         picks = keys.join(wanted, "slide_key").withColumn("draw", F.col("tile_index"))
-    return tiles.join(picks.select(*KEYS, *extra, "draw"), list(KEYS))
+    return tiles.join(attach_small(settle(picks.select(*KEYS, *extra, "draw"))), list(KEYS))
 
 
 def sample_indexed(tiles: DataFrame, k: int, seed: int, replace: bool = True) -> DataFrame:
@@ -138,8 +138,10 @@ def uniform_sample(df: DataFrame, k: int, seed: int, key: list[str]) -> DataFram
 
     Hash prefixes are counted first; whole prefixes below the k-th key pass a plain
     filter and only the one boundary prefix is ranked, so neither a task nor the
-    driver ever holds the sample.
+    driver ever holds the sample. ``k < 0`` keeps all.
     """
+    if k < 0:
+        return df
     keyed = df.withColumn("_key", draw_key(seed, "sample", *key))
     prefix = F.substring("_key", 1, _HEX_PREFIX)
     counts = keyed.groupBy(prefix.alias("_p")).agg(F.count("*").alias("_c"))

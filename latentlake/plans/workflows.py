@@ -17,6 +17,7 @@ from latentlake.functions import ids
 from latentlake.operators import (
     analytics,
     encode,
+    filters,
     materialize,
     mining,
     pooling,
@@ -59,17 +60,21 @@ class MineConfig:
 _PASS2 = 17  # seed distance between the two passes
 
 
-def view_tiles(tiles: DataFrame, slides: DataFrame, cfg: MineConfig) -> DataFrame:
-    """Tiles of the slides (capped per cohort), pooled if asked."""
+def view_tiles(tiles: DataFrame, slides: DataFrame, cfg: MineConfig, d_in: int) -> tuple[DataFrame, DataFrame]:
+    """(tiles of the slides, capped per cohort and pooled if asked; rejected slides with reasons).
+
+    A slide that cannot be encoded is left out and reported; it does not end the run.
+    """
     if cfg.slides_per_project is not None:
         named = slides.select("slide_key", F.col("cohort").alias("project"))
         kept = sampling.cap_slides(named, cfg.slides_per_project, cfg.seed).select("slide_key")
-        tiles = tiles.join(attach_small(kept), "slide_key", "left_semi")
-    elif "split" in slides.columns:
-        tiles = tiles.join(attach_small(slides.select("slide_key").distinct()), "slide_key", "left_semi")
+    else:
+        kept = slides.select("slide_key").distinct()
+    tiles = tiles.join(attach_small(kept), "slide_key", "left_semi")
+    tiles, rejected = filters.isolate_slides(tiles, d_in)
     if cfg.magnification == "10x_pool2x2":
         tiles = settle(pooling.pool2x2(tiles, cfg.require_complete))
-    return tiles.select("slide_key", "tile_index", "coord_x", "coord_y", "features")
+    return tiles.select("slide_key", "tile_index", "coord_x", "coord_y", "features"), rejected
 
 
 def _select_all(st: DataFrame, cfg: MineConfig, parents: DataFrame | None) -> DataFrame:
@@ -96,7 +101,7 @@ def latent_statistics(tiles: DataFrame, model: LatentModel) -> DataFrame:
 
 def mine(tiles: DataFrame, slides: DataFrame, model: LatentModel, cfg: MineConfig, parents: DataFrame | None = None) -> Tables:
     """Statistics, selection, diverse top tiles and hierarchy over one slide set."""
-    view = view_tiles(tiles, slides, cfg)
+    view, rejected = view_tiles(tiles, slides, cfg, model.shape()[1])
     st = latent_statistics(sampling.cap_tiles(view, cfg.tiles_per_slide, cfg.seed, "pass1"), model)
     selected = settle(_select_all(st, cfg, parents))
     candidates = mining.overfetch(cfg.topn, cfg.buffer_factor if cfg.per_slide > 0 or cfg.min_px > 0 else 1.0)
@@ -107,6 +112,7 @@ def mine(tiles: DataFrame, slides: DataFrame, model: LatentModel, cfg: MineConfi
         "selected": selected,
         "candidates": top,
         "top_tiles": mining.diversify(top, cfg.topn, cfg.per_slide, cfg.min_px),
+        "rejects": rejected,
     }
     if parents is not None:
         out["hierarchy"] = selection.hierarchy(parents, selected.dropDuplicates(["latent_idx"]))
@@ -121,12 +127,14 @@ def representatives_bundle(
 
     All strategies share one encode pass over the union of their latents.
     """
-    chosen = view_tiles(tiles, slides.where(F.col("split") == selection_split), cfg)
+    d_in = model.shape()[1]
+    chosen, rejected = view_tiles(tiles, slides.where(F.col("split") == selection_split), cfg, d_in)
     st = latent_statistics(sampling.cap_tiles(chosen, cfg.tiles_per_slide, cfg.seed, "pass1"), model)
     selected = settle(_select_all(st, cfg, parents))
     exported = slides.where(F.col("split") == export_split)
     candidates = mining.overfetch(cfg.topn, cfg.buffer_factor if cfg.per_slide > 0 or cfg.min_px > 0 else 1.0)
-    source = sampling.cap_tiles(view_tiles(tiles, exported, cfg), cfg.tiles_per_slide, cfg.seed + _PASS2, "pass2")
+    view, more = view_tiles(tiles, exported, cfg, d_in)
+    source = sampling.cap_tiles(view, cfg.tiles_per_slide, cfg.seed + _PASS2, "pass2")
     top = encode.encode_top(source, model, candidates, selection.selected_union(selected))
     top = mining.diversify(top, cfg.topn, cfg.per_slide, cfg.min_px)
     rows = top.join(attach_small(selected.select("latent_strategy", "latent_idx", "latent_group")), "latent_idx")
@@ -143,6 +151,7 @@ def representatives_bundle(
         "representative_support_tiles": ranked.select(*schemas.SUPPORT_COLUMNS),
         "latent_summary": summary.select(*schemas.LATENT_SUMMARY_COLUMNS),
         "bundle_summary": ranking.bundle_summary(reps, ranked, summary),
+        "rejects": rejected.unionByName(more),
     }
 
 
@@ -215,6 +224,7 @@ def mine_bundle(
         "discovery_selected": discovery["selected"],
         "selected": export["selected"],
         "top_tiles": top,
+        "rejects": discovery["rejects"].unionByName(export["rejects"]),
         "prototypes": prototypes.prototypes(top, tiles, model),
         "prototype_stats": prototypes.prototype_stats(top, tiles, model),
         "targets": target,
@@ -300,7 +310,7 @@ def registry_tables(raw_slides: DataFrame, raw_features: DataFrame, tiles: DataF
         "missing_slides": no_slide,
         "missing_features": no_feature,
         "ambiguous_slides": ambiguous,
-        "issues": registry.validate(slides, tiles, dims),
+        "issues": registry.validate(slides, tiles, dims, rows=rows),
         "health": rows,
         "health_by_encoder": by_encoder,
     }
