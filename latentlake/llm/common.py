@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Callable
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from latentlake.runtime import scratch_path, settle, ship
 
-__all__ = ["ORACLES", "QUERIES", "WORD", "fresh", "parts_for", "query", "read", "scratch_path", "settle", "ship", "typed", "word_count"]
+__all__ = ["ORACLES", "QUERIES", "WORD", "fresh", "parts_for", "query", "read", "release", "scratch_path", "settle", "ship", "typed", "word_count"]
 
 #: A word, in Java's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,6 +58,12 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps: it acts when the driver's JVM collects unused plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parts_for(spark: SparkSession, total: float, each: float) -> int:
     """Partitions so that each holds about ``each`` of ``total``, and no fewer than the session's."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / each), 1)

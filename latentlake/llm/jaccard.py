@@ -5,8 +5,8 @@
 2. Each document keeps its set size, a 128-bit fingerprint of its set, a token bitmap of four to eight bits an item and its prefix: the first
    ``n - ceil(t * n) + 1`` shingles in that order. Sets that link share a prefix shingle. Equal sets form one class from here on, and of
    prefix shingles that the same classes have one is kept.
-3. Classes that share a prefix shingle are first compared with the class whose prefix is shared most and with neighbours in a few random
-   orders, again for those that are not in one component then. That joins large groups of near copies with a few comparisons per member.
+3. Classes that share a prefix shingle are first compared with the class whose prefix is shared most, then, while they are not in one
+   component, with neighbours in random orders and orders by a small minwise sketch. That joins large groups of near copies with a few comparisons per member.
 4. Shingles are split into cells of compatible sizes. Cells whose classes still lie in several components get a signature tree: nodes hold OR-combined bitmaps, size ranges and component
    ranges. A dual traversal drops node pairs of one component, of incompatible sizes or with too small a possible overlap. Surviving
    pairs are checked exactly, so no link between different components is missed. A shingle with more than ``CELL`` classes is cut into
@@ -21,10 +21,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, parts_for, query, read, settle, typed
+from .common import fresh, parts_for, query, read, release, settle, typed
 from .components import components
 from .kernels import LOWER, U64, chunks, mix, shingles, text_bytes, word_bounds, word_hashes
 
@@ -36,11 +36,11 @@ WIDEST = 1 << 19
 #: Classes of one shingle that one task compares; more are cut into chunks.
 CELL = 4096
 FAN = 8
-#: Random orders in which neighbours are compared before the trees.
-ORDERS = 4
-#: Rounds of such orders among classes that are still apart, and their orders.
-ROUNDS, MORE_ORDERS = 2, 10
-#: Classes of a shingle that one task puts in such an order.
+#: Values of a minwise sketch, one byte each. A pair is tried before the trees if their share that agrees is ``SLACK`` below the threshold or more.
+SKETCH, SLACK = 32, 0.06
+#: Rounds of neighbours among classes that are still apart, and orders in each.
+ROUNDS, ORDERS = 2, 16
+#: Classes of a cell that one task puts in order.
 RING = 10_000
 #: Node pairs that a traversal holds at once.
 SLAB = 200_000
@@ -71,6 +71,16 @@ def word_levels(docs: DataFrame) -> np.ndarray:
     return levels
 
 
+_ODD = mix(np.arange(SKETCH, dtype=U64) + U64(77)) | U64(1)
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Low bytes of the minima of ``SKETCH`` hash functions over the items."""
+    if not len(s):
+        return bytes(SKETCH)
+    return mix(np.array([(s * odd).min() for odd in _ODD], U64)).astype(np.uint8).tobytes()
+
+
 def _keyed(batch: pa.RecordBatch, levels: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(order keys, offsets by document): rarity of the words in the top byte, the shingle's hash below."""
     raw, offsets = text_bytes(batch.column("text"))
@@ -112,16 +122,17 @@ def _profile(levels: np.ndarray, k: int, num: int, den: int):
     def work(batches):
         for b in chunks(batches, "text"):
             keys, at = _keyed(b, levels, k)
-            n, prints, prefix, bits = [], [], [], []
+            n, prints, prefix, bits, sketches = [], [], [], [], []
             for s in _unique(keys, at):
                 n.append(len(s))
                 prints.append(fingerprint(s))
                 prefix.append(s[: len(s) - -(-num * len(s) // den) + 1].astype(np.int64) if len(s) else np.zeros(0, np.int64))
                 bits.append(bitmap(s))
+                sketches.append(sketch(s))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]), pa.int32()), pa.array(np.concatenate([*prefix, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), lists, pa.array(bits, pa.binary())],
-                ["doc_id", "n", "fp", "prefix", "bits"],
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), lists, pa.array(bits, pa.binary()), pa.array(sketches, pa.binary())],
+                ["doc_id", "n", "fp", "prefix", "bits", "sketch"],
             )
 
     return work
@@ -242,6 +253,31 @@ def _traverse(num: int, den: int):
     return work
 
 
+def _neighbours(turn: int, num: int, den: int):
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        fp, names = pd.factorize(pdf["fp"])
+        cell, comp, n = pd.factorize(pdf["cell"])[0], pd.factorize(pdf["comp"])[0], pdf["n"].to_numpy(np.int64)
+        values = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SKETCH)
+        mark = np.frombuffer(b"".join(x[:8] for x in pdf["fp"]), np.uint64)
+        found = np.zeros(0, np.int64)
+        for i in range(ORDERS):
+            if i % 4 == 0:  # a quarter by sketch, the others at random
+                lead = np.ascontiguousarray(np.roll(values, -4 * (i // 4) - 2 * turn, axis=1)[:, :8]).view(">u8").ravel()
+            else:
+                lead = mix(mark + U64(1000 * turn + i))
+            order = np.lexsort((lead, cell))
+            x, y = order[:-1], order[1:]
+            ok = (cell[x] == cell[y]) & (comp[x] != comp[y]) & (n[x] * den >= num * n[y]) & (n[y] * den >= num * n[x])
+            x, y = x[ok], y[ok]
+            ok = (values[x] == values[y]).mean(axis=1) >= num / den - SLACK
+            a, b = fp[x[ok]], fp[y[ok]]
+            found = np.union1d(found, np.minimum(a, b) * len(names) + np.maximum(a, b))
+        names = np.asarray(names, object)
+        return pd.DataFrame({"u": names[found // max(len(names), 1)], "v": names[found % max(len(names), 1)]})
+
+    return work
+
+
 def _few(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= FEW_IDS else df
 
@@ -253,7 +289,7 @@ class _Join:
         self.k, self.num, self.den = k, num, den
         self.docs = typed(docs, doc_id="long", text="string")
         self.levels = word_levels(self.docs)
-        self.rows = settle(self.docs.mapInArrow(_profile(self.levels, k, num, den), "doc_id long, n long, fp binary, prefix array<long>, bits binary"))
+        self.rows = settle(self.docs.mapInArrow(_profile(self.levels, k, num, den), "doc_id long, n long, fp binary, prefix array<long>, bits binary, sketch binary"))
         full = self.rows.where(F.col("n") > 0)
         self.classes = settle(full.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
         # one row per class: the others are the few whose doc_id is not the least of their class
@@ -273,31 +309,28 @@ class _Join:
         self.cand = settle(tokens.join(F.broadcast(shared) if n <= FEW_TOKENS else shared, "token").select("token", "m", "fp"))
         own = self.cand.groupBy("fp").agg(F.count(F.lit(1)).alias("score"))
         own = settle(own)
-        self.scored = settle(self.wide.select("fp", "n", "bits", "doc_id").join(_few(own, own.count()), "fp").select("fp", "n", "bits", "doc_id", (F.col("score") / F.col("n")).alias("score")))
+        self.scored = settle(self.wide.select("fp", "n", "bits", "sketch", "doc_id").join(_few(own, own.count()), "fp").select("fp", "n", "bits", "sketch", "doc_id", (F.col("score") / F.col("n")).alias("score")))
 
     def pivots(self) -> DataFrame:
-        """Pairs to try first: of each shingle's classes the most shared one with the others, and neighbours in random orders."""
+        """Pairs to try first: of each shingle's classes the most shared one with the others."""
         side = self.scored.select("fp", "n", "score")
         rows = settle(self.cand.join(_few(side, side.count()), "fp"))
         best = rows.groupBy("token").agg(F.max(F.struct("score", "fp", "n")).alias("p")).select("token", F.col("p.fp").alias("v"), F.col("p.n").alias("n_v"))
         pairs = rows.select("token", F.col("fp").alias("u"), F.col("n").alias("n_u")).join(best, "token").select("u", "n_u", "v", "n_v")
-        return self.near(pairs.union(self.neighbours(rows, ["token"], 0, ORDERS)))
+        return self.near(pairs)
 
     def near(self, pairs: DataFrame) -> DataFrame:
         fits = (F.least("n_u", "n_v") * self.den >= self.num * F.greatest("n_u", "n_v")) & (F.col("u") != F.col("v"))
         return pairs.where(fits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
-    def neighbours(self, rows: DataFrame, group: list[str], first: int, orders: int) -> DataFrame:
-        """(u, n_u, v, n_v): neighbours of each group of ``rows`` (fp, n, m, ...) in random orders; large groups are cut at random first."""
-        out = None
-        for i in range(first, first + orders):
-            place = F.pmod(F.xxhash64("fp", F.lit(100 + i)), F.ceil(F.col("m") / RING))
-            ring = Window.partitionBy(*group, place).orderBy(F.xxhash64("fp", F.lit(200 + i)))
-            apart = F.lead("comp").over(ring) != F.col("comp") if "comp" in rows.columns else F.lit(True)
-            part = rows.select(F.col("fp").alias("u"), F.col("n").alias("n_u"), F.lead("fp").over(ring).alias("v"), F.lead("n").over(ring).alias("n_v"), apart.alias("apart"))
-            part = part.where(F.col("v").isNotNull() & F.col("apart")).drop("apart")
-            out = part if out is None else out.union(part)
-        return out
+    def neighbours(self, cells: DataFrame, turn: int) -> DataFrame:
+        """(u, v) of different components in one cell that are neighbours in an order by sketch; large cells are cut at random first."""
+        side = self.scored.select("fp", "sketch")
+        rows = cells.join(_few(side, side.count()), "fp")
+        chunk = F.pmod(F.xxhash64("fp", F.lit(turn)), F.ceil(F.col("m") / RING))
+        rows = rows.select("fp", "n", "comp", "sketch", F.xxhash64("token", "size_class", chunk).alias("cell"))
+        parts = parts_for(self.docs.sparkSession, rows.count(), 100_000)
+        return rows.withColumn("part", F.pmod("cell", F.lit(parts))).groupBy("part").applyInPandas(_neighbours(turn, self.num, self.den), "u binary, v binary").distinct()
 
     def cells(self, comp: DataFrame) -> DataFrame:
         """(token, m, fp, n, comp, size_class) of the cells whose classes lie in several components. Linked sizes are in one class or neighbours."""
@@ -353,10 +386,12 @@ def shingle_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text): sets link when ``den`` x overlap >= ``num`` x union."""
     j = _Join(docs, k, num, den)
     links = j.linked(j.bounded(j.pivots()))
-    for i in range(ROUNDS):
-        tried = j.neighbours(j.cells(components(links)), ["token", "size_class"], 1000 * (i + 1), MORE_ORDERS)
-        links = links.union(j.linked(j.bounded(j.near(tried))))
+    release(docs.sparkSession)
+    for turn in range(ROUNDS):
+        links = links.union(j.linked(j.bounded(j.neighbours(j.cells(components(links)), turn))))
+        release(docs.sparkSession)
     links = links.union(j.linked(j.across(components(links))))
+    release(docs.sparkSession)
     comp = components(links)
     of = j.classes.select("fp", "doc_id", "copies").join(comp.withColumnRenamed("node", "fp"), "fp", "left")
     of = settle(of.withColumn("component", F.coalesce("component", "fp")))

@@ -305,7 +305,6 @@ def test_large_near_copy_groups(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "CELL", 8)
     monkeypatch.setattr(jaccard, "RING", 6)
     monkeypatch.setattr(jaccard, "ORDERS", 1)
-    monkeypatch.setattr(jaccard, "MORE_ORDERS", 1)
     rng = np.random.default_rng(6)
     word = lambda: "".join(map(chr, rng.integers(97, 123, 6)))
     texts = []
