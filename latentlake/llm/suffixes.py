@@ -268,7 +268,17 @@ def _solve(length: int):
     return work
 
 
-_PIECE = "pid binary, key binary, seg binary, mult long"
+def _merged(batches):
+    """Runs of each piece in order, touching ones joined."""
+    for b in batches:
+        lows, highs = [], []
+        for a, z in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+            a, z = np.sort(np.array(a, np.int64)), np.sort(np.array(z, np.int64))
+            # a gap lies where the next start is behind the ends of as many runs as began before it
+            apart = np.flatnonzero(a[1:] > np.maximum.accumulate(z)[:-1])
+            lows.append(a[np.concatenate([[0], apart + 1])])
+            highs.append(z[np.concatenate([apart, [len(z) - 1]])])
+        yield pa.RecordBatch.from_arrays([b.column("pid"), pa.array(lows, pa.list_(pa.int64())), pa.array(highs, pa.list_(pa.int64()))], ["pid", "a", "b"])
 
 
 def _distinct(pieces: DataFrame, mult) -> DataFrame:
@@ -294,7 +304,7 @@ def _shared(pieces: DataFrame, length: int, level: int = 0) -> DataFrame:
     runs = below.select("pid", F.explode(F.arrays_zip("a", "b")).alias("r"))
     lifted = children.select("pid", "parent", "at").join(runs, "pid").groupBy(F.col("parent").alias("pid")).agg(
         F.collect_list(F.col("r.a") + F.col("at")).alias("a"), F.collect_list(F.col("r.b") + F.col("at")).alias("b")
-    )
+    ).mapInArrow(_merged, "pid binary, a array<long>, b array<long>")
     return settle(solved.unionByName(lifted))
 
 
