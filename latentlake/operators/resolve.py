@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latentlake.functions import ids
-from latentlake.runtime import settle
+from latentlake.runtime import attach_small, settle
 
 _ENCODER_COLUMN = {"uni2": "uni_path", "seal": "seal_path", "gigapath": "gigapath_path", "virchow2": "virchow2_path"}
 
@@ -163,6 +163,8 @@ def remap_paths(
         folder.alias("folder"),
         F.explode(F.array_distinct(F.array(folder, any_cohort))).alias("dir"),
     )
+    # only folders that are searched have their names expanded
+    named = named.join(attach_small(settle(stems.select("dir").distinct())), "dir", "left_semi")
     prefixes = named.select("*", F.explode(lengths).alias("n")).where(F.length("name") >= F.col("n"))
     prefixes = prefixes.groupBy("dir", "folder", F.substring("name", F.lit(1), F.col("n")).alias("stem")).agg(
         F.min(F.struct((F.length("name") > F.col("n")).alias("longer"), F.col("candidate"))).alias("best")

@@ -19,8 +19,6 @@ TILES = T.StructType(
 )
 
 # Column orders of the exported tables.
-SLIDE_COLUMNS = ["slide_id", "slide_filename", "case_id", "dataset", "cohort", "wsi_path", "wsi_ext"]
-FEATURE_COLUMNS = ["slide_id", "case_id", "dataset", "cohort", "encoder", "feature_path", "feature_ext"]
 MAPPING_COLUMNS = [
     "slide_id", "case_id", "dataset", "cohort", "slide_filename", "wsi_path", "uni_path", "seal_path",
 ]
@@ -45,23 +43,8 @@ LATENT_METRIC_COLUMNS = [
     "sparsity_score_global", "slide_prevalence", "case_prevalence", "num_tiles_positive",
     "mean_positive_activation", "max_activation_seen", "cohort_entropy", "top_cohort", "top_cohort_share",
 ]
-COHORT_ENRICHMENT_COLUMNS = [
-    "latent_strategy", "latent_idx", "latent_group", "cohort", "slides_in_cohort", "slides_with_activation",
-    "prevalence_in_cohort", "prevalence_global", "enrichment_ratio",
-]
-LABEL_ENRICHMENT_COLUMNS = [
-    "latent_strategy", "latent_idx", "latent_group", "label_column", "label_value", "cases_in_label",
-    "cases_with_activation", "prevalence_in_label", "prevalence_global", "enrichment_ratio",
-]
-VIEWER_COLUMNS = [
-    "latent_idx", "latent_group", "prototype_rank", "activation", "attention", "label", "pred", "prob_pos",
-    "case_id", "slide_key", "tile_index", "coord_x", "coord_y", "h5_path", "dataset", "encoder", "data_split",
-    "run_name", "score",
-]
-HEALTH_COLUMNS = ["encoder", "cohort", "slide_id", "path", "status", "error", "num_tiles", "feature_dim"]
 FEATURE_INDEX_COLUMNS = [
     "feature_vector_row", "local_feature_path", "feature_relpath", "slide_key", "case_id", "encoder",
     "tile_index", "coord_x", "coord_y",
 ]
 REPRESENTATIVE_METHODS = ("max_activation", "median_activation", "diverse_support", "slide_spread")
-LATENT_STRATEGIES = ("top_activation", "top_variance", "top_sparsity", "sdf_parent_balanced")

@@ -6,7 +6,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from latentlake import schemas
 from latentlake.functions import ids
@@ -186,9 +185,3 @@ def load_top_tiles(spark: SparkSession, path: str, tag: str | None = None) -> Da
         latest = table.agg(F.max("tag").alias("tag")).first()["tag"]
         tag = latest if latest is not None else ""
     return table.where(F.col("tag") == tag)
-
-
-def latest_by(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
-    """Last row per key by ``ordinal``."""
-    order = Window.partitionBy(*keys).orderBy(F.col(ordinal).desc())
-    return df.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")

@@ -219,3 +219,16 @@ def test_entry_runs(spark):
 
     assert contract.entry(spark).count() > 0
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+def test_feature_index_sink_and_listing(spark, sf):
+    """The index is partitioned by encoder and cohort, and its files can be listed without reading them."""
+    from latentlake.catalog import fixtures as fx
+    from latentlake.sources import readers, writers
+
+    path = scratch_path(spark, "index")
+    tiles = fx.tiles(spark, sf)
+    writers.write_feature_index(tiles, path)
+    assert spark.read.parquet(path).count() == tiles.select("encoder", "cohort", "slide_key").distinct().count()
+    files = [r["path"] for r in readers.read_file_listing(spark, path, "*.parquet").collect()]
+    assert files and all("/encoder=" in f and "/cohort=" in f for f in files)
