@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,9 +70,39 @@ def checkpoint_root(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+#: Folders made inside each open scratch_scope, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared checkpoint area."""
-    return f"{checkpoint_root(spark)}/latentlake/{name}-{uuid.uuid4().hex}"
+    """A fresh folder in the shared checkpoint area; an open scratch_scope removes it at its end."""
+    path = f"{checkpoint_root(spark)}/latentlake/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes the scratch tables made inside, but for those written with the function that it yields (a settle() into the scope around)."""
+    made: list[str] = []
+    _SCOPES.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        inner = _SCOPES.pop()
+        try:
+            return settle(df)
+        finally:
+            _SCOPES.append(inner)
+
+    try:
+        yield keep
+    finally:
+        _SCOPES.pop()
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
