@@ -9,9 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latentlake.runtime import scratch_path, settle, ship
+from latentlake.runtime import scratch_path, scratch_scope, settle, ship
 
-__all__ = ["ORACLES", "QUERIES", "WORD", "fresh", "parts_for", "query", "read", "release", "scratch_path", "settle", "ship", "typed", "word_count"]
+__all__ = ["ORACLES", "QUERIES", "WORD", "fresh", "parts_for", "query", "read", "release", "scratch_path", "scratch_scope", "settle", "ship", "typed", "word_count"]
 
 #: A word, in Java's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"

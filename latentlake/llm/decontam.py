@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, query, read, settle, typed
+from .common import fresh, query, read, scratch_scope, settle, typed
 from .kernels import LOWER, U64, chunks, shingles, spans_index, text_bytes, word_bounds, word_hashes
 
 N = 4
@@ -259,7 +259,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, ratio: float
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold a copy of an item; rows are told apart by doc_id and text, so clean ones stay."""
-    bad = settle(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_text")).distinct())
+    with scratch_scope(docs.sparkSession) as keep:
+        bad = keep(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_text")).distinct())
     side = F.broadcast(bad) if bad.count() <= FEW_IDS else bad
     key = fresh(docs, "text_hash")
     return docs.withColumn(key, F.xxhash64(F.col("text").cast("string"))).join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (F.col(key) == F.col("bad_text")), "left_anti").select(*docs.columns)

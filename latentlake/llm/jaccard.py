@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, parts_for, query, read, release, settle, typed
+from .common import fresh, parts_for, query, read, release, scratch_scope, settle, typed
 from .components import components
 from .kernels import LOWER, U64, chunks, mix, shingles, text_bytes, word_bounds, word_hashes
 
@@ -384,6 +384,11 @@ class _Join:
 
 def shingle_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text): sets link when ``den`` x overlap >= ``num`` x union."""
+    with scratch_scope(docs.sparkSession) as keep:
+        return keep(_groups(docs, k, num, den))
+
+
+def _groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     j = _Join(docs, k, num, den)
     links = j.linked(j.bounded(j.pivots()))
     release(docs.sparkSession)
@@ -403,7 +408,7 @@ def shingle_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` without the documents that are not the least doc_id of their group; of rows equal in doc_id and text one stays."""
-    groups = settle(shingle_groups(docs, k, num, den))
+    groups = shingle_groups(docs, k, num, den)
     gone = settle(groups.where((F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct())
     twice = settle(groups.where(F.col("n_shingles") > 0).groupBy("doc_id").count().where((F.col("count") > 1) & F.col("doc_id").isNotNull()).select("doc_id"))
     kept = docs.join(_few(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)

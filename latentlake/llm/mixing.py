@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, query, read, settle, typed, word_count
+from .common import fresh, query, read, scratch_scope, settle, typed, word_count
 
 #: Documents of a cell that one task ranks.
 RANK_BLOCK = 20_000
@@ -187,7 +187,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     key, rows, copies, nth = (fresh(docs, x) for x in ("key", "rows", "copies", "nth"))
     same = lambda size: F.to_json(F.struct(F.col("doc_id").cast("long").alias("d"), F.col("source").cast("string").alias("s"), size.alias("n")))
-    plan = mix_plan(docs, **options).groupBy(same(F.col("size")).alias(key)).agg(F.count(F.lit(1)).alias(rows), F.sum("copies").alias(copies))
+    with scratch_scope(docs.sparkSession) as keep:
+        plan = keep(mix_plan(docs, **options).groupBy(same(F.col("size")).alias(key)).agg(F.count(F.lit(1)).alias(rows), F.sum("copies").alias(copies)))
     joined = docs.withColumn(key, same(word_count("text"))).join(plan.where(F.col(copies) > 0), key)
     numbered = joined.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key)))
     upto = lambda i: F.floor(i * F.col(copies) / F.col(rows)).cast("int")

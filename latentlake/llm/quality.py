@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, query, read, settle, typed
+from .common import fresh, query, read, scratch_scope, settle, typed
 from .kernels import LOWER, U64, chunks, mix, shingles, text_bytes, word_bounds, word_hashes
 
 #: Documents that train the scorer, at most; everything else is computed over all.
@@ -308,8 +308,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame | None = None, sample: int
 
 def keep_good(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """``docs`` without the rows that the classifier rejects, told apart by doc_id and text."""
-    scores = quality_scores(docs, labels, sample)
-    bad = settle(scores.where(~F.col("keep")).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_text")).distinct())
+    with scratch_scope(docs.sparkSession) as keep:
+        scores = quality_scores(docs, labels, sample)
+        bad = keep(scores.where(~F.col("keep")).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_text")).distinct())
     side = F.broadcast(bad) if bad.count() <= FEW_IDS else bad
     key = fresh(docs, "text_hash")
     return docs.withColumn(key, F.xxhash64(F.col("text").cast("string"))).join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (F.col(key) == F.col("bad_text")), "left_anti").select(*docs.columns)
