@@ -4,11 +4,11 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parents[2]
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(Path(__file__).resolve().parent)]
 
 from latentlake.runtime import local_session, ship  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
+from llm_helpers import SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -24,12 +24,3 @@ def documents():
     import duckdb
 
     return duckdb.sql(f"SELECT doc_id, text, source FROM '{SF}/documents.parquet' ORDER BY doc_id").fetchall()
-
-
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-
-
-def docs_of(spark, rows):
-    """A document table from (doc_id, text) or (doc_id, text, source) rows, with columns whose names operators use inside."""
-    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", 0, "x", 1, b"k") for r in rows]
-    return spark.createDataFrame(full, DOCS + ", key string, size long, fp binary")

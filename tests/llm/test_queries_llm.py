@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
-from conftest import SF, docs_of
+from llm_helpers import SF, docs_of
 
 import corpus_pipeline
 from latentlake.llm import decontam, jaccard, mixing, quality, suffixes, surrogates, tokens, winnowing

@@ -3,7 +3,7 @@
 import hashlib
 
 import pytest
-from conftest import docs_of
+from llm_helpers import docs_of
 
 from latentlake.llm import decontam, jaccard, licences, mixing, quality, suffixes, surrogates, tokens, warc, winnowing
 from latentlake.llm.common import scratch_path
