@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, parts_for, query, read, release, scratch_scope, settle, typed
 from .components import components
-from .kernels import LOWER, U64, chunks, mix, shingles, text_bytes, word_bounds, word_hashes
+from .kernels import LOWER, U64, chunks, distinct, mix, shingles, text_bytes, word_bounds, word_hashes
 
 #: Counters of the word-frequency table: 512 KB, whatever the input.
 COUNTERS = 1 << 16
@@ -98,7 +98,7 @@ def _keyed(batch: pa.RecordBatch, levels: np.ndarray, k: int) -> tuple[np.ndarra
 
 def _unique(keys: np.ndarray, at: np.ndarray):
     for lo, hi in zip(at[:-1], at[1:], strict=True):
-        yield np.unique(keys[lo:hi])
+        yield distinct(keys[lo:hi])
 
 
 def fingerprint(s: np.ndarray) -> bytes:

@@ -120,6 +120,12 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return out, offsets
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting (numpy's own goes through a hash table, which is slower here)."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def windows_min(values: np.ndarray, w: int) -> np.ndarray:
     """The minimum of each window of ``w`` values; fewer values are one window."""
     n = len(values)

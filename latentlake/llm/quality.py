@@ -16,13 +16,13 @@ columns are ignored. Without labels the heuristics alone are used.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, query, read, scratch_scope, settle, typed
-from .kernels import LOWER, U64, chunks, mix, shingles, text_bytes, word_bounds, word_hashes
+from .kernels import LOWER, U64, chunks, distinct, mix, shingles, text_bytes, word_bounds, word_hashes
 
 #: Documents that train the scorer, at most; everything else is computed over all.
 SAMPLE = 30_000
@@ -65,12 +65,12 @@ _STOP[[ord(c) for c in ".!?"]] = True
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
+    return np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])[offsets]).astype(np.int64)  # a slice is far below 2**31
 
 
 def _distinct(doc: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sorted distinct (document, 44-bit value) pairs, packed; a slice has fewer than 2**20 documents."""
-    return np.unique((doc.astype(U64) << U64(44)) | (values >> U64(20)))
+    return distinct((doc.astype(U64) << U64(44)) | (values >> U64(20)))
 
 
 class Measured:
@@ -95,8 +95,10 @@ class Measured:
         grams, at = shingles(self.words, first, 3)
         grams_doc = np.repeat(np.arange(n), np.diff(at))
         kinds = np.bincount((_distinct(grams_doc, grams) >> U64(44)).astype(np.int64), minlength=n)
-        packed, often = np.unique((self.doc.astype(U64) << U64(44)) | (self.words >> U64(20)), return_counts=True)
-        self.pairs = packed
+        packed = np.sort((self.doc.astype(U64) << U64(44)) | (self.words >> U64(20)))
+        head = np.flatnonzero(np.concatenate([[True], packed[1:] != packed[:-1]])) if len(packed) else np.zeros(0, np.int64)
+        often = np.diff(np.concatenate([head, [len(packed)]]))
+        self.pairs = packed = packed[head]
         top = np.zeros(n, np.int64)
         np.maximum.at(top, (packed >> U64(44)).astype(np.int64), often)
         letters = np.maximum(_sums(_LETTER[raw], offsets), 1)
@@ -211,11 +213,12 @@ def _sample_features(docs: DataFrame) -> DataFrame:
 def _epoch(weights: np.ndarray, bias: np.ndarray, rate: float, decay: float, mask: np.ndarray):
     """One epoch of both heads on one shard, in the order of a hash of doc_id; returns the touched weights."""
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["turn", "doc_id"])
+    def work(batches):
         w, b = weights.copy(), bias.copy()
         seen = np.zeros(w.shape, np.float32)
-        for items, y0, y1 in zip(pdf["items"], pdf["y_quality"], pdf["y_toxic"], strict=True):
+        none = True
+        for items, y0, y1 in _labelled(batches):
+            none = False
             x = items[mask[items]]
             z = w[:, x].sum(axis=1) + b
             g = np.nan_to_num(1 / (1 + np.exp(-np.clip(z, -30, 30))) - (y0, y1))  # no label, no step
@@ -223,16 +226,31 @@ def _epoch(weights: np.ndarray, bias: np.ndarray, rate: float, decay: float, mas
             seen[:, x] += step * step
             w[:, x] -= rate * step / np.sqrt(seen[:, x] + 1.0)
             b -= 0.3 * rate * g
+        if none:
+            return
         at = np.flatnonzero((w != weights).any(axis=0)).astype(np.int32)
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "at": [at.tobytes()], "w": [w[:, at].astype(np.float32).tobytes()], "b": [b.astype(np.float64).tobytes()]})
+        row = [TaskContext.get().partitionId()], [at.tobytes()], [w[:, at].astype(np.float32).tobytes()], [b.astype(np.float64).tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), *[pa.binary()] * 3), strict=True)], ["shard", "at", "w", "b"])
 
     return work
 
 
-def _document_counts(pdf: pd.DataFrame) -> pd.DataFrame:
-    seen = np.bincount(np.concatenate([np.unique(x) for x in pdf["items"]]), minlength=BUCKETS)
+def _labelled(batches):
+    """(items, label of quality, label of toxicity) of each document; a missing label is not a number."""
+    for b in batches:
+        lists = b.column("items")
+        flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+        labels = [b.column(c).to_numpy(zero_copy_only=False) for c in ("y_quality", "y_toxic")]
+        for lo, hi, y0, y1 in zip(np.concatenate([[0], ends[:-1]]), ends, *labels, strict=True):
+            yield flat[lo:hi], y0, y1
+
+
+def _document_counts(batches):
+    seen = np.zeros(BUCKETS, np.int64)
+    for items, _, _ in _labelled(batches):
+        seen[distinct(items)] += 1
     at = np.flatnonzero(seen)
-    return pd.DataFrame({"at": [at.astype(np.int32).tobytes()], "n": [seen[at].astype(np.int32).tobytes()]})
+    yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32).tobytes()]), pa.array([seen[at].astype(np.int32).tobytes()])], ["at", "n"])
 
 
 def train(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -241,14 +259,15 @@ def train(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     What comes to the driver is one weight table per shard, of fixed size.
     """
     turn = F.xxhash64(F.lit(7), F.col("doc_id"))
-    rows = settle(sample.withColumn("turn", turn).withColumn("shard", F.pmod(turn, F.lit(SHARDS)).cast("int")))
+    # one file per shard, in order; a shard is what one task reads, so rounds shuffle nothing
+    rows = settle(sample.withColumn("turn", turn).repartition(SHARDS, "turn").sortWithinPartitions("turn", "doc_id")).select("items", "y_quality", "y_toxic")
     seen = np.zeros(BUCKETS, np.int64)
-    for r in rows.groupBy("shard").applyInPandas(_document_counts, "at binary, n binary").collect():
+    for r in rows.mapInArrow(_document_counts, "at binary, n binary").collect():
         seen[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["n"], np.int32)
     mask = seen >= LEAST_DOCUMENTS
     weights, bias = np.zeros((2, BUCKETS), np.float32), np.zeros(2)
     for i in range(ROUNDS):
-        parts = rows.groupBy("shard").applyInPandas(_epoch(weights, bias, 0.4 / (1 + i), 1e-4, mask), "shard int, at binary, w binary, b binary").collect()
+        parts = rows.mapInArrow(_epoch(weights, bias, 0.4 / (1 + i), 1e-4, mask), "shard int, at binary, w binary, b binary").collect()
         if not parts:
             break
         change, db, touched = np.zeros(weights.shape), np.zeros(2), np.zeros(BUCKETS)

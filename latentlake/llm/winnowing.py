@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts_for, query, read, typed
-from .kernels import U64, mix, rolling, windows_min
+from .kernels import U64, distinct, mix, rolling, windows_min
 
 K, W = 32, 96
 #: Bytes of text in a block.
@@ -106,8 +106,8 @@ def _compare(k: int, w: int):
         half = n // 2
         edited = text[: n - half] + following[:half]
         e_hash, e_at = winnow(code_points(edited), k, w)
-        own, other = np.unique(print_[0]), np.unique(next_print[0])
-        return (doc, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), encoded(*print_), encoded(e_hash, e_at), likeness(own, np.unique(e_hash)), likeness(own, other))
+        own, other = distinct(print_[0]), distinct(next_print[0])
+        return (doc, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), encoded(*print_), encoded(e_hash, e_at), likeness(own, distinct(e_hash)), likeness(own, other))
 
     def flush(rows):
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
