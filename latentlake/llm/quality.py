@@ -210,16 +210,19 @@ def _sample_features(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, items array<int>, y_quality double, y_toxic double")
 
 
-def _epoch(weights: np.ndarray, bias: np.ndarray, rate: float, decay: float, mask: np.ndarray):
-    """One epoch of both heads on one shard, in the order of a hash of doc_id; returns the touched weights."""
+def _epoch(columns: np.ndarray, weights: np.ndarray, bias: np.ndarray, rate: float, decay: float):
+    """One epoch of both heads on one shard, in the order of a hash of doc_id; ``columns`` are the buckets that have weights."""
 
     def work(batches):
+        place = np.full(BUCKETS, -1, np.int32)
+        place[columns] = np.arange(len(columns), dtype=np.int32)
         w, b = weights.copy(), bias.copy()
         seen = np.zeros(w.shape, np.float32)
         none = True
         for items, y0, y1 in _labelled(batches):
             none = False
-            x = items[mask[items]]
+            x = place[items]
+            x = x[x >= 0]
             z = w[:, x].sum(axis=1) + b
             g = np.nan_to_num(1 / (1 + np.exp(-np.clip(z, -30, 30))) - (y0, y1))  # no label, no step
             step = g[:, None] + decay * w[:, x]
@@ -228,9 +231,8 @@ def _epoch(weights: np.ndarray, bias: np.ndarray, rate: float, decay: float, mas
             b -= 0.3 * rate * g
         if none:
             return
-        at = np.flatnonzero((w != weights).any(axis=0)).astype(np.int32)
-        row = [TaskContext.get().partitionId()], [at.tobytes()], [w[:, at].astype(np.float32).tobytes()], [b.astype(np.float64).tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), *[pa.binary()] * 3), strict=True)], ["shard", "at", "w", "b"])
+        row = [TaskContext.get().partitionId()], [w.astype(np.float32).tobytes()], [b.astype(np.float64).tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "w", "b"])
 
     return work
 
@@ -253,8 +255,8 @@ def _document_counts(batches):
     yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32).tobytes()]), pa.array([seen[at].astype(np.int32).tobytes()])], ["at", "n"])
 
 
-def train(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(weights of both heads, biases) from (doc_id, items, y_quality, y_toxic): parameter averaging over ``SHARDS`` shards for ``ROUNDS`` rounds.
+def train(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets with weights, weights of both heads, biases) from (doc_id, items, y_quality, y_toxic): parameter averaging over ``SHARDS`` shards for ``ROUNDS`` rounds.
 
     What comes to the driver is one weight table per shard, of fixed size.
     """
@@ -264,21 +266,19 @@ def train(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     seen = np.zeros(BUCKETS, np.int64)
     for r in rows.mapInArrow(_document_counts, "at binary, n binary").collect():
         seen[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["n"], np.int32)
-    mask = seen >= LEAST_DOCUMENTS
-    weights, bias = np.zeros((2, BUCKETS), np.float32), np.zeros(2)
+    columns = np.flatnonzero(seen >= LEAST_DOCUMENTS).astype(np.int32)
+    weights, bias = np.zeros((2, len(columns)), np.float32), np.zeros(2)
     for i in range(ROUNDS):
-        parts = rows.mapInArrow(_epoch(weights, bias, 0.4 / (1 + i), 1e-4, mask), "shard int, at binary, w binary, b binary").collect()
+        parts = rows.mapInArrow(_epoch(columns, weights, bias, 0.4 / (1 + i), 1e-4), "shard int, w binary, b binary").collect()
         if not parts:
             break
-        change, db, touched = np.zeros(weights.shape), np.zeros(2), np.zeros(BUCKETS)
-        for r in sorted(parts, key=lambda r: r["shard"]):
-            at = np.frombuffer(r["at"], np.int32)
-            change[:, at] += np.frombuffer(r["w"], np.float32).reshape(2, -1) - weights[:, at]
-            touched[at] += 1
-            db += np.frombuffer(r["b"], np.float64) - bias
-        weights = (weights + change / np.maximum(touched, 1)).astype(np.float32)
-        bias = bias + db / len(parts)
-    return weights, bias
+        parts.sort(key=lambda r: r["shard"])
+        trained = np.stack([np.frombuffer(r["w"], np.float32).reshape(2, -1) for r in parts])
+        # a weight is averaged over the shards that moved it
+        moved = (trained != weights).any(axis=1).sum(axis=0)
+        weights = (weights + (trained - weights).sum(axis=0) / np.maximum(moved, 1)).astype(np.float32)
+        bias = np.mean([np.frombuffer(r["b"], np.float64) for r in parts], axis=0)
+    return columns, weights, bias
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -306,9 +306,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame | None = None, sample: int
         picked = picked.withColumn(f"y_{head}", value if head == "quality" else 1 - value)
     chosen = settle(picked.groupBy(F.col("doc_id").alias("chosen")).agg(F.avg("y_quality").alias("y_quality"), F.avg("y_toxic").alias("y_toxic")))
     texts = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).select("doc_id", "text", "y_quality", "y_toxic")  # SAMPLE rows at most
-    weights, bias = train(_sample_features(texts))
-    used = np.flatnonzero((weights != 0).any(axis=0))
-    table = docs.sparkSession.sparkContext.broadcast((used.astype(np.int32), weights[:, used], bias))  # fixed size: a weight per bucket and head
+    table = docs.sparkSession.sparkContext.broadcast(train(_sample_features(texts)))  # a weight per bucket and head at most
 
     def score(batches):
         at, w, b = table.value
