@@ -115,7 +115,7 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     for i in np.flatnonzero((count > 0) & (count < k)):
         h = U64(count[i])
         for w in words[first[i] : first[i + 1]]:
-            h = mix(np.array([h * U64(3) + w], U64))[0]
+            h = mix(np.array([h], U64) * U64(3) + w)[0]
         out[offsets[i]] = h
     return out, offsets
 

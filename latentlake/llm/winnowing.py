@@ -43,7 +43,7 @@ def winnow(points: np.ndarray, k: int = K, w: int = W) -> tuple[np.ndarray, np.n
     if len(points) < k:
         h = U64(len(points))
         for p in points.astype(U64):
-            h = mix(np.array([h * U64(3) + p], U64))[0]
+            h = mix(np.array([h], U64) * U64(3) + p)[0]
         return np.array([h >> U64(16)], U64), np.zeros(1, np.int64)
     hashes = rolling(points, k)
     # the order is by the top 32 bits; among equal ones the larger position comes first
