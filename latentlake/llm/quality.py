@@ -125,7 +125,7 @@ class Measured:
             x = self.measures[name]
             out.append(np.where(np.isnan(x), 1, np.where(bad(np.nan_to_num(x)), 0, np.where(good(np.nan_to_num(x)), 2, 1))))
         kinds = self.insults()
-        out.append(np.where(kinds > 0, 0, 1))
+        out.append(np.where(self.count == 0, 1, np.where(kinds > 0, 0, 2)))
         out.append(np.where(kinds > 1, 0, 1))
         return np.stack(out, axis=1).astype(np.int8)
 
@@ -167,13 +167,15 @@ def vote_table(docs: DataFrame) -> DataFrame:
 def label_model(patterns: np.ndarray, counts: np.ndarray, steps: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
     """(share of good, per labeller its chance to vote good on bad and on good documents when it votes, posterior of good per pattern).
 
-    Expectation-maximisation over distinct vote patterns (0 bad, 1 none, 2 good), from the majority of the votes; patterns without a vote do not
-    count and have no posterior. A labeller is taken to be right more often than not.
+    Expectation-maximisation over distinct vote patterns (0 bad, 1 none, 2 good), from the majority of the votes, in which the last labeller (the
+    annotations) counts double; patterns without a vote do not count and have no posterior. A labeller is taken to be right more often than not.
     """
     good, bad = (patterns == 2).astype(float), (patterns == 0).astype(float)
     voted = (good + bad).sum(axis=1) > 0
     weight = counts * voted
-    post = np.clip(0.5 + 0.4 * np.sign((good - bad).sum(axis=1)), 0.1, 0.9)
+    strength = np.ones(patterns.shape[1])
+    strength[-1] = 2
+    post = np.clip(0.5 + 0.4 * np.sign((good - bad) @ strength), 0.1, 0.9)
     share, says_good = 0.5, np.full((2, patterns.shape[1]), 0.5)
     for _ in range(steps):
         each = np.stack([(1 - post) * weight, post * weight])
