@@ -31,6 +31,8 @@ SHARDS, ROUNDS = 8, 8
 #: Documents of the sample that must have a word before it gets a weight.
 LEAST_DOCUMENTS = 5
 FEW_IDS = 500_000
+#: With so many annotated documents the sample is taken from them alone, as labellers err alike on what nobody has annotated.
+ENOUGH = 500
 #: Insults whose presence makes the toxicity labellers vote.
 INSULTS = (
     "bastard clown cretin disgusting dumb dumbass filth filthy fool garbage idiot imbecile jerk loser lunatic moron pathetic pig retard scum "
@@ -300,7 +302,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame | None = None, sample: int
         )
     )
     annotated = F.substring("p_quality", n + 1, 1).isin("0", "2") | F.substring("p_toxic", 3, 1).isin("0", "2")
-    picked = votes.orderBy(annotated.desc(), F.xxhash64(F.lit(3), F.col("doc_id")), "doc_id").limit(sample)
+    pool = votes.where(annotated)
+    pool = pool if pool.count() >= ENOUGH else votes
+    picked = pool.orderBy(annotated.desc(), F.xxhash64(F.lit(3), F.col("doc_id")), "doc_id").limit(sample)
     for head in HEADS:
         table = _posteriors(votes, head)
         pairs = [F.lit(x) for p in table.items() for x in p]
