@@ -1,9 +1,10 @@
-"""Operator 10: benchmark decontamination by rare n-gram seeds and local alignment.
+"""Operator 10: benchmark decontamination by n-gram seeds and local alignment.
 
 Words are lower-cased (A-Z) and lose ASCII punctuation at both ends. Every n-gram of every benchmark item is a seed. Where seeds of an item
-lie near each other in a document they form a passage; its words travel on, the rest of the text does not. A seed is rare if few of all
-documents hold it. Passages with a rare seed, or with several different ones, are aligned to the item by Smith-Waterman on words
-(match 1, mismatch and gap -1). A document is contaminated if the best score reaches ``ratio`` of the item's words.
+lie near each other in a document they form a passage; its words travel on, the rest of the text does not. A score is
+at most the number of words that passage and item share, each as often as the rarer side has it; passages in which this bound reaches the
+least score are aligned to the item by Smith-Waterman on words (match 1, mismatch and gap -1), however many documents hold their seeds. A
+document is contaminated if the best score reaches ``ratio`` of the item's words.
 
 The index of the items goes to every task, in blocks of at most ``BLOCK_CHARS``; a larger benchmark takes several passes.
 
@@ -19,17 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, query, read, scratch_scope, settle, typed
+from .common import fresh, query, read, scratch_scope, typed
 from .kernels import LOWER, U64, chunks, shingles, spans_index, text_bytes, word_bounds, word_hashes
 
 N = 4
 RATIO = 0.5
 #: Least score, so that a handful of common words is no copy; shorter items must be matched in full.
 LEAST = 8
-#: Different seeds that make a passage a candidate without a rare one.
-SEVERAL = 3
-#: Share of the documents up to which a seed is rare.
-RARE = 1e-4
 #: Benchmark text sent to tasks at once.
 BLOCK_CHARS = 4 << 20
 #: Longest passage in items' lengths; longer ones are cut with an overlap of three lengths.
@@ -68,6 +65,7 @@ class ItemIndex:
         words, first = plain_words(pa.array(texts, pa.string()))
         self.ids = ids
         self.words = [words[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+        self.vocabulary = [np.unique(w, return_counts=True) for w in self.words]
         lengths = np.diff(first)
         self.seeds = []
         for k in sorted({min(n, int(x)) for x in lengths if x}):
@@ -79,6 +77,13 @@ class ItemIndex:
             order = np.argsort(hashes, kind="stable")
             self.seeds.append((k, hashes[order], item[order], place[order]))
 
+    def shared(self, i: int, passage: np.ndarray) -> int:
+        """Words that item ``i`` and the passage share, with multiplicity: no alignment scores more."""
+        values, count = self.vocabulary[i]
+        at = np.searchsorted(values, passage)
+        at = at[values[np.minimum(at, len(values) - 1)] == passage]
+        return int(np.minimum(np.bincount(at, minlength=len(values)), count).sum())
+
     def hits(self, words: np.ndarray, first: np.ndarray):
         """(text, word position, item, place in the item, seed hash) of every seed found."""
         found = []
@@ -98,7 +103,12 @@ class ItemIndex:
         return [np.concatenate(c) for c in zip(*found, strict=True)] if found else None
 
 
-def _passages(index: ItemIndex):
+def enough(score, size, ratio: float):
+    """Whether a score, or a bound on it, makes a copy of an item of ``size`` words."""
+    return (score >= ratio * size) & (score >= np.minimum(LEAST, size))
+
+
+def _passages(index: ItemIndex, ratio: float):
     length = np.array([len(w) for w in index.words])
     names = ["doc_id", "text_hash", "item", "begin", "words", "seeds"]
 
@@ -124,14 +134,17 @@ def _passages(index: ItemIndex):
                 for at in range(begin, max(begin + 1, end - 3 * size), step):
                     stop = min(end, at + LONGEST * size)
                     inside = (pos[lo:hi] >= at) & (pos[lo:hi] < stop)
-                    if inside.any():
+                    passage = words[first[d] + at : first[d] + stop]
+                    if inside.any() and enough(index.shared(i, passage), size, ratio):
                         rows.append((d, i, at))
-                        sequences.append(words[first[d] + at : first[d] + stop])
-                        seeds.append(np.unique(seed[lo:hi][inside]))
-            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in x])]), pa.int32()), pa.array(np.concatenate(x).view(np.int64)))
+                        sequences.append(passage)
+                        seeds.append(len(np.unique(seed[lo:hi][inside])))
+            if not rows:
+                continue
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sequences])]), pa.int32()), pa.array(np.concatenate(sequences).view(np.int64)))
             d = pa.array([r[0] for r in rows])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(d), b.column("text_hash").take(d), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), lists(sequences), lists(seeds)], names
+                [b.column("doc_id").take(d), b.column("text_hash").take(d), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), lists, pa.array(seeds, pa.int32())], names
             )
 
     return work
@@ -172,7 +185,7 @@ def _align(index: ItemIndex, ratio: float):
         items, passages = [index.words[p[2]] for p in pairs], [p[4] for p in pairs]
         best, end = best_local(items, passages)
         size = np.array([len(x) for x in items])
-        ok = np.flatnonzero((best >= ratio * size) & (best >= np.minimum(LEAST, size)))
+        ok = np.flatnonzero(enough(best, size, ratio))
         if not len(ok):
             return
         back, start = best_local([items[i][::-1] for i in ok], [passages[i][: end[i] + 1][::-1] for i in ok])
@@ -228,26 +241,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, ratio: float
     out = None
     for ids, texts in _item_blocks(benchmark):
         index = ItemIndex(ids, texts, n)
-        found = settle(rows.mapInArrow(_passages(index), "doc_id long, text_hash long, item long, begin long, words array<long>, seeds array<long>"))
-        total = rows.count()
-        # documents with each seed, over all documents: one row per seed of the block at most
-        held = found.select("doc_id", "text_hash", F.explode("seeds").alias("seed")).distinct().groupBy("seed").count()
-        rare = held.where(F.col("count") <= max(2.0, RARE * total)).select("seed")
-        rare_set = np.array([r["seed"] for r in rare.collect()], np.int64)
-        few = set(rare_set.tolist())
-
-        def chosen(batches, few=few):
-            for b in batches:
-                seeds = b.column("seeds").to_pylist()
-                keep = [len(s) >= SEVERAL or any(x in few for x in s) for s in seeds]
-                size = pa.array([len(s) for s in seeds], pa.int32())
-                kept = pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "text_hash", "item", "begin", "words")), size], ["doc_id", "text_hash", "item", "begin", "words", "seeds"])
-                yield kept.filter(pa.array(keep, pa.bool_()))
-
-        def aligned(batches, index=index, chosen=chosen):
-            yield from _align(index, ratio)(chosen(batches))
-
-        scored = found.mapInArrow(aligned, "doc_id long, text_hash long, item long, score int, first_word long, last_word long, seeds int")
+        found = rows.mapInArrow(_passages(index, ratio), "doc_id long, text_hash long, item long, begin long, words array<long>, seeds int")
+        # passages of an item that many documents hold are dealt over all tasks
+        dealt = found.repartition("doc_id", "text_hash", "item", "begin")
+        scored = dealt.mapInArrow(_align(index, ratio), "doc_id long, text_hash long, item long, score int, first_word long, last_word long, seeds int")
         best = scored.groupBy("doc_id", "text_hash", "item").agg(F.max(F.struct("score", (-F.col("first_word")).alias("at"), "last_word", "seeds")).alias("b"))
         items = spark.createDataFrame([(i, x, len(w)) for i, (x, w) in enumerate(zip(index.ids, index.words, strict=True))], "item long, item_id long, item_words int")
         part = best.join(F.broadcast(items), "item").select(

@@ -362,6 +362,17 @@ def test_op10(spark, duck, documents):
         assert local(plain(words[i]), found) == r["score"]
 
 
+def test_items_that_many_documents_hold(spark):
+    item = [f"item{j}" for j in range(24)]
+    edits = {i: [w if j not in (5, 9, 13, 17, 21) else f"edit{i}x{j}" for j, w in enumerate(item)] for i in range(40)}
+    docs = docs_of(spark, [(i, f"before{i} " + " ".join(w) + f" after{i}") for i, w in edits.items()] + [(100 + i, f"text{i} says one two three four five here{i}") for i in range(40)])
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "one two three four five"), (3, "one two three")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["score"], r["first_word"], r["last_word"]) for r in decontam.contaminated(docs, bench).collect()}
+    want = {(i, 1): (14, 1, 24) for i in range(40)} | {(100 + i, 2): (5, 2, 6) for i in range(40)} | {(100 + i, 3): (3, 2, 4) for i in range(40)}
+    assert got == want
+    assert decontam.drop_contaminated(docs, bench).count() == 0
+
+
 def test_pipeline(spark, documents):
     docs = read(spark, SF, "documents")
     columns = docs.columns
