@@ -2,8 +2,10 @@
 
 Texts are cut into sentences (at line ends, and at ``.!?;:`` before white space) and normalised: lower case, every run of other characters than
 a-z and 0-9 is one space. Normalised sentences are joined to known licence sentences, which gives identifiers; a rule is an ordered list of
-identifiers. Of a rule's sentences in a document, neighbours in text order must be the rule's sentences in its order, at most ``GAP``
-sentences apart from one to the next. A match inside a longer one of the same licence is left out.
+identifiers. A known sentence may also be wrapped: the pieces of several lines in a row, with or without comment signs, are it if their words
+are; it cannot run on beyond ``.!?;:``. Of a rule's sentences in a document, neighbours in text order must be the rule's
+sentences in its order, at most ``GAP`` pieces with words apart from the end of one to the start of the next. A match inside a longer one of the same
+licence, or of one that extends it, is left out.
 
 Only texts with a marker word are cut; each known sentence contains one. The sentence table is a constant of the library.
 
@@ -15,13 +17,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import query, read, typed
 
 GAP = 3
-SENTENCE_END = r"[.!?;:]+[ \t\r\n]+|[\r\n]+"
+#: The same cuts as at ``[.!?;:]+[ \t\r\n]+|[\r\n]+``, but a piece keeps its punctuation.
+SENTENCE_END = r"(?<=[.!?;:])[ \t\r\n]+|[\r\n]+"
 MARKERS = ("licen", "copyright", "warrant", "permission", "redistribut", "liab", "free software")
 
 # fixed values: names under which licences are cited, by SPDX identifier
@@ -82,13 +85,22 @@ NOTICES = {
         "If a copy of the MPL was not distributed with this file, You can obtain one at",
     ],
 }
+#: Notices that the SQL does not have.
+MORE_NOTICES = {
+    "BSD-3-Clause": [
+        *NOTICES["BSD-2-Clause"],
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+}
+#: Licences the notices of which begin with another's.
+EXTENDS = {"BSD-3-Clause": "BSD-2-Clause"}
 
 
 def plain(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", "".join(c.lower() if c.isascii() else c for c in sentence)).strip()
 
 
-def rules() -> list[tuple[str, str, list[str]]]:
+def rules(notices: dict[str, list[str]] = NOTICES | MORE_NOTICES) -> list[tuple[str, str, list[str]]]:
     """(rule, licence, normalised sentences in order)."""
     cited = {k: list(v) for k, v in NAMES.items()}
     for part in CC_PARTS:
@@ -101,7 +113,7 @@ def rules() -> list[tuple[str, str, list[str]]]:
         for line in sorted(lines - seen):
             seen.add(line)
             out.append((f"{licence}/cited/{line}", licence, [line]))
-    out += [(f"{licence}/notice", licence, [plain(s) for s in sentences]) for licence, sentences in NOTICES.items()]
+    out += [(f"{licence}/notice", licence, [plain(s) for s in sentences]) for licence, sentences in notices.items()]
     return out
 
 
@@ -111,30 +123,69 @@ def markers() -> list[str]:
     return list(dict.fromkeys([*MARKERS, *(max(s.split(), key=len) for s in rest)]))
 
 
-def _steps() -> list[tuple[str, str, str, int, int]]:
-    return [(s, rule, licence, i, len(sentences)) for rule, licence, sentences in rules() for i, s in enumerate(sentences)]
+def _steps(found: list[tuple[str, str, list[str]]]) -> list[tuple[str, str, str, int, int]]:
+    return [(s, rule, licence, i, len(sentences)) for rule, licence, sentences in found for i, s in enumerate(sentences)]
+
+
+def _sentences(rows: DataFrame, known: DataFrame, longest: int, most: int) -> DataFrame:
+    """(doc_id, of, place, last, nth, nth_last, sentence) of every known sentence: the first and the last piece that hold it, among all pieces and among those with words."""
+    plain_words = lambda x: F.substring(F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " ")), 1, longest + 2)
+    pieces = rows.select("doc_id", "of", F.split("text", SENTENCE_END).alias("raw"))
+    pieces = pieces.select("doc_id", "of", F.transform("raw", lambda x, i: F.struct(plain_words(x).alias("piece"), i.alias("place"), x.rlike("[.!?;:]$").alias("ends"))).alias("raw"))
+    pieces = pieces.select("doc_id", "of", F.filter("raw", lambda x: x["piece"] != "").alias("p"))
+
+    def tail(x, i):
+        """Of a line that does not end a sentence: its words and those of the lines after it, one line end between lines, and their places."""
+        run = F.slice("p", i + 1, _lines(F.slice("p", i + 1, most)))
+        return F.when(~x["ends"], F.struct(F.substring(F.array_join(run["piece"], "\n"), 1, longest + 1).alias("tail"), run["place"].alias("places")))
+
+    pieces = pieces.select("doc_id", "of", F.posexplode(F.transform("p", lambda x, i: F.struct(x["piece"].alias("piece"), x["place"].alias("place"), tail(x, i).alias("run")))).alias("nth", "p"))
+    pieces = pieces.select("doc_id", "of", "nth", "p.piece", "p.place", "p.run.tail", "p.run.places")
+    words = F.split("sentence", " ")
+    begins = known.select(
+        F.col("sentence").alias("whole"),
+        F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))).alias("begin"),
+    )
+    joined = pieces.join(F.broadcast(begins), F.col("piece") == F.col("begin"))
+    n = F.length("whole")
+    wrapped = F.col("tail").isNotNull() & (F.translate(F.substring("tail", F.lit(1), n), "\n", " ") == F.col("whole")) & F.substring("tail", n + 1, F.lit(1)).isin("", "\n")
+    one = F.col("piece") == F.col("whole")
+    lines = F.when(one, 0).otherwise(F.length(F.regexp_replace(F.substring("tail", F.lit(1), n), "[^\n]", "")))
+    found = joined.where(one | wrapped).withColumn("lines", lines)
+    last = F.when(F.col("lines") == 0, F.col("place")).otherwise(F.get("places", F.col("lines")))
+    return found.select("doc_id", "of", "place", last.alias("last"), "nth", (F.col("nth") + F.col("lines")).alias("nth_last"), F.col("whole").alias("sentence"))
+
+
+def _lines(pieces: Column) -> Column:
+    """Lines up to the first that ends a sentence."""
+    first = F.array_position(pieces["ends"], F.lit(True)).cast("int")
+    return F.when(first > 0, first).otherwise(F.size(pieces))
 
 
 def licence_matches(docs: DataFrame, gap: int = GAP) -> DataFrame:
     """(doc_id, licence, rule, first_sentence, last_sentence) of every match in ``docs`` (doc_id, text); sentences count from 0."""
-    steps = docs.sparkSession.createDataFrame(_steps(), "sentence string, rule string, licence string, step int, steps int")
+    known = _steps(rules())
+    steps = docs.sparkSession.createDataFrame(known, "sentence string, rule string, licence string, step int, steps int")
     rows = typed(docs, doc_id="long", text="string")
     lower = F.lower("text")
     marked = F.lit(False)
     for m in markers():
         marked = marked | F.contains(lower, F.lit(m))
-    rows = rows.where(marked).select("doc_id", F.xxhash64("text").alias("of"), F.posexplode(F.split("text", SENTENCE_END)).alias("place", "raw"))
-    sentences = rows.select("doc_id", "of", "place", F.trim(F.regexp_replace(F.lower("raw"), "[^a-z0-9]+", " ")).alias("sentence"))
-    hits = sentences.join(F.broadcast(steps), "sentence").dropDuplicates(["doc_id", "of", "rule", "place"])
+    rows = rows.where(marked).select("doc_id", "text", F.xxhash64("text").alias("of"))
+    sentences = _sentences(rows, steps.select("sentence").distinct(), max(len(x[0]) for x in known), max(len(x[0].split()) for x in known))
+    hits = sentences.join(F.broadcast(steps), "sentence").dropDuplicates(["doc_id", "of", "rule", "place", "step"])
     order = Window.partitionBy("doc_id", "of", "rule").orderBy("place")
-    far = (F.col("place") - F.lag("place").over(order) > gap).cast("int")
-    chained = hits.withColumns({"nth": F.row_number().over(order), "cut": F.coalesce(far, F.lit(0))}).withColumn("cuts", F.sum("cut").over(order))
+    far = (F.col("nth") - F.lag("nth_last").over(order) > gap).cast("int")
+    chained = hits.withColumns({"number": F.row_number().over(order), "cut": F.coalesce(far, F.lit(0))}).withColumn("cuts", F.sum("cut").over(order))
     found = (
-        chained.groupBy("doc_id", "of", "rule", "licence", "steps", (F.col("nth") - F.col("step")).alias("chain"), "cuts")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first_sentence"), F.max("place").alias("last_sentence"))
+        chained.groupBy("doc_id", "of", "rule", "licence", "steps", (F.col("number") - F.col("step")).alias("chain"), "cuts")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first_sentence"), F.max("last").alias("last_sentence"))
         .where(F.col("n") == F.col("steps"))
     )
-    long = found.where("steps > 1").select(F.col("doc_id").alias("d"), F.col("of").alias("o"), F.col("licence").alias("l"), F.col("steps").alias("s"), F.col("first_sentence").alias("a"), F.col("last_sentence").alias("b"))
+    extended = F.lit(None).cast("string")
+    for licence, part in EXTENDS.items():
+        extended = F.when(F.col("licence") == licence, part).otherwise(extended)
+    long = found.where("steps > 1").withColumn("l", F.explode(F.array_compact(F.array("licence", extended)))).select(F.col("doc_id").alias("d"), F.col("of").alias("o"), "l", F.col("steps").alias("s"), F.col("first_sentence").alias("a"), F.col("last_sentence").alias("b"))
     inside = (
         F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("of") == F.col("o")) & (F.col("licence") == F.col("l"))
         & (F.col("s") > F.col("steps")) & (F.col("a") <= F.col("first_sentence")) & (F.col("b") >= F.col("last_sentence"))
@@ -144,7 +195,7 @@ def licence_matches(docs: DataFrame, gap: int = GAP) -> DataFrame:
 
 def _sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    values = ",\n".join(f"({quoted(s)}, {quoted(r)}, {quoted(x)}, {i}, {n})" for s, r, x, i, n in _steps())
+    values = ",\n".join(f"({quoted(s)}, {quoted(r)}, {quoted(x)}, {i}, {n})" for s, r, x, i, n in _steps(rules(NOTICES)))
     return f"""
     WITH steps(sentence, rule, licence, step, steps) AS (VALUES {values}),
     parts AS (

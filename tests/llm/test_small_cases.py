@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names for every operator."""
 
 import hashlib
+import textwrap
 
 import pytest
 from llm_helpers import docs_of
@@ -93,6 +94,22 @@ def test_licences(spark, odd, none):
     assert got == sorted([(1, "MIT", 1, 1), (2, "MIT", 1, 4), (None, "CC-BY-NC-4.0", 0, 0), (4, "CC-BY-NC-4.0", 0, 0)], key=str)
 
 
+@pytest.mark.parametrize("width", [24, 72])
+@pytest.mark.parametrize("prefix", ["", " * ", "# ", "// "])
+def test_wrapped_licences(spark, width, prefix):
+    wrap = lambda paragraphs: "Copyright 2020 A. Person\n" + f"\n{prefix}\n".join("\n".join(prefix + x for x in textwrap.wrap(p, width, break_on_hyphens=False, break_long_words=False)) for p in paragraphs) + "\nint main() {}"
+    n = {**licences.NOTICES, **licences.MORE_NOTICES}
+    mit, apache, gpl, bsd = n["MIT"], n["Apache-2.0"], n["GPL-3.0-or-later"], n["BSD-3-Clause"]
+    clauses = [f"{i}. {x}" for i, x in enumerate(bsd[1:], 1)]
+    cases = {
+        "MIT": [mit[0], mit[1], f"{mit[2]} {mit[3]}"], "ISC": n["ISC"], "GPL-3.0-or-later": [" ".join(gpl[:2]), " ".join(gpl[2:])],
+        "Apache-2.0": [" ".join(apache[:3]), "http://www.apache.org/licenses/LICENSE-2.0", " ".join(apache[3:])], "BSD-2-Clause": [bsd[0], *clauses[:2]], "BSD-3-Clause": [bsd[0], *clauses],
+    }
+    texts = [(i, wrap(p)) for i, p in enumerate(cases.values())] + [(10, f"{prefix}Released under the\n{prefix}MIT License."), (11, f"{prefix}Released under the. MIT License."), (12, f"{prefix}Released under the\n{prefix}MIT Licenses.")]
+    got = sorted((r["doc_id"], r["licence"]) for r in licences.licence_matches(docs_of(spark, texts)).collect())
+    assert got == [*enumerate(cases), (10, "MIT")]
+
+
 def test_surrogates(odd, none):
     got = surrogates.pseudonymised(odd).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(ODD, key=str)
