@@ -151,6 +151,13 @@ def test_op3(spark, documents):
         assert r["edited_fingerprint"] == winnowing.encoded(*winnowing.winnow(winnowing.code_points(edited)))
 
 
+def test_short_edited_texts_are_nearer_than_others(spark):
+    rng = np.random.default_rng(5)
+    docs = [(n, "".join(map(chr, rng.integers(97, 123, n)))) for n in range(40, 251)]
+    for r in winnowing.edited_pairs(docs_of(spark, docs)).collect():
+        assert r["near_edited"] > r["near_next"], r["n_chars"]
+
+
 def test_winnowing_rule():
     """Least hash of each window, rightmost among equals, by the definition; and the match guarantee."""
     rng = np.random.default_rng(2)
