@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
 
 
+def forest(n: int, u: np.ndarray, v: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """Least node of each node's component for the edges of one task; ``label`` holds what earlier edges gave."""
+    label = np.arange(n) if label is None else label
+    while len(u):
+        a, b = label[u], label[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            above = label[label]
+            if (above == label).all():
+                break
+            label = above
+    return label
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step. Large: each node's larger neighbours move to its least neighbour; small: its smaller ones and itself do."""
     if large:

@@ -92,6 +92,15 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(np.add.reduceat(value, begin) ^ (length.astype(U64) * _GOLD))
 
 
+def joined_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, begin of each word): the words, each followed by one space."""
+    size = ends - starts + 1
+    begin = np.cumsum(size) - size
+    out = np.append(raw, np.uint8(32))[spans_index(starts, size)]
+    out[begin + size - 1] = 32
+    return out, begin
+
+
 def spans_index(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Concatenated ranges ``first[i] .. first[i] + count[i] - 1``."""
     total = int(count.sum())
