@@ -20,7 +20,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
-import os
 import re
 import sys
 import threading
@@ -34,16 +33,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import query, read, scratch_path, typed
-from .kernels import U64, chunks, mix, spans_index
+from .common import parts_for, query, read, scratch_path, typed
+from .kernels import U64, chunks, mix, spans_index, text_bytes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SEPARATOR = 50_256
 SEQUENCE = 2_048
 #: Sequences of a shard: 16 MB of two-byte ids.
 SHARD_ROWS = 4_096
-#: Splits that a worker remembers.
-CACHE = 1 << 19
+#: Sequences read from a shard file at once.
+SPAN_ROWS = 256
+#: Splits and token ids that a worker remembers (about 16 MB in arrays).
+CACHE, CACHE_IDS = 1 << 19, 1 << 20
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _CONTRACTION = re.compile("'(?:[stmd]|re|ve|ll)")
 _LOCK = threading.Lock()
@@ -66,7 +67,21 @@ class Encoder:
             kinds[c] = 1 if g == "L" else 2 if g == "N" else 0
         kinds[[9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = 3
         self.kinds = kinds
-        self.known: dict[int, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        #: hashes of known splits in order; where the ids of each begin in ``flat``, and how many they are
+        self.known, self.place, self.width, self.flat = np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        ids = [self.core._encode_single_piece(x) for x in pieces]
+        width = np.array([len(x) for x in ids], np.int32)
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(width.sum()))
+        place = (len(self.flat) + np.cumsum(width) - width).astype(np.int32)
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.known, hashes[order])
+        self.known, self.place, self.width = (np.insert(old, at, new[order]) for old, new in ((self.known, hashes), (self.place, place), (self.width, width)))
+        self.flat = np.concatenate([self.flat, flat])
 
     def _splits(self, points: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Starts of the splits of texts that begin at ``begins``: runs of one kind; the last white space before something else belongs to it if
@@ -93,20 +108,18 @@ class Encoder:
         codes, unique = pd.factorize(hashes)
         where = np.empty(len(unique), np.int64)
         where[codes[::-1]] = np.arange(len(codes))[::-1]
-        known, ids = self.known, []
-        if len(known) > CACHE:
-            known.clear()
-        for h, a, b in zip(unique.tolist(), at[where].tolist(), end[where].tolist(), strict=True):
-            found = known.get(h)
-            if found is None:
-                found = known[h] = self.core._encode_single_piece(joined[a:b])
-            ids.append(found)
-        width = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(width.sum()))
-        each = width[codes]
+        if len(self.known) > CACHE or len(self.flat) > CACHE_IDS:
+            self._forget()
+        near = np.minimum(np.searchsorted(self.known, unique), max(len(self.known) - 1, 0))
+        new = np.flatnonzero(self.known[near] != unique) if len(self.known) else np.arange(len(unique))
+        if len(new):
+            first = where[new]
+            self._learn(unique[new], [joined[a:b] for a, b in zip(at[first].tolist(), end[first].tolist(), strict=True)])
+        row = np.searchsorted(self.known, unique)[codes]
+        each = self.width[row].astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(each)])
         edge = upto[np.searchsorted(at, np.concatenate([begins, [len(points)]]))]
-        return flat[spans_index((np.cumsum(width) - width)[codes], each)], np.diff(edge)
+        return self.flat[spans_index(self.place[row].astype(np.int64), each)], np.diff(edge)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each). Texts with contractions, which the pattern splits by rules of their own, go to the encoder whole."""
@@ -233,7 +246,7 @@ def _shards(root: str, length: int, rows: int):
 
         fs, base = pyarrow.fs.FileSystem.from_uri(root)
         fs.create_dir(base, recursive=True)
-        out, shard, done, name = None, None, [], None
+        out, shard, done, name, at = None, None, [], None, 0
 
         def close():
             out.close()
@@ -241,18 +254,19 @@ def _shards(root: str, length: int, rows: int):
 
         for b in batches:
             slots = b.column("slot").to_numpy()
-            ids = b.column("ids").to_pylist()
-            for s, x in zip(slots.tolist(), ids, strict=True):
-                if s // rows != shard:
+            content, offsets = text_bytes(b.column("ids"))  # no copy: a run of slots is a run of bytes
+            edges = np.flatnonzero(np.diff(slots // rows)) + 1 if len(slots) else ()
+            for i, j in itertools.pairwise([0, *edges, len(slots)]):
+                if i < j and slots[i] // rows != shard:
                     if out is not None:
                         close()
-                    shard, at = s // rows, s // rows * rows
+                    shard, at = int(slots[i]) // rows, int(slots[i]) // rows * rows
                     name = f"{base}/.tmp-{shard:06d}-{uuid.uuid4().hex}"
                     out = fs.open_output_stream(name)
-                if s != at:
-                    raise RuntimeError(f"slot {at} is missing")
-                out.write(x)
-                at += 1
+                if not (slots[i:j] == at + np.arange(j - i)).all():
+                    raise RuntimeError(f"a slot of shard {shard} is missing")
+                out.write(content[offsets[i] : offsets[j]])
+                at += j - i
             done.append(pa.RecordBatch.from_arrays([b.column(c) for c in ("slot", "used", "first_doc", "docs")], ["slot", "used", "first_doc", "docs"]))
         if out is not None:
             close()
@@ -283,24 +297,32 @@ def write_shards(docs: DataFrame, root: str, vocabulary: str = VOCABULARY, lengt
     return spark.read.parquet(f"{root}/_index")
 
 
-def read_shards(spark: SparkSession, root: str, length: int = SEQUENCE, rows: int = SHARD_ROWS) -> DataFrame:
-    """(slot, shard, at, sha256) of every sequence, read from the shard files by their stride."""
+def read_shards(spark: SparkSession, root: str, n: int, length: int = SEQUENCE, rows: int = SHARD_ROWS) -> DataFrame:
+    """(slot, shard, at, sha256) of the ``n`` sequences, read from the shard files by their stride, ``SPAN_ROWS`` at a time."""
+    each, stride = min(SPAN_ROWS, rows), 2 * length
+    shards, spans = -(-n // rows), -(-rows // each)
 
     def work(batches):
-        for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                shard = int(path.rsplit("-", 1)[1].split(".")[0])
-                held = memoryview(content.as_buffer())
-                n = len(held) // (2 * length)
-                if n * 2 * length != len(held):
-                    raise ValueError(f"{path} is not a whole number of sequences")
-                sums = [hashlib.sha256(held[i * 2 * length : (i + 1) * 2 * length]).hexdigest() for i in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard * rows + np.arange(n)), pa.array(np.full(n, shard)), pa.array(np.arange(n) * 2 * length), pa.array(sums)], ["slot", "shard", "at", "sha256"]
-                )
+        import pyarrow.fs
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(root).select("path", "content")
-    return files.mapInArrow(work, "slot long, shard long, at long, sha256 string")
+        fs, base = pyarrow.fs.FileSystem.from_uri(root)
+        for b in batches:
+            for i in b.column("id").to_pylist():
+                shard, begin = i // spans, i % spans * each
+                count = min(each, rows - begin, n - shard * rows - begin)
+                if count <= 0:
+                    continue
+                with fs.open_input_file(f"{base}/shard-{shard:06d}.bin") as f:
+                    if f.size() != min(rows, n - shard * rows) * stride:
+                        raise ValueError(f"shard {shard} does not hold the sequences meant")
+                    f.seek(begin * stride)
+                    held = memoryview(f.read(count * stride))
+                at = begin + np.arange(count)
+                sums = [hashlib.sha256(held[j * stride : (j + 1) * stride]).hexdigest() for j in range(count)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard * rows + at), pa.array(np.full(count, shard)), pa.array(at * stride), pa.array(sums)], ["slot", "shard", "at", "sha256"])
+
+    parts = parts_for(spark, n * stride, 32 << 20)
+    return spark.range(0, shards * spans, 1, parts).mapInArrow(work, "slot long, shard long, at long, sha256 string")
 
 
 def read_from(root: str, slot: int, count: int, length: int = SEQUENCE, rows: int = SHARD_ROWS) -> np.ndarray:
@@ -324,17 +346,16 @@ def read_from(root: str, slot: int, count: int, length: int = SEQUENCE, rows: in
 def ordered_sequences(docs: DataFrame, root: str, **options) -> DataFrame:
     """Write, read back, and join the index to what the files hold: one row per sequence."""
     index = write_shards(docs, root, **options)
-    if index.isEmpty():
-        return index.sparkSession.createDataFrame([], "slot long, shard long, at long, sha256 string, used int, first_doc long, docs int")
     kept = {k: v for k, v in options.items() if k in ("length", "rows")}
-    return read_shards(docs.sparkSession, root, **kept).join(index, "slot")
+    return read_shards(docs.sparkSession, root, index.count(), **kept).join(index, "slot")
 
 
 def shared_uri(path: str) -> str:
-    """``path`` as a full URI, for readers outside Spark."""
-    if "://" in path:
-        return path
-    return "file://" + os.path.abspath(path.removeprefix("file:"))
+    """``path`` as a full URI, for readers outside Spark; without a scheme it is a path of the default file system, as Spark takes it."""
+    spark = SparkSession.active()
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = of.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(of).toString()
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 @query("op8_training_order")
