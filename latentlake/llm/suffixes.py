@@ -33,8 +33,8 @@ from .kernels import U64, chunks, rolling, spans_index, windows_min
 GRAM = 64
 #: Starts in one piece at most.
 RUN = 16_384
-#: A key with more pieces or bytes than this is cut further.
-HOT_PIECES, HOT_BYTES = 1_024, 700_000
+#: A key with more pieces or bytes than this is cut further; what stays fits one transform.
+HOT_PIECES, HOT_BYTES = 4_096, 1_900_000
 WIDTHS = (48, 12, 3, 1)
 #: Bytes for one transform: positions and ranks take 21 bits each.
 BLOCK = (1 << 21) - 1
@@ -301,10 +301,8 @@ def _shared(pieces: DataFrame, length: int, level: int = 0) -> DataFrame:
     warm = pieces.join(F.broadcast(hot) if n_hot <= FEW_TEXTS else hot, "key", "left_semi")
     children = settle(warm.mapInArrow(_recut(length, WIDTHS[level]), "pid binary, key binary, seg binary, parent binary, at long, mult long"))
     below = _shared(_distinct(children, F.sum("mult")), length, level + 1)
-    runs = below.select("pid", F.explode(F.arrays_zip("a", "b")).alias("r"))
-    lifted = children.select("pid", "parent", "at").join(runs, "pid").groupBy(F.col("parent").alias("pid")).agg(
-        F.collect_list(F.col("r.a") + F.col("at")).alias("a"), F.collect_list(F.col("r.b") + F.col("at")).alias("b")
-    ).mapInArrow(_merged, "pid binary, a array<long>, b array<long>")
+    moved = lambda c: F.flatten(F.collect_list(F.transform(c, lambda x: x + F.col("at")))).alias(c)
+    lifted = children.select("pid", "parent", "at").join(below, "pid").groupBy(F.col("parent").alias("pid")).agg(moved("a"), moved("b")).mapInArrow(_merged, "pid binary, a array<long>, b array<long>")
     return settle(solved.unionByName(lifted))
 
 
@@ -388,4 +386,4 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False)
 
 @query("op1_suffix_dedup")
 def op1(spark, sf):
-    return remove_repeats(read(spark, sf, "documents"))
+    return remove_repeats(read(spark, sf, "documents")).withColumn("shortened", F.col("n_removed") > 0)
