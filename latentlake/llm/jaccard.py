@@ -5,15 +5,16 @@
 2. Each document keeps its set size, a 128-bit fingerprint of its set, a token bitmap of four to eight bits an item and its prefix: the first
    ``n - ceil(t * n) + 1`` shingles in that order. Sets that link share a prefix shingle. Equal sets form one class from here on, and of
    prefix shingles that the same classes have one is kept.
-3. Classes that share a prefix shingle are first compared with the class whose prefix is shared most, then, while they are not in one
-   component, with neighbours in random orders and orders by a small minwise sketch. That joins large groups of near copies with a few comparisons per member.
-4. Shingles are split into cells of compatible sizes. Cells whose classes still lie in several components get a signature tree: nodes hold OR-combined bitmaps, size ranges and component
-   ranges. A dual traversal drops node pairs of one component, of incompatible sizes or with too small a possible overlap. Surviving
-   pairs are checked exactly, so no link between different components is missed. A shingle with more than ``CELL`` classes is cut into
-   chunks whose pairs meet in tasks of their own.
+3. The classes of all prefix shingles whose most shared class is the same make one star, so that a bitmap moves once for all of them. Stars whose
+   classes still lie in several components get a signature tree: nodes hold OR-combined bitmaps, size ranges and component ranges. A dual
+   traversal drops node pairs of one component, of incompatible sizes or with too small a possible overlap; leaf pairs are bounded again by their
+   whole bitmaps. A star with more than ``CELL`` classes is cut by size, then into chunks whose pairs meet in tasks of their own.
+4. Traversals go in rounds. In each a component of a star offers its ``offer`` most promising pairs, which are checked exactly by whole sets; the
+   links found join components. A component that held pairs back goes into the next round, which offers more; the last has no bound. So no
+   link between different components is missed, and a large group of near copies is joined by a few pairs a member.
 
 Defined cases: null and empty texts, and texts of white space, have an empty set and are their own component; a null doc_id never names a
-component of others; repeated rows are equal sets; an empty table gives no rows; other columns are ignored.
+component of others, but links through it count; repeated rows are equal sets; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,15 +34,13 @@ COUNTERS = 1 << 16
 #: Bits of a tree node; documents have bitmaps of at least as many.
 BITS = 1024
 WIDEST = 1 << 19
-#: Classes of one shingle that one task compares; more are cut into chunks.
+#: Classes of one star that one task compares; more are cut into chunks.
 CELL = 4096
 FAN = 8
-#: Values of a minwise sketch, one byte each. A pair is tried before the trees if their share that agrees is ``SLACK`` below the threshold or more.
-SKETCH, SLACK = 32, 0.06
-#: Rounds of neighbours among classes that are still apart, and orders in each.
-ROUNDS, ORDERS = 2, 16
-#: Classes of a cell that one task puts in order.
-RING = 10_000
+#: Pairs that a component of a star offers in each round; the last round has no bound.
+OFFERS = (2, 16, 128, None)
+#: Pairs that a traversal holds before it drops those beyond the offer.
+HELD = 500_000
 #: Node pairs that a traversal holds at once.
 SLAB = 200_000
 #: Ids up to which a list of documents is broadcast (about 16 MB); beyond, the join shuffles.
@@ -71,16 +70,6 @@ def word_levels(docs: DataFrame) -> np.ndarray:
     return levels
 
 
-_ODD = mix(np.arange(SKETCH, dtype=U64) + U64(77)) | U64(1)
-
-
-def sketch(s: np.ndarray) -> bytes:
-    """Low bytes of the minima of ``SKETCH`` hash functions over the items."""
-    if not len(s):
-        return bytes(SKETCH)
-    return mix(np.array([(s * odd).min() for odd in _ODD], U64)).astype(np.uint8).tobytes()
-
-
 def _keyed(batch: pa.RecordBatch, levels: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(order keys, offsets by document): rarity of the words in the top byte, the shingle's hash below."""
     raw, offsets = text_bytes(batch.column("text"))
@@ -122,17 +111,16 @@ def _profile(levels: np.ndarray, k: int, num: int, den: int):
     def work(batches):
         for b in chunks(batches, "text"):
             keys, at = _keyed(b, levels, k)
-            n, prints, prefix, bits, sketches = [], [], [], [], []
+            n, prints, prefix, bits = [], [], [], []
             for s in _unique(keys, at):
                 n.append(len(s))
                 prints.append(fingerprint(s))
                 prefix.append(s[: len(s) - -(-num * len(s) // den) + 1].astype(np.int64) if len(s) else np.zeros(0, np.int64))
                 bits.append(bitmap(s))
-                sketches.append(sketch(s))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]), pa.int32()), pa.array(np.concatenate([*prefix, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), lists, pa.array(bits, pa.binary()), pa.array(sketches, pa.binary())],
-                ["doc_id", "n", "fp", "prefix", "bits", "sketch"],
+                [b.column("doc_id"), b.column("digest"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), lists, pa.array(bits, pa.binary())],
+                ["doc_id", "digest", "n", "fp", "prefix", "bits"],
             )
 
     return work
@@ -153,18 +141,38 @@ def _popcount(bits: np.ndarray) -> np.ndarray:
     return np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
 
 
-def can_link(a: list[bytes], b: list[bytes], n_a: np.ndarray, n_b: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Whether the bitmaps of pairs, folded to the narrower of the two, allow a link."""
-    width = np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
-    ok = np.zeros(len(a), bool)
-    for w in np.unique(width):
-        rows = np.flatnonzero(width == w)
-        for i in range(0, len(rows), max(1, (8 << 20) // int(w))):
-            at = rows[i : i + max(1, (8 << 20) // int(w))]
-            x, y = (np.stack([folded(side[j], int(w)) for j in at]) for side in (a, b))
-            most = possible(x, y, n_a[at] - _popcount(x), n_b[at] - _popcount(y), n_a[at], n_b[at])
-            ok[at] = (num + den) * most >= num * (n_a[at] + n_b[at])
-    return ok
+class Bitmaps:
+    """Bitmaps of different widths, side by side; a pair is compared at the narrower width of the two. Linked sizes differ ``reach``-fold at most."""
+
+    def __init__(self, bits: list[bytes], size: np.ndarray, reach: float):
+        self.bits, self.size, self.width = bits, size, np.array([len(b) for b in bits], np.int64)
+        self.steps = 2 ** int(np.ceil(np.log2(reach)))
+        self.at: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def _folded(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each row, bitmaps, items that share a bit) of the rows that are as wide, or as much wider as linked ones can be."""
+        if width not in self.at:
+            rows = np.flatnonzero((self.width >= width) & (self.width <= self.steps * width))
+            place = np.full(len(self.bits), -1, np.int64)
+            place[rows] = np.arange(len(rows))
+            held = np.stack([folded(self.bits[i], width) for i in rows])
+            self.at[width] = place, held, self.size[rows] - _popcount(held)
+        return self.at[width]
+
+    def overlap(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Largest overlap of pairs of rows that their bitmaps allow."""
+        most = np.zeros(len(x), np.int64)
+        narrow = np.minimum(self.width[x], self.width[y])
+        for w in np.unique(narrow).tolist():
+            rows = np.flatnonzero(narrow == w)
+            place, held, spare = self._folded(w)
+            step = max(1, (8 << 20) // w)
+            for i in range(0, len(rows), step):
+                at = rows[i : i + step]
+                u, v = place[x[at]], place[y[at]]
+                far = (u < 0) | (v < 0)  # sizes too unlike to link
+                most[at] = np.where(far, 0, possible(held[u], held[v], spare[u], spare[v], self.size[x[at]], self.size[y[at]]))
+        return most
 
 
 def possible(bits_x, bits_y, spare_x, spare_y, max_x, max_y):
@@ -230,50 +238,71 @@ class SignatureTree:
                 stack.append((level - 1, a[ordered], b[ordered]))
 
 
-def _traverse(num: int, den: int):
+class Offers:
+    """The most promising pairs of each component: pairs beyond the offer of both their components are held back."""
+
+    def __init__(self, comp: np.ndarray, offer: int | None):
+        self.comp, self.offer = comp, offer
+        self.x = self.y = np.zeros(0, np.int64)
+        self.score = np.zeros(0)
+        self.cut = np.zeros(len(comp), bool)
+
+    def add(self, x: np.ndarray, y: np.ndarray, score: np.ndarray) -> None:
+        self.x, self.y, self.score = np.concatenate([self.x, x]), np.concatenate([self.y, y]), np.concatenate([self.score, score])
+        if len(self.x) > HELD:
+            self.drop()
+
+    def drop(self) -> None:
+        if self.offer is None or not len(self.x):
+            return
+        side = np.concatenate([self.comp[self.x], self.comp[self.y]])
+        order = np.lexsort((-np.concatenate([self.score, self.score]), side))
+        head = np.flatnonzero(np.concatenate([[True], side[order][1:] != side[order][:-1]]))
+        nth = np.empty(len(order), np.int64)
+        nth[order] = np.arange(len(order)) - np.repeat(head, np.diff(np.concatenate([head, [len(order)]])))
+        keep = (nth < self.offer).reshape(2, -1).any(axis=0)
+        self.cut[self.comp[self.x[~keep]]] = True
+        self.cut[self.comp[self.y[~keep]]] = True
+        self.x, self.y, self.score = self.x[keep], self.y[keep], self.score[keep]
+
+
+def _traverse(num: int, den: int, offer: int | None):
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cell", "n"], kind="stable")
-        fp, names = pd.factorize(pdf["fp"])
-        comp, size = pd.factorize(pdf["comp"])[0], pdf["n"].to_numpy(np.int64)
-        bits = pdf["bits"].tolist()
-        row = np.zeros(len(names), np.int64)
-        row[fp] = np.arange(len(fp))
-        tree = SignatureTree(pd.factorize(pdf["cell"])[0], size, comp, np.stack([folded(x, BITS // 8) for x in bits]))
-        tried, kept, n = np.zeros(0, np.int64), [], len(names)
-        for x, y in tree.pairs(num, den):
-            a, b = fp[x], fp[y]
-            apart = (comp[x] != comp[y]) & (a != b)
-            new = np.setdiff1d(np.minimum(a, b)[apart] * n + np.maximum(a, b)[apart], tried)
-            tried = np.union1d(tried, new)
-            u, v = row[new // n], row[new % n]
-            kept.append(new[can_link([bits[i] for i in u], [bits[i] for i in v], size[u], size[v], num, den)])
-        kept, names = np.concatenate([np.zeros(0, np.int64), *kept]), np.asarray(names, object)
-        return pd.DataFrame({"u": names[kept // max(n, 1)], "v": names[kept % max(n, 1)]})
+        """(u, v, more): pairs to check; ``more`` if either component held others back."""
+        found: dict[tuple[bytes, bytes], bool] = {}
+        for _, rows in pdf.groupby("cell", sort=False):
+            rows = rows.sort_values("n", kind="stable")
+            names, size, comp = rows["fp"].tolist(), rows["n"].to_numpy(np.int64), pd.factorize(rows["comp"])[0]
+            maps = Bitmaps(rows["bits"].tolist(), size, den / num)
+            tree = SignatureTree(np.zeros(len(size), np.int64), size, comp, np.stack([folded(b, BITS // 8) for b in maps.bits]))
+            offers = Offers(comp, offer)
+            for x, y in tree.pairs(num, den):
+                apart = comp[x] != comp[y]
+                x, y = x[apart], y[apart]
+                most, both = maps.overlap(x, y), size[x] + size[y]
+                ok = (num + den) * most >= num * both
+                offers.add(x[ok], y[ok], most[ok] / both[ok])
+            offers.drop()
+            more = offers.cut[comp[offers.x]] | offers.cut[comp[offers.y]]
+            for i, j, m in zip(offers.x.tolist(), offers.y.tolist(), more.tolist(), strict=True):
+                pair = (names[i], names[j]) if names[i] < names[j] else (names[j], names[i])
+                found[pair] = found.get(pair, False) or m
+        return pd.DataFrame({"u": pd.Series([p[0] for p in found], dtype=object), "v": pd.Series([p[1] for p in found], dtype=object), "more": pd.Series(found.values(), dtype=bool)})
 
     return work
 
 
-def _neighbours(turn: int, num: int, den: int):
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp, names = pd.factorize(pdf["fp"])
-        cell, comp, n = pd.factorize(pdf["cell"])[0], pd.factorize(pdf["comp"])[0], pdf["n"].to_numpy(np.int64)
-        values = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SKETCH)
-        mark = np.frombuffer(b"".join(x[:8] for x in pdf["fp"]), np.uint64)
-        found = np.zeros(0, np.int64)
-        for i in range(ORDERS):
-            if i % 4 == 0:  # a quarter by sketch, the others at random
-                lead = np.ascontiguousarray(np.roll(values, -4 * (i // 4) - 2 * turn, axis=1)[:, :8]).view(">u8").ravel()
-            else:
-                lead = mix(mark + U64(1000 * turn + i))
-            order = np.lexsort((lead, cell))
-            x, y = order[:-1], order[1:]
-            ok = (cell[x] == cell[y]) & (comp[x] != comp[y]) & (n[x] * den >= num * n[y]) & (n[y] * den >= num * n[x])
-            x, y = x[ok], y[ok]
-            ok = (values[x] == values[y]).mean(axis=1) >= num / den - SLACK
-            a, b = fp[x[ok]], fp[y[ok]]
-            found = np.union1d(found, np.minimum(a, b) * len(names) + np.maximum(a, b))
-        names = np.asarray(names, object)
-        return pd.DataFrame({"u": names[found // max(len(names), 1)], "v": names[found % max(len(names), 1)]})
+def _checked(num: int, den: int):
+    def work(batches):
+        """Pairs that link by their whole sets."""
+        for b in batches:
+            sides = [(c, b.column(c).offsets.to_numpy(), b.column(c).values.to_numpy().view(U64)) for c in ("a", "b")]
+            ok = np.zeros(b.num_rows, bool)
+            for i in range(b.num_rows):
+                x, y = (flat[at[i] : at[i + 1]] for _, at, flat in sides)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok[i] = den * common >= num * (len(x) + len(y) - common)
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(ok)], ["u", "v", "linked"])
 
     return work
 
@@ -283,139 +312,132 @@ def _few(df: DataFrame, n: int) -> DataFrame:
 
 
 class _Join:
-    """State of one join: documents, classes and the sets of the classes that have candidates."""
+    """State of one join: documents, classes and stars."""
 
     def __init__(self, docs: DataFrame, k: int, num: int, den: int):
         self.k, self.num, self.den = k, num, den
-        self.docs = typed(docs, doc_id="long", text="string")
+        self.docs = typed(docs, doc_id="long", text="string").withColumn("digest", F.xxhash64("text"))
         self.levels = word_levels(self.docs)
-        self.rows = settle(self.docs.mapInArrow(_profile(self.levels, k, num, den), "doc_id long, n long, fp binary, prefix array<long>, bits binary, sketch binary"))
+        self.rows = settle(self.docs.mapInArrow(_profile(self.levels, k, num, den), "doc_id long, digest long, n long, fp binary, prefix array<long>, bits binary"))
         full = self.rows.where(F.col("n") > 0)
-        self.classes = settle(full.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
-        # one row per class: the others are the few whose doc_id is not the least of their class
-        other = settle(
-            full.select("doc_id", "fp").join(self.classes.where("copies > 1").select("fp", F.col("doc_id").alias("least")), "fp")
-            .where(~F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("other"), F.col("fp").alias("of"))
-        )
-        few = other.count()
-        self.wide = full.join(_few(other, few), F.col("doc_id").eqNullSafe(F.col("other")) & (F.col("fp") == F.col("of")), "left_anti")
-        if full.count() - few > self.classes.count():
-            self.wide = settle(self.wide.dropDuplicates(["fp"]))
-        tokens = self.wide.select("fp", F.explode("prefix").alias("token"))
+        self.classes = settle(full.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("first"), F.count(F.lit(1)).alias("copies")))
+        # one row per class: the others are those of classes with several rows that are not the first one
+        many = settle(self.classes.where("copies > 1").select("fp", F.col("first.doc_id").alias("least"), F.col("first.digest").alias("lead")))
+        n = many.count()
+        only = self.rows.select("fp", "doc_id", "digest", "n", "prefix", "bits").where("n > 0").join(_few(many, n), "fp", "left_anti")
+        first = full.join(_few(many, n), "fp").where(F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("digest") == F.col("lead")))
+        self.wide = only.select("fp", "n", "prefix", "bits").union(first.dropDuplicates(["fp"]).select("fp", "n", "prefix", "bits"))
+        self.stars = self._stars()
+
+    def _stars(self) -> DataFrame:
+        """(star, fp, n, bits): the classes that may link, by the most shared class of their prefix shingles."""
+        tokens = self.wide.select("fp", "n", F.explode("prefix").alias("token"))
         members = [F.count(F.lit(1)).alias("m"), *(F.bit_xor(F.xxhash64("fp", F.lit(i))).alias(f"x{i}") for i in (0, 1))]
-        shared = settle(tokens.groupBy("token").agg(*members).where("m > 1").groupBy("m", "x0", "x1").agg(F.min("token").alias("token")).select("token", "m"))
+        shared = tokens.groupBy("token").agg(*members).where("m > 1").groupBy("m", "x0", "x1").agg(F.min("token").alias("token")).select("token")
+        shared = settle(shared)
         n = shared.count()
-        #: (token, m, fp) of prefix shingles that at least two classes have, one for each set of classes
-        self.cand = settle(tokens.join(F.broadcast(shared) if n <= FEW_TOKENS else shared, "token").select("token", "m", "fp"))
-        own = self.cand.groupBy("fp").agg(F.count(F.lit(1)).alias("score"))
-        own = settle(own)
-        self.scored = settle(self.wide.select("fp", "n", "bits", "sketch", "doc_id").join(_few(own, own.count()), "fp").select("fp", "n", "bits", "sketch", "doc_id", (F.col("score") / F.col("n")).alias("score")))
-
-    def pivots(self) -> DataFrame:
-        """Pairs to try first: of each shingle's classes the most shared one with the others."""
-        side = self.scored.select("fp", "n", "score")
-        rows = settle(self.cand.join(_few(side, side.count()), "fp"))
-        best = rows.groupBy("token").agg(F.max(F.struct("score", "fp", "n")).alias("p")).select("token", F.col("p.fp").alias("v"), F.col("p.n").alias("n_v"))
-        pairs = rows.select("token", F.col("fp").alias("u"), F.col("n").alias("n_u")).join(best, "token").select("u", "n_u", "v", "n_v")
-        return self.near(pairs)
-
-    def near(self, pairs: DataFrame) -> DataFrame:
-        fits = (F.least("n_u", "n_v") * self.den >= self.num * F.greatest("n_u", "n_v")) & (F.col("u") != F.col("v"))
-        return pairs.where(fits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-    def neighbours(self, cells: DataFrame, turn: int) -> DataFrame:
-        """(u, v) of different components in one cell that are neighbours in an order by sketch; large cells are cut at random first."""
-        side = self.scored.select("fp", "sketch")
-        rows = cells.join(_few(side, side.count()), "fp")
-        chunk = F.pmod(F.xxhash64("fp", F.lit(turn)), F.ceil(F.col("m") / RING))
-        rows = rows.select("fp", "n", "comp", "sketch", F.xxhash64("token", "size_class", chunk).alias("cell"))
-        parts = parts_for(self.docs.sparkSession, rows.count(), 100_000)
-        return rows.withColumn("part", F.pmod("cell", F.lit(parts))).groupBy("part").applyInPandas(_neighbours(turn, self.num, self.den), "u binary, v binary").distinct()
-
-    def cells(self, comp: DataFrame) -> DataFrame:
-        """(token, m, fp, n, comp, size_class) of the cells whose classes lie in several components. Linked sizes are in one class or neighbours."""
-        side = self.scored.select("fp", "n")
-        rows = self.cand.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("component", "fp")).join(_few(side, side.count()), "fp")
+        #: prefix shingles that at least two classes have, one for each set of classes
+        cand = settle(tokens.join(F.broadcast(shared) if n <= FEW_TOKENS else shared, "token"))
+        score = settle(cand.groupBy("fp").agg((F.count(F.lit(1)) / F.first("n")).alias("score")))
+        scored = cand.select("token", "fp").join(_few(score, score.count()), "fp")
+        best = scored.groupBy("token").agg(F.max(F.struct("score", "fp")).alias("p")).select("token", F.col("p.fp").alias("star"))
+        held = settle(cand.select("token", "fp").join(best, "token").select("star", "fp").distinct())
+        bits = self.wide.select("fp", "n", "bits")
+        return settle(held.join(bits, "fp").select("star", "fp", "n", "bits"))
+
+    def cells(self, comp: DataFrame | None, only: DataFrame | None) -> DataFrame:
+        """(cell, fp, n, comp, bits) of the stars whose classes lie in several components; ``only`` classes of these components."""
+        rows = self.stars
+        if comp is None:
+            rows = rows.withColumn("comp", F.col("fp"))
+        else:
+            rows = rows.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("component", "fp")).drop("component")
+        if only is not None:
+            rows = rows.join(only, "comp", "left_semi")
+        mixed = rows.groupBy("star").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where(F.col("lo") != F.col("hi"))
+        rows = rows.join(settle(mixed.select("star", "m")), "star")
+        # linked sizes are in one size class or in neighbouring ones
         own = F.floor(F.log(F.col("n").cast("double")) / float(np.log(self.den / self.num)) - 1e-6).cast("int")
-        rows = rows.select("token", "m", "fp", "n", "comp", F.explode(F.array(own, own + 1)).alias("size_class"))
-        mixed = rows.groupBy("token", "size_class").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("token", "size_class")
-        return settle(rows.join(mixed, ["token", "size_class"]))
-
-    def bounded(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose bitmaps allow a link."""
-        side = lambda c: self.scored.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"b_{c}"))
-        num, den = self.num, self.den
-
-        def work(batches):
-            for b in batches:
-                n_u, n_v = (b.column(c).to_numpy() for c in ("n_u", "n_v"))
-                x, y = (b.column(c).to_pylist() for c in ("b_u", "b_v"))
-                yield b.filter(pa.array(can_link(x, y, n_u, n_v, num, den), pa.bool_())).select(["u", "v"])
-
-        return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(work, "u binary, v binary")
+        rows = rows.withColumn("size_class", F.explode(F.when(F.col("m") > CELL, F.array(own, own + 1)).otherwise(F.array(F.lit(-1)))))
+        sizes = settle(rows.where(F.col("m") > CELL).groupBy("star", "size_class").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cut")).where("cut > 1"))
+        if sizes.isEmpty():
+            return rows.select(F.xxhash64("star", "size_class").alias("cell"), "fp", "n", "comp", "bits")
+        rows = rows.join(sizes, ["star", "size_class"], "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("cut")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+        return rows.select(F.xxhash64("star", "size_class", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp", "n", "comp", "bits")
+
+    def offered(self, cells: DataFrame, offer: int | None) -> DataFrame:
+        """(u, v, more) from the signature trees."""
+        cells = settle(cells)
+        total = cells.agg(F.sum(F.length("bits") + 100)).first()[0] or 0
+        parts = parts_for(self.docs.sparkSession, total, 12 << 20)
+        found = cells.withColumn("part", F.pmod("cell", F.lit(parts))).groupBy("part").applyInPandas(_traverse(self.num, self.den, offer), "u binary, v binary, more boolean")
+        return settle(found.groupBy("u", "v").agg(F.max("more").alias("more")))
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """Pairs that link by their whole sets; the sets of classes in ``pairs`` are taken from the texts."""
-        pairs = settle(pairs)
+        """(u, v) of the ``pairs`` that link by their whole sets; the sets are taken from the texts of one row per class."""
         wanted = settle(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct())
-        reps = settle(self.scored.join(wanted, "fp", "left_semi").select("doc_id"))
-        texts = self.docs.join(_few(reps, reps.count()), "doc_id", "left_semi")
+        few = wanted.count()
+        firsts = settle(self.classes.join(_few(wanted, few), "fp", "left_semi").select("first.doc_id", "first.digest").distinct())
+        reps = _few(firsts.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")), few)
+        texts = self.docs.join(reps, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest")), "left_semi")
         sets = texts.mapInArrow(_sets(self.levels, self.k), "fp binary, items array<long>")
-        wanted_n = wanted.count()
-        sets = settle(sets.join(_few(wanted, wanted_n), "fp", "left_semi").dropDuplicates(["fp"]))
+        sets = settle(sets.join(_few(wanted, few), "fp", "left_semi").dropDuplicates(["fp"]))
         a = sets.select(F.col("fp").alias("u"), F.col("items").alias("a"))
         b = sets.select(F.col("fp").alias("v"), F.col("items").alias("b"))
-        common = F.size(F.array_intersect("a", "b")).cast("long")
-        union = F.size("a") + F.size("b") - common
-        return settle(pairs.join(a, "u").join(b, "v").where(self.den * common >= self.num * union).select("u", "v"))
-
-    def across(self, comp: DataFrame) -> DataFrame:
-        """Candidate pairs of different components, from the signature trees."""
-        rows = settle(self.cells(comp).join(self.scored.select("fp", "bits"), "fp"))
-        cut = F.ceil(F.col("m") / CELL).cast("int")
-        own = F.pmod(F.xxhash64("fp"), cut).cast("int")
-        rows = rows.withColumn("cut", cut).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-        cell = F.xxhash64("token", "size_class", F.least("own", "other"), F.greatest("own", "other"))
-        total = rows.agg(F.sum(F.length("bits") + 100)).first()[0] or 0
-        parts = parts_for(self.docs.sparkSession, total, 12 << 20)
-        rows = rows.select("fp", "n", "comp", cell.alias("cell"), "bits")
-        return rows.withColumn("part", F.pmod("cell", F.lit(parts))).groupBy("part").applyInPandas(_traverse(self.num, self.den), "u binary, v binary").distinct()
+        return settle(pairs.select("u", "v").join(a, "u").join(b, "v").mapInArrow(_checked(self.num, self.den), "u binary, v binary, linked boolean").where("linked").select("u", "v"))
+
+    def components(self) -> DataFrame:
+        """(node, component) of the classes that link with others."""
+        spark, links, comp, only = self.docs.sparkSession, None, None, None
+        for offer in OFFERS:
+            pairs = self.offered(self.cells(comp, only), offer)
+            new = self.linked(pairs)
+            links = new if links is None else links.union(new)
+            comp = components(links)
+            release(spark)
+            held = settle(pairs.where("more").select(F.explode(F.array("u", "v")).alias("node")).distinct().join(comp, "node", "left").select(F.coalesce("component", "node").alias("comp")).distinct())
+            if held.isEmpty():
+                break
+            only = held
+        return comp
+
+    def labelled(self) -> DataFrame:
+        """(fp, component, first) of the classes with several rows or links; ``first`` is the class's first row (null doc_ids last)."""
+        of = self.classes.join(self.components().withColumnRenamed("node", "fp"), "fp", "left").where((F.col("copies") > 1) | F.col("component").isNotNull())
+        return settle(of.select("fp", F.coalesce("component", "fp").alias("component"), "first"))
 
 
 def shingle_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text): sets link when ``den`` x overlap >= ``num`` x union."""
     with scratch_scope(docs.sparkSession) as keep:
-        return keep(_groups(docs, k, num, den))
-
-
-def _groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    j = _Join(docs, k, num, den)
-    links = j.linked(j.bounded(j.pivots()))
-    release(docs.sparkSession)
-    for turn in range(ROUNDS):
-        links = links.union(j.linked(j.bounded(j.neighbours(j.cells(components(links)), turn))))
-        release(docs.sparkSession)
-    links = links.union(j.linked(j.across(components(links))))
-    release(docs.sparkSession)
-    comp = components(links)
-    of = j.classes.select("fp", "doc_id", "copies").join(comp.withColumnRenamed("node", "fp"), "fp", "left")
-    of = settle(of.withColumn("component", F.coalesce("component", "fp")))
-    least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("members")).where(F.col("members") > 1)
-    named = of.join(least, "component").select("fp", "component_id")
-    out = j.rows.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(named, "fp", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        j = _Join(docs, k, num, den)
+        of = j.labelled()
+        least = of.groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
+        named = of.join(least, "component").select("fp", "component_id")
+        out = j.rows.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(named, "fp", "left")
+        return keep(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` without the documents that are not the least doc_id of their group; of rows equal in doc_id and text one stays."""
-    groups = shingle_groups(docs, k, num, den)
-    gone = settle(groups.where((F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct())
-    twice = settle(groups.where(F.col("n_shingles") > 0).groupBy("doc_id").count().where((F.col("count") > 1) & F.col("doc_id").isNotNull()).select("doc_id"))
-    kept = docs.join(_few(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each group: that of the least doc_id (null last), of texts with that doc_id one. Rows without a shingle all stay."""
+    with scratch_scope(docs.sparkSession) as keep:
+        j = _Join(docs, k, num, den)
+        of = j.labelled()
+        first = of.groupBy("component").agg(F.min("first").alias("winner"))
+        named = of.join(first, "component").select("fp", "winner")
+        rows = j.rows.select("doc_id", "digest", "fp").join(named, "fp")
+        same = F.col("doc_id").eqNullSafe(F.col("winner.doc_id")) & (F.col("digest") == F.col("winner.digest"))
+        gone = keep(rows.where(~same).select("doc_id", "digest").distinct())
+        twice = keep(rows.where(same).groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest"))
+    digest = F.xxhash64(F.col("text").cast("string"))
+    key = [fresh(docs, "_doc"), fresh(docs, "_digest")]
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col(key[0])) & (digest == F.col(key[1]))
+    kept = docs.join(_few(gone.toDF(*key), gone.count()), match, "left_anti")
     if twice.isEmpty():
         return kept
-    again = _few(twice, twice.count())
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    again = _few(twice.toDF(*key), twice.count())
+    return kept.join(again, match, "left_anti").unionByName(kept.join(again, match, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 @query("op9_shingle_jaccard")

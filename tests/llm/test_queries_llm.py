@@ -318,8 +318,8 @@ def test_op9(spark, documents):
 def test_large_near_copy_groups(spark, monkeypatch):
     """Cells that are cut into chunks, several rounds, chains of links."""
     monkeypatch.setattr(jaccard, "CELL", 8)
-    monkeypatch.setattr(jaccard, "RING", 6)
-    monkeypatch.setattr(jaccard, "ORDERS", 1)
+    monkeypatch.setattr(jaccard, "OFFERS", (1, 2, 4, None))
+    monkeypatch.setattr(jaccard, "HELD", 10)
     rng = np.random.default_rng(6)
     word = lambda: "".join(map(chr, rng.integers(97, 123, 6)))
     texts = []
@@ -337,6 +337,38 @@ def test_large_near_copy_groups(spark, monkeypatch):
     assert got == components_of(rows, 3, 90, 100)
 
 
+def test_links_through_null_ids(spark):
+    words = [f"w{i}" for i in range(200)]
+    edit = lambda *at: " ".join(w if i not in at else f"x{i}" for i, w in enumerate(words))
+    rows = [(1, edit()), (None, edit(50, 51, 52)), (3, edit(50, 51, 52, 120, 121, 122)), (4, "something else altogether here"), (None, "a text of its own again")]
+    pairs = components_of([(i, t) for i, (_, t) in enumerate(rows)], 3, 90, 100)
+    assert [c for _, c in pairs.values()] == [0, 0, 0, 3, 4]
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.shingle_groups(docs_of(spark, rows), 3, 90, 100).collect()), key=str)
+    assert got == sorted([(1, 1), (None, 1), (3, 1), (4, 4), (None, None)], key=str)
+    kept = jaccard.keep_one(docs_of(spark, rows), 3, 90, 100).collect()
+    assert sorted((r["text"] for r in kept)) == sorted(rows[i][1] for i in (0, 3, 4))
+
+
+def test_one_id_with_two_texts(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, base), (5, base + " more"), (5, "quite another clean text of that doc_id"), (None, base), (7, None), (7, None), (9, "twice the same row"), (9, "twice the same row")]
+    got = jaccard.keep_one(docs_of(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([rows[0], rows[2], rows[4], rows[5], rows[6]], key=str)
+    assert [c for c in got[0].asDict()] == docs_of(spark, rows).columns
+
+
+def test_wide_and_narrow_bitmaps():
+    """The bound is never below the overlap, at any ratio of sizes."""
+    rng = np.random.default_rng(8)
+    sets = [jaccard.distinct(rng.integers(0, 3000, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for n in (1, 30, 120, 400, 900, 1500, 2500)]
+    size = np.array([len(s) for s in sets])
+    maps = jaccard.Bitmaps([jaccard.bitmap(s) for s in sets], size, 100.0)
+    x, y = (i.ravel() for i in np.indices((len(sets), len(sets))))
+    true = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(x, y, strict=True)])
+    most = maps.overlap(x, y)
+    assert (most >= true).all() and (most <= np.minimum(size[x], size[y])).all()
+
+
 def test_op10(spark, duck, documents):
     items = duck.execute("SELECT item_id, text FROM benchmark").fetchall()
     rng = np.random.default_rng(7)
