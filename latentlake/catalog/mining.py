@@ -364,6 +364,16 @@ def h16(spark, sf):
     return encode.encode_concept(fx.tiles(spark, sf), fx.model(spark, sf), 11, 40)
 
 
+@query(
+    "h16_concept_tiles_blocked",
+    needs="pre",
+    d="concept_score",
+    sql=f"{_MARGIN} SELECT slide_key, tile_index, margin AS concept_score FROM m ORDER BY round(margin, 9) DESC, slide_key, tile_index LIMIT 40",
+)
+def h16_blocked(spark, sf):
+    return encode.encode_concept(fx.tiles(spark, sf), fx.model(spark, sf, block_bytes=7 * fx.D_IN * 8), 11, 40)
+
+
 @query(
     "h16_concept_tiles_table",
     needs="pre",

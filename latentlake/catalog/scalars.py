@@ -290,6 +290,14 @@ for _mode, _score in (("value", "a"), ("magnitude", "abs(a)")):
     query(f"v6_batch_topk_{_mode}", needs="pre", d="z", sql=_batch_sql(_score))(_batch)
 
 
+def _batch_blocked(spark, sf):
+    model = fx.model(spark, sf, kind="batch_topk", k=3, chunk_tiles=8, mode="magnitude", block_bytes=7 * fx.D_IN * 8)
+    return encode.encode_hits(fx.tiles(spark, sf), model).select("slide_key", "tile_index", "latent_idx", "z")
+
+
+query("v6_batch_topk_blocked", needs="pre", d="z", sql=_batch_sql("abs(a)"))(_batch_blocked)
+
+
 @query("v7_hit_flatten", needs="pre", d="z", sql=_topk_sql("a", "a"))
 def v7(spark, sf):
     hits = encode.encode_hits(fx.tiles(spark, sf), fx.model(spark, sf, kind="topk", k=5))
@@ -320,6 +328,30 @@ def v8_blocked(spark, sf):
     return fired.select("slide_key", "tile_index", F.posexplode("x_hat").alias("dim", "x_hat"))
 
 
+def _decode_hits_sql(hits: str) -> str:
+    """Every tile's decoded vector: tiles without a hit decode to the bias."""
+    return f"""WITH h AS ({hits}),
+s AS (SELECT h.slide_key, h.tile_index, m.dim, sum(h.z * m.w) AS s FROM h JOIN model_dims m USING (latent_idx) GROUP BY ALL)
+SELECT t.slide_key, t.tile_index, t.dim, coalesce(s.s, 0) + 0.01 AS x_hat
+FROM tile_dims t LEFT JOIN s ON s.slide_key = t.slide_key AND s.tile_index = t.tile_index AND s.dim = t.dim"""
+
+
+def _decoded(**rule):
+    def build(spark, sf):
+        recon = encode.reconstruct(fx.tiles(spark, sf), fx.model(spark, sf, **rule), fx.encoder(spark, sf), b_dec=(0.01,) * fx.D_IN)
+        return recon.select("slide_key", "tile_index", F.posexplode("x_hat").alias("dim", "x_hat"))
+
+    return build
+
+
+for _name, _hits, _rule in (
+    ("batch_topk", _batch_sql("a"), {"kind": "batch_topk", "k": 3, "chunk_tiles": 8}),
+    ("batch_topk_blocked", _batch_sql("abs(a)"), {"kind": "batch_topk", "k": 3, "chunk_tiles": 8, "mode": "magnitude", "block_bytes": 7 * fx.D_IN * 8}),
+    ("topk_blocked", _topk_sql("a", "a"), {"kind": "topk", "k": 5, "block_bytes": 16 * fx.D_IN * 8}),
+):
+    query(f"v8_decode_{_name}", needs="pre tile_dims model_dims", d="x_hat", sql=_decode_hits_sql(_hits))(_decoded(**_rule))
+
+
 @query("v8_decode_table", needs="dense model_dims", d="x_hat", sql=_DECODE_SQL)
 def v8_table(spark, sf):
     weights = fx.encoder(spark, sf)

@@ -141,6 +141,28 @@ def g24_table(spark, sf):
     return stats.activation_monitor(hits, _count(tiles), fx.LATENTS)
 
 
+@query("g24_activation_monitor_blocked", needs="pre", d=_G24_D, sql=_G24)
+def g24_blocked(spark, sf):
+    """Weights in blocks of 7 latents: the two largest activations of a tile come from any two of them."""
+    return encode.encode_monitor(fx.tiles(spark, sf), fx.model(spark, sf, block_bytes=7 * fx.D_IN * 8))
+
+
+@query(
+    "g24_activation_monitor_batch_topk",
+    needs="pre",
+    d=_G24_D,
+    sql="""WITH r AS (SELECT slide_key, tile_index, a, row_number() OVER (PARTITION BY slide_key, tile_index // 8 ORDER BY abs(a) DESC, latent_idx, tile_index) AS rn,
+  count(DISTINCT tile_index) OVER (PARTITION BY slide_key, tile_index // 8) AS b FROM pre),
+z AS (SELECT slide_key, tile_index, CASE WHEN rn <= 3 * b THEN a ELSE 0 END AS z FROM r),
+t AS (SELECT slide_key, tile_index, count_if(z <> 0) AS nz, list(z ORDER BY z DESC) AS l FROM z GROUP BY 1, 2)
+SELECT (SELECT avg(CASE WHEN z <> 0 THEN 1.0 ELSE 0.0 END) FROM z) AS frac_nonzero, avg(nz) AS mean_nonzero_per_sample,
+  (SELECT avg(z) FROM z) AS z_mean, (SELECT stddev_pop(z) FROM z) AS z_std, avg(l[1] - l[2]) AS top1_top2_margin FROM t""",
+)
+def g24_batch(spark, sf):
+    model = fx.model(spark, sf, kind="batch_topk", k=3, chunk_tiles=8, mode="magnitude", block_bytes=7 * fx.D_IN * 8)
+    return encode.encode_monitor(fx.tiles(spark, sf), model)
+
+
 _G25 = """WITH l AS (SELECT latent_idx, max(greatest(a, 0)) AS top, avg(greatest(a, 0)) AS m FROM pre GROUP BY 1)
 SELECT 1.0 - avg(CASE WHEN top > 0.15 THEN 1.0 ELSE 0.0 END) AS dead_frac, avg(m) AS mean_abs_act_per_latent,
   max(m) AS max_abs_act_per_latent FROM l"""
@@ -173,6 +195,23 @@ def g26(spark, sf):
     return stats.reconstruction_error(recon, fx.LATENTS)
 
 
+@query(
+    "g26_reconstruction_error_blocked",
+    needs="pre tile_dims model_dims",
+    d="mse l1",
+    sql="""WITH r AS (SELECT slide_key, tile_index, latent_idx, a AS z, row_number() OVER (PARTITION BY slide_key, tile_index // 8 ORDER BY a DESC, latent_idx, tile_index) AS rn,
+  count(DISTINCT tile_index) OVER (PARTITION BY slide_key, tile_index // 8) AS b FROM pre),
+k AS (SELECT * FROM r WHERE rn <= 3 * b),
+h AS (SELECT slide_key, tile_index, m.dim, sum(z * w) AS x_hat FROM k JOIN model_dims m USING (latent_idx) GROUP BY ALL)
+SELECT avg(pow(x - coalesce(x_hat, 0), 2)) AS mse, (SELECT sum(abs(z)) FROM k) / (SELECT count(*) FROM pre) AS l1
+FROM tile_dims t LEFT JOIN h ON h.slide_key = t.slide_key AND h.tile_index = t.tile_index AND h.dim = t.dim""",
+)
+def g26_blocked(spark, sf):
+    """Batch TopK over blocks of 7 latents, decoded with the tied weights."""
+    model = fx.model(spark, sf, kind="batch_topk", k=3, chunk_tiles=8, block_bytes=7 * fx.D_IN * 8)
+    return stats.reconstruction_error(encode.reconstruct(fx.tiles(spark, sf), model), fx.LATENTS)
+
+
 _USAGE = """WITH c AS (SELECT latent_idx, parent, exp(raw) / sum(exp(raw)) OVER (PARTITION BY latent_idx) AS v FROM level2_dims),
 m AS (SELECT parent, avg(v) AS m FROM c GROUP BY 1), u AS (SELECT parent, m / (SELECT sum(m) FROM m) AS usage FROM m)"""
 

@@ -114,15 +114,14 @@ def top_mask(a: np.ndarray, k: int, by_magnitude: bool, nonneg: bool, axis: int)
     return above | (tied & (np.cumsum(tied, axis=axis) <= spare)), a
 
 
-def _blocks(model: LatentModel, latents: DataFrame | None) -> list[_Block]:
-    """Collect the encoder in latent blocks of bounded size."""
+def _blocks(model: LatentModel, latents: DataFrame | None) -> Iterator[_Block]:
+    """Collect the encoder in latent blocks of bounded size, one after the other."""
     latent_dim, d_in = model.shape()
     table = model.encoder.select("latent_idx", "w", "b")
     if latents is not None:
         table = table.join(latents.select("latent_idx").distinct(), "latent_idx", "left_semi")
     item = np.dtype(model.dtype).itemsize
     per_block = max(1, int(model.block_bytes // max(1, d_in * item)))
-    blocks = []
     for lo in range(0, max(latent_dim, 1), per_block):
         one = latent_dim <= per_block
         rows = (table if one else table.where(F.col("latent_idx").between(lo, lo + per_block - 1))).toArrow()
@@ -131,20 +130,17 @@ def _blocks(model: LatentModel, latents: DataFrame | None) -> list[_Block]:
             continue
         w = rows.column("w").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         b_pre = np.zeros(d_in) if model.b_pre is None else np.asarray(model.b_pre)
-        blocks.append(
-            _Block(
-                ids=rows.column("latent_idx").to_numpy().astype(np.int64),
-                w=np.ascontiguousarray(w.reshape(rows.num_rows, d_in).astype(model.dtype).T),
-                b=rows.column("b").to_numpy().astype(model.dtype),
-                b_pre=b_pre.astype(model.dtype),
-                kind=model.kind,
-                k=model.k,
-                by_magnitude=model.mode == "magnitude",
-                nonneg=model.nonneg,
-                input_norm=model.input_norm,
-            )
+        yield _Block(
+            ids=rows.column("latent_idx").to_numpy().astype(np.int64),
+            w=np.ascontiguousarray(w.reshape(rows.num_rows, d_in).astype(model.dtype).T),
+            b=rows.column("b").to_numpy().astype(model.dtype),
+            b_pre=b_pre.astype(model.dtype),
+            kind=model.kind,
+            k=model.k,
+            by_magnitude=model.mode == "magnitude",
+            nonneg=model.nonneg,
+            input_norm=model.input_norm,
         )
-    return blocks
 
 
 def feature_matrix(column: pa.Array, d_in: int, dtype) -> np.ndarray:
@@ -472,7 +468,9 @@ def _batch_topk_kernel(handle, k: int, table: pa.Table) -> pa.Table:
 def _batch_topk(tiles: DataFrame, model: LatentModel) -> DataFrame:
     """Groups are single chunks of ``chunk_tiles`` tiles, so no group grows with the data."""
     if _needs_split(model):
-        raise ValueError("batch_topk needs the whole encoder in one block; raise block_bytes")
+        from latentlake.operators import split
+
+        return split.hits(tiles, model)
     (block,) = _blocks(model, None)
     handle = tiles.sparkSession.sparkContext.broadcast(block)
     k = model.k
@@ -546,13 +544,15 @@ def _monitor_kernel(handle, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
 
 
 def encode_monitor(tiles: DataFrame, model: LatentModel) -> DataFrame:
-    """Activation monitor from one row per task (G24, fused); nothing per tile is shuffled."""
-    from latentlake.operators.stats import activation_monitor, monitor_ratios
+    """Activation monitor from one row per task (G24, fused); hits are never written out."""
+    from latentlake.operators.stats import monitor_ratios
 
     latent_dim, _ = model.shape()
     if model.kind == "batch_topk" or _needs_split(model):
         # the two largest latents of a tile may lie in different blocks
-        return activation_monitor(encode_hits(tiles, model), tiles.agg(F.count("*").alias("n")).scalar(), latent_dim)
+        from latentlake.operators import split
+
+        return monitor_ratios(split.monitor_parts(tiles, model), latent_dim)
     parts = _over_blocks(tiles, model, None, _monitor_kernel, _MONITOR, ())
     return monitor_ratios(parts, latent_dim)
 
@@ -580,13 +580,13 @@ def _concept_kernel(latent: int, k: int, use_margin: bool, handle, batches: Iter
 
 def encode_concept(tiles: DataFrame, model: LatentModel, latent: int, k: int, use_margin: bool = True) -> DataFrame:
     """Best k tiles of one latent, zeros included (H16, fused); a task emits at most k rows."""
-    latent_dim, _ = model.shape()
     if model.kind == "batch_topk" or _needs_split(model):
-        from latentlake.operators.mining import concept_tiles
+        from latentlake.operators import split
 
-        return concept_tiles(encode_hits(tiles, model), latent, k, latent_dim, use_margin, tiles)
-    kernel = partial(_concept_kernel, latent, k, use_margin)
-    scored = _over_blocks(tiles, model, None, kernel, _CONCEPT, KEYS)
+        scored = split.concept(tiles, model, latent, k, use_margin)
+    else:
+        kernel = partial(_concept_kernel, latent, k, use_margin)
+        scored = _over_blocks(tiles, model, None, kernel, _CONCEPT, KEYS)
     return scored.orderBy(F.col("concept_score").desc(), *KEYS).limit(k)
 
 
@@ -615,15 +615,15 @@ def reconstruct(
     tiles: DataFrame, model: LatentModel, decoder: DataFrame | None = None, b_dec: tuple[float, ...] | None = None
 ) -> DataFrame:
     """Tiles with ``x_hat`` and ``z_l1`` (V8). ``decoder`` is (latent_idx, w); tied when absent."""
-    if model.kind == "batch_topk" or (model.kind == "topk" and _needs_split(model)):
-        raise ValueError("decode batch_topk or split topk models from their hits with decode()")
-    latent_dim, d_in = model.shape()
-    sc = tiles.sparkSession.sparkContext
-    kind = tiles.schema["features"].dataType.simpleString()
-    schema = f"slide_key string, tile_index bigint, features {kind}, x_hat array<double>, z_l1 double"
-    source = tiles.select(*KEYS, "features")
-    parts = []
-    for block in _blocks(model, None):
+    if model.kind == "batch_topk" or _needs_split(model):
+        from latentlake.operators import split
+
+        out = split.reconstruct(tiles, model, decoder)
+    else:
+        sc = tiles.sparkSession.sparkContext
+        kind = tiles.schema["features"].dataType.simpleString()
+        schema = f"slide_key string, tile_index bigint, features {kind}, x_hat array<double>, z_l1 double"
+        (block,) = _blocks(model, None)
         if decoder is None:
             table = block.w.T
         else:
@@ -631,17 +631,7 @@ def reconstruct(
             rows = rows.sort_by("latent_idx")
             table = rows.column("w").combine_chunks().flatten().to_numpy(zero_copy_only=False)
             table = table.reshape(rows.num_rows, -1).astype(model.dtype)
-        parts.append(source.mapInArrow(partial(_decode_kernel, sc.broadcast((block, table))), schema))
-    out = reduce(DataFrame.unionAll, parts)
-    if len(parts) > 1:
-        # one row per tile and block: at most len(parts) rows meet in a group
-        add = lambda acc, row: F.zip_with(acc, row, lambda a, b: a + b)
-        rows = F.collect_list("x_hat")
-        out = out.groupBy(*KEYS).agg(
-            F.first("features").alias("features"),
-            F.aggregate(F.slice(rows, 2, len(parts)), F.get(rows, F.lit(0)), add).alias("x_hat"),
-            F.sum("z_l1").alias("z_l1"),
-        )
+        out = tiles.select(*KEYS, "features").mapInArrow(partial(_decode_kernel, sc.broadcast((block, table))), schema)
     if b_dec is not None:
         bias = F.array(*[F.lit(float(v)) for v in b_dec])
         out = out.withColumn("x_hat", F.zip_with("x_hat", bias, lambda a, b: a + b))

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latentlake.catalog import fixtures as fx
-from latentlake.operators import encode, stats
+from latentlake.operators import encode, mining, split, stats
 from latentlake.operators.encode import LatentModel
 
 
@@ -89,9 +89,42 @@ def test_float32_stays_close(spark, sf):
     assert all(quick[k] == pytest.approx(v, abs=1e-5) for k, v in exact.items())
 
 
-def test_batch_topk_refuses_a_split_model(spark, sf):
-    with pytest.raises(ValueError):
-        encode.encode_hits(fx.tiles(spark, sf), fx.model(spark, sf, kind="batch_topk", block_bytes=64))
+@pytest.mark.parametrize("kind", ["dense", "topk", "batch_topk"])
+@pytest.mark.parametrize("rule", [{}, {"mode": "magnitude"}, {"nonneg": True}])
+def test_split_models_agree_with_one_block(spark, monkeypatch, kind, rule):
+    """Ties between blocks, chunks cut by the held bytes, more hits than latents of a block."""
+    monkeypatch.setattr(split, "HELD_BYTES", 200)
+    monkeypatch.setattr(encode, "CHUNK_BYTES", 64)
+    t = tiles(spark, TOY * 3).repartition(3)
+    one = identity_model(spark, kind=kind, k=2, chunk_tiles=3, **rule)
+    many = identity_model(spark, kind=kind, k=2, chunk_tiles=3, block_bytes=2 * 4 * 8, **rule)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    want = rows(encode.encode_hits(t, one))
+    assert rows(encode.encode_hits(t, many)) == want
+    if kind != "dense":
+        assert rows(split.hits(t, many)) == want
+    n = t.agg(F.count("*").alias("n")).scalar()
+    near = lambda r: pytest.approx(r, abs=1e-12)
+    assert list(encode.encode_monitor(t, many).first()) == near(list(stats.activation_monitor(encode.encode_hits(t, one), n, 6).first()))
+    for margin in (True, False):
+        got = encode.encode_concept(t, many, 4, 50, margin).collect()
+        table = mining.concept_tiles(encode.encode_hits(t, one), 4, 50, 6, margin, t).collect()
+        assert [tuple(r)[:2] for r in got] == [tuple(r)[:2] for r in table]
+        assert [r[2] for r in got] == near([r[2] for r in table])
+    weights = one.encoder.select("latent_idx", "w")
+    flat = {(r["slide_key"], r["tile_index"], r["dim"]): r["x_hat"] for r in encode.decode(encode.encode_hits(t, one), weights).collect()}
+    for decoder in (None, weights):
+        for r in encode.reconstruct(t, many, decoder).collect():
+            assert r["x_hat"] == near([flat.get((r["slide_key"], r["tile_index"], d), 0.0) for d in range(4)])
+
+
+def test_no_hits_are_shuffled_for_a_split_monitor(spark):
+    t = tiles(spark, TOY)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    model = identity_model(spark, block_bytes=2 * 4 * 8)
+    text = plan(encode.encode_monitor(t, model))
+    assert text.count("Exchange") == 1 and "slide_key" not in text.split("Exchange")[0] and text.count("MapInArrow") == 1
+    assert plan(encode.reconstruct(t, model)).count("Exchange") == 0
 
 
 def test_expression_encode_is_bounded(spark, sf):
