@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
 
+#: Edges that a task contracts at once.
+TASK_EDGES = 200_000
+
 
 def forest(n: int, u: np.ndarray, v: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
     """Least node of each node's component for the edges of one task; ``label`` holds what earlier edges gave."""
@@ -40,12 +44,37 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where(F.col("u") != F.col("v")).distinct()
 
 
+def _contracted(frames):
+    """The edges of a task as one star per component that they form; at most ``TASK_EDGES`` are held at once."""
+
+    def stars(held: list[pd.DataFrame]) -> pd.DataFrame:
+        pdf = pd.concat(held)
+        node, names = pd.factorize(np.concatenate([pdf["u"].to_numpy(), pdf["v"].to_numpy()]), sort=True)
+        label = forest(len(names), *np.split(node, 2))
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        return pd.DataFrame({"u": names[moved], "v": names[label[moved]]})
+
+    held, size = [], 0
+    for pdf in frames:
+        held, size = [*held, pdf], size + len(pdf)
+        if size > TASK_EDGES:
+            yield stars(held)
+            held, size = [], 0
+    if size:
+        yield stars(held)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (u, v); the component is its least node. Self-loops and repeats do not matter.
 
-    Ends after O(log^2) rounds, when a round leaves the edges as they are: each node then points at its component.
+    Each task first contracts the edges that it holds; up to ``TASK_EDGES`` are contracted by one task. More of them end after O(log^2) rounds,
+    when a round leaves the edges as they are: each node then points at its component.
     """
-    edges = settle(edges.where(F.col("u") != F.col("v")).select("u", "v").distinct())
+    edges = settle(edges.where(F.col("u") != F.col("v")).select("u", "v"))
+    few = edges.count() <= TASK_EDGES
+    edges = settle((edges.coalesce(1) if few else edges).mapInPandas(_contracted, edges.schema).distinct())
+    if few:
+        return _labels(edges)
     digest = [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
     seen = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(*digest).first()
     while seen[0]:
@@ -54,5 +83,9 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
-    pairs = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return _labels(edges)
+
+
+def _labels(stars: DataFrame) -> DataFrame:
+    pairs = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return settle(pairs.union(pairs.select(F.col("component").alias("node"), "component")).distinct())

@@ -2,7 +2,7 @@
 
 1. Word frequencies are summed into a fixed table of 65,536 counters. A shingle's place in the global order is the sum of its words' log
    frequencies, then its hash: shingles with rare words come first, and a passage that many documents share comes last.
-2. Each document keeps its set size, a 128-bit fingerprint of its set, a token bitmap of four to eight bits an item and its prefix: the first
+2. Each document keeps its set size, a 128-bit fingerprint of its set, a token bitmap of two to four bits an item (at least 1,024) and its prefix: the first
    ``n - ceil(t * n) + 1`` shingles in that order. Sets that link share a prefix shingle. Equal sets form one class from here on, and of
    prefix shingles that the same classes have one is kept.
 3. The classes of all prefix shingles whose most shared class is the same make one star, so that a bitmap moves once for all of them. Stars whose
@@ -38,7 +38,7 @@ WIDEST = 1 << 19
 CELL = 4096
 FAN = 8
 #: Pairs that a component of a star offers in each round; the last round has no bound.
-OFFERS = (2, 16, 128, None)
+OFFERS = (4, 64, None)
 #: Pairs that a traversal holds before it drops those beyond the offer.
 HELD = 500_000
 #: Node pairs that a traversal holds at once.
@@ -96,8 +96,8 @@ def fingerprint(s: np.ndarray) -> bytes:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """One bit per item by its low bits; the width is a power of two of at least four bits an item, so wider ones fold onto narrower."""
-    width = min(max(BITS, 1 << (4 * max(len(s), 1) - 1).bit_length()), WIDEST)
+    """One bit per item by its low bits; the width is a power of two of at least two bits an item, so wider ones fold onto narrower."""
+    width = min(max(BITS, 1 << (2 * max(len(s), 1) - 1).bit_length()), WIDEST)
     flags = np.zeros(width, bool)
     flags[(s & U64(width - 1)).astype(np.int64)] = True
     return np.packbits(flags).tobytes()
@@ -330,7 +330,7 @@ class _Join:
         self.stars = self._stars()
 
     def _stars(self) -> DataFrame:
-        """(star, fp, n, bits): the classes that may link, by the most shared class of their prefix shingles."""
+        """(star, fp, n): the classes that may link, by the most shared class of their prefix shingles; ``self.bits`` has their bitmaps (fp, bits)."""
         tokens = self.wide.select("fp", "n", F.explode("prefix").alias("token"))
         members = [F.count(F.lit(1)).alias("m"), *(F.bit_xor(F.xxhash64("fp", F.lit(i))).alias(f"x{i}") for i in (0, 1))]
         shared = tokens.groupBy("token").agg(*members).where("m > 1").groupBy("m", "x0", "x1").agg(F.min("token").alias("token")).select("token")
@@ -341,37 +341,39 @@ class _Join:
         score = settle(cand.groupBy("fp").agg((F.count(F.lit(1)) / F.first("n")).alias("score")))
         scored = cand.select("token", "fp").join(_few(score, score.count()), "fp")
         best = scored.groupBy("token").agg(F.max(F.struct("score", "fp")).alias("p")).select("token", F.col("p.fp").alias("star"))
-        held = settle(cand.select("token", "fp").join(best, "token").select("star", "fp").distinct())
-        bits = self.wide.select("fp", "n", "bits")
-        return settle(held.join(bits, "fp").select("star", "fp", "n", "bits"))
+        held = settle(cand.select("token", "fp", "n").join(best, "token").select("star", "fp", "n").distinct())
+        self.bits = settle(self.wide.select("fp", "bits").join(_few(score.select("fp"), score.count()), "fp", "left_semi"))
+        return held
 
     def cells(self, comp: DataFrame | None, only: DataFrame | None) -> DataFrame:
-        """(cell, fp, n, comp, bits) of the stars whose classes lie in several components; ``only`` classes of these components."""
+        """(cell, fp, n, comp) of the stars whose classes lie in several components; ``only`` classes of these components."""
         rows = self.stars
         if comp is None:
             rows = rows.withColumn("comp", F.col("fp"))
         else:
-            rows = rows.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("component", "fp")).drop("component")
+            rows = rows.join(_few(comp.withColumnRenamed("node", "fp"), comp.count()), "fp", "left").withColumn("comp", F.coalesce("component", "fp")).drop("component")
         if only is not None:
-            rows = rows.join(only, "comp", "left_semi")
-        mixed = rows.groupBy("star").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where(F.col("lo") != F.col("hi"))
-        rows = rows.join(settle(mixed.select("star", "m")), "star")
+            rows = rows.join(_few(only, only.count()), "comp", "left_semi")
+        rows = settle(rows)
+        mixed = settle(rows.groupBy("star").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where(F.col("lo") != F.col("hi")).select("star", "m"))
+        rows = rows.join(_few(mixed, mixed.count()), "star")
         # linked sizes are in one size class or in neighbouring ones
         own = F.floor(F.log(F.col("n").cast("double")) / float(np.log(self.den / self.num)) - 1e-6).cast("int")
         rows = rows.withColumn("size_class", F.explode(F.when(F.col("m") > CELL, F.array(own, own + 1)).otherwise(F.array(F.lit(-1)))))
         sizes = settle(rows.where(F.col("m") > CELL).groupBy("star", "size_class").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cut")).where("cut > 1"))
-        if sizes.isEmpty():
-            return rows.select(F.xxhash64("star", "size_class").alias("cell"), "fp", "n", "comp", "bits")
-        rows = rows.join(sizes, ["star", "size_class"], "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
+        few = sizes.count()
+        if not few:
+            return settle(rows.select(F.xxhash64("star", "size_class").alias("cell"), "fp", "n", "comp"))
+        rows = rows.join(_few(sizes, few), ["star", "size_class"], "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
         rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("cut")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-        return rows.select(F.xxhash64("star", "size_class", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp", "n", "comp", "bits")
+        return settle(rows.select(F.xxhash64("star", "size_class", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp", "n", "comp"))
 
     def offered(self, cells: DataFrame, offer: int | None) -> DataFrame:
-        """(u, v, more) from the signature trees."""
-        cells = settle(cells)
-        total = cells.agg(F.sum(F.length("bits") + 100)).first()[0] or 0
-        parts = parts_for(self.docs.sparkSession, total, 12 << 20)
-        found = cells.withColumn("part", F.pmod("cell", F.lit(parts))).groupBy("part").applyInPandas(_traverse(self.num, self.den, offer), "u binary, v binary, more boolean")
+        """(u, v, more) from the signature trees; bitmaps move to the cells once."""
+        total = cells.agg(F.sum(F.greatest(F.col("n"), F.lit(BITS // 8)) / 2 + 100)).first()[0] or 0
+        parts = parts_for(self.docs.sparkSession, total, 8 << 20)
+        rows = cells.join(self.bits, "fp").withColumn("part", F.pmod("cell", F.lit(parts)))
+        found = rows.groupBy("part").applyInPandas(_traverse(self.num, self.den, offer), "u binary, v binary, more boolean")
         return settle(found.groupBy("u", "v").agg(F.max("more").alias("more")))
 
     def linked(self, pairs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from llm_helpers import SF, docs_of
 
-from latentlake.llm import simhash
+from latentlake.llm import components, simhash
 from latentlake.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -63,6 +63,16 @@ def test_long_list():
     assert (simhash.long_list(prints, [5, 6, 7], 3) == labels(prints, 3)).all()
 
 
+@pytest.mark.parametrize("held", [5, 200_000])
+def test_components(spark, monkeypatch, held):
+    """Chains, stars, repeats and self-loops; more edges than a task contracts go through rounds."""
+    monkeypatch.setattr(components, "TASK_EDGES", held)
+    edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 130)] + [(200, 201), (201, 200), (7, 7), (130, 129), (500, 500)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()}
+    assert got == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 131)} | {200: 200, 201: 200}
+    assert components.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
 def test_defined_cases(spark):
     text = "one two three four five"
     rows = [(3, text), (None, text.upper()), (7, None), (2, ""), (9, " \t\n"), (4, "lone"), (4, "lone"), (None, "quite another text of its own"), (5, "wörd " * 50_000)]
