@@ -216,6 +216,16 @@ def p7(spark, sf):
     return workflows.percentile_workflow(fx.tiles(spark, sf), fx.model(spark, sf), 90.0, 200, 9, tiles_per_slide=15)["clamp"]
 
 
+@query(
+    "p7_percentile_clamp_all",
+    needs="pre",
+    d="clamp_value",
+    sql="SELECT latent_idx, quantile_cont(greatest(a, 0), 0.9) AS clamp_value FROM pre GROUP BY 1",
+)
+def p7_all(spark, sf):
+    return workflows.percentile_workflow(fx.tiles(spark, sf), fx.model(spark, sf), 90.0, -1, 9)["clamp"]
+
+
 @query(
     "p8_viewer_summary",
     needs="top_test parents",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from latentlake.catalog import fixtures as fx
 from latentlake.catalog.base import query
-from latentlake.operators import encode, filters, pooling, registry, sampling, selection, stats
+from latentlake.operators import encode, filters, order_stats, pooling, registry, sampling, selection, stats
 from latentlake.runtime import scratch_path, settle
 from latentlake.streaming import incremental
 
@@ -89,10 +89,38 @@ def g17(spark, sf):
 def g17_encoded(spark, sf):
     tiles = fx.tiles(spark, sf)
     sampled = settle(sampling.uniform_sample(tiles, 50_000, 1337, ["slide_key", "tile_index"]))
-    hits = encode.encode_hits(sampled, fx.model(spark, sf))
+    hits = settle(encode.encode_hits(sampled, fx.model(spark, sf)).select("latent_idx", "z"))
     return stats.percentile_clamp(hits, sampled.select("slide_key", "tile_index"), 95.0, fx.LATENTS)
 
 
+@query(
+    "g17_percentile_all_tiles",
+    needs="sparse_tiles acts",
+    d="clamp_value",
+    sql="""SELECT r.range AS latent_idx, quantile_cont(coalesce(z, 0), 0.97) AS clamp_value
+FROM sparse_tiles s CROSS JOIN range(64) r LEFT JOIN acts a ON a.slide_key = s.slide_key AND a.tile_index = s.tile_index AND a.latent_idx = r.range
+GROUP BY 1""",
+)
+def g17_all(spark, sf):
+    """Every tile instead of a sample: ranks are selected by counts, whatever a latent's number of values."""
+    return stats.percentile_clamp(fx.acts(spark, sf), fx.sparse_keys(spark, sf), 97.0, fx.SPARSE_LATENTS)
+
+
+@query(
+    "g17_order_statistics",
+    d="value",
+    digits=2,
+    sql="""SELECT l_suppkey AS supplier, rank, value FROM (SELECT l_suppkey, CAST(l_extendedprice AS DOUBLE) AS value,
+  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) - 1 AS rank FROM lineitem)
+WHERE rank IN (0, 7, 100)""",
+)
+def g17_ranks(spark, sf):
+    """Values at given ranks of every group."""
+    values = fx._read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("supplier"), F.col("l_extendedprice").cast("double").alias("z"), F.lit(1).cast("long").alias("freq"))
+    ranks = values.select("supplier").distinct().select("supplier", F.explode(F.array(*(F.lit(r).cast("long") for r in (0, 7, 100)))).alias("rank"))
+    return order_stats.at_ranks(values, ranks, "supplier")
+
+
 @query(
     "g23_slide_summary",
     needs="pre",

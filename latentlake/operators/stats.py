@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latentlake.operators.order_stats import percentiles
+from latentlake.runtime import settle
+
 
 def count_tiles(tiles: DataFrame) -> DataFrame:
     """``(slide_key, total_tiles)``; reads only the key column."""
@@ -195,26 +198,21 @@ def usage_summary(usage: DataFrame) -> DataFrame:
 
 
 def percentile_clamp(hits: DataFrame, sampled: DataFrame, q: float, latent_dim: int) -> DataFrame:
-    """Per-latent percentile of the dense activations of a bounded tile sample.
+    """Per-latent percentile of the dense activations of the ``sampled`` tiles (G17), by rank selection.
 
-    ``sampled`` holds the sampled tile keys and ``hits`` the non-zero activations
-    of those tiles. Each latent adds one zero row weighted by its missing tiles,
-    so zeros are never written out; values per latent are bounded by the sample.
+    ``sampled`` holds tile keys, of a sample or of all tiles, and ``hits`` the non-zero activations of those tiles; ``hits`` is read once per
+    round. Each latent adds one zero row weighted by its missing tiles, so zeros are never written out.
     """
     n = sampled.agg(F.count("*").alias("n")).scalar()
     nnz = hits.groupBy("latent_idx").agg(F.count("*").alias("nnz"))
     dims = hits.sparkSession.range(latent_dim).select(F.col("id").alias("latent_idx"))
-    zeros = (
+    zeros = settle(
         dims.join(nnz, "latent_idx", "left")
         .select("latent_idx", F.lit(0.0).alias("z"), (n - F.coalesce("nnz", F.lit(0))).alias("freq"))
         .where("freq > 0")
     )
-    values = hits.groupBy("latent_idx", "z").agg(F.count("*").alias("freq"))
-    return (
-        values.unionByName(zeros)
-        .groupBy("latent_idx")
-        .agg(F.percentile("z", q / 100.0, F.col("freq")).alias("clamp_value"))
-    )
+    values = hits.select("latent_idx", F.col("z").cast("double").alias("z"), F.lit(1).cast("long").alias("freq")).unionByName(zeros)
+    return percentiles(values, q, "latent_idx").withColumnRenamed("value", "clamp_value")
 
 
 def reject_summary(rejected: DataFrame) -> DataFrame:

@@ -290,11 +290,12 @@ def probe_workflow(
 
 
 def percentile_workflow(tiles: DataFrame, model: LatentModel, q: float, max_tiles: int, seed: int, tiles_per_slide: int = 0) -> Tables:
-    """Clamp value per latent from a uniform tile sample of bounded size."""
+    """Clamp value per latent from a uniform tile sample (P7), or from all tiles if ``max_tiles`` is negative."""
     latent_dim, _ = model.shape()
-    pool = sampling.cap_tiles(tiles, tiles_per_slide, seed, "percentile")
-    sampled = settle(sampling.uniform_sample(pool, max_tiles, seed, ["slide_key", "tile_index"]))
-    hits = encode.encode_hits(sampled, model)
+    sampled = sampling.cap_tiles(tiles, tiles_per_slide, seed, "percentile")
+    if max_tiles >= 0:
+        sampled = settle(sampling.uniform_sample(sampled, max_tiles, seed, ["slide_key", "tile_index"]))
+    hits = settle(encode.encode_hits(sampled, model).select("latent_idx", "z"))
     return {"clamp": stats.percentile_clamp(hits, sampled.select("slide_key", "tile_index"), q, latent_dim)}
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from latentlake import schemas
 from latentlake.catalog import fixtures as fx
 from latentlake.functions import ids
-from latentlake.operators import analytics, latent_map, probe, registry, resolve, stats
+from latentlake.operators import analytics, latent_map, order_stats, probe, registry, resolve, stats
 from latentlake.plans import workflows
 from latentlake.runtime import bounded_array, scratch_path
 from latentlake.sources import readers, writers
@@ -115,6 +115,24 @@ def test_sparse_percentile_matches_numpy(spark):
     assert [got[j] for j in range(4)] == pytest.approx(np.percentile(dense, 80, axis=0).tolist())
 
 
+@pytest.mark.parametrize(("bins", "few"), [(1024, 2048), (4, 3), (2, 1)])
+def test_rank_selection(spark, bins, few):
+    """Ties, repeated values, values of very different size, one value alone, empty values, ranks out of range; no buffer of values in the plan."""
+    rng = np.random.default_rng(bins)
+    groups = {1: rng.normal(size=300), 2: np.repeat([5.0, -2.0], 80), 3: 10.0 ** rng.integers(*((-300, 300) if bins > 100 else (-4, 4)), 60), 4: np.array([7.5]), 5: np.r_[np.zeros(200), rng.random(5)]}
+    freq = {g: rng.integers(1, 4, len(v)) for g, v in groups.items()}
+    rows = [(g, float(z), int(f)) for g, v in groups.items() for z, f in zip(v, freq[g], strict=True)] + [(5, float("nan"), 1), (5, None, 4), (6, None, 1)]
+    values = spark.createDataFrame(rows, "g int, z double, freq long")
+    wanted = [(g, r) for g in (*groups, 6, 7) for r in (-1, 0, 1, 17, 100, 159, 10_000)]
+    got = {(r["g"], r["rank"]): r["value"] for r in order_stats.at_ranks(values, spark.createDataFrame(wanted, "g int, rank long"), "g", bins, few).collect()}
+    flat = {g: np.sort(np.repeat(v, freq[g])) for g, v in groups.items()}
+    assert got == {(g, r): flat[g][r] for g, r in wanted if g in flat and 0 <= r < len(flat[g])}
+    found = order_stats.percentiles(values, 37.5, "g", bins=bins, few=few)
+    assert {r["g"]: r["value"] for r in found.collect()} == pytest.approx({g: np.percentile(v, 37.5) for g, v in flat.items()}, rel=1e-12)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "collect_list" not in plan
+
+
 def test_bounded_array_refuses_growth(spark):
     with pytest.raises(ValueError):
         bounded_array(spark.range(11), F.col("id"), 10, "ids")
