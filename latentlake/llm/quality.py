@@ -3,8 +3,9 @@
 1. Overlapping heuristic labellers vote on each document: good, bad or no vote. Annotations, where there are any, are one more labeller.
 2. Expectation-maximisation over the counts of all vote patterns (of all documents) estimates the class share and, for each labeller, how it
    votes on good and on bad documents when it votes. The posterior of its pattern is a document's label; without a vote it has none.
-3. The posteriors of a bounded sample (``SAMPLE`` documents, annotated ones first, then lowest hashes) train a linear scorer on hashed words and
-   hashed buckets of the labellers' measurements: shards run an epoch each, their weights are averaged, and so on for some rounds.
+3. The posteriors of a bounded sample train a linear scorer on hashed words and hashed buckets of the labellers' measurements: the annotated
+   documents of lowest hash, ``SAMPLE`` at most, and ``SAMPLE / WEAK_SHARE`` others at the lower ``WEAK_WEIGHT``, by one rule at every size. Shards
+   run an epoch each, their weights are averaged, and so on for some rounds; weights of rare words are shrunk, none is cut.
 4. The scorer decides on every document. There are two heads of this kind: quality and toxicity. A document stays if it is of good quality
    and not toxic.
 
@@ -28,11 +29,11 @@ from .kernels import LOWER, U64, chunks, distinct, mix, shingles, text_bytes, wo
 SAMPLE = 30_000
 BUCKETS = 1 << 20
 SHARDS, ROUNDS = 8, 8
-#: Documents of the sample that must have a word before it gets a weight.
-LEAST_DOCUMENTS = 5
+#: Documents without annotation that join the sample, as a share of its bound, and their weight: labellers err alike on what nobody has annotated.
+WEAK_SHARE, WEAK_WEIGHT = 6, 0.1
+#: A word's weight is shrunk as if it had been seen in so many more documents of the sample, where it said nothing.
+SHRINK = 2.0
 FEW_IDS = 500_000
-#: With so many annotated documents the sample is taken from them alone, as labellers err alike on what nobody has annotated.
-ENOUGH = 500
 #: Insults whose presence makes the toxicity labellers vote.
 INSULTS = (
     "bastard clown cretin disgusting dumb dumbass filth filthy fool garbage idiot imbecile jerk loser lunatic moron pathetic pig retard scum "
@@ -209,9 +210,10 @@ def _sample_features(docs: DataFrame) -> DataFrame:
             doc, bucket = Measured(b.column("text")).features()
             off = np.searchsorted(doc, np.arange(b.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(bucket, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, b.column("y_quality"), b.column("y_toxic")], ["doc_id", "items", "y_quality", "y_toxic"])
+            names = ["y_quality", "y_toxic", "weight"]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, *(b.column(c) for c in names)], ["doc_id", "items", *names])
 
-    return docs.mapInArrow(work, "doc_id long, items array<int>, y_quality double, y_toxic double")
+    return docs.mapInArrow(work, "doc_id long, items array<int>, y_quality double, y_toxic double, weight double")
 
 
 def _epoch(columns: np.ndarray, weights: np.ndarray, bias: np.ndarray, rate: float, decay: float):
@@ -223,12 +225,12 @@ def _epoch(columns: np.ndarray, weights: np.ndarray, bias: np.ndarray, rate: flo
         w, b = weights.copy(), bias.copy()
         seen = np.zeros(w.shape, np.float32)
         none = True
-        for items, y0, y1 in _labelled(batches):
+        for items, y0, y1, much in _labelled(batches):
             none = False
             x = place[items]
             x = x[x >= 0]
             z = w[:, x].sum(axis=1) + b
-            g = np.nan_to_num(1 / (1 + np.exp(-np.clip(z, -30, 30))) - (y0, y1))  # no label, no step
+            g = much * np.nan_to_num(1 / (1 + np.exp(-np.clip(z, -30, 30))) - (y0, y1))  # no label, no step
             step = g[:, None] + decay * w[:, x]
             seen[:, x] += step * step
             w[:, x] -= rate * step / np.sqrt(seen[:, x] + 1.0)
@@ -242,35 +244,35 @@ def _epoch(columns: np.ndarray, weights: np.ndarray, bias: np.ndarray, rate: flo
 
 
 def _labelled(batches):
-    """(items, label of quality, label of toxicity) of each document; a missing label is not a number."""
+    """(items, label of quality, label of toxicity, weight) of each document; a missing label is not a number."""
     for b in batches:
         lists = b.column("items")
         flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
-        labels = [b.column(c).to_numpy(zero_copy_only=False) for c in ("y_quality", "y_toxic")]
-        for lo, hi, y0, y1 in zip(np.concatenate([[0], ends[:-1]]), ends, *labels, strict=True):
-            yield flat[lo:hi], y0, y1
+        labels = [b.column(c).to_numpy(zero_copy_only=False) for c in ("y_quality", "y_toxic", "weight")]
+        for lo, hi, *of in zip(np.concatenate([[0], ends[:-1]]), ends, *labels, strict=True):
+            yield flat[lo:hi], *of
 
 
 def _document_counts(batches):
     seen = np.zeros(BUCKETS, np.int64)
-    for items, _, _ in _labelled(batches):
+    for items, *_ in _labelled(batches):
         seen[distinct(items)] += 1
     at = np.flatnonzero(seen)
     yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32).tobytes()]), pa.array([seen[at].astype(np.int32).tobytes()])], ["at", "n"])
 
 
 def train(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets with weights, weights of both heads, biases) from (doc_id, items, y_quality, y_toxic): parameter averaging over ``SHARDS`` shards for ``ROUNDS`` rounds.
+    """(buckets with weights, weights of both heads, biases) from (doc_id, items, y_quality, y_toxic, weight): parameter averaging over ``SHARDS`` shards for ``ROUNDS`` rounds.
 
     What comes to the driver is one weight table per shard, of fixed size.
     """
     turn = F.xxhash64(F.lit(7), F.col("doc_id"))
     # one file per shard, in order; a shard is what one task reads, so rounds shuffle nothing
-    rows = settle(sample.withColumn("turn", turn).repartition(SHARDS, "turn").sortWithinPartitions("turn", "doc_id")).select("items", "y_quality", "y_toxic")
+    rows = settle(sample.withColumn("turn", turn).repartition(SHARDS, "turn").sortWithinPartitions("turn", "doc_id")).select("items", "y_quality", "y_toxic", "weight")
     seen = np.zeros(BUCKETS, np.int64)
     for r in rows.mapInArrow(_document_counts, "at binary, n binary").collect():
         seen[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["n"], np.int32)
-    columns = np.flatnonzero(seen >= LEAST_DOCUMENTS).astype(np.int32)
+    columns = np.flatnonzero(seen).astype(np.int32)
     weights, bias = np.zeros((2, len(columns)), np.float32), np.zeros(2)
     for i in range(ROUNDS):
         parts = rows.mapInArrow(_epoch(columns, weights, bias, 0.4 / (1 + i), 1e-4), "shard int, w binary, b binary").collect()
@@ -282,7 +284,7 @@ def train(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         moved = (trained != weights).any(axis=1).sum(axis=0)
         weights = (weights + (trained - weights).sum(axis=0) / np.maximum(moved, 1)).astype(np.float32)
         bias = np.mean([np.frombuffer(r["b"], np.float64) for r in parts], axis=0)
-    return columns, weights, bias
+    return columns, weights * (seen[columns] / (seen[columns] + SHRINK)).astype(np.float32), bias
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -302,16 +304,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame | None = None, sample: int
         )
     )
     annotated = F.substring("p_quality", n + 1, 1).isin("0", "2") | F.substring("p_toxic", 3, 1).isin("0", "2")
-    pool = votes.where(annotated)
-    pool = pool if pool.count() >= ENOUGH else votes
-    picked = pool.orderBy(annotated.desc(), F.xxhash64(F.lit(3), F.col("doc_id")), "doc_id").limit(sample)
+    turn = [F.xxhash64(F.lit(3), F.col("doc_id")), F.col("doc_id")]
+    known = votes.where(annotated).orderBy(*turn).limit(sample).withColumn("weight", F.lit(1.0))
+    picked = known.union(votes.where(~annotated).orderBy(*turn).limit(sample // WEAK_SHARE).withColumn("weight", F.lit(WEAK_WEIGHT)))
     for head in HEADS:
         table = _posteriors(votes, head)
         pairs = [F.lit(x) for p in table.items() for x in p]
         value = F.try_element_at(F.create_map(*pairs), F.col(f"p_{head}")) if pairs else F.lit(None).cast("double")
         picked = picked.withColumn(f"y_{head}", value if head == "quality" else 1 - value)
-    chosen = settle(picked.groupBy(F.col("doc_id").alias("chosen")).agg(F.avg("y_quality").alias("y_quality"), F.avg("y_toxic").alias("y_toxic")))
-    texts = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).select("doc_id", "text", "y_quality", "y_toxic")  # SAMPLE rows at most
+    chosen = settle(picked.groupBy(F.col("doc_id").alias("chosen")).agg(F.avg("y_quality").alias("y_quality"), F.avg("y_toxic").alias("y_toxic"), F.max("weight").alias("weight")))
+    texts = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).select("doc_id", "text", "y_quality", "y_toxic", "weight")  # a bounded sample
     table = docs.sparkSession.sparkContext.broadcast(train(_sample_features(texts)))  # a weight per bucket and head at most
 
     def score(batches):
