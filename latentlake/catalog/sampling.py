@@ -174,6 +174,22 @@ def e5(spark, sf):
     return pooled.select("slide_key", "tile_index", "coord_x", "coord_y", F.posexplode("features").alias("dim", "x"))
 
 
+@query(
+    "e5_pool2x2_partial",
+    needs="grid_tiles tile_dims",
+    d="x",
+    sql=f"""WITH {_REJECT},
+f AS (SELECT slide_key, gx, gy, coord_x, coord_y, row_number() OVER (PARTITION BY slide_key ORDER BY gy, gx) - 1 AS pooled, m FROM grp WHERE c[1] = 0),
+u AS (SELECT slide_key, pooled, coord_x, coord_y, m[least(k, len(m))] AS tile_index FROM f CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k))
+SELECT u.slide_key, u.pooled AS tile_index, u.coord_x, u.coord_y, d.dim, avg(d.x) AS x
+FROM u JOIN tile_dims d ON u.slide_key = d.slide_key AND u.tile_index = d.tile_index GROUP BY ALL""",
+)
+def e5_partial(spark, sf):
+    """Blocks at the edge repeat their last member up to four."""
+    pooled = pooling.pool2x2(fx.grid_tiles(spark, sf), require_complete=False)
+    return pooled.select("slide_key", "tile_index", "coord_x", "coord_y", F.posexplode("features").alias("dim", "x"))
+
+
 @query(
     "e6_preflight",
     needs="grid_tiles",

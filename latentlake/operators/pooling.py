@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from latentlake.runtime import attach_small, settle
+from latentlake.runtime import attach_small, settle, ship
 
 #: Width in pixels of the coordinate blocks used to find neighbours.
 _BLOCK = 4096
@@ -132,20 +137,74 @@ def pooled_index(groups: DataFrame) -> DataFrame:
     ).drop("_off", "_in")
 
 
-def _mean_of_four(members: Column) -> Column:
-    dims = F.sequence(F.lit(0), F.size(F.get(members, F.lit(0))) - 1)
-    return F.transform(
-        dims,
-        lambda i: F.aggregate(members, F.lit(0.0), lambda acc, v: acc + F.get(v, i).cast("double")) / 4,
-    )
+_PARTS = (
+    "slide_key string, gx bigint, gy bigint, n bigint, total array<double>, first_corner bigint, coord_x bigint, coord_y bigint, "
+    "last_corner bigint, last array<double>"
+)
+
+
+def _block_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum of the vectors of each block that a batch holds tiles of: one vector a block where its tiles lie near each other in the file.
+
+    A block that is not whole here also keeps the vector of its last member, which may have to be repeated.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        vectors = batch.column("features")
+        width = vectors.value_lengths().to_numpy(zero_copy_only=False)
+        if vectors.null_count or (width != width[0]).any():
+            raise ValueError("feature vectors differ in length; filter with isolate_slides() first")
+        x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
+        keys = batch.drop_columns(["features"]).to_pandas()
+        order = keys.sort_values(["slide_key", "gx", "gy", "corner"], kind="stable").index.to_numpy()
+        keys, x = keys.iloc[order], x[order]
+        new = (keys[["slide_key", "gx", "gy"]] != keys[["slide_key", "gx", "gy"]].shift()).any(axis=1).to_numpy()
+        head = np.flatnonzero(new)
+        n = np.diff(np.concatenate([head, [len(keys)]]))
+        first, last = keys.iloc[head], keys.iloc[head + n - 1]
+        lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.reshape(-1)))
+        whole = pa.array(n < 4)
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(pa.array(first[c].to_numpy()) for c in ("slide_key", "gx", "gy")), pa.array(n), lists(np.add.reduceat(x, head, axis=0)),
+                *(pa.array(first[c].to_numpy()) for c in ("corner", "coord_x", "coord_y")), pa.array(last["corner"].to_numpy()),
+                pc.if_else(whole, lists(x[head + n - 1]), None),
+            ],
+            names=["slide_key", "gx", "gy", "n", "total", "first_corner", "coord_x", "coord_y", "last_corner", "last"],
+        )
 
 
 def pool2x2(tiles: DataFrame, require_complete: bool = True) -> DataFrame:
-    """Pooled tiles: mean vector of each block, placed at its top-left corner (E5)."""
-    groups = pooled_index(pool_groups(tiles, require_complete, value="features"))
-    return groups.select(
-        "slide_key", "tile_index", "coord_x", "coord_y", "gx", "gy", _mean_of_four(F.col("members")).alias("features")
+    """Pooled tiles: mean vector of each block, placed at its top-left corner (E5).
+
+    Vectors are summed inside the tasks and move once, by block; the blocks are numbered from key columns alone.
+    """
+    ship(tiles.sparkSession)
+    grid = attach_small(settle(slide_grid(tiles).where("reason is null and step_x is not null and step_y is not null").drop("reason")))
+    cell = ["slide_key", "gx", "gy"]
+    corner = F.col("qx") % 2 + 2 * (F.col("qy") % 2)
+    at = [F.floor(F.col("qx") / 2).alias("gx"), F.floor(F.col("qy") / 2).alias("gy"), corner.cast("bigint").alias("corner")]
+    xy = [F.col(c).cast("bigint").alias(c) for c in ("coord_x", "coord_y")]
+
+    keys = _on_grid(tiles.select("slide_key", "coord_x", "coord_y"), grid).select("slide_key", *at)
+    blocks = keys.groupBy(*cell).agg(F.count("*").alias("n"), F.min("corner").alias("first_corner"))
+    fits = (F.col("first_corner") == 0) & (F.col("n") == 4 if require_complete else F.lit(True))
+    numbered = pooled_index(blocks.where(fits).select(*cell))
+
+    parts = _on_grid(tiles.select("slide_key", "coord_x", "coord_y", "features"), grid).select("slide_key", *at, *xy, "features").where("gx is not null and gy is not null").mapInArrow(_block_sums, _PARTS)
+    # a cell holds one tile, so a block has at most four parts
+    met = parts.groupBy(*cell).agg(
+        F.sort_array(F.collect_list(F.struct("first_corner", "coord_x", "coord_y", "n", "total", "last_corner", "last"))).alias("p")
     )
+    plus = lambda u, v: F.zip_with(u, v, lambda x, y: x + y)
+    total = F.aggregate(F.slice("p", 2, 3), F.get("p", F.lit(0))["total"], lambda acc, r: plus(acc, r["total"]))
+    missing = F.lit(4) - F.aggregate("p", F.lit(0).cast("bigint"), lambda acc, r: acc + r["n"])
+    final = F.array_max(F.transform("p", lambda r: F.struct(r["last_corner"].alias("corner"), r["last"].alias("v"))))["v"]
+    filled = F.when(missing > 0, plus(total, F.transform(final, lambda v: v * missing))).otherwise(total)
+    mean = F.transform(filled, lambda v: v / 4)
+    place = [F.get("p", F.lit(0))[c].cast(tiles.schema[c].dataType).alias(c) for c in ("coord_x", "coord_y")]
+    return met.join(numbered, cell).select("slide_key", "tile_index", *place, "gx", "gy", mean.alias("features"))
 
 
 def usable_counts(tiles: DataFrame, view: str = "20x", require_complete: bool = True) -> DataFrame:

@@ -73,6 +73,7 @@ def view_tiles(tiles: DataFrame, slides: DataFrame, cfg: MineConfig, d_in: int)
     tiles = tiles.join(attach_small(kept), "slide_key", "left_semi")
     tiles, rejected = filters.isolate_slides(tiles, d_in)
     if cfg.magnification == "10x_pool2x2":
+        rejected = settle(rejected.unionByName(pooling.geometry_rejects(tiles)))
         tiles = settle(pooling.pool2x2(tiles, cfg.require_complete))
     return tiles.select("slide_key", "tile_index", "coord_x", "coord_y", "features"), rejected
 

@@ -68,6 +68,23 @@ def test_complete_block(spark):
     assert pooled["features"] == [1.5, 1.0] and pooled["tile_index"] == 0
 
 
+def test_vectors_move_once(spark):
+    """Without automatic broadcasts one exchange carries vectors; tiles of a block in different partitions give the same means."""
+    cells = [(x, y) for y in range(0, 5) for x in range(0, 7) if (x, y) not in ((3, 2), (4, 4))]
+    t = grid(spark, [(256 * x, 256 * y) for x, y in cells])
+    want = {(r["slide_key"], r["tile_index"]): r for r in pooling.pool2x2(t.coalesce(1), require_complete=False).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pooled = pooling.pool2x2(t.repartition(7, "tile_index"), require_complete=False)
+        text = pooled._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert {(r["slide_key"], r["tile_index"]): r for r in pooled.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = [part for part in text.split("\n\n") if ") Exchange\n" in f"{part}\n"]
+    carry = [part for part in exchanges if "total" in part.split("\n")[1] or "p#" in part.split("\n")[1] or "buf#" in part.split("\n")[1]]
+    assert exchanges and len(carry) == 1
+
+
 def test_three_corner_block(spark):
     t = grid(spark, [(0, 0), (256, 0), (0, 256)])
     assert members(pooling.pool_groups(t)) == []
