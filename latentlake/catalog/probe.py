@@ -80,9 +80,7 @@ def dense_probe_inputs(spark, sf):
 def _dataset(spark, sf):
     tiles, model = fx.tiles(spark, sf), fx.model(spark, sf)
     slides, labels = dense_probe_inputs(spark, sf)
-    axis = F.sequence(F.lit(0).cast("bigint"), F.lit(fx.LATENTS - 1).cast("bigint"))
-    summary = stats.slide_summary(encode.encode_slide_stats(tiles, model), stats.count_tiles(tiles), axis)
-    return probe.probe_dataset(summary, probe.match_labels(slides, labels), fx.LATENTS)
+    return probe.probe_dataset(encode.encode_slide_stats(tiles, model), stats.count_tiles(tiles), probe.match_labels(slides, labels), fx.LATENTS)
 
 
 @query(

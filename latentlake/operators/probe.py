@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from latentlake.functions import ids
 from latentlake.operators.filters import binary_label
-from latentlake.runtime import settle
+from latentlake.runtime import attach_small, settle
 
 
 def label_keys(labels: DataFrame, ordinal: str = "ord") -> DataFrame:
@@ -61,20 +62,37 @@ def match_labels(slides: DataFrame, labels: DataFrame, ordinal: str = "ord") ->
     )
 
 
-def probe_dataset(summary: DataFrame, matched: DataFrame, latent_dim: int) -> DataFrame:
-    """``(slide_key, split, y, phi)`` with phi = mean, max and non-zero fraction blocks (M5).
+@F.udf(VectorUDT())
+def _sparse(size, at, values):
+    return SparseVector(size, at, values)
 
-    ``summary`` is the zero-filled slide_summary; a slide has latent_dim rows.
+
+def probe_dataset(partials: DataFrame, counts: DataFrame, matched: DataFrame, latent_dim: int) -> DataFrame:
+    """``(slide_key, split, y, phi)`` with phi = mean, max and non-zero fraction blocks (M5), as sparse vectors.
+
+    ``partials`` are the slide partials of the encode kernel (firing latents only) and ``counts`` the tiles per slide, so what is shuffled
+    follows the firing latents; a slide without any has an empty vector. One row per slide goes through Python.
     """
-    blocks = {"z_mean": 0, "z_max": latent_dim, "z_nzfrac": 2 * latent_dim}
-    entries = F.array(
-        *[F.struct((F.col("latent_idx") + off).alias("pos"), F.col(c).alias("v")) for c, off in blocks.items()]
-    )
-    packed = summary.select("slide_key", F.inline(entries)).groupBy("slide_key").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("a")
-    )
+    n = F.col("total_tiles")
+    # a latent that is silent in some tile has a maximum of zero at least
+    peak = F.when(F.col("nz_n") < n, F.greatest("z_max", F.lit(0.0))).otherwise(F.col("z_max"))
     known = matched.where("y is not null").select("slide_key", "split", F.col("y").cast("double").alias("y"))
-    return known.join(packed, "slide_key").select("slide_key", "split", "y", array_to_vector("a").alias("phi"))
+    known = known.join(counts.where(n > 0), "slide_key")
+    fired = partials.join(attach_small(known.select("slide_key", "total_tiles")), "slide_key").select(
+        "slide_key", "latent_idx", (F.col("z_sum") / n).alias("z_mean"), peak.alias("z_max"), (F.col("nz_n") / n).alias("z_nzfrac")
+    )
+    rows = F.sort_array(F.collect_list(F.struct("latent_idx", "z_mean", "z_max", "z_nzfrac")))
+    packed = fired.groupBy("slide_key").agg(rows.alias("r"))
+
+    def block(off: int, name: str):
+        return F.transform("r", lambda x: F.struct((x["latent_idx"] + off).cast("int").alias("pos"), x[name].alias("v")))
+
+    entries = F.concat(block(0, "z_mean"), block(latent_dim, "z_max"), block(2 * latent_dim, "z_nzfrac"))
+    packed = packed.select("slide_key", F.filter(entries, lambda e: e["v"] != 0).alias("e"))
+    none = F.array().cast("array<struct<pos:int,v:double>>")
+    out = known.join(packed, "slide_key", "left").withColumn("e", F.coalesce("e", none))
+    phi = _sparse(F.lit(3 * latent_dim), F.col("e.pos"), F.col("e.v"))
+    return out.select("slide_key", "split", "y", phi.alias("phi"))
 
 
 def standardize(train: DataFrame, col: str = "phi"):

@@ -274,9 +274,7 @@ def probe_workflow(
     matched = settle(probe.match_labels(slides, labels))
     labelled = tiles.join(attach_small(matched.where("y is not null").select("slide_key")), "slide_key", "left_semi")
     used = sampling.cap_tiles(labelled, tiles_cap, seed, "probe")
-    axis = F.sequence(F.lit(0).cast("bigint"), F.lit(latent_dim - 1).cast("bigint"))
-    summary = stats.slide_summary(encode.encode_slide_stats(used, model), stats.count_tiles(used), axis)
-    data = settle(probe.probe_dataset(summary, matched, latent_dim))
+    data = settle(probe.probe_dataset(encode.encode_slide_stats(used, model), stats.count_tiles(used), matched, latent_dim))
     fitted = probe.fit_probe(data.where(F.col("split") == train_split), c, penalty)
     preds = probe.predict(fitted, data)
     coefs = probe.probe_coefficients(fitted[1], tiles.sparkSession)

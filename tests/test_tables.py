@@ -133,6 +133,21 @@ def test_rank_selection(spark, bins, few):
     assert "percentile" not in plan and "collect_list" not in plan
 
 
+def test_sparse_slide_features(spark):
+    """Silent slides have an empty vector, all-firing latents keep a negative maximum, unlabelled slides go; no skeleton in the plan."""
+    rows = [("a", 1, 2.0, 6.0, 3), ("a", 3, -1.0, -4.0, 4), ("b", 0, 5.0, 5.0, 1), ("x", 0, 1.0, 1.0, 1)]
+    partials = spark.createDataFrame(rows, "slide_key string, latent_idx bigint, z_max double, z_sum double, nz_n bigint")
+    counts = spark.createDataFrame([("a", 4), ("b", 2), ("c", 3), ("x", 1), ("e", 0)], "slide_key string, total_tiles bigint")
+    matched = spark.createDataFrame([("a", "train", 1), ("b", "test", 0), ("c", "train", 0), ("x", "train", None), ("e", "train", 1)], "slide_key string, split string, y int")
+    found = probe.probe_dataset(partials, counts, matched, 4)
+    got = {r["slide_key"]: (r["y"], dict(zip(r["phi"].indices.tolist(), r["phi"].values.tolist(), strict=True)), len(r["phi"])) for r in found.collect()}
+    assert got == {
+        "a": (1.0, {1: 1.5, 3: -1.0, 5: 2.0, 7: -1.0, 9: 0.75, 11: 1.0}, 12),
+        "b": (0.0, {0: 2.5, 4: 5.0, 8: 0.5}, 12), "c": (0.0, {}, 12),
+    }
+    assert "sequence(" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bounded_array_refuses_growth(spark):
     with pytest.raises(ValueError):
         bounded_array(spark.range(11), F.col("id"), 10, "ids")
