@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from latentlake import schemas
 from latentlake.functions import ids
-from latentlake.runtime import attach_small, bounded_array
-
-MAX_COHORTS = 100_000
-MAX_SELECTED = 100_000
+from latentlake.runtime import attach_small, every_pair
 
 
 def _total(df: DataFrame, expr=None):
@@ -24,19 +21,12 @@ def _present(cohort: str = "cohort"):
 def slide_latent_stats(partials: DataFrame, slides: DataFrame, counts: DataFrame, selected: DataFrame) -> DataFrame:
     """Rows of every non-empty slide for every selected latent, zeros included.
 
-    ``selected`` is (latent_strategy, latent_idx, latent_group); it is expanded per
-    slide from one bounded array instead of a join without keys.
+    ``selected`` is (latent_strategy, latent_idx, latent_group).
     """
-    wanted = bounded_array(
-        selected.select("latent_strategy", "latent_idx", "latent_group"),
-        F.struct("latent_strategy", "latent_idx", "latent_group"),
-        MAX_SELECTED,
-        "selected latents",
-    )
     used = slides.select("slide_key", "case_id", "cohort").join(
         counts.where("total_tiles > 0").select("slide_key", "total_tiles"), "slide_key"
     )
-    skeleton = used.select("*", F.inline(wanted))
+    skeleton = every_pair(used, selected.select("latent_strategy", "latent_idx", "latent_group"))
     own = partials.join(attach_small(selected.select("latent_idx").distinct()), "latent_idx", "left_semi")
     joined = skeleton.join(own, ["slide_key", "latent_idx"], "left")
     pos = F.coalesce("pos_n", F.lit(0))
@@ -154,14 +144,13 @@ def latent_metrics(
 def cohort_enrichment(firing: DataFrame, slides: DataFrame, selected: DataFrame) -> DataFrame:
     """Prevalence in each cohort over global prevalence, zero-filled."""
     cohorts = slides.where(_present().isNotNull())
-    names = bounded_array(cohorts, F.col("cohort"), MAX_COHORTS, "cohorts")
     sizes = cohorts.groupBy("cohort").agg(F.count("*").alias("slides_in_cohort"))
     total = _total(slides, F.greatest(F.count("*"), F.lit(1)))
     wanted = selected.select("latent_strategy", "latent_idx", "latent_group")
     own = firing.join(attach_small(wanted.select("latent_idx").distinct()), "latent_idx", "left_semi")
     overall = own.groupBy("latent_idx").agg(F.count("*").alias("firing_all"))
     out = (
-        wanted.withColumn("cohort", F.explode(names))
+        every_pair(wanted, cohorts.select("cohort"))
         .join(sizes, "cohort")
         .join(cohort_counts(own), ["latent_idx", "cohort"], "left")
         .join(overall, "latent_idx", "left")
@@ -212,9 +201,8 @@ def label_enrichment(slide_stats: DataFrame, slides: DataFrame, long_labels: Dat
         F.count("*").alias("n")
     )
     totals = hits.groupBy("latent_strategy", "latent_idx", "label_column").agg(F.sum("n").alias("n_all"))
-    values = bounded_array(sizes, F.struct("label_column", "label_value"), MAX_COHORTS, "label values")
     out = (
-        selected.select("latent_strategy", "latent_idx", "latent_group", F.inline(values))
+        every_pair(selected.select("latent_strategy", "latent_idx", "latent_group"), sizes.select("label_column", "label_value"))
         .join(sizes, ["label_column", "label_value"])
         .join(overall, "label_column")
         .join(hits, ["latent_strategy", "latent_idx", "label_column", "label_value"], "left")

@@ -122,11 +122,25 @@ def attach_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     return df
 
 
-def bounded_array(df: DataFrame, value: Column, max_items: int, what: str) -> Column:
-    """All values of a dimension whose size is checked, sorted, as one scalar-subquery array."""
-    items = F.sort_array(F.collect_set("v"))
-    dims = df.select(value.alias("v")).where(F.col("v").isNotNull()).distinct()
-    seen = dims.limit(max_items + 1).count()
-    if seen > max_items:
-        raise ValueError(f"{what}: more than {max_items} distinct values")
-    return dims.agg(items.alias("items")).scalar()
+#: Rows of a dimension table that one array holds.
+BLOCK_ROWS = 10_000
+
+
+def every_pair(rows: DataFrame, items: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Each row with each distinct row of ``items``, whose columns are new, without a join that has no keys.
+
+    ``items`` is packed into arrays of about ``block_rows``. One array is a scalar subquery; several make a table of blocks, which meets ``rows``
+    by block number and salt, so that the rows of a block are spread over the shuffle's partitions. Any number of items gives the same rows.
+    """
+    items = items.distinct()
+    entry = F.struct(*items.columns)
+    n = items.count()
+    if n <= block_rows:
+        return rows.select("*", F.inline(items.agg(F.sort_array(F.collect_list(entry)).alias("items")).scalar()))
+    spark = rows.sparkSession
+    blocks = -(-n // block_rows)
+    salts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    packed = items.groupBy(F.pmod(F.xxhash64(*items.columns), F.lit(blocks)).cast("int").alias("_block")).agg(F.collect_list(entry).alias("_items"))
+    packed = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    return dealt.join(packed, ["_block", "_salt"]).select(*rows.columns, F.inline("_items"))

@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from latentlake.catalog import fixtures as fx
 from latentlake.functions import ids
 from latentlake.operators import analytics, latent_map, order_stats, probe, registry, resolve, stats
 from latentlake.plans import workflows
-from latentlake.runtime import bounded_array, scratch_path
+from latentlake.runtime import every_pair, scratch_path
 from latentlake.sources import readers, writers
 from latentlake.streaming import incremental
 
@@ -148,9 +149,27 @@ def test_sparse_slide_features(spark):
     assert "sequence(" not in found._jdf.queryExecution().executedPlan().toString()
 
 
-def test_bounded_array_refuses_growth(spark):
-    with pytest.raises(ValueError):
-        bounded_array(spark.range(11), F.col("id"), 10, "ids")
+@pytest.mark.parametrize("block_rows", [10_000, 3])
+def test_every_pair(spark, block_rows):
+    """One array or many salted blocks: the same pairs, repeated rows kept, repeated items once, nulls on both sides."""
+    rows = spark.createDataFrame([("a", 1), ("a", 1), (None, 2)], "k string, v int")
+    items = spark.createDataFrame([(i % 10, f"x{i % 10}" if i % 10 else None) for i in range(15)], "i int, name string")
+    got = Counter(map(tuple, every_pair(rows, items, block_rows).collect()))
+    assert got == Counter((*r, i, f"x{i}" if i else None) for r in map(tuple, rows.collect()) for i in range(10))
+    assert every_pair(rows, items.where("i > 99"), block_rows).collect() == []
+    plan = every_pair(rows, items, block_rows)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_more_label_values_than_an_array_holds(spark):
+    """200,000 values of one label give a row each."""
+    slides = spark.range(1000).selectExpr("concat('c', id) as case_id")
+    labels = spark.range(200_000).selectExpr("concat('c', id % 1000) as case_id", "'site' as label_column", "concat('v', id) as label_value")
+    selected = spark.createDataFrame([("top", 7, "")], "latent_strategy string, latent_idx bigint, latent_group string")
+    scores = slides.selectExpr("'top' as latent_strategy", "7L as latent_idx", "'' as latent_group", "case_id", "if(case_id < 'c5', 1.0D, 0.0D) as slide_max_activation")
+    out = analytics.label_enrichment(scores, slides, labels, selected)
+    row = out.agg(F.count("*"), F.count_distinct("label_value"), F.sum("cases_in_label"), F.sum("cases_with_activation")).first()
+    assert tuple(row) == (200_000, 200_000, 200_000, scores.where("slide_max_activation > 0").count() * 200)
 
 
 def test_probe_optimum_has_a_zero_gradient(spark):
