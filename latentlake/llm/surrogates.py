@@ -1,7 +1,7 @@
 """Operator 7: personal data replaced by surrogates, in DataFrame functions alone.
 
-Detected entities (e-mail and IP addresses, phone, card, account and social security numbers, secrets, and persons named with a title) are
-replaced by keyed surrogates of the same type: digits stand for digits, letters for letters of their script and case, separators stay; a card
+Detected entities (e-mail and IP addresses of both versions, international and common national phone numbers, card numbers of 15 and 16 digits,
+account and social security numbers, secrets, and persons named with a title; a person without one is not found) are replaced by keyed surrogates of the same type: digits stand for digits, letters for letters of their script and case, separators stay; a card
 number that passes the Luhn check gets one that does; country codes and top-level domains stay; a person keeps title and gender.
 
 Forms of one entity share a surrogate: numbers are told apart by their digits, addresses and secrets without regard to case, names word by
@@ -38,8 +38,10 @@ PATTERNS = {
     "ip": rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.\d)",
     "iban": _EDGE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "secret": _EDGE + r"(?=[a-fA-F]{0,63}\d)[0-9a-fA-F]{32,128}(?![\p{L}\p{N}])",
-    "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?![\p{L}\p{N}])",
-    "card": _EDGE + r"\d{4}(?:[ \-]?\d{4}){3}(?![\p{L}\p{N}])",
+    "ipv6": r"(?<![\p{L}\p{N}:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
+    "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}|(?: ?\d{1,3})(?: \d{2,3}){3,4})(?![\p{L}\p{N}])",
+    "card": _EDGE + r"(?:\d{4}(?:[ \-]?\d{4}){3}|3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5})(?![\p{L}\p{N}])",
+    "national": r"(?<![\p{L}\p{N}+\-])(?:\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}|0\d(?:[ .]\d{2}){4}|0\d{1,4}[ /\-]\d{5,8})(?![\p{L}\p{N}]|-\d)",
     "ssn": _EDGE + r"\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}])",
     "person": _EDGE + rf"(?:{_TITLE})\.? \p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?(?![\p{{L}}\p{{N}}])",
 }
@@ -47,13 +49,16 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity contains.
 SIGN = rf"[0-9@]|{_EDGE}(?:{_TITLE})\.? \p{{Lu}}"
 
-#: Alphabets by script, lower and upper case side by side; a letter outside them stays.
+#: Alphabets by script, lower and upper case side by side; letters outside them are drawn from RANGES.
 ALPHABETS = (
     ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("àáâãäåçèéêëìíîïñòóôõöùúûüý", "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"),
     ("абвгдежзийклмнопрстуфхцчшщыэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЫЭЮЯ"),
     ("αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
+    ("աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփքօֆ", "ԱԲԳԴԵԶԷԸԹԺԻԼԽԾԿՀՁՂՃՄՅՆՇՈՉՊՋՌՍՎՏՐՑՒՓՔՕՖ"),
 )
+#: First and last code point of runs of letters without case: Hebrew, Arabic, Devanagari, Thai, Georgian, kana, Chinese characters, Hangul.
+RANGES = ((0x5D0, 0x5EA), (0x621, 0x63A), (0x905, 0x939), (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
 _LOW = "".join(a for a, _ in ALPHABETS)
 _HIGH = "".join(b for _, b in ALPHABETS)
 GIVEN = {
@@ -75,11 +80,23 @@ def _one_of(words, seed: Column, at: int) -> Column:
 
 
 def _swap(c: Column, seed: Column, at: Column) -> Column:
-    """A lower-case letter or digit of the kind of ``c``; other characters stay."""
+    """A lower-case letter or digit of the kind of ``c``; a letter of no known script gives a Latin one, other characters stay."""
     out = F.when((c >= "0") & (c <= "9"), _draw(seed, at, 10).cast("string"))
     for low, _ in ALPHABETS:
         out = out.when(F.position(c, F.lit(low)) > 0, F.substring(F.lit(low), _draw(seed, at, len(low)) + 1, F.lit(1)))
-    return out.otherwise(c)
+    point = F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("long")
+    for first, last in RANGES:
+        drawn = F.lpad(F.hex((first + _draw(seed, at, last - first + 1)).cast("long")), 4, "0")
+        out = out.when((point >= first) & (point <= last), F.decode(F.unhex(drawn), "UTF-16BE"))
+    latin = ALPHABETS[0][0]
+    return out.when(c.rlike(r"^\p{L}$"), F.substring(F.lit(latin), _draw(seed, at, len(latin)) + 1, F.lit(1))).otherwise(c)
+
+
+def _longer(seed: Column) -> Column:
+    """Letters that make a surrogate longer once many of its own length were taken."""
+    n = F.greatest(F.floor(F.col("attempt") / 4) - 2, F.lit(0)).cast("int")
+    letters = F.transform(F.sequence(F.lit(0), n), lambda i: F.when(i > 0, F.substring(F.lit(ALPHABETS[0][0]), _draw(seed, 1000 + i, 26) + 1, F.lit(1))).otherwise(""))
+    return F.array_join(letters, "")
 
 
 def _swapped(text: Column, seed: Column) -> Column:
@@ -106,8 +123,12 @@ def candidates(units: DataFrame, key: str) -> DataFrame:
     domain_seed = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 256)
     top = F.substring_index(domain, ".", -1)
     labels = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
-    email = F.concat(_swapped(F.substring_index(canon, "@", 1), seed), F.lit("@"), _swapped(labels, domain_seed), top)
+    email = F.concat(_swapped(F.substring_index(canon, "@", 1), seed), _longer(seed), F.lit("@"), _swapped(labels, domain_seed), top)
     ip = F.concat_ws(".", *(( _draw(seed, F.lit(i), 223 if i == 1 else 256) + (1 if i == 1 else 0)).cast("string") for i in range(1, 5)))
+    # as many hexadecimal digits as there were, colons where they were
+    groups = F.array_join(
+        F.transform(F.sequence(F.lit(1), F.length(canon)), lambda i: F.when(F.substring(canon, i, F.lit(1)) == ":", ":").otherwise(F.lower(F.hex(_draw(seed, i, 16).cast("long"))))), ""
+    )
     code = F.concat(F.substring_index(canon, "|", 1), F.lit("|"))
     phone = F.concat(code, _swapped(F.substring_index(canon, "|", -1), seed))
     card = _swapped(canon, seed)
@@ -127,8 +148,8 @@ def candidates(units: DataFrame, key: str) -> DataFrame:
     latin = canon.rlike(r"^[a-zß-ÿ]*$")
     surrogate = (
         F.when(F.col("kind") == "email", email).when(F.col("kind") == "ip", ip).when(F.col("kind") == "phone", phone).when(F.col("kind") == "card", card)
-        .when(F.col("kind") == "iban", iban).when(F.col("kind") == "secret", hexes).when(F.col("kind") == "surname", F.when(latin, surname).otherwise(_swapped(canon, seed)))
-        .when(F.col("kind").startswith("given"), F.when(latin, given).otherwise(_swapped(canon, seed))).otherwise(_swapped(canon, seed))
+        .when(F.col("kind") == "iban", iban).when(F.col("kind") == "secret", hexes).when(F.col("kind") == "surname", F.when(latin, surname).otherwise(F.concat(_swapped(canon, seed), _longer(seed))))
+        .when(F.col("kind").startswith("given"), F.when(latin, given).otherwise(F.concat(_swapped(canon, seed), _longer(seed)))).when(F.col("kind") == "ipv6", groups).otherwise(_swapped(canon, seed))
     )
     return units.withColumn("surrogate", surrogate)
 
@@ -177,7 +198,7 @@ def _units(entity: Column, kind: Column) -> Column:
     surname = unit("surname", F.lower(F.element_at(words, -1)))
     given = unit(F.concat(F.lit("given_"), _gender(entity)), F.lower(F.element_at(words, 1)))
     canon = (
-        F.when(kind.isin("email", "secret"), F.lower(entity)).when(kind == "phone", phone).when(kind.isin("card", "ssn"), digits)
+        F.when(kind.isin("email", "secret", "ipv6"), F.lower(entity)).when(kind == "phone", phone).when(kind.isin("card", "ssn", "national"), digits)
         .when(kind == "iban", F.lower(F.regexp_replace(entity, " ", ""))).otherwise(entity)
     )
     return F.when(kind == "person", F.when(F.size(words) > 1, F.array(given, surname)).otherwise(F.array(surname))).otherwise(F.array(unit(kind, canon)))
@@ -201,9 +222,10 @@ def _rendered(entity: Column, kind: Column, subs: Column) -> Column:
         ).otherwise(F.struct(F.concat(acc["done"], F.substring(entity, i, F.lit(1))).alias("done"), acc["next"].alias("next"))),
     )["done"]
     same = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: _cased(F.substring(sub, i, F.lit(1)), F.substring(entity, i, F.lit(1)))), "")
+    same = F.concat(same, F.substring(sub, n + 1, F.greatest(F.length(sub) - n, F.lit(0))))
     title = F.regexp_extract(entity, rf"^((?:{_TITLE})\.? )", 1)
     person = F.concat(title, F.array_join(F.transform(subs, lambda s: F.concat(F.translate(F.substring(s, 1, 1), _LOW, _HIGH), F.substring(s, F.lit(2), F.length(s)))), " "))
-    return F.when(kind == "person", person).when(kind == "ip", sub).when(kind.isin("email", "secret"), same).otherwise(spread)
+    return F.when(kind == "person", person).when(kind == "ip", sub).when(kind.isin("email", "secret", "ipv6"), same).otherwise(spread)
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:

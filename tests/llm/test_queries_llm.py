@@ -219,6 +219,37 @@ def test_op7(spark, documents):
         assert found or got[d]["text"] == t
 
 
+FORMS = (
+    "(743) 555-3824", "743-555-3824", "030 1234567", "06 12 34 56 78", "+33 6 12 34 56 78", "+34 612 34 56 78", "3782 822463 10005", "378282246310005",
+    "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1ff:fe23:4567:890a", "张伟@例子.com", "محمد@مثال.org", "արամ@Օրինակ.am", "1@2.com", "שלום@example.org",
+)
+
+
+def test_more_surrogate_forms(spark):
+    """Every form goes, keeps its shape, and is told apart; an address in any script finds a surrogate."""
+    got = {r["doc_id"]: r for r in surrogates.pseudonymised(docs_of(spark, [(i, f"Write to {x}, please. Or {x}") for i, x in enumerate(FORMS)])).collect()}
+    seen = set()
+    for i, form in enumerate(FORMS):
+        assert got[i]["n_entities"] == 2, form
+        shown = re.fullmatch("Write to (.*), please. Or (.*)", got[i]["text"])
+        assert shown[1] == shown[2] != form and shown[1] not in FORMS
+        shape = lambda t: re.sub(r"[a-z]", "a", re.sub(r"[0-9]", "0", t)) if "@" not in t and ":" not in t else re.sub(r"[^@.:]+", "x", t)
+        assert shape(shown[1]) == shape(form)
+        seen.add(shown[1])
+    assert len(seen) == len(FORMS)
+    digits = [re.sub(r"\D", "", got[i]["text"]) for i in range(len(FORMS))]
+    assert digits[0] == digits[1] and digits[6] == digits[7]
+    kept = "Not 2024-01-01, 12:30:45, v1.2.3, 10 000 000, a::b, 007, 100-200, nor 1234567."
+    assert surrogates.pseudonymised(docs_of(spark, [(1, kept)])).first()["text"] == kept
+
+
+def test_crowded_surrogates(spark):
+    """Addresses that fill all of their own length get longer ones."""
+    texts = [(i, f"mail {i}@7.com now") for i in range(10)]
+    got = [r["text"] for r in surrogates.pseudonymised(docs_of(spark, texts)).collect()]
+    assert len(set(got)) == 10 and not set(got) & {t for _, t in texts}
+
+
 def test_surrogate_forms(spark):
     text = (
         "Mr. John Smith and Mrs Smith, Dr. Иван Петров; Mr John Smith again; a.b-1@Mail.example.com, A.B-1@mail.example.com, c@mail.example.com "
