@@ -38,7 +38,7 @@ PATTERNS = {
     "ip": rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.\d)",
     "iban": _EDGE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "secret": _EDGE + r"(?=[a-fA-F]{0,63}\d)[0-9a-fA-F]{32,128}(?![\p{L}\p{N}])",
-    "ipv6": r"(?<![\p{L}\p{N}:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
+    "ipv6": r"(?<![\p{L}\p{N}:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){2,6})(?![\p{L}\p{N}:])",
     "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}|(?: ?\d{1,3})(?: \d{2,3}){3,4})(?![\p{L}\p{N}])",
     "card": _EDGE + r"(?:\d{4}(?:[ \-]?\d{4}){3}|3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5})(?![\p{L}\p{N}])",
     "national": r"(?<![\p{L}\p{N}+\-])(?:\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}|0\d(?:[ .]\d{2}){4}|0\d{1,4}[ /\-]\d{5,8})(?![\p{L}\p{N}]|-\d)",
