@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latentlake.functions import ids
-from latentlake.runtime import attach_small, settle
+from latentlake.runtime import attach_small, left_known, settle
 
 _ENCODER_COLUMN = {"uni2": "uni_path", "seal": "seal_path", "gigapath": "gigapath_path", "virchow2": "virchow2_path"}
 
@@ -42,10 +42,8 @@ def resolve_features(rows: DataFrame, mapping: DataFrame, features: DataFrame, l
     listed = features.groupBy(F.col("slide_id").alias("_slide"), F.col("encoder").alias("_enc")).agg(
         F.min_by("feature_path", "ord").alias("_listed")
     )
-    found = lambda df, col: df.join(
-        exists.select(F.col("_hit").alias(col), F.lit(True).alias(f"{col}_ok")), col, "left"
-    )
-    out = keyed.join(mapped, ["_slide", "_enc"], "left").join(listed, ["_slide", "_enc"], "left")
+    found = lambda df, col: left_known(df, exists.select(F.col("_hit").alias(col), F.lit(True).alias(f"{col}_ok")), [col])
+    out = left_known(left_known(keyed, mapped, ["_slide", "_enc"]), listed, ["_slide", "_enc"])
     for col in ("_rel", "_mapped", "_listed"):
         out = found(out, col)
     path = F.coalesce(*[F.when(F.col(f"{c}_ok"), F.col(c)) for c in ("_rel", "_mapped", "_listed")], F.lit(""))
@@ -81,11 +79,9 @@ def resolve_slides(rows: DataFrame, mapping: DataFrame, listing: DataFrame, root
         .groupBy("_dir", "_slide")
         .agg(F.min("path").alias("_globbed"))
     )
-    found = lambda df, col: df.join(
-        exists.select(F.col("path").alias(col), F.lit(True).alias(f"{col}_ok")), col, "left"
-    )
-    out = rows.withColumn("_slide", ids.slide_id("slide_key")).join(dims, "_slide", "left")
-    out = found(found(out, "_mapped"), "_named").join(prefixed, ["_dir", "_slide"], "left")
+    found = lambda df, col: left_known(df, exists.select(F.col("path").alias(col), F.lit(True).alias(f"{col}_ok")), [col])
+    out = left_known(rows.withColumn("_slide", ids.slide_id("slide_key")), dims, ["_slide"])
+    out = left_known(found(found(out, "_mapped"), "_named"), prefixed, ["_dir", "_slide"])
     path = F.coalesce(
         F.when(F.col("_mapped_ok"), F.col("_mapped")),
         F.when(F.col("_named_ok"), F.col("_named")),

@@ -7,6 +7,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -122,6 +123,22 @@ def attach_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     return df
 
 
+#: Values over which rows without a key are spread.
+SPREAD = 4096
+
+
+def left_known(rows: DataFrame, dims: DataFrame, on: list[str]) -> DataFrame:
+    """Left join on string keys of which many may be null or blank; such rows match nothing.
+
+    They get keys of their own that no row of ``dims`` has, so that they are spread over the shuffle's partitions instead of meeting in one.
+    """
+    blank = reduce(lambda a, b: a | b, (F.coalesce(F.trim(k), F.lit("")) == "" for k in on))
+    apart = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)).cast("string"))
+    keys = {k: f"_known_{k}" for k in on}
+    spread = rows.withColumns({v: F.when(blank, apart).otherwise(F.col(k)) for k, v in keys.items()})
+    return spread.join(dims.where(~blank).withColumnsRenamed(keys), list(keys.values()), "left").drop(*keys.values())
+
+
 #: Rows of a dimension table that one array holds.
 BLOCK_ROWS = 10_000
 

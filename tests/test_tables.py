@@ -11,7 +11,7 @@ from latentlake.catalog import fixtures as fx
 from latentlake.functions import ids
 from latentlake.operators import analytics, latent_map, order_stats, probe, registry, resolve, stats
 from latentlake.plans import workflows
-from latentlake.runtime import every_pair, scratch_path
+from latentlake.runtime import every_pair, left_known, scratch_path
 from latentlake.sources import readers, writers
 from latentlake.streaming import incremental
 
@@ -149,6 +149,24 @@ def test_sparse_slide_features(spark):
     assert "sequence(" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rows_without_a_key_are_spread(spark):
+    """The rows of a plain left join, without a partition that takes all null keys."""
+    rows = spark.range(8000).selectExpr("id", "case when id % 4 = 0 then concat('k', id % 5) when id % 4 = 1 then '' when id % 4 = 2 then ' ' end as k", "'x' as j")
+    dims = spark.createDataFrame([("k1", "x", 10), ("k3", "x", 30), (None, "x", 1), ("", "x", 2)], "k string, j string, v int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = left_known(rows, dims, ["k", "j"])
+        assert got.columns == ["id", "k", "j", "v"]
+        held = got.groupBy(F.spark_partition_id()).count()
+        assert held.agg(F.max("count")).first()[0] < 0.6 * 8000
+        want = {i: {1: 10, 3: 30}.get(i % 5) if i % 4 == 0 else None for i in range(8000)}
+        assert {r["id"]: r["v"] for r in got.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 @pytest.mark.parametrize("block_rows", [10_000, 3])
 def test_every_pair(spark, block_rows):
     """One array or many salted blocks: the same pairs, repeated rows kept, repeated items once, nulls on both sides."""
@@ -230,6 +248,30 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark, sf):
     assert incremental.read_incremental(spark, folded).count() == len(want)
 
 
+def test_folded_stream_state(spark):
+    """Folds every few batches; a replay, a fold that was cut off before its commit and one cut off after it change nothing; the folder stays bounded."""
+    path = scratch_path(spark, "folded")
+    store = incremental.StatsStore(spark, path, fold_every=3)
+    batch = lambda i: spark.createDataFrame([(i % 2, float(i)), (7, 1.0)], "latent_idx bigint, z double").coalesce(1)
+    spark.range(1).selectExpr("99L as latent_idx", "1e9D as z_max").write.parquet(f"{path}/base/through=5")  # left by a lost driver
+    for i in range(20):
+        store.write(batch(i), i)
+        if i in (4, 8):
+            store.write(batch(i), i)  # replayed; 8 is replayed behind its fold
+        rows = {r["latent_idx"]: (r["z_max"], r["z_sum"], r["n_rows"]) for r in incremental.read_incremental(spark, path).collect()} if i in (4, 5, 8, 19) else None
+        if rows is not None:
+            want = {7: (1.0, i + 1.0, i + 1)} | {k: (float(v[-1]), float(sum(v)), len(v)) for k, v in ((k, list(range(k, i + 1, 2))) for k in (0, 1)) if v}
+            assert rows == want, i
+    assert store.through() == 17
+    held = [store._numbers(f) for f in ("delta", "base", "manifest")]
+    assert held == [[15, 16, 17, 18, 19], [14, 17], [14, 17]]
+    again = incremental.StatsStore(spark, path, fold_every=3)
+    again.write(batch(20), 20)
+    assert again.through() == 20 and again.read().where("latent_idx = 7").first()["n_rows"] == 21
+    with pytest.raises(ValueError):
+        incremental.StatsStore(spark, path, 0)
+
+
 def test_bundle_roundtrip(spark, sf):
     from latentlake.catalog.flows import CFG, RUN, _inputs
 
