@@ -293,6 +293,27 @@ def g20(spark, sf):
     return ranking.bundle_summary(ranking.representatives(ranked), ranked, summary)
 
 
+@query(
+    "g20_bundle_summary_run",
+    needs="ranked",
+    d="max_activation mean_activation",
+    sql="""SELECT 'r1' AS run_name, 'sae' AS stage, 'tcga' AS dataset, '' AS encoder, 'train' AS selection_split, 'test' AS export_split,
+  (SELECT string_agg(DISTINCT latent_strategy, ',' ORDER BY latent_strategy) FROM ranked) AS strategies,
+  (SELECT string_agg(DISTINCT representative_method, ',' ORDER BY representative_method) FROM ranked) AS methods,
+  count(DISTINCT latent_strategy || '/' || latent_idx) AS total_latent_rows, count_if(method_rank = 1) AS total_representative_rows,
+  count(DISTINCT slide_key) AS total_slides, count(DISTINCT case_id) AS total_cases, count(DISTINCT feature_path) AS total_feature_files,
+  count(*) AS total_support_rows, max(activation) AS max_activation, avg(activation) AS mean_activation FROM ranked""",
+)
+def g20_run(spark, sf):
+    rows = support(spark, sf)
+    ranked = ranking.rank_support(rows)
+    summary = ranking.latent_summary(rows, fx.sparse_stats(spark, sf))
+    run = {"run_name": "r1", "stage": "sae", "dataset": "tcga"}
+    out = ranking.bundle_summary(ranking.representatives(ranked), ranked, summary, run, "train", "test")
+    lists = {"strategies": "available_latent_strategies", "methods": "available_representative_methods"}
+    return out.withColumns({k: F.array_join(v, ",") for k, v in lists.items()}).drop(*lists.values())
+
+
 # --- viewer tables --------------------------------------------------------------------------
 
 VIEWS["viewer"] = (

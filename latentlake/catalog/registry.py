@@ -386,3 +386,47 @@ def k6(spark, sf):
 
     lists = fx.tiles(spark, sf).where("cohort in ('C1', 'C3')").select("cohort")
     return registry.validate(lists, _damaged(spark, sf), 64)
+
+
+@query(
+    "k6_validate_files",
+    needs="tiles",
+    sql="""WITH c AS (SELECT DISTINCT encoder, cohort FROM tiles WHERE cohort <> ''),
+i AS (SELECT 'error' AS severity, 'missing_folder' AS kind, '/lake/' || f AS subject FROM (SELECT unnest(['metadata/indexes', 'metadata/splits']) AS f)
+UNION ALL SELECT 'warning', 'missing_encoder_folder', '/lake/wsi_features/' || e || '/TCGA' FROM (SELECT unnest(['gigapath', 'virchow2']) AS e)
+UNION ALL SELECT 'warning', 'missing_index', '/lake/wsi_features/' || encoder || '/TCGA/' || cohort || '/index.csv' FROM c WHERE cohort NOT IN ('C1', 'C3')
+UNION ALL SELECT 'error', 'missing_h5_folder', '/lake/wsi_features/' || encoder || '/TCGA/' || cohort || '-old/h5' FROM c WHERE cohort = 'C2')
+SELECT * FROM i""",
+)
+def k6_files(spark, sf):
+    return registry.validate_files(_lake_files(spark, sf), "/lake")
+
+
+def _lake_files(spark, sf):
+    """Feature files of all slides, indexes of two cohorts, cohort folders without features, and files of three other folders."""
+    slides = fx.tiles(spark, sf).where("cohort <> ''").select("slide_key", "encoder", "cohort").distinct()
+    base = "'/lake/wsi_features/', encoder, '/TCGA/', cohort"
+    return (
+        slides.selectExpr(f"concat({base}, '/h5/', slide_key, '.h5') as path")
+        .unionByName(slides.where("cohort in ('C1', 'C3')").selectExpr(f"concat({base}, '/index.csv') as path").distinct())
+        .unionByName(slides.where("cohort = 'C2'").selectExpr(f"concat({base}, '-old/index.csv') as path").distinct())
+        .unionByName(slides.selectExpr("concat('/lake/wsi_slides/TCGA/', cohort, '/slides/', slide_key, '.svs') as path"))
+        .unionByName(slides.selectExpr("concat('/lake/metadata/manifests/', cohort, '.csv') as path").distinct())
+        .unionByName(slides.selectExpr("concat('/lake/registry/', encoder, '.csv') as path").distinct())
+        .unionByName(slides.selectExpr("concat('/elsewhere/metadata/splits/', encoder, '.csv') as path").distinct())
+    )
+
+
+@query(
+    "k6_validation_summary",
+    needs="tiles",
+    sql="""WITH b AS (SELECT DISTINCT slide_key, CAST(substr(slide_key, 2) AS BIGINT) % 8 AS r FROM tiles)
+SELECT count_if(r NOT IN (1, 3, 5, 6)) AS validated_feature_files, count_if(r IN (1, 3, 5, 6)) AS errors,
+  (SELECT 2 + count(DISTINCT cohort) FROM tiles WHERE cohort NOT IN ('C1', 'C3')) AS warnings, count_if(r IN (1, 3, 5, 6)) = 0 AS valid FROM b""",
+)
+def k6_summary(spark, sf):
+    from latentlake.catalog.stats import _damaged
+
+    lists, tiles = fx.tiles(spark, sf).where("cohort in ('C1', 'C3')").select("cohort"), _damaged(spark, sf)
+    rows = settle(registry.health(tiles, 64)[0])
+    return registry.validation_summary(registry.validate(lists, tiles, 64, rows=rows), rows)

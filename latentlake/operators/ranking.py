@@ -131,10 +131,17 @@ def latent_summary(support: DataFrame, stats: DataFrame) -> DataFrame:
     return attach_global_stats(summary, stats)
 
 
-def bundle_summary(reps: DataFrame, support: DataFrame, summary: DataFrame) -> DataFrame:
-    """Global counts over the (method-replicated) support table."""
+def bundle_summary(
+    reps: DataFrame, support: DataFrame, summary: DataFrame, run: dict[str, str] | None = None, selection_split: str = "",
+    export_split: str = "", strategies: tuple[str, ...] | None = None,
+) -> DataFrame:
+    """Global counts over the (method-replicated) support table.
+
+    With ``run`` (run_name, stage, dataset, encoder) the row also names the run, both splits, the latent strategies (those of ``summary`` unless
+    given, in their order) and the representative methods found.
+    """
     filled = lambda c: F.count_distinct(F.nullif(F.col(c), F.lit("")))
-    return support.agg(
+    out = support.agg(
         filled("slide_key").alias("total_slides"),
         filled("case_id").alias("total_cases"),
         filled("feature_relpath").alias("total_feature_files"),
@@ -146,6 +153,15 @@ def bundle_summary(reps: DataFrame, support: DataFrame, summary: DataFrame) -> D
         reps.agg(F.count("*").alias("n")).scalar().alias("total_representative_rows"),
         "*",
     )
+    if run is None:
+        return out
+    # a handful of names each
+    named = lambda df, c: df.agg(F.sort_array(F.collect_set(F.nullif(F.col(c), F.lit("")))).alias("v")).scalar()
+    facts = {k: F.lit(run.get(k, "")) for k in ("run_name", "stage", "dataset", "encoder")}
+    facts |= {"selection_split": F.lit(selection_split), "export_split": F.lit(export_split)}
+    facts["available_latent_strategies"] = named(summary, "latent_strategy") if strategies is None else F.array(*map(F.lit, strategies))
+    facts["available_representative_methods"] = named(reps, "representative_method")
+    return out.select(*(v.alias(k) for k, v in facts.items()), "*")
 
 
 # --- viewer tables ------------------------------------------------------------------------

@@ -227,6 +227,48 @@ def validate(
     return unreadable.unionByName(absent).unionByName(unlisted)
 
 
+#: Folders that a lake must have.
+REQUIRED_FOLDERS = ("wsi_slides", "wsi_features", "registry", "metadata/indexes", "metadata/manifests", "metadata/splits")
+
+
+def validate_files(listing: DataFrame, root: str, encoders=ids.ENCODERS, project: str = ids.DEFAULT_PROJECT) -> DataFrame:
+    """Issues ``(severity, kind, subject)`` of the files of a lake (K6): required folders without anything in them, encoder folders that are
+    absent, cohort folders without feature files and cohort folders without an index.
+
+    ``listing`` (path) has the files below ``root``; folders are known by their files, so an empty folder counts as missing.
+    """
+    root, spark = root.rstrip("/"), listing.sparkSession
+    inside = listing.where(F.startswith("path", F.lit(f"{root}/"))).select(F.substring("path", len(root) + 2, 1 << 20).alias("at"))
+    parts = F.split("at", "/")
+    part = lambda i: F.get(parts, F.lit(i))
+    held = inside.select(F.explode(F.array(*(F.when(F.startswith("at", F.lit(f"{f}/")), F.lit(f)) for f in REQUIRED_FOLDERS))).alias("folder"))
+    held = held.where("folder is not null").distinct()
+    issue = lambda df, severity, kind, subject: df.select(F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), subject.alias("subject"))
+    wanted = spark.createDataFrame([(f,) for f in REQUIRED_FOLDERS], "folder string")
+    missing = issue(wanted.join(held, "folder", "left_anti"), "error", "missing_folder", F.concat(F.lit(f"{root}/"), "folder"))
+    mine = part(2) == F.upper(F.trim(F.lit(project)))
+    features = inside.where((F.size(parts) >= 5) & (part(0) == "wsi_features") & mine).select(
+        part(1).alias("encoder"), part(3).alias("cohort"), (part(4) == "index.csv").alias("index"), ((part(4) == "h5") & (F.size(parts) > 5)).alias("h5")
+    )
+    cohorts = features.where(F.col("encoder").isin(*encoders)).groupBy("encoder", "cohort").agg(F.max("index").alias("index"), F.max("h5").alias("h5"))
+    folder = F.concat(F.lit(f"{root}/wsi_features/"), "encoder", F.lit(f"/{project}/"), "cohort")
+    known = spark.createDataFrame([(e,) for e in encoders], "encoder string")
+    absent = known.join(cohorts.select("encoder").distinct(), "encoder", "left_anti")
+    return (
+        missing.unionByName(issue(absent, "warning", "missing_encoder_folder", F.concat(F.lit(f"{root}/wsi_features/"), "encoder", F.lit(f"/{project}"))))
+        .unionByName(issue(cohorts.where(~F.col("h5")), "error", "missing_h5_folder", F.concat(folder, F.lit("/h5"))))
+        .unionByName(issue(cohorts.where(F.col("h5") & ~F.col("index")), "warning", "missing_index", F.concat(folder, F.lit("/index.csv"))))
+    )
+
+
+def validation_summary(issues: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row: feature files read without error, errors, warnings, and whether the layout is valid (K6). ``rows`` are those of health()."""
+    ok = rows.agg(F.count_if(F.col("status") == "ok").alias("n")).scalar()
+    return issues.agg(
+        F.coalesce(F.count_if(F.col("severity") == "error"), F.lit(0)).alias("errors"), F.coalesce(F.count_if(F.col("severity") == "warning"), F.lit(0)).alias("warnings")
+    ).select(ok.alias("validated_feature_files"), "errors", "warnings", (F.col("errors") == 0).alias("valid"))
+
+
 def dedupe_paths(slides: DataFrame, project: str = "project") -> DataFrame:
     """Distinct (project, path) pairs (K5)."""
     return slides.select(project, "path").distinct()

@@ -6,7 +6,7 @@ all tiles) are written once with settle() when several outputs read them.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -57,6 +57,9 @@ class MineConfig:
     seed: int = 1337
 
 
+#: Options of the bundle workflows (P2, P4): at most 200 slides of a project.
+BUNDLE_CONFIG = MineConfig(slides_per_project=200)
+
 _PASS2 = 17  # seed distance between the two passes
 
 
@@ -126,7 +129,8 @@ def representatives_bundle(
 ) -> Tables:
     """Select on one split, mine another, rank four ways.
 
-    All strategies share one encode pass over the union of their latents.
+    All strategies share one encode pass over the union of their latents. Slides of the exported split are drawn with a seed of their own.
+    ``BUNDLE_CONFIG`` has the published options.
     """
     d_in = model.shape()[1]
     chosen, rejected = view_tiles(tiles, slides.where(F.col("split") == selection_split), cfg, d_in)
@@ -134,7 +138,7 @@ def representatives_bundle(
     selected = settle(_select_all(st, cfg, parents))
     exported = slides.where(F.col("split") == export_split)
     candidates = mining.overfetch(cfg.topn, cfg.buffer_factor if cfg.per_slide > 0 or cfg.min_px > 0 else 1.0)
-    view, more = view_tiles(tiles, exported, cfg, d_in)
+    view, more = view_tiles(tiles, exported, replace(cfg, seed=cfg.seed + 1), d_in)
     source = sampling.cap_tiles(view, cfg.tiles_per_slide, cfg.seed + _PASS2, "pass2")
     top = encode.encode_top(source, model, candidates, selection.selected_union(selected))
     top = mining.diversify(top, cfg.topn, cfg.per_slide, cfg.min_px)
@@ -151,7 +155,7 @@ def representatives_bundle(
         "representative_latents": reps.select(*schemas.SUPPORT_COLUMNS),
         "representative_support_tiles": ranked.select(*schemas.SUPPORT_COLUMNS),
         "latent_summary": summary.select(*schemas.LATENT_SUMMARY_COLUMNS),
-        "bundle_summary": ranking.bundle_summary(reps, ranked, summary),
+        "bundle_summary": ranking.bundle_summary(reps, ranked, summary, run, selection_split, export_split, cfg.strategies),
         "rejects": rejected.unionByName(more),
     }
 
@@ -175,9 +179,9 @@ def write_bundle(bundle: Tables, folder: str) -> None:
 def analytics_tables(
     tiles: DataFrame, slides: DataFrame, model: LatentModel, selected: DataFrame, latent_dim: int,
     labels: DataFrame | None = None, label_columns: list[str] | None = None, ordinal: str = "ord",
-    decoder: DataFrame | None = None, bins: int = 32,
+    decoder: DataFrame | None = None, bins: int = 32, magnification: str = "20x", require_complete: bool = True,
 ) -> Tables:
-    """All analytics tables of one split from a single per-(slide, latent) pass.
+    """All analytics tables of one split from a single per-(slide, latent) pass (P3), in the run's magnification.
 
     Every model kind is read with plain ReLU here. The partials also give the
     global statistics, so the tiles are encoded exactly once.
@@ -186,6 +190,10 @@ def analytics_tables(
 
     dense = model.as_dense()
     used = tiles.join(attach_small(slides.select("slide_key").distinct()), "slide_key", "left_semi")
+    rejected = None
+    if magnification == "10x_pool2x2":
+        rejected = settle(pooling.geometry_rejects(used))
+        used = settle(pooling.pool2x2(used, require_complete))
     partials = settle(encode.encode_slide_stats(used, dense))
     counts = settle(stats.count_tiles(used))
     total = counts.agg(F.coalesce(F.sum("total_tiles"), F.lit(0)).alias("n")).scalar()
@@ -199,6 +207,8 @@ def analytics_tables(
         "cohort_enrichment": analytics.cohort_enrichment(firing, slides, selected),
         "selected_latent_histograms": analytics.histograms(slide_stats, bins),
     }
+    if rejected is not None:
+        out["rejects"] = rejected
     if labels is not None:
         columns = label_columns or [c for c in labels.columns if c not in ("case_id", ordinal)]
         long = analytics.case_labels(labels, columns, ordinal)

@@ -308,6 +308,39 @@ def test_pooled_mining_and_analytics_tables(spark, sf):
     assert tables["latent_map"].count() == tables["all_latent_metrics"].where("is_alive = 1").count()
 
 
+def test_analytics_in_the_magnification_of_the_run(spark, sf):
+    """The 10x tables are those of the pooled tiles; slides without a grid are reported."""
+    from latentlake.catalog.flows import CFG, _inputs
+    from latentlake.operators import pooling
+
+    _, slides, model, parents = _inputs(spark, sf)
+    tiles = fx.grid_tiles(spark, sf)
+    selected = spark.createDataFrame([("top_activation", 3, ""), ("top_activation", 11, "")], "latent_strategy string, latent_idx bigint, latent_group string")
+    got = workflows.analytics_tables(tiles, slides, model, selected, fx.LATENTS, magnification="10x_pool2x2")
+    want = workflows.analytics_tables(pooling.pool2x2(tiles), slides, model, selected, fx.LATENTS)
+    rows = lambda t: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in t.collect()), key=str)
+    for name in ("selected_latent_slide_stats", "all_latent_metrics"):
+        assert rows(got[name]) == rows(want[name])
+    assert {r["slide_key"] for r in got["rejects"].collect()} == {r["slide_key"] for r in pooling.geometry_rejects(tiles).collect()} != set()
+
+
+def test_exported_slides_have_a_draw_of_their_own(spark, sf):
+    from dataclasses import replace
+
+    from latentlake.catalog.flows import CFG, RUN, _inputs
+    from latentlake.operators import sampling
+
+    assert workflows.BUNDLE_CONFIG.slides_per_project == 200
+    tiles, slides, model, parents = _inputs(spark, sf)
+    cfg = replace(CFG, slides_per_project=1, per_slide=0, min_px=0)
+    bundle = workflows.representatives_bundle(tiles, slides, model, cfg, RUN, parents)
+    drawn = sampling.cap_slides(slides.where("split = 'test'").selectExpr("slide_key", "cohort as project"), 1, cfg.seed + 1)
+    used = {r["slide_key"] for r in bundle["representative_support_tiles"].select("slide_key").distinct().collect()}
+    assert used and used <= {r["slide_key"] for r in drawn.collect()}
+    row = bundle["bundle_summary"].first()
+    assert row["available_latent_strategies"] == list(cfg.strategies) and row["export_split"] == "test" and len(row["available_representative_methods"]) == 4
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as contract
 
