@@ -25,6 +25,8 @@ import sys
 import threading
 import unicodedata
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -41,6 +43,8 @@ SEPARATOR = 50_256
 SEQUENCE = 2_048
 #: Sequences of a shard: 16 MB of two-byte ids.
 SHARD_ROWS = 4_096
+#: Bytes of sequences that go to a Python worker at once.
+BATCH_BYTES = 1 << 20
 #: Sequences read from a shard file at once.
 SPAN_ROWS = 256
 #: Splits and token ids that a worker remembers (about 16 MB in arrays).
@@ -267,7 +271,9 @@ def _shards(root: str, length: int, rows: int):
                     raise RuntimeError(f"a slot of shard {shard} is missing")
                 out.write(content[offsets[i] : offsets[j]])
                 at += j - i
-            done.append(pa.RecordBatch.from_arrays([b.column(c) for c in ("slot", "used", "first_doc", "docs")], ["slot", "used", "first_doc", "docs"]))
+            # copies, as views would keep the ids of the whole batch in memory
+            index = b.select(["slot", "used", "first_doc", "docs"])
+            done.append(index.take(pa.array(np.arange(b.num_rows))))
         if out is not None:
             close()
         yield from done
@@ -275,6 +281,18 @@ def _shards(root: str, length: int, rows: int):
     return work
 
 
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Sequences are wide rows: fewer of them go to Python at once while a job inside runs."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_shards(docs: DataFrame, root: str, vocabulary: str = VOCABULARY, length: int = SEQUENCE, rows: int = SHARD_ROWS, key: int = 20_24, separator: int = SEPARATOR) -> DataFrame:
     """Write the shards under ``root`` and return their index (slot, used, first_doc, docs), which is stored beside them.
 
@@ -293,7 +311,8 @@ def write_shards(docs: DataFrame, root: str, vocabulary: str = VOCABULARY, lengt
     dealt = rows_of.mapInArrow(_dealt(vocabulary, length, parts, feistel, separator), "slot long, ids binary, used int, first_doc long, docs int")
     shards = -(-n // rows)
     placed = dealt.repartitionById(shards, F.floor(F.col("slot") / rows).cast("int")).sortWithinPartitions("slot")
-    placed.mapInArrow(_shards(root, length, rows), "slot long, used int, first_doc long, docs int").write.parquet(f"{root}/_index")
+    with _small_batches(spark, max(1, BATCH_BYTES // (2 * length))):
+        placed.mapInArrow(_shards(root, length, rows), "slot long, used int, first_doc long, docs int").write.parquet(f"{root}/_index")
     return spark.read.parquet(f"{root}/_index")
 
 
