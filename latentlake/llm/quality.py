@@ -27,7 +27,7 @@ from .kernels import LOWER, U64, chunks, distinct, mix, shingles, text_bytes, wo
 
 #: Documents that train the scorer, at most; everything else is computed over all.
 SAMPLE = 30_000
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 SHARDS, ROUNDS = 8, 8
 #: Documents without annotation that join the sample, as a share of its bound, and their weight: labellers err alike on what nobody has annotated.
 WEAK_SHARE, WEAK_WEIGHT = 6, 0.1
