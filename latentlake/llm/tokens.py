@@ -182,16 +182,22 @@ class Feistel:
         return self._walk(y, self.keys[::-1])
 
 
+def _digest(digest: int, texts: int, counts: np.ndarray) -> int:
+    """Digest of the numbers of ids of the texts so far, however they are cut into batches."""
+    place = np.arange(texts, texts + len(counts), dtype=U64)
+    return (digest + int(mix(counts.astype(U64) + (place << U64(32))).sum(dtype=U64))) % (1 << 64)
+
+
 def _counted(vocabulary: str):
     def work(batches):
         part, texts, ids, digest = TaskContext.get().partitionId(), 0, 0, 0
         for b in chunks(batches, "text"):
             rows = [t or "" for t in b.column("text").to_pylist()]
             _, counts = encoder(vocabulary).encode(rows)
+            digest = _digest(digest, texts, counts)
             texts, ids = texts + len(rows), ids + int(counts.sum()) + len(rows)
-            digest = (digest * 31 + int(mix(counts.astype(U64) + np.arange(len(counts), dtype=U64)).sum(dtype=U64))) % (1 << 61)
         if texts:
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, texts, ids, digest)], ["part", "texts", "ids", "digest"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in (part, texts, ids)), pa.array([str(digest)])], ["part", "texts", "ids", "digest"])
 
     return work
 
@@ -222,8 +228,8 @@ def _dealt(vocabulary: str, length: int, parts: dict, feistel: Feistel, separato
         for b in chunks(batches, "text"):
             rows = [t or "" for t in b.column("text").to_pylist()]
             ids, counts = encoder(vocabulary).encode(rows)
+            digest = _digest(digest, texts, counts)
             texts, total = texts + len(rows), total + int(counts.sum()) + len(rows)
-            digest = (digest * 31 + int(mix(counts.astype(U64) + np.arange(len(counts), dtype=U64)).sum(dtype=U64))) % (1 << 61)
             ends = np.cumsum(counts)
             stream = np.insert(ids, ends, separator).astype(np.uint16)
             begins = ends - counts + np.arange(len(counts))
@@ -236,7 +242,7 @@ def _dealt(vocabulary: str, length: int, parts: dict, feistel: Feistel, separato
                 owners = [(o - whole, d) for o, d in owners if o >= whole]
         if len(held):
             yield batch(np.concatenate([held, np.full(length - len(held), separator, np.uint16)]), len(held))
-        if part in parts and (texts, total, digest) != tuple(parts[part][1:]) or part not in parts and texts:
+        if part in parts and (texts, total, str(digest)) != tuple(parts[part][1:]) or part not in parts and texts:
             raise RuntimeError(f"partition {part} changed between the passes")
 
     return work
@@ -300,7 +306,7 @@ def write_shards(docs: DataFrame, root: str, vocabulary: str = VOCABULARY, lengt
     """
     spark: SparkSession = docs.sparkSession
     rows_of = typed(docs, doc_id="long", text="string")
-    found = rows_of.select("text").mapInArrow(_counted(vocabulary), "part long, texts long, ids long, digest long").collect()  # a row per input partition
+    found = rows_of.select("text").mapInArrow(_counted(vocabulary), "part long, texts long, ids long, digest string").collect()  # a row per input partition
     parts, n = {}, 0
     for r in sorted(found):
         parts[r["part"]] = (n, r["texts"], r["ids"], r["digest"])

@@ -124,6 +124,15 @@ def test_tokens(spark, odd, none):
     assert tokens.ordered_sequences(none, tokens.shared_uri(scratch_path(spark, "shards-test"))).count() == 0
 
 
+def test_passes_over_different_batches(spark, monkeypatch):
+    """The second pass may cut its input into other batches than the first."""
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 64 * 2 * 7)
+    docs = docs_of(spark, [(i, f"text number {i} " * (i % 5)) for i in range(300)])
+    root = tokens.shared_uri(scratch_path(spark, "shards-test"))
+    got = tokens.ordered_sequences(docs, root, length=64, rows=16).collect()
+    assert sorted(r["slot"] for r in got) == list(range(len(got))) and sum(r["docs"] for r in got) == 300
+
+
 def test_jaccard(odd, none):
     got = sorted(map(tuple, jaccard.shingle_groups(odd).collect()), key=str)
     assert len(got) == len(ODD)
