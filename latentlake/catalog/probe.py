@@ -117,6 +117,19 @@ def m2(spark, sf):
     return probe.probe_coefficients(_fit(spark, sf, "l1")[1][1], spark)
 
 
+for _penalty in ("l1", "l2"):
+
+    def _certified(spark, sf, penalty=_penalty):
+        data, fitted = _fit(spark, sf, penalty)
+        row = probe.optimality(data.where("split = 'train'"), fitted, 1.0, penalty)
+        return row.select(F.col("n").alias("n_train"), (F.col("residual") <= 1e-3 * F.col("start")).alias("optimal"))
+
+    query(
+        f"m2_optimality_{_penalty}", needs="phi dense_labels",
+        sql="SELECT count(DISTINCT slide_key) AS n_train, true AS optimal FROM phi JOIN dense_labels USING (slide_key, split) WHERE split = 'train'",
+    )(_certified)
+
+
 @query("m4_predictions", d="prob_pos")
 def m4(spark, sf):
     data, fitted = _fit(spark, sf)

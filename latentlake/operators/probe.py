@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -143,6 +145,47 @@ def fit_probe(
     return scaler, model, n
 
 
+def _gradient_parts(coef: np.ndarray, intercept: float):
+    def work(batches):
+        total, bias, n = np.zeros(len(coef)), 0.0, 0
+        for b in batches:
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            y, w = (b.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w"))
+            error = w * (1 / (1 + np.exp(-(x @ coef + intercept))) - y)
+            total += error @ x
+            bias += error.sum()
+            n += b.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([bias]), pa.array([n])], ["g", "g0", "n"])
+
+    return work
+
+
+def optimality(train: DataFrame, fitted: tuple[object, LogisticRegressionModel, int], c: float = 1.0, penalty: str = "l2") -> DataFrame:
+    """How far a fit is from its optimum (M2): ``(n, residual, start, n_nonzero)`` from one pass over the training rows.
+
+    ``residual`` is the largest violation of the optimality conditions: the gradient of mean weighted loss plus penalty, for L1 the distance of
+    the loss gradient from the penalty's subdifferential; the intercept is not penalised. ``start`` is the same for all coefficients zero.
+    """
+    scaler, model, n = fitted
+    counts = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
+    weight = F.when(F.col("y") == 1, F.lit(n / (2.0 * counts[1.0]))).otherwise(F.lit(n / (2.0 * counts[0.0])))
+    rows = scaled(train, scaler, n).select(vector_to_array("x").alias("x"), "y", weight.alias("w"))
+    reg, coef = 1.0 / (c * n), model.coefficients.toArray()
+
+    def worst(beta: np.ndarray, intercept: float) -> float:
+        parts = rows.mapInArrow(_gradient_parts(beta, intercept), "g array<double>, g0 double, n bigint").collect()  # a row per task
+        g = sum(np.array(r["g"]) for r in parts) / n
+        if penalty == "l2":
+            off = np.abs(g + reg * beta)
+        else:
+            off = np.where(beta != 0, np.abs(g + reg * np.sign(beta)), np.maximum(np.abs(g) - reg, 0.0))
+        return float(max(off.max(), abs(sum(r["g0"] for r in parts)) / n))
+
+    row = (n, worst(coef, float(model.intercept)), worst(np.zeros(len(coef)), 0.0), int(np.count_nonzero(coef)))
+    return train.sparkSession.createDataFrame([row], "n bigint, residual double, start double, n_nonzero bigint")
+
+
 def predict(fitted: tuple[object, LogisticRegressionModel, int], df: DataFrame) -> DataFrame:
     """``prob_pos`` and ``pred`` at threshold 0.5 (M4)."""
     scaler, model, n = fitted
