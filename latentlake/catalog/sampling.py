@@ -74,9 +74,12 @@ def d5(spark, sf):
 @query(
     "d5_indexed_with_replacement",
     needs="tiles",
-    sql=f"""WITH s AS (SELECT DISTINCT slide_key, 20 AS n FROM tiles),
-d AS (SELECT slide_key, range AS draw, {_hash('n', "'9'", "'replace'", 'slide_key', 'range')} AS pos FROM s CROSS JOIN range(50))
-SELECT slide_key, pos AS tile_index, draw FROM d""",
+    sql=f"""WITH {_POS.replace('sparse_tiles', 'tiles')}, s AS (SELECT DISTINCT slide_key, n FROM p WHERE n < 50),
+d AS (SELECT slide_key, range AS draw, {_hash('n', "'9'", "'replace'", 'slide_key', 'range')} AS pos FROM s CROSS JOIN range(50)),
+r AS (SELECT *, row_number() OVER (PARTITION BY slide_key
+  ORDER BY md5(concat_ws('|', '9', 'indexed', slide_key, tile_index)), tile_index) AS rn FROM p WHERE n >= 50)
+SELECT slide_key, tile_index, draw FROM d JOIN p USING (slide_key, pos)
+UNION ALL SELECT slide_key, tile_index, tile_index FROM r WHERE rn <= 50""",
 )
 def d5_replace(spark, sf):
     out = sampling.sample_indexed(fx.tiles(spark, sf).select("slide_key", "tile_index"), 50, 9)
