@@ -296,8 +296,15 @@ h AS (SELECT encoder, cohort, slide_key, CASE r WHEN 1 THEN 'null_features' WHEN
 @query(
     "g30_health_rows",
     needs="tiles",
-    sql=f"""{_HEALTH} SELECT encoder, cohort, slide_key, CASE WHEN error = '' THEN 'ok' ELSE 'error' END AS status, error,
-  20 AS num_tiles, 64 AS feature_dim FROM h""",
+    sql="""WITH t AS (SELECT * REPLACE (CASE WHEN r = 6 AND tile_index = 9 THEN 8 ELSE tile_index END AS tile_index), tile_index AS was
+  FROM (SELECT *, CAST(substr(slide_key, 2) AS BIGINT) % 8 AS r FROM tiles)),
+s AS (SELECT encoder, cohort, slide_key, bool_or(r = 1 AND was = 4 OR features IS NULL) AS no_vec, bool_or(r = 3 AND was = 5 OR len(features) <> 64) AS bad_dim,
+  bool_or(r = 5 AND was = 6 OR list_count(features) < len(features) OR NOT isfinite(list_min(features)) OR NOT isfinite(list_max(features))) AS bad_val,
+  count(*) > count(DISTINCT tile_index) AS twice, count(*) AS num_tiles,
+  max(CASE WHEN r = 1 AND was = 4 THEN NULL WHEN r = 3 AND was = 5 THEN least(len(features), 10) ELSE len(features) END) AS feature_dim FROM t GROUP BY 1, 2, 3),
+h AS (SELECT *, CASE WHEN no_vec THEN 'null_features' WHEN bad_dim THEN 'bad_feature_shape' WHEN bad_val THEN 'non_finite_value'
+  WHEN twice THEN 'duplicate_tile_index' ELSE '' END AS error FROM s)
+SELECT encoder, cohort, slide_key, CASE WHEN error = '' THEN 'ok' ELSE 'error' END AS status, error, num_tiles, feature_dim FROM h""",
 )
 def g30(spark, sf):
     return registry.health(_damaged(spark, sf), {"uni2": 64, "seal": 64})[0]

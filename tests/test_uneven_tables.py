@@ -6,7 +6,7 @@ from conftest import SF
 from test_queries import ORACLES, QUERIES, table
 
 
-@pytest.mark.parametrize("name", ["d5_indexed_with_replacement"])
+@pytest.mark.parametrize("name", ["d5_indexed_with_replacement", "g30_health_rows"])
 def test_last_slide_is_short(spark, tmp_path, name):
     path = f"{tmp_path}/embeddings.parquet"
     spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 67").write.parquet(path)
