@@ -40,16 +40,26 @@ def softplus(arr: Column) -> Column:
 _LAYER_RULES = {"layernorm": (0.0, 1e-8), "input_ln": (1e-5, 0.0)}
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` bound to a lambda variable.
+
+    A column that only a lambda refers to is inlined there by the optimizer and
+    evaluated once per element; a bound variable is evaluated once per row.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize(df, how: str, col: str = "features"):
     """Row-normalise an array column: ``l2``, ``layernorm`` or the affine-free ``input_ln``."""
-    df = df.withColumn("_x", as_double(col))
     if how == "l2":
-        df = df.withColumn("_mu", F.lit(0.0)).withColumn("_sd", F.sqrt(dot(F.col("_x"), F.col("_x"))) + 1e-8)
+        scaled = lambda x: _let(F.sqrt(dot(x, x)) + 1e-8, lambda sd: F.transform(x, lambda v: v / sd))
     elif how in _LAYER_RULES:
         inside, outside = _LAYER_RULES[how]
-        df = df.withColumn("_mu", mean(F.col("_x")))
-        df = df.withColumn("_sd", F.sqrt(var_pop(F.col("_x"), F.col("_mu")) + inside) + outside)
+
+        def scaled(x: Column) -> Column:
+            spread = lambda mu: F.sqrt(var_pop(x, mu) + inside) + outside
+            return _let(mean(x), lambda mu: _let(spread(mu), lambda sd: F.transform(x, lambda v: (v - mu) / sd)))
+
     else:
         raise ValueError(f"unknown normalisation: {how}")
-    scaled = F.transform("_x", lambda x: (x - F.col("_mu")) / F.col("_sd"))
-    return df.withColumn(col, scaled).drop("_x", "_mu", "_sd")
+    return df.withColumn(col, _let(as_double(col), scaled))
