@@ -237,8 +237,9 @@ def _epoch(columns: np.ndarray, weights: np.ndarray, bias: np.ndarray, rate: flo
             b -= 0.3 * rate * g
         if none:
             return
-        row = [TaskContext.get().partitionId()], [w.astype(np.float32).tobytes()], [b.astype(np.float64).tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "w", "b"])
+        at = np.flatnonzero((w != weights).any(axis=0)).astype(np.int32)
+        row = [TaskContext.get().partitionId()], [at.tobytes()], [(w - weights)[:, at].astype(np.float32).tobytes()], [b.astype(np.float64).tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(),) + (pa.binary(),) * 3, strict=True)], ["shard", "at", "moved", "b"])
 
     return work
 
@@ -264,7 +265,7 @@ def _document_counts(batches):
 def train(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(buckets with weights, weights of both heads, biases) from (doc_id, items, y_quality, y_toxic, weight): parameter averaging over ``SHARDS`` shards for ``ROUNDS`` rounds.
 
-    What comes to the driver is one weight table per shard, of fixed size.
+    What comes to the driver are the weights that each shard moved: no more than the words of the bounded sample, however many shards there are.
     """
     turn = F.xxhash64(F.lit(7), F.col("doc_id"))
     # one file per shard, in order; a shard is what one task reads, so rounds shuffle nothing
@@ -275,14 +276,17 @@ def train(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     columns = np.flatnonzero(seen).astype(np.int32)
     weights, bias = np.zeros((2, len(columns)), np.float32), np.zeros(2)
     for i in range(ROUNDS):
-        parts = rows.mapInArrow(_epoch(columns, weights, bias, 0.4 / (1 + i), 1e-4), "shard int, w binary, b binary").collect()
+        parts = rows.mapInArrow(_epoch(columns, weights, bias, 0.4 / (1 + i), 1e-4), "shard int, at binary, moved binary, b binary").collect()
         if not parts:
             break
         parts.sort(key=lambda r: r["shard"])
-        trained = np.stack([np.frombuffer(r["w"], np.float32).reshape(2, -1) for r in parts])
         # a weight is averaged over the shards that moved it
-        moved = (trained != weights).any(axis=1).sum(axis=0)
-        weights = (weights + (trained - weights).sum(axis=0) / np.maximum(moved, 1)).astype(np.float32)
+        total, shards = np.zeros_like(weights), np.zeros(len(columns), np.int64)
+        for r in parts:
+            at = np.frombuffer(r["at"], np.int32)
+            total[:, at] += np.frombuffer(r["moved"], np.float32).reshape(2, -1)
+            shards[at] += 1
+        weights = (weights + total / np.maximum(shards, 1)).astype(np.float32)
         bias = np.mean([np.frombuffer(r["b"], np.float64) for r in parts], axis=0)
     return columns, weights * (seen[columns] / (seen[columns] + SHRINK)).astype(np.float32), bias
 
