@@ -15,6 +15,8 @@ from latentlake.runtime import settle
 LATENTS = 40
 SPARSE_LATENTS = 64
 PARENTS = 8
+#: Tile keys that one task makes distinct.
+KEY_ROWS = 250_000
 D_IN = 64
 
 VIEWS: dict[str, tuple[str, str]] = {}
@@ -216,10 +218,15 @@ def sparse_tiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sparse_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct tile keys straight from the key columns."""
-    return _read(spark, sf, "lineitem").selectExpr(
+    """Distinct tile keys straight from the key columns.
+
+    Few keys repeat, so rows are dealt by key first, ``KEY_ROWS`` to a task: combining them before the shuffle would hold a whole split.
+    """
+    keys = _read(spark, sf, "lineitem").selectExpr(
         "concat('S', l_suppkey) as slide_key", "l_orderkey * 8 + l_linenumber as tile_index"
-    ).distinct()
+    )
+    tasks = max(spark.sparkContext.defaultParallelism, -(-keys.count() // KEY_ROWS))
+    return keys.repartition(tasks, *keys.columns).distinct()
 
 
 def slides(spark: SparkSession, sf: str) -> DataFrame:

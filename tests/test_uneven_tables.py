@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from conftest import SF
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 from test_queries import ORACLES, QUERIES, table
 
+from latentlake.catalog import fixtures as fx
 from latentlake.functions import vectors
 from latentlake.operators import probe
 
@@ -52,3 +54,10 @@ def test_normalising_odd_vectors(spark):
     df = spark.createDataFrame([(0, None), (1, [2.0, 2.0])], "i int, features array<double>")
     got = [r["features"] for r in vectors.normalize(df, "input_ln").orderBy("i").collect()]
     assert got == [None, [0.0, 0.0]]
+
+
+def test_tasks_for_distinct_keys_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(fx, "KEY_ROWS", 200, raising=False)
+    sizes = [r["n"] for r in fx.sparse_keys(spark, SF).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_suppkey", "l_orderkey * 8 + l_linenumber").distinct().count()
+    assert max(sizes) < 400
