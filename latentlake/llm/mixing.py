@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, query, read, scratch_scope, settle, typed, word_count
+from .common import fresh, query, read, release, scratch_scope, settle, typed, word_count
 
 #: Documents of a cell that one task ranks.
 RANK_BLOCK = 20_000
@@ -107,6 +107,7 @@ def dual(cells: DataFrame, cap: float, tolerance: float = 1e-9) -> DataFrame:
                 "reach", (F.col("done") | end.isNotNull() | F.col("g").isNull() | fits).alias("done"),
             )
         )
+        release(cells.sparkSession)  # steps are small and many; else the driver's heap grows by what it keeps of each
     return state.select("source", "lam")
 
 
@@ -148,6 +149,7 @@ def mix_plan(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, cap:
         counted.join(s, F.col("source").eqNullSafe(F.col("key"))).join(docs_of, F.col("source").eqNullSafe(F.col("key2")))
         .select("source", "size", "n", "source_size", "target", F.greatest(F.col("source_size") / F.col("docs"), F.lit(1.0)).alias("mean"))
     )
+    release(docs.sparkSession)
     lam = dual(cells, float(cap)).select(F.col("source").alias("key"), "lam")
     rated = cells.join(lam, F.col("source").eqNullSafe(F.col("key"))).select(
         "source", "size", "n",
@@ -158,6 +160,7 @@ def mix_plan(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, cap:
     blocks = F.ceil(F.col("n") / RANK_BLOCK).cast("long")
     keyed = F.xxhash64(F.lit(seed), F.col("doc_id"))
     quota = settle(rounded.withColumn("blocks", F.greatest(blocks, F.lit(1))))
+    release(docs.sparkSession)
     q = quota.select(F.col("source").alias("key"), F.col("size").alias("key_size"), "n", "rate", "copies", "blocks")
     placed = (
         sized.join(q, F.col("source").eqNullSafe(F.col("key")) & (F.col("size") == F.col("key_size")))
@@ -189,6 +192,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     same = lambda size: F.to_json(F.struct(F.col("doc_id").cast("long").alias("d"), F.col("source").cast("string").alias("s"), size.alias("n")))
     with scratch_scope(docs.sparkSession) as keep:
         plan = keep(mix_plan(docs, **options).groupBy(same(F.col("size")).alias(key)).agg(F.count(F.lit(1)).alias(rows), F.sum("copies").alias(copies)))
+    release(docs.sparkSession)
     joined = docs.withColumn(key, same(word_count("text"))).join(plan.where(F.col(copies) > 0), key)
     numbered = joined.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key)))
     upto = lambda i: F.floor(i * F.col(copies) / F.col(rows)).cast("int")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, query, read, scratch_scope, settle, typed
+from .common import fresh, query, read, release, scratch_scope, settle, typed
 from .kernels import LOWER, U64, chunks, distinct, mix, shingles, text_bytes, word_bounds, word_hashes
 
 #: Documents that train the scorer, at most; everything else is computed over all.
@@ -288,6 +288,8 @@ def train(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             shards[at] += 1
         weights = (weights + total / np.maximum(shards, 1)).astype(np.float32)
         bias = np.mean([np.frombuffer(r["b"], np.float64) for r in parts], axis=0)
+        del parts
+        release(sample.sparkSession)  # what a round sent would else stay in the driver's heap until that is full
     return columns, weights * (seen[columns] / (seen[columns] + SHRINK)).astype(np.float32), bias
 
 
