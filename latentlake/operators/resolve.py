@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from latentlake.functions import ids
 from latentlake.runtime import attach_small, left_known, settle
 
+#: Paths that one task joins to what was found for them, and stems of paths that one task joins to listed names.
+PATHS_A_TASK, STEMS_A_TASK = 50_000, 100_000
+
 _ENCODER_COLUMN = {"uni2": "uni_path", "seal": "seal_path", "gigapath": "gigapath_path", "virchow2": "virchow2_path"}
 
 
@@ -135,21 +138,25 @@ def remap_paths(
     prefixes of the stem lengths in use (file names bound both), so no pair of
     rows is compared that does not share folder and prefix.
     """
-    wanted = paths.select("path").distinct()
+    wanted = settle(paths.select("path").distinct())
+    # short rows: sized by bytes, a task would hold millions of them in every sort of the last joins
+    least = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-wanted.count() // PATHS_A_TASK))
+    dealt = lambda rows: rows.repartition(parts, "path")
     files = listing.select(F.col("path").alias("candidate")).distinct()
     candidates = path_candidates(wanted, roots, list(legacy_bases), preferred)
     direct = (
-        candidates.where(~F.col("candidate").contains("/*/"))
-        .join(files, "candidate")
+        dealt(candidates.where(~F.col("candidate").contains("/*/")).join(files, "candidate"))
         .groupBy("path")
         .agg(F.min_by("candidate", F.struct("place", "turn")).alias("exact"))
     )
     direct = settle(direct)
 
-    lost = wanted.join(direct.select("path"), "path", "left_anti")
+    lost = settle(dealt(wanted).join(dealt(direct.select("path")), "path", "left_anti"))
     stems = path_candidates(lost, roots, list(legacy_bases), preferred).where("place > 0").select(
         "path", "place", "turn", ids.path_parent("candidate").alias("dir"), ids.path_stem("candidate").alias("stem")
     )
+    stems = settle(stems)
     lengths = stems.agg(F.collect_set(F.length("stem")).alias("l")).scalar()
     folder = ids.path_parent("candidate")
     any_cohort = F.regexp_replace(folder, f"/{ids.DEFAULT_PROJECT}/[^/]+/h5$", f"/{ids.DEFAULT_PROJECT}/*/h5")
@@ -165,10 +172,12 @@ def remap_paths(
     prefixes = prefixes.groupBy("dir", "folder", F.substring("name", F.lit(1), F.col("n")).alias("stem")).agg(
         F.min(F.struct((F.length("name") > F.col("n")).alias("longer"), F.col("candidate"))).alias("best")
     )
-    globbed = stems.join(prefixes, ["dir", "stem"]).groupBy("path").agg(
+    cells = max(least, -(-stems.count() // STEMS_A_TASK))
+    met = stems.repartition(cells, "dir", "stem").join(prefixes.repartition(cells, "dir", "stem"), ["dir", "stem"])
+    globbed = dealt(met).groupBy("path").agg(
         F.min_by("best.candidate", F.struct("place", "folder", "turn", "best")).alias("by_prefix")
     )
-    out = wanted.join(direct, "path", "left").join(globbed, "path", "left")
+    out = dealt(wanted).join(dealt(direct), "path", "left").join(globbed, "path", "left")
     how = F.when(F.col("exact") == F.col("path"), "exact").when(F.col("exact").isNotNull(), "candidate")
     how = how.when(F.col("by_prefix").isNotNull(), "prefix").otherwise("unresolved")
     # an unresolved path is handed back unchanged

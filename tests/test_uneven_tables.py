@@ -12,7 +12,7 @@ from test_queries import ORACLES, QUERIES, table
 
 from latentlake.catalog import fixtures as fx
 from latentlake.functions import vectors
-from latentlake.operators import probe
+from latentlake.operators import probe, resolve
 
 
 @pytest.mark.parametrize("name", ["d5_indexed_with_replacement", "g30_health_rows"])
@@ -61,3 +61,12 @@ def test_tasks_for_distinct_keys_follow_the_rows(spark, monkeypatch):
     sizes = [r["n"] for r in fx.sparse_keys(spark, SF).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert sum(sizes) == spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_suppkey", "l_orderkey * 8 + l_linenumber").distinct().count()
     assert max(sizes) < 400
+
+
+def test_tasks_for_moved_paths_follow_the_paths(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "PATHS_A_TASK", 10, raising=False)
+    paths = spark.range(400).selectExpr("concat('/old/features/', id, '.h5') as path")
+    out = resolve.remap_paths(paths, paths.where("path like '%7.h5'"), ["/lake"])
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 400 and max(sizes) < 40
+    assert out.where("how = 'exact'").count() == 40
