@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from latentlake.functions import ids
 from latentlake.runtime import attach_small, left_known, settle
 
-#: Paths that one task joins to what was found for them, and stems of paths that one task joins to listed names.
-PATHS_A_TASK, STEMS_A_TASK = 50_000, 100_000
+#: Paths that one task joins to what was found for them, stems of paths that one task joins to listed names, and names that one task expands.
+PATHS_A_TASK, STEMS_A_TASK, NAMES_A_TASK = 50_000, 100_000, 25_000
 
 _ENCODER_COLUMN = {"uni2": "uni_path", "seal": "seal_path", "gigapath": "gigapath_path", "virchow2": "virchow2_path"}
 
@@ -167,7 +167,8 @@ def remap_paths(
         F.explode(F.array_distinct(F.array(folder, any_cohort))).alias("dir"),
     )
     # only folders that are searched have their names expanded
-    named = named.join(attach_small(settle(stems.select("dir").distinct())), "dir", "left_semi")
+    named = settle(named.join(attach_small(settle(stems.select("dir").distinct())), "dir", "left_semi"))
+    named = named.repartition(max(least, -(-named.count() // NAMES_A_TASK)), "candidate")
     prefixes = named.select("*", F.explode(lengths).alias("n")).where(F.length("name") >= F.col("n"))
     prefixes = prefixes.groupBy("dir", "folder", F.substring("name", F.lit(1), F.col("n")).alias("stem")).agg(
         F.min(F.struct((F.length("name") > F.col("n")).alias("longer"), F.col("candidate"))).alias("best")
